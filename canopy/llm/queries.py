@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import byte_bpe, jaccard, near_vectors, packing, sharding, topk, url_filter
+from canopy.llm import byte_bpe, hmm, jaccard, line_dedup, near_vectors, packing, sharding, topk, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,10 +19,18 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedupe_lines(_read(spark, sf_dir, "documents"), report=True)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), "doc_id")
 
@@ -43,8 +51,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_read(spark, sf_dir, "pages"))
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_vectors, op3_packing, op5_sharding, op6_top_k, op7_byte_bpe, op8_ngram_jaccard, op9_url_filter)
+    f.__name__: f for f in (op1_near_vectors, op2_toxicity, op3_packing, op4_line_dedup, op5_sharding, op6_top_k, op7_byte_bpe, op8_ngram_jaccard, op9_url_filter, op10_hmm)
 }
 ORACLES: dict[str, str] = {
     "op1_near_vectors": near_vectors.ORACLE,
