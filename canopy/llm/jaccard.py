@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm._arrays import U64, chunks, mix, shingle_sets
@@ -91,13 +91,14 @@ def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc
                 total = np.zeros(_PART, np.int64)
                 for r in rows[lo:hi]:
                     total += np.frombuffer(r, np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array([parts[lo]], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+                size_class = np.frexp(total.astype(float))[1].astype(np.uint8)  # the count's number of bits
+                yield pa.RecordBatch.from_arrays([pa.array([parts[lo]], pa.int64()), pa.array([size_class.tobytes()], pa.binary())], names=["part", "counts"])
 
     member = checkpoint(source.mapInArrow(members, f"id {kind}, node long, n long"))
     bits = np.zeros(1 << COUNTER_BITS, np.uint8)
     summed = source.select("text").mapInArrow(counters, "part long, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(add, "part long, counts binary")
     for row in summed.collect():  # a fixed number of parts, whatever the data's size
-        bits[row["part"] : row["part"] + _PART] = np.frexp(np.frombuffer(row["counts"], np.int64).astype(float))[1]
+        bits[row["part"] : row["part"] + _PART] = np.frombuffer(row["counts"], np.uint8)
     order = spark.sparkContext.broadcast(bits)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +127,8 @@ def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc
     allowed = (100 - num) / 100
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: a pair of a short list; 1: a member of a long list (a: token); 2: leader and member."""
+        """kind 0: a pair of a short list with both sizes (n: a's, m: b's); 1: a member of a long list (a: the
+        token, b: the node, n: its size); 2: leader and member."""
         for table, marks in runs(batches, ["token"]):
             token, node, meta = (table[c].to_numpy() for c in ("token", "node", "meta"))
             sizes = np.diff(marks)
@@ -137,8 +139,9 @@ def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc
                 at = lo + np.unique(node[lo:hi], return_index=True)[1]
                 if len(at) > SHORT_LIST:
                     z, leader = np.full(len(at), 1, np.int32), np.full(len(at), node[at].min())
-                    out.append((z, np.full(len(at), token[lo]), node[at], meta[at] >> 32))
-                    out.append((z + 1, leader, node[at], np.zeros(len(at), np.int64)))
+                    none = np.zeros(len(at), np.int64)
+                    out.append((z, np.full(len(at), token[lo]), node[at], meta[at] >> 32, none))
+                    out.append((z + 1, leader, node[at], none, none))
                 else:
                     at = at[np.argsort(meta[at], kind="stable")]
                     a, b = np.triu_indices(len(at), 1)
@@ -146,32 +149,37 @@ def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc
                     j.append(at[b])
             i, j = np.concatenate(i), np.concatenate(j)
             keep = may_link(meta[i], meta[j], num) & (node[i] != node[j])
-            a, b = node[i[keep]], node[j[keep]]
-            out.append((np.zeros(len(a), np.int32), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["kind", "a", "b", "n"])
+            i, j = i[keep], j[keep]
+            swap = node[i] > node[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            out.append((np.zeros(len(i), np.int32), node[i], node[j], meta[i] >> 32, meta[j] >> 32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["kind", "a", "b", "n", "m"])
 
     posted = source.select("text").mapInArrow(prefixes, "token long, node long, meta long")
-    found = checkpoint(posted.repartition("token").sortWithinPartitions("token", "meta", "node").mapInArrow(lists, "kind int, a long, b long, n long").where("a <> b OR kind = 1"))
-    size = member.select("node", "n").dropDuplicates(["node"])
-    shared = found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("c"))
+    found = checkpoint(posted.repartition("token").sortWithinPartitions("token", "meta", "node").mapInArrow(lists, "kind int, a long, b long, n long, m long").where("a <> b OR kind = 1"))
+    shared = found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("na"), F.first("m").alias("nb"))
     long_ = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "n")
-    extra = long_.groupBy("node").agg(F.count("*").alias("e"))
+    has_long = not long_.isEmpty()
 
-    def bounded(pairs: DataFrame, with_extra: bool) -> DataFrame:
-        """Pairs whose shared prefix elements (c) leave an overlap that suffices possible."""
-        for side in ("a", "b"):
-            pairs = pairs.join(size.select(F.col("node").alias(side), F.col("n").alias(f"n{side}")), side)
-            pairs = pairs.join(extra.select(F.col("node").alias(side), F.col("e").alias(f"e{side}")), side, "left")
+    def bounded(pairs: DataFrame, more: Column) -> DataFrame:
+        """Pairs whose shared prefix elements (c, and ``more`` at most) leave a sufficient overlap possible."""
         rest = lambda n: F.ceil(n * num / 100) - 1
-        more = F.least(F.coalesce("ea", F.lit(0)), F.coalesce("eb", F.lit(0))) if with_extra else F.lit(0)
         need = F.ceil((F.col("na") + F.col("nb")) * num / (100 + num))
         return pairs.where(F.col("c") + more + F.greatest(rest(F.col("na")), rest(F.col("nb"))) >= need).select("a", "b")
 
     star = found.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = checkpoint(bounded(shared, True).union(star).distinct())
-    judged = verify(first, member, source, num, width)
+    more = F.lit(0)
+    counted = shared
+    if has_long:  # elements shared in long lists are not in c
+        extra = long_.groupBy("node").agg(F.count("*").alias("e"))
+        for side in ("a", "b"):
+            counted = counted.join(extra.select(F.col("node").alias(side), F.col("e").alias(f"e{side}")), side, "left")
+        more = F.least(F.coalesce("ea", F.lit(0)), F.coalesce("eb", F.lit(0)))
+    first = checkpoint(bounded(counted, more).union(star).distinct())
+    repeats = _repeats(member)
+    judged = verify(first, member, source, num, width, repeats)
     links = judged.where("linked").select("a", "b")
-    if not long_.isEmpty():
+    if has_long:
         now = components(links).withColumnRenamed("v", "node")
         # distance of every member of a long list to its leader, from the answers of the first round
         away = judged.select("a", "b", "distance").union(judged.select("b", "a", "distance"))
@@ -192,16 +200,19 @@ def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc
                         j = np.arange(i + 1, ends[i - lo])
                         near = (np.abs(d[j] - d[i]) <= allowed + 1e-9) | (d[j] < 0) | (d[i] < 0)
                         j = j[(c[j] != c[i]) & near]
-                        left.append(np.full(len(j), node[i]))
-                        right.append(node[j])
-                    a, b = np.concatenate(left), np.concatenate(right)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        pairs = rest.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(across, "a long, b long")
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k")).join(first, ["a", "b"], "left_anti")
-        pairs = pairs.join(shared, ["a", "b"], "left").select("a", "b", (F.col("k") + F.coalesce("c", F.lit(0))).alias("c"))
-        second = checkpoint(bounded(pairs, False))
-        links = links.union(verify(second, member, source, num, width).where("linked").select("a", "b"))
+                        left.append(np.full(len(j), i))
+                        right.append(j)
+                    i, j = np.concatenate(left), np.concatenate(right)
+                    swap = node[i] > node[j]
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], n[i], n[j])], names=["a", "b", "na", "nb"])
+
+        pairs = rest.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(across, "a long, b long, na long, nb long")
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb")).join(first, ["a", "b"], "left_anti")
+        pairs = pairs.join(shared.select("a", "b", "c"), ["a", "b"], "left").select("a", "b", "na", "nb", (F.col("k") + F.coalesce("c", F.lit(0))).alias("c"))
+        second = checkpoint(bounded(pairs, F.lit(0)))
+        if not second.isEmpty():
+            links = links.union(verify(second, member, source, num, width, repeats).where("linked").select("a", "b"))
     group = components(links).withColumnRenamed("v", "node")
     # the empty set links with nothing, so its documents do not share a component
     lone = F.when(F.col("n") > 0, F.coalesce("c", "node"))
@@ -216,13 +227,13 @@ def may_link(x: np.ndarray, y: np.ndarray, num: int) -> np.ndarray:
     return np.minimum(a - i, b - j) + np.minimum(i, j) >= needed_overlap(a, b, num)
 
 
-def verify(pairs: DataFrame, member: DataFrame, source: DataFrame, num: int, width: int) -> DataFrame:
+def verify(pairs: DataFrame, member: DataFrame, source: DataFrame, num: int, width: int, repeats: bool) -> DataFrame:
     """``(a, b, distance, linked)`` of node pairs, from the whole texts of one document of each node."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ids = checkpoint(member.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"), F.count("id").alias("ids")))
     pick = small_enough(ids.select("id", "node"))
     texts = source.join(pick, source["id"].eqNullSafe(pick["id"])).select("node", "text")
-    texts = texts.groupBy("node").agg(F.max("text").alias("text")) if _repeats(member) else texts
+    texts = texts.groupBy("node").agg(F.max("text").alias("text")) if repeats else texts
     chunked = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
     asks = pairs.join(chunked, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     other = asks.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "text")
