@@ -179,12 +179,12 @@ def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc
     repeats = _repeats(member)
     judged = verify(first, member, source, num, width, repeats)
     links = judged.where("linked").select("a", "b")
+    group = components(links).withColumnRenamed("v", "node")
     if has_long:
-        now = components(links).withColumnRenamed("v", "node")
         # distance of every member of a long list to its leader, from the answers of the first round
         away = judged.select("a", "b", "distance").union(judged.select("b", "a", "distance"))
         leader = long_.groupBy("token").agg(F.min("node").alias("leader"))
-        rest = long_.join(leader, "token").join(now, "node", "left")
+        rest = long_.join(leader, "token").join(group, "node", "left")
         rest = rest.join(away.select(F.col("a").alias("leader"), F.col("b").alias("node"), "distance"), ["leader", "node"], "left")
         rest = rest.select("token", "node", "n", F.coalesce("c", "node").alias("c"), F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("distance", F.lit(-9.0))).alias("d"))
 
@@ -212,8 +212,9 @@ def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc
         pairs = pairs.join(shared.select("a", "b", "c"), ["a", "b"], "left").select("a", "b", "na", "nb", (F.col("k") + F.coalesce("c", F.lit(0))).alias("c"))
         second = checkpoint(bounded(pairs, F.lit(0)))
         if not second.isEmpty():
-            links = links.union(verify(second, member, source, num, width, repeats).where("linked").select("a", "b"))
-    group = components(links).withColumnRenamed("v", "node")
+            more_links = verify(second, member, source, num, width, repeats).where("linked").select("a", "b")
+            if not more_links.isEmpty():
+                group = components(links.union(more_links)).withColumnRenamed("v", "node")
     # the empty set links with nothing, so its documents do not share a component
     lone = F.when(F.col("n") > 0, F.coalesce("c", "node"))
     joined = member.join(group, "node", "left").select("id", "n", lone.alias("c"))
