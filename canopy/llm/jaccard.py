@@ -10,8 +10,10 @@ Documents with equal shingle sets are one node. Nodes are joined at Jaccard simi
 3. Short lists give candidate pairs, and the number of lists a pair shares bounds its overlap from above.
    Long lists are first compared with one leader each. Those answers are reused for the rest of a
    list: members linked to each other already need no comparison, and a pair whose distances to the
-   leader differ by more than the allowed distance cannot link (the Jaccard distance is a metric).
-4. Candidates are verified on their whole texts; components of the links give the groups.
+   leader differ by more than the allowed distance cannot link (the Jaccard distance is a metric). What
+   stays open is gathered as spanning sets, and these groups are compared in blocks of bounded size.
+4. Candidates are verified on their whole texts; components of the links give the groups. No step emits
+   the pairs of a long list or of a group.
 
 No bound drops a pair that could link, so only links between nodes that are in one component already are
 left unchecked. Shingles are compared by 64-bit hashes.
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm._arrays import U64, chunks, mix, shingle_sets
-from canopy.llm._spark import checkpoint, components, runs, small_enough
+from canopy.llm._spark import checkpoint, components, local_roots, runs, small_enough
 
 #: Counters of the frequency order: 2^21, 8 MB, sent to every executor.
 COUNTER_BITS = 21
@@ -184,37 +186,43 @@ def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc
         # distance of every member of a long list to its leader, from the answers of the first round
         away = judged.select("a", "b", "distance").union(judged.select("b", "a", "distance"))
         leader = long_.groupBy("token").agg(F.min("node").alias("leader"))
-        rest = long_.join(leader, "token").join(group, "node", "left")
+        rest = long_.join(leader, "token").join(group, "node", "left").join(extra, "node")
         rest = rest.join(away.select(F.col("a").alias("leader"), F.col("b").alias("node"), "distance"), ["leader", "node"], "left")
-        rest = rest.select("token", "node", "n", F.coalesce("c", "node").alias("c"), F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("distance", F.lit(-9.0))).alias("d"))
+        rest = rest.select("token", "node", "n", "e", F.coalesce("c", "node").alias("c"), F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("distance", F.lit(-9.0))).alias("d"))
 
-        def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A spanning set of a long list's pairs that the first round has not settled.
+
+            A pair that also meets in a short list was bounded, and if need be verified, in the first round.
+            Any other pair shares elements in long lists only: at most the smaller of both counts (e).
+            """
             for table, marks in runs(batches, ["token"]):
-                node, n, c, d = (table[x].to_numpy() for x in ("node", "n", "c", "d"))
+                node, n, e, c, d = (table[x].to_numpy() for x in ("node", "n", "e", "c", "d"))
+                past = -(-num * n // 100) - 1  # elements behind the prefix
+                ends = np.zeros(len(n), np.int64)
+                left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for lo, hi in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
                     if (c[lo:hi] == c[lo]).all():
                         continue
-                    ends = np.searchsorted(n[lo:hi], n[lo:hi] * 100 // num, side="right") + lo
-                    left, right = [], []
+                    ends[lo:hi] = np.searchsorted(n[lo:hi], n[lo:hi] * 100 // num, side="right") + lo
+                    label = np.arange(lo, hi)
                     for i in range(lo, hi):
-                        j = np.arange(i + 1, ends[i - lo])
+                        j = slice(i + 1, ends[i])
                         near = (np.abs(d[j] - d[i]) <= allowed + 1e-9) | (d[j] < 0) | (d[i] < 0)
-                        j = j[(c[j] != c[i]) & near]
-                        left.append(np.full(len(j), i))
-                        right.append(j)
-                    i, j = np.concatenate(left), np.concatenate(right)
-                    swap = node[i] > node[j]
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], n[i], n[j])], names=["a", "b", "na", "nb"])
-
-        pairs = rest.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(across, "a long, b long, na long, nb long")
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb")).join(first, ["a", "b"], "left_anti")
-        pairs = pairs.join(shared.select("a", "b", "c"), ["a", "b"], "left").select("a", "b", "na", "nb", (F.col("k") + F.coalesce("c", F.lit(0))).alias("c"))
-        second = checkpoint(bounded(pairs, F.lit(0)))
-        if not second.isEmpty():
-            more_links = verify(second, member, source, num, width, repeats).where("linked").select("a", "b")
-            if not more_links.isEmpty():
-                group = components(links.union(more_links)).withColumnRenamed("v", "node")
+                        enough = np.minimum(e[j], e[i]) + np.maximum(past[j], past[i]) >= needed_overlap(n[j], n[i], num)
+                        hit = np.flatnonzero((c[j] != c[i]) & near & enough) + i + 1
+                        if len(hit) and len(old := np.setdiff1d(label[hit - lo], label[i - lo])):
+                            label[np.isin(label, old)] = label[i - lo]
+                    at = np.flatnonzero(label != np.arange(lo, hi))
+                    left.append(node[label[at]])
+                    right.append(node[at + lo])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+        open_ = rest.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(unsettled, "a long, b long")
+        wide = components(open_).withColumnRenamed("v", "node").withColumnRenamed("c", "g")
+        more_links = compare_blocks(wide, group, member, source, num, width, repeats)
+        if not more_links.isEmpty():
+            group = components(links.union(more_links)).withColumnRenamed("v", "node")
     # the empty set links with nothing, so its documents do not share a component
     lone = F.when(F.col("n") > 0, F.coalesce("c", "node"))
     joined = member.join(group, "node", "left").select("id", "n", lone.alias("c"))
@@ -228,13 +236,64 @@ def may_link(x: np.ndarray, y: np.ndarray, num: int) -> np.ndarray:
     return np.minimum(a - i, b - j) + np.minimum(i, j) >= needed_overlap(a, b, num)
 
 
+def texts_of(nodes: DataFrame, member: DataFrame, source: DataFrame, repeats: bool) -> DataFrame:
+    """``(node, text)``: the whole text of one document of each node."""
+    ids = checkpoint(member.join(nodes, "node").groupBy("node").agg(F.min("id").alias("id")))
+    pick = small_enough(ids)
+    texts = source.join(pick, source["id"].eqNullSafe(pick["id"])).select("node", "text")
+    return texts.groupBy("node").agg(F.max("text").alias("text")) if repeats else texts
+
+
+def overlaps(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of a bounded number of sets, by products of incidence matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = count[column] > 1
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], np.unique(column[order], return_inverse=True)[1]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [lo, lo + step])
+        part = np.zeros((len(sets), step), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        total += part @ part.T
+    return total
+
+
+def compare_blocks(wide: DataFrame, group: DataFrame, member: DataFrame, source: DataFrame, num: int, width: int, repeats: bool, block: int = 192) -> DataFrame:
+    """Links ``(a, b)`` inside the groups (node, g), as a spanning set for each pair of blocks.
+
+    A group of m nodes is dealt to m / block blocks that meet pairwise, so a task holds two blocks at a time.
+    Pairs of blocks whose nodes share one component already (``group``) are not compared.
+    """
+    sized = wide.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = wide.join(sized, "g").join(group, "node", "left").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    own = own.select("g", "node", F.coalesce("c", "node").alias("c"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    own = own.select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "c")
+    spread = own.join(texts_of(wide.select("node"), member, source, repeats), "node").select("g", "lo", "hi", "node", "c", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, marks in runs(batches, ["g", "lo", "hi"]):
+            node, c, texts = table["node"].to_numpy(), table["c"].to_numpy(), table["text"].to_pylist()
+            for lo, hi in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
+                if (c[lo:hi] == c[lo]).all():
+                    continue
+                sets = [s for a, b in chunks(texts[lo:hi]) for s in shingle_sets(texts[lo:hi][a:b], width)]
+                both = overlaps(sets)
+                size = np.array([len(s) for s in sets])
+                i, j = np.nonzero(np.triu(100 * both >= num * (size[:, None] + size[None, :] - both), 1))
+                root = local_roots(hi - lo, i, j)
+                at = np.flatnonzero(root != np.arange(hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo + root[at]]), pa.array(node[lo + at])], names=["a", "b"])
+
+    return checkpoint(spread.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(compare, "a long, b long"))
+
+
 def verify(pairs: DataFrame, member: DataFrame, source: DataFrame, num: int, width: int, repeats: bool) -> DataFrame:
     """``(a, b, distance, linked)`` of node pairs, from the whole texts of one document of each node."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = checkpoint(member.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"), F.count("id").alias("ids")))
-    pick = small_enough(ids.select("id", "node"))
-    texts = source.join(pick, source["id"].eqNullSafe(pick["id"])).select("node", "text")
-    texts = texts.groupBy("node").agg(F.max("text").alias("text")) if repeats else texts
+    texts = texts_of(wanted, member, source, repeats)
     chunked = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
     asks = pairs.join(chunked, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     other = asks.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "text")
