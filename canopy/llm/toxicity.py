@@ -38,13 +38,25 @@ HOMOGLYPHS = str.maketrans("авеікмнорстухѕјԁɡҽοαερντικ
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 #: Phrases in which a term is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "class clown", "stupid question", "sore loser", "idiot proof", "scum line", "pond scum")
-_SWAP = re.compile(r"(?<=[^\W\d_])[01345@$7]+(?=[^\W_]|\b)|(?<![^\W_])[01345@$7]+(?=[^\W\d_])|(?<=[^\W_])!+(?=[^\W_])|(?<=[^\W_])[@$]+")
+_SWAP = re.compile(r"[01345@$7]+|!+")
 _GAP = re.compile(r"[\W_]+")
 #: Lengths of word beginnings that can be terms.
 PREFIXES = range(4, 9)
 _CELLS = 100
 
 
+def _letters(m: re.Match) -> str:
+    """Signs and digits directly behind a letter, or before one at the beginning of a word, as letters;
+    exclamation marks only between letters."""
+    text, (start, end) = m.string, m.span()
+    before, after = text[start - 1 : start].isalpha() if start else False, text[end : end + 1].isalpha()
+    if m[0][0] == "!":
+        inside = before and after
+    else:
+        inside = before or after and not (start and text[start - 1].isalnum())
+    return "".join(SUBSTITUTES[c] for c in m[0]) if inside else m[0]
+
+
 def fold(text: str) -> str:
     """Folded words, with one blank before, between and behind them."""
     if not text.isascii():
@@ -53,7 +65,7 @@ def fold(text: str) -> str:
     text = text.lower()
     if not text.isascii():
         text = text.translate(HOMOGLYPHS)
-    text = _SWAP.sub(lambda m: "".join(SUBSTITUTES[c] for c in m[0]), text)
+    text = _SWAP.sub(_letters, text)
     return f" {_GAP.sub(' ', text).strip()} "
 
 
