@@ -93,21 +93,26 @@ class Hmm:
         product, log = np.broadcast_to(np.eye(k), (n, k, k)).copy(), np.zeros(n)
         opening = np.zeros(n, bool)
         opening[first[:-1]] = True
+        # longest first, so that the segments still running at a step are a slice
         order = np.argsort(-(block >= 0).sum(1), kind="stable")
+        block, opening = block[order], opening[order]
         active = (block >= 0).sum(0)
+        emit = np.ascontiguousarray(self.emit.T)
         for t in range(block.shape[1]):
-            rows = order[: active[t]]
-            if not len(rows):
+            m = active[t]
+            if not m:
                 break
-            b = self.emit[:, block[rows, t]].T
+            b = emit[block[:m, t]]
             if t:
-                p = (product[rows] @ self.move) * b[:, None, :]
+                p = (product[:m].reshape(-1, k) @ self.move).reshape(m, k, k) * b[:, None, :]
             else:
-                head = np.where(opening[rows, None, None], self.start[None, None, :], self.move[None])
-                p = head * b[:, None, :]
+                p = np.where(opening[:m, None, None], self.start[None, None, :], self.move[None]) * b[:, None, :]
             scale = p.sum((1, 2))
-            product[rows] = p / scale[:, None, None]
-            log[rows] += np.log(scale)
+            product[:m] = p / scale[:, None, None]
+            log[:m] += np.log(scale)
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        product, log = product[back], log[back]
         return product, log
 
     def log10(self, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -154,12 +159,13 @@ class Hmm:
         order = np.argsort(-(block >= 0).sum(1), kind="stable")
         block, alpha, beta, opening = block[order], alpha[order], beta[order], opening[order]
         active = (block >= 0).sum(0)
-        forward = np.zeros((block.shape[1], n, k))
+        forward, gammas = np.zeros((block.shape[1], n, k)), np.zeros((block.shape[1], n, k))
+        table = np.ascontiguousarray(self.emit.T)
         for t in range(block.shape[1]):
             m = active[t]
             if not m:
                 break
-            b = self.emit[:, block[:m, t]].T
+            b = table[block[:m, t]]
             a = alpha[:m] @ self.move if not t else forward[t - 1, :m] @ self.move
             if not t:
                 a = np.where(opening[:m, None], self.start, a)
@@ -172,18 +178,20 @@ class Hmm:
                 continue
             gamma = forward[t, :m] * beta[:m]
             gamma /= gamma.sum(1, keepdims=True)
-            for s in range(k):
-                emit[s] += np.bincount(block[:m, t], gamma[:, s], minlength=emit.shape[1])
+            gammas[t, :m] = gamma
             # what the step into this token carries: before it, its emission and what follows
-            after = self.emit[:, block[:m, t]].T * beta[:m]
+            after = table[block[:m, t]] * beta[:m]
             before = alpha[:m] if not t else forward[t - 1, :m]
             inner = ~opening[:m] if not t else np.ones(m, bool)
-            z = np.einsum("nk,kj,nj->n", before[inner], self.move, after[inner])
+            z = ((before[inner] @ self.move) * after[inner]).sum(1)
             move += self.move * ((before[inner] / z[:, None]).T @ after[inner])
             if not t:
                 start += gamma[opening[:m]].sum(0)
             b = after @ self.move.T
             beta[:m] = b / b.sum(1, keepdims=True)
+        used = block >= 0
+        for s in range(k):
+            emit[s] = np.bincount(block[used], gammas[:, :, s].T[used], minlength=emit.shape[1])
         return start, move, emit, float(total.sum())
 
     def updated(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Hmm:
