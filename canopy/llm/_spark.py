@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,15 +15,31 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="canopy-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="canopy-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder.
+
+    For loops of joins: a checkpoint keeps the size estimate of its plan, and a join multiplies those of its
+    sides, so that the estimate's digits would grow threefold a round. A table's estimate is its size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is counted to hold at most ``limit`` rows, else unchanged."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -36,17 +53,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     ``c`` is one vertex of the component, the same for all its members.
     """
     spark = edges.sparkSession
-    level = checkpoint(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    level = written(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[DataFrame] = []
     for _ in range(max_rounds):
         if level.isEmpty():
             break
         both = level.union(level.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))), F.col(c))  # noqa: B023, E731
-        hook = checkpoint(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.when(F.col("m") < rank("a"), F.col("m")["b"]).otherwise(F.col("a")).alias("c")))
+        hook = written(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.when(F.col("m") < rank("a"), F.col("m")["b"]).otherwise(F.col("a")).alias("c")))
         maps.append(hook)
         left, right = hook.select(F.col("v").alias("a"), F.col("c").alias("ca")), hook.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-        level = checkpoint(level.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+        level = written(level.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if not maps:
@@ -55,7 +72,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for hook in reversed(maps[:-1]):
         up = out.select(F.col("v").alias("c"), F.col("c").alias("top"))
         out = hook.join(up, "c", "left").select("v", F.coalesce("top", "c").alias("c"))
-    return checkpoint(out)
+    return written(out)
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

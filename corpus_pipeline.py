@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from canopy.llm import jaccard, line_dedup, packing, toxicity
-from canopy.llm._spark import checkpoint
+from canopy.llm._spark import shared_folder
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +40,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each stage's result written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = _shared_folder(docs)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
-
-
-def _shared_folder(docs: DataFrame) -> str:
-    """A new folder under the checkpoint folder, which all executors share."""
-    checkpoint(docs.limit(0))  # makes sure that one is set
-    return f"{docs.sparkSession.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
