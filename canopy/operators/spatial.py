@@ -9,22 +9,37 @@ of its intersection, so no pair is seen twice and no distinct is needed. Boxes t
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canopy.functions import geometry as G
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in ``spark.checkpoint.dir`` (a temporary folder only where that is unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="canopy-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="canopy-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: for loops of joins, as a checkpoint keeps its plan's
+    size estimate and joins multiply those without end."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prefixed(df: DataFrame, p: str, keep: tuple[str, ...] = ("case_id",)) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(p + c) for c in df.columns])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canopy.operators.spatial import checkpoint
+from canopy.operators.spatial import written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -15,13 +15,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Labels spread to neighbours, then jump to their label's label, until nothing changes: the number
     of rounds grows with the logarithm of the longest path. Duplicate-free edges are cut from lineage.
     """
-    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")))
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c")))
     for _ in range(max_rounds):
         near = both.join(label.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
         step = label.join(near.withColumnRenamed("a", "v"), "v").select("v", F.least("c", "m").alias("n"), "c")
         jump = step.select(F.col("v").alias("n"), F.col("n").alias("top"))
-        nxt = checkpoint(step.join(jump, "n", "left").select("v", F.least("n", F.coalesce("top", "n")).alias("n"), "c"))
+        nxt = written(step.join(jump, "n", "left").select("v", F.least("n", F.coalesce("top", "n")).alias("n"), "c"))
         changed = not nxt.where("n <> c").isEmpty()
         label = nxt.select("v", F.col("n").alias("c"))
         if not changed:
