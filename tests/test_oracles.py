@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from canopy import registry
+from canopy.plans import queries as registry
 from tests.conftest import SF
 
 
