@@ -26,6 +26,7 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from canopy.llm._arrays import U64, chunks, mix, shingle_sets
 from canopy.llm._spark import checkpoint, components, local_roots, runs, small_enough
 
-#: Counters of the frequency order: 2^21, 8 MB, sent to every executor.
-COUNTER_BITS = 21
+#: Counters of the frequency order: 2^24; a byte each, 16 MB, goes to every executor.
+COUNTER_BITS = 24
 _PART = 1 << 16
 #: Longer lists are compared with a leader first.
 SHORT_LIST = 8
@@ -51,6 +52,15 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(h[:1] * U64(3) + h[1:2] * U64(5) + h[2:])[0].astype(np.int64))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """32-bit counts as compressed planes of bytes: most counts are small."""
+    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def prefix_length(n: int, num: int) -> int:
     """Elements of an ordered set of n that any set with similarity num/100 or more must meet."""
     return n - -(-num * n // 100) + 1
@@ -84,7 +94,7 @@ def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc
                 total[slot] += n.astype(np.uint32)
         for k in range(0, len(total), _PART):
             if total[k : k + _PART].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total[k : k + _PART].tobytes()], pa.binary())], names=["part", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed(total[k : k + _PART])], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, marks in runs(batches, ["part"]):
@@ -92,7 +102,7 @@ def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc
             for lo, hi in zip(marks[:-1], marks[1:], strict=True):
                 total = np.zeros(_PART, np.int64)
                 for r in rows[lo:hi]:
-                    total += np.frombuffer(r, np.uint32)
+                    total += unpacked(r)
                 size_class = np.frexp(total.astype(float))[1].astype(np.uint8)  # the count's number of bits
                 yield pa.RecordBatch.from_arrays([pa.array([parts[lo]], pa.int64()), pa.array([size_class.tobytes()], pa.binary())], names=["part", "counts"])
 
