@@ -2,6 +2,9 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from canopy.llm import near_vectors, sharding, topk, url_filter
@@ -38,6 +41,24 @@ def test_near_vectors_equal_brute_force(spark):
     assert near_vectors.near_vectors(vectors(spark, rows).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("offset", [0.0, 0.7])
+def test_near_vectors_find_isolated_pairs_of_a_large_label(spark, tmp_path, offset):
+    rng = np.random.default_rng(3)
+    n, pairs, dim = 100_000, 1000, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centre = unit(rng.standard_normal((1, dim))) * offset
+    base = unit(unit(rng.standard_normal((n - pairs, dim))) + centre)
+    side = rng.standard_normal((pairs, dim))
+    side = unit(side - (side * base[:pairs]).sum(1, keepdims=True) * base[:pairs])
+    x = np.concatenate([base, 0.935 * base[:pairs] + np.sqrt(1 - 0.935**2) * side])
+    rows = pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), "label": np.zeros(n, np.int32)})
+    pq.write_table(rows, tmp_path / "embeddings.parquet", row_group_size=20_000)
+    got = near_vectors.near_vectors(spark.read.parquet(f"{tmp_path}/embeddings.parquet")).where(F.col("vec_id") >= n - pairs).toPandas()
+    recall = (got["component_id"] < n - pairs).mean()
+    print(f"recall at offset {offset}: {recall}")
+    assert recall >= 0.98
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(v) for v in np.round(rng.standard_normal(6), 1)], 0) for i in range(300)]
