@@ -16,12 +16,12 @@ Documents with equal shingle sets are one node. Nodes are joined at Jaccard simi
    the pairs of a long list or of a group.
 
 No bound drops a pair that could link, so only links between nodes that are in one component already are
-left unchecked. Shingles are compared by 64-bit hashes.
+left unchecked. Shingles are compared by 64-bit hashes, and so are rows (id and text).
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; with
 fewer words than the shingle width, all its words are one shingle; repeated rows and equal texts share a
-node, and so a component; a null id stands alone unless another document links; an empty table gives no
-rows; other columns are not read.
+node, and so a component; one id, or the null id, may stand on rows of different texts, each with its own node;
+a null id stands alone unless another document links; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -73,16 +73,28 @@ def needed_overlap(a, b, num: int):
 
 def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per document: component by links, smallest id."""
+    joined = linked_rows(docs, num, width, id_col, text_col)
+    low = joined.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("component"))
+    return joined.join(low, "c", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Identity of a row by its id and text, both of which may be null."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def linked_rows(docs: DataFrame, num: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, key, n, c)``, one row per document: c is the same for linked ones, null for an empty set."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(id_col, text_col).alias("key"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in chunks(texts):
                 sets = shingle_sets(texts[lo:hi], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "node", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "key", "node", "n"])
 
     def counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.uint32)
@@ -106,7 +118,7 @@ def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc
                 size_class = np.frexp(total.astype(float))[1].astype(np.uint8)  # the count's number of bits
                 yield pa.RecordBatch.from_arrays([pa.array([parts[lo]], pa.int64()), pa.array([size_class.tobytes()], pa.binary())], names=["part", "counts"])
 
-    member = checkpoint(source.mapInArrow(members, f"id {kind}, node long, n long"))
+    member = checkpoint(source.mapInArrow(members, f"id {kind}, key long, node long, n long"))
     bits = np.zeros(1 << COUNTER_BITS, np.uint8)
     summed = source.select("text").mapInArrow(counters, "part long, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(add, "part long, counts binary")
     for row in summed.collect():  # a fixed number of parts, whatever the data's size
@@ -235,9 +247,7 @@ def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc
             group = components(links.union(more_links)).withColumnRenamed("v", "node")
     # the empty set links with nothing, so its documents do not share a component
     lone = F.when(F.col("n") > 0, F.coalesce("c", "node"))
-    joined = member.join(group, "node", "left").select("id", "n", lone.alias("c"))
-    low = joined.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("component"))
-    return joined.join(low, "c", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return member.join(group, "node", "left").select("id", "key", "n", lone.alias("c"))
 
 
 def may_link(x: np.ndarray, y: np.ndarray, num: int) -> np.ndarray:
@@ -248,9 +258,8 @@ def may_link(x: np.ndarray, y: np.ndarray, num: int) -> np.ndarray:
 
 def texts_of(nodes: DataFrame, member: DataFrame, source: DataFrame, repeats: bool) -> DataFrame:
     """``(node, text)``: the whole text of one document of each node."""
-    ids = checkpoint(member.join(nodes, "node").groupBy("node").agg(F.min("id").alias("id")))
-    pick = small_enough(ids)
-    texts = source.join(pick, source["id"].eqNullSafe(pick["id"])).select("node", "text")
+    keys = checkpoint(member.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key")))
+    texts = source.join(small_enough(keys), "key").select("node", "text")
     return texts.groupBy("node").agg(F.max("text").alias("text")) if repeats else texts
 
 
@@ -332,15 +341,26 @@ def verify(pairs: DataFrame, member: DataFrame, source: DataFrame, num: int, wid
 
 
 def _repeats(member: DataFrame) -> bool:
-    """Whether an id (or the null id) stands on several rows, so that it does not give one text."""
-    return not member.groupBy("id").count().where("count > 1").isEmpty()
+    """Whether an id and text stand on several rows, so that a key gives a text more than once."""
+    return not member.groupBy("key").count().where("count > 1").isEmpty()
 
 
 def drop_copies(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document (the one of smallest id) of each group of linked documents."""
-    groups = near_sets(docs, num, width, id_col, text_col)
-    gone = groups.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """``docs`` with one document of each group of linked documents, all rows with an empty set among them.
+
+    It is the one of smallest id (nulls last); of several texts of that id any one, and of repeated rows one.
+    """
+    rows = checkpoint(linked_rows(docs, num, width, id_col, text_col).where("c IS NOT NULL"))
+    best = rows.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("best")).select("best.key")
+    counts = rows.groupBy("key").agg(F.count("*").alias("times"))
+    gone = counts.join(best, "key", "left_anti").select("key")
+    twice = checkpoint(counts.join(best, "key", "left_semi").where("times > 1").select("key"))
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    on = lambda keys: keys.withColumnRenamed("key", "__key")
+    if twice.isEmpty():
+        return keyed.join(on(gone), "__key", "left_anti").select(*docs.columns)
+    once = keyed.join(on(gone.union(twice)), "__key", "left_anti")
+    return once.union(keyed.join(on(twice), "__key", "left_semi").dropDuplicates(["__key"]).select(*once.columns)).select(*docs.columns)
 
 
 ORACLE = r"""

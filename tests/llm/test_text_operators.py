@@ -270,6 +270,29 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, short_list):
         assert jaccard.near_sets(docs.where("false")).count() == 0
 
 
+def test_jaccard_tells_texts_of_one_id_apart(spark):
+    rnd = random.Random(4)
+    text = [words(rnd, 40, 5000) for _ in range(8)]
+    near = lambda k: " ".join([*text[k][:-1], "zz"])
+    a, b, c, d, e, f, g, h = (" ".join(t) for t in text)
+    rows = [(1, a), (1, b), (1, c), (2, near(1)), (3, near(2)), (4, d), (4, near(0)), (5, e), (5, e), (5, e), (6, "")]
+    rows += [(6, ""), (None, f), (None, near(5)), (None, near(3)), (None, g), (None, g), (None, h), (7, near(7)), (8, None)]
+    root = brute_components({i: brute_sets(t) for i, (_, t) in enumerate(rows)})
+    groups = [[rows[j][0] for j in root if root[j] == root[i]] for i in root]
+    expected = [(k, len(brute_sets(t)), min((x for x in groups[i] if x is not None), default=None)) for i, (k, t) in enumerate(rows)]
+    docs = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, at long").repartition(3)
+    order = lambda x: [-1 if v is None else v for v in x]
+    got = jaccard.near_sets(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=order) == sorted(expected, key=order)
+    kept = jaccard.drop_copies(docs)
+    assert kept.columns == docs.columns
+    kept = [tuple(r) for r in kept.collect()]
+    assert all(rows[i] == (k, t) for k, t, i in kept)
+    assert sorted(root[i] for *_, i in kept) == sorted(set(root.values()))
+    for k, _, i in kept:  # the smallest id of the group
+        assert k == min((x for x in groups[i] if x is not None), default=None)
+
+
 # ---------------------------------------------------------------------------- hidden Markov model
 def plain_forward(model, buckets):
     a = model.start * model.emit[:, buckets[0]]
