@@ -9,8 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 U64 = np.uint64
+#: Slices from this length on are hashed by xxhash: sums of powers modulo 2^64 collide on long regular strings.
+_LONG = 64
 #: Fixed odd multipliers of the polynomial slice hash and of the 5-word combination.
 _BASE = 0x9E3779B97F4A7C15
 _COMBINE = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D)
@@ -45,7 +48,31 @@ def slice_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     p, q = _tables(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, U64)
     np.cumsum((codes.astype(U64) + U64(1)) * p[: len(codes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(U64) * U64(_COMBINE[4]))
+    out = mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(U64) * U64(_COMBINE[4]))
+    for i in np.flatnonzero(ends - starts >= _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(codes[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def distinct_slices(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one slice of each content, and each slice's position among these.
+
+    Slices meet by hash and are compared with their representative, so unequal ones are never taken for equal.
+    """
+    _, at, inverse = np.unique(slice_hashes(codes, starts, ends), return_index=True, return_inverse=True)
+    lengths, other = ends - starts, at[inverse]
+    wrong = lengths != lengths[other]
+    shift = np.where(wrong, 0, starts[other] - starts)
+    place = ragged(starts, lengths)
+    unequal = np.flatnonzero(codes[place] != codes[place + np.repeat(shift, lengths)])
+    wrong[np.searchsorted(np.cumsum(lengths), unequal, side="right")] = True
+    if wrong.any():
+        more: dict[bytes, int] = {}
+        for i in np.flatnonzero(wrong).tolist():
+            inverse[i] = more.setdefault(codes[starts[i] : ends[i]].tobytes(), len(at))
+            if inverse[i] == len(at):
+                at = np.append(at, i)
+    return at, inverse
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -16,10 +16,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """The checkpoint folder, ``spark.checkpoint.dir``; a temporary folder only in local mode, where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="canopy-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="canopy-"))
     return sc.getCheckpointDir()
 
 

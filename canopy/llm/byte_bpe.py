@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm._arrays import chunks, offsets_of, ragged, slice_hashes
+from canopy.llm._arrays import chunks, distinct_slices, offsets_of, ragged
 from canopy.llm._classes import LETTER, NUMBER, SPACE, classes, codepoints
 from canopy.llm._merge import PairTable, WordCache
 
@@ -183,7 +183,7 @@ class ByteBpe:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(codes))
-        _, at, inverse = np.unique(slice_hashes(codes, starts, ends), return_index=True, return_inverse=True)
+        at, inverse = distinct_slices(codes, starts, ends)
         words = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         ids, lengths = self.cache.lookup(words, inverse)
         return ids, offsets_of(lengths)[np.searchsorted(starts, bounds)]

@@ -13,7 +13,7 @@ training rows. The logistic function is fitted to a histogram of the training ro
 cells at most).
 
 Defined results: a null text scores as the empty text; a row with a null id or label is never learned from;
-repeated labelled rows with one text count once in the lexicon; a table without labelled rows of both
+repeated labelled rows with one text and label count once in the lexicon and in the fit; a table without labelled rows of both
 classes gives the lexicon of no terms and scores of 0.5 times nothing known, that is the share of toxic
 rows (0 if there are none); other columns pass through ``apply`` untouched, whatever their names.
 """
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm._spark import checkpoint, small_enough
+from canopy.llm._spark import checkpoint, small_enough, written
 
 #: Letters that look like Latin ones (Cyrillic, Greek), then signs used for letters.
 HOMOGLYPHS = str.maketrans("авеікмнорстухѕјԁɡҽοαερντικυχγβ", "abeikmhopctyxsjdgeoaepvtikuxyb")
@@ -135,10 +135,15 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``(text, toxic)`` of the labelled rows whose crc32(id) mod 3 is not 1."""
+    """``(text, toxic)`` of the labelled rows whose crc32(id) mod 3 is not 1, each text once a label.
+
+    Texts are told apart by two 64-bit hashes in a shuffle, so the rows do not depend on the partitions.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     known = small_enough(known.where(F.crc32(F.col("_id").cast("string")) % 3 != 1))
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known, "_id").select("text", "toxic")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known, "_id")
+    keyed = rows.select("text", "toxic", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("g"))
+    return written(keyed.dropDuplicates(["h", "g", "toxic"]).select("text", "toxic"))
 
 
 def learn(train: DataFrame, share: float = 0.002, least: int = 3, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
@@ -148,25 +153,20 @@ def learn(train: DataFrame, share: float = 0.002, least: int = 3, exceptions: tu
     def counted(keep=None, toxic: int = 1):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = keep.value if keep is not None else None
-            counts, seen, rows = Counter(), set(), 0
+            counts, rows = Counter(), 0
             for batch in batches:
-                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if label != toxic or (key := hash(text)) in seen:
-                        continue
-                    seen.add(key)
+                for text in batch.column(0).to_pylist():
                     rows += 1
                     terms = terms_of(fold(text))
                     counts.update(terms if wanted is None else terms & wanted)
                     if len(counts) > 1_000_000:
                         yield table(counts)
                         counts.clear()
-                    if len(seen) > 1_000_000:
-                        seen.clear()
             counts[""] += rows  # the number of texts
             yield table(counts)
 
         table = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["term", "n"])
-        return train.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        return train.where(F.col("toxic") == toxic).select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
     bad = checkpoint(counted())
     texts = bad.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -196,7 +196,7 @@ def learn(train: DataFrame, share: float = 0.002, least: int = 3, exceptions: tu
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (x, y, label, cells.values())], names=["x", "y", "label", "n"])
 
     cells = train.mapInArrow(measure, "x long, y long, label long, n long").groupBy("x", "y", "label").agg(F.sum("n").alias("n")).collect()
-    model.coefficients = _fit(np.array([(r["x"] / 10, r["y"] / 10, r["label"], r["n"]) for r in cells], float).reshape(-1, 4))
+    model.coefficients = _fit(np.array([(r["x"] / 10, r["y"] / 10, r["label"], r["n"]) for r in sorted(cells)], float).reshape(-1, 4))
     return model
 
 
@@ -222,6 +222,11 @@ def _fit(rows: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
 
 def apply(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a score column behind all others."""
+    return _scored(docs, model, text_col).toDF(*docs.columns, score_col)
+
+
+def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ... and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -232,7 +237,7 @@ def apply(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([score(t or "") for t in batch.column(at).to_pylist()], pa.float64())], names=[*names, "score"])
 
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    return docs.toDF(*names).mapInArrow(run, f"{schema}, score double").toDF(*docs.columns, score_col)
+    return docs.toDF(*names).mapInArrow(run, f"{schema}, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -249,5 +254,4 @@ def held_out(id_: Column, mod: int = 3, rest: int = 1) -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """``docs`` without those that score ``cut`` or more."""
     model = learn(training_rows(docs, labels, id_col, text_col, label_col))
-    name = "_canopy_score"
-    return apply(docs, model, text_col, name).where(F.col(name) < cut).drop(name)
+    return _scored(docs, model, text_col).where(F.col("score") < cut).drop("score").toDF(*docs.columns)

@@ -8,7 +8,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from canopy.llm import byte_bpe, hmm, jaccard, line_dedup, packing, toxicity
+from pyspark.sql import functions as F
+
+from canopy.llm import byte_bpe, hmm, jaccard, line_dedup, packing, queries, toxicity
+from tests.conftest import SF
 
 SCHEMA = "doc_id long, text string, lang string, score double, node long, key string, n_chars long"
 
@@ -19,7 +22,13 @@ def documents(spark, texts, ids=None):
     return spark.createDataFrame([(i, t, "en", 0.5, 7, "k", len(t or "")) for i, t in zip(ids, texts, strict=True)], SCHEMA).repartition(3)
 
 
-ODD = [None, "", " ", "\n\n", "a", "it's 'tis ''s\n\n  x", "é" * 300, "word " * 5000, "word " * 5000, "日本語 テキスト 123", "x" * 4000]
+def thue_morse(n):
+    """Two different words of n letters whose polynomial hashes modulo 2^64 are equal for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+ODD = [" ".join(thue_morse(1024)), " ".join(thue_morse(4096)), None, "", " ", "\n\n", "a", "it's 'tis ''s\n\n  x", "é" * 300, "word " * 5000, "word " * 5000, "日本語 テキスト 123", "x" * 4000]
 
 
 def words(rnd, n, vocabulary=60):
@@ -52,6 +61,26 @@ def test_byte_bpe_equals_library_and_round_trips(spark):
     assert byte_bpe.digests(docs.where("false"), path).count() == 0
 
 
+def test_regular_words_have_hashes_of_their_own():
+    from canopy.llm._arrays import distinct_slices, shingle_sets
+
+    for n in (1024, 4096):
+        one, two = thue_morse(n)
+        a, b = shingle_sets([one, two])
+        assert a[0] != b[0] and len(np.unique(hmm.token_arrays([f"{one} {two}"])[0])) == 3
+
+
+def test_slices_of_equal_hash_are_told_apart(monkeypatch):
+    from canopy.llm import _arrays
+
+    monkeypatch.setattr(_arrays, "slice_hashes", lambda codes, starts, ends: np.zeros(len(starts), np.uint64))
+    codes = np.frombuffer(b"aabbaabcaab", np.uint8)
+    starts, ends = np.array([0, 2, 4, 6, 8]), np.array([2, 4, 6, 8, 11])
+    at, inverse = _arrays.distinct_slices(codes, starts, ends)
+    part = lambda i: codes[starts[i] : ends[i]].tobytes()
+    assert [part(at[k]) for k in inverse] == [part(i) for i in range(5)] and len(at) == 4
+
+
 # -------------------------------------------------------------------------------------- packing
 def test_minimum_slack_is_optimal():
     rnd = random.Random(5)
@@ -129,6 +158,50 @@ def test_toxicity_learns_terms_and_exceptions(spark):
     assert toxicity.score_documents(docs.where("false"), label_table).count() == 0
 
 
+def naive_score(model, text):
+    """Every term and phrase searched on its own."""
+    folded = toxicity.fold(text or "")
+
+    def places(term):
+        return [i for i in range(len(folded)) if folded.startswith(term, i)]
+
+    spans = [(i, i + len(toxicity.fold(e))) for e in model.exceptions for i in places(toxicity.fold(e))]
+    found = defaultdict(float)
+    for term, weight in model.weights.items():
+        for i in places(term):
+            if not any(a <= i < b for a, b in spans):
+                found[i] = max(found[i], weight)
+    total, n = sum(found.values()), len(folded.split())
+    a, b, c = model.coefficients
+    return 1 / (1 + np.exp(-(a + b * np.log1p(total) + c * np.log1p(1000 * total / max(1, n)))))
+
+
+def test_toxicity_query_equals_brute_force_however_rows_are_dealt(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    twice = docs.union(docs.where("doc_id % 3 = 0"))
+    learn = lambda n: toxicity.learn(toxicity.training_rows(twice.repartition(n), labels, "doc_id", "text", "toxic"))
+    model = learn(1)
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    rows = docs.collect()
+    seen = {(r["text"] or "", toxic[r["doc_id"]]) for r in rows if r["doc_id"] in toxic}
+    counts = [Counter(t for text, y in seen if y == k for t in toxicity.terms_of(toxicity.fold(text))) for k in (0, 1)]
+    sizes = [sum(y == k for _, y in seen) for k in (0, 1)]
+    assert model.weights
+    for t, w in model.weights.items():
+        assert w == pytest.approx(np.log((counts[1][t] + 0.5) / (sizes[1] + 1)) - np.log((counts[0][t] + 0.5) / (sizes[0] + 1)))
+    for n in (4, 16):
+        other = learn(n)
+        assert other.weights == model.weights and other.coefficients == pytest.approx(model.coefficients)
+    got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        s = naive_score(model, r["text"])
+        assert got[r["doc_id"]]["score"] == pytest.approx(s) and (abs(s - 0.7) < 1e-9 or got[r["doc_id"]]["predicted"] == int(s >= 0.7))
+    clash = docs.withColumn("_canopy_score", F.lit("x")).withColumn("score", F.lit(2))
+    kept = toxicity.drop_toxic(clash, labels)
+    assert kept.columns == clash.columns and kept.count() == sum(r["score"] < 0.7 for r in got.values())
+
+
 # ------------------------------------------------------------------------------------ line dedup
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
