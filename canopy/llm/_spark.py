@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task may settle (at most 8 MB of longs).
+FEW_EDGES = 500_000
 #: Rows of two longs up to which a side may be sent to every executor (about 32 MB).
 BROADCAST_ROWS = 1_000_000
 
@@ -48,18 +50,31 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def join_hot(rows: DataFrame, answers: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``answers``, which holds a key once; ``sizes(key, n)``: rows of each key.
+
+    Keys of more than a thousandth of the rows, at most 1,000 of them whatever the data's size, are answered by a
+    broadcast, so that no key's rows meet in one task. Rows with a null key are not joined.
+    """
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(checkpoint(sizes.where(F.col("n") > total // 1000).select(key)))
+    few, rest = F.broadcast(answers.join(hot, key, "left_semi")), answers.join(hot, key, "left_anti")
+    known = rows.where(F.col(key).isNotNull())
+    out = known.join(hot, key, "left_semi").join(few, key, "left").unionByName(known.join(hot, key, "left_anti").join(rest, key, "left"))
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of an undirected edge table of longs: ``(v, c)``, one row per vertex.
 
     Each round every vertex hooks to its neighbour of smallest random rank and the edge list is
-    contracted, so vertices shrink by a constant factor and no long path is walked step by step.
-    ``c`` is one vertex of the component, the same for all its members.
+    contracted, so vertices shrink by a constant factor and no long path is walked step by step. When at most
+    ``few`` edges are left, one task settles them. ``c`` is one vertex of the component, the same for all its members.
     """
-    spark = edges.sparkSession
     level = written(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[DataFrame] = []
     for _ in range(max_rounds):
-        if level.isEmpty():
+        if level.count() <= few:
             break
         both = level.union(level.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))), F.col(c))  # noqa: B023, E731
@@ -69,13 +84,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         level = written(level.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    if not maps:
-        return spark.createDataFrame([], "v long, c long")
-    out = maps[-1]
-    for hook in reversed(maps[:-1]):
+    out = written(level.repartition(1).mapInArrow(_settle, "v long, c long"))
+    for hook in reversed(maps):
         up = out.select(F.col("v").alias("c"), F.col("c").alias("top"))
         out = hook.join(up, "c", "left").select("v", F.coalesce("top", "c").alias("c"))
-    return written(out)
+    return written(out) if maps else out
+
+
+def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_roots(len(ids), at[: len(a)], at[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["v", "c"])
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -112,9 +134,11 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest reachable position for each of ``n`` positions under the links (i, j)."""
     label = np.arange(n)
     while True:
-        before = label.copy()
-        np.minimum.at(label, i, label[j])
-        np.minimum.at(label, j, label[i])
-        label = label[label]
-        if np.array_equal(before, label):
+        a, b = label[i], label[j]
+        live = a != b
+        if not live.any():
             return label
+        i, j = i[live], j[live]
+        np.minimum.at(label, np.maximum(a, b)[live], np.minimum(a, b)[live])
+        while not np.array_equal(label, up := label[label]):
+            label = up

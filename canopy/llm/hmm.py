@@ -1,16 +1,19 @@
 """Hidden Markov language model (operator 10).
 
-A text is its words and one end token. Words are emitted in two steps: a latent state emits one of
-``BUCKETS`` word buckets (a hash of the word; the end token has its own), and the bucket emits the word
-by its smoothed share of the bucket's training tokens:
+A text is its words and one end token. A latent state emits a symbol: each frequent word and the end token have
+a symbol of their own (``COMMON`` words at most, those that occur ``OFTEN`` times or more), all others share
+``BUCKETS`` symbols by a hash of the word. Such a bucket emits the word by its smoothed share of the
+bucket's training tokens:
 
     P(w | bucket) = (c_w + 1) / (N_bucket + V_bucket + 1)
 
-Counts c cover all training words. They stay distributed: documents post their words, the postings meet
-the counts in a join on the word, and only sums come back to the documents. Start, transition and bucket
-probabilities (a few hundred thousand numbers, whatever the corpus's size) are trained by Baum-Welch:
-in each round every partition adds up expected counts over its whole training texts, and Spark sums these
-by rows of the matrices. Scores are exact: the forward recursion is scaled at every step.
+Counts c cover all training words. They stay distributed: documents post their words without a symbol of their
+own, the postings meet the counts in a join on the word, and only sums come back to the documents. Frequent words
+are counted where the text is, so no word's postings are more than a small share of all. Start, transition and
+symbol probabilities (a few hundred thousand numbers, whatever the corpus's size) are trained by
+Baum-Welch: in each round every partition adds up expected counts over its whole training texts, and Spark
+sums slices of these in two steps. Rounds end when the log likelihood grows by less than ``GAIN`` of itself.
+Scores are exact: the forward recursion is scaled at every step.
 
 To run many texts side by side, they are cut into segments of ``SEGMENT`` tokens. The product of step
 matrices over a segment is found for all segments at once; chaining these gives the exact forward and
@@ -19,7 +22,7 @@ backward vectors at all borders, from which the inner steps follow, again for al
 Defined results: a null or empty text is the end token alone; a null id is never held out but never learned
 from either; repeated rows count as often as they occur and get equal scores; a table without training
 rows scores by uniform starts (all counts 0); other columns are not read. Words are told apart by 64-bit
-hashes.
+hashes, rows (id and text) by two.
 """
 
 from __future__ import annotations
@@ -29,15 +32,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm._arrays import chunks, offsets_of, ragged, word_arrays
-from canopy.llm._spark import checkpoint, runs
+from canopy.llm._spark import checkpoint
 
 STATES, BUCKETS, ROUNDS, SEGMENT = 4, 8192, 4, 64
-#: Hash and bucket of the end token (a word's hash is spread over all 64-bit values).
+COMMON, OFTEN, GAIN = 32768, 20, 1e-3
+#: Hash of the end token (a word's hash is spread over all 64-bit values).
 END = 1
+#: Numbers in a slice of the expected counts, and the groups that add these up first.
+_SLICE, _SALTS = 4096, 64
 
 
 def held_out(id_: Column, mod: int = 7, rest: int = 2) -> Column:
@@ -57,7 +64,41 @@ def token_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
-    return np.where(hashes == END, 0, 1 + (hashes.astype(np.uint64) >> np.uint64(20)) % np.uint64(BUCKETS - 1)).astype(np.int64)
+    return ((hashes.astype(np.uint64) >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+class Words:
+    """Words with a symbol of their own, the end token first, and their counts; by open addressing."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.counts = counts
+        bits = max(4, int(8 * len(words)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.place = np.zeros(1 << bits, np.int64), np.full(1 << bits, -1, np.int32)
+        todo, slot = np.arange(len(words)), self._slot(words)
+        while len(todo):
+            first = np.zeros(len(todo), bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            put = first & (self.place[slot] < 0)
+            self.keys[slot[put]], self.place[slot[put]] = words[todo[put]], todo[put]
+            todo, slot = todo[~put], (slot[~put] + 1) & self.mask
+
+    def _slot(self, words: np.ndarray) -> np.ndarray:
+        return (words.astype(np.uint64) >> self.shift).astype(np.int64)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Position of each word, -1 for others."""
+        slot = self._slot(words)
+        todo = np.flatnonzero((self.keys[slot] != words) & (self.place[slot] >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            todo = todo[(self.keys[slot[todo]] != words[todo]) & (self.place[slot[todo]] >= 0)]
+        return self.place[slot]
+
+    def symbols(self, words: np.ndarray) -> np.ndarray:
+        """The own symbol of each word, or that of its bucket behind all of these."""
+        place = self.find(words)
+        return np.where(place >= 0, place, len(self.counts) + bucket_of(words))
 
 
 @dataclass
@@ -200,12 +241,14 @@ class Hmm:
         return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table, marks in runs(batches, ["part"]):
-        parts, rows = table["part"].to_pylist(), table["v"].to_pylist()
-        for lo, hi in zip(marks[:-1], marks[1:], strict=True):
-            total = sum(np.frombuffer(r) for r in rows[lo:hi])
-            yield pa.RecordBatch.from_arrays([pa.array([parts[lo]], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each slice in this partition; there are as many slices as the model has."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[part] = np.frombuffer(v) + total.get(part, 0.0)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["part", "v"])
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -238,30 +281,36 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train_hmm(train: DataFrame, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = 11) -> Hmm:
-    """Baum-Welch over all texts of ``train(text)``; ``shares``: the corpus's bucket shares."""
+def train_hmm(train: DataFrame, words: Words, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = 11) -> Hmm:
+    """Baum-Welch over all texts of ``train(text)``; ``shares``: the corpus's symbol shares."""
     sc = train.sparkSession.sparkContext
-    model = Hmm.fresh(shares, states, seed)
+    model, own, last = Hmm.fresh(shares, states, seed), sc.broadcast(words), None
     for _ in range(rounds):
         shared = sc.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = shared.value
-            start, move, emit = np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)
+            start, move, emit, likelihood = np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit), 0.0
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 for lo, hi in chunks(texts, 1 << 21):
                     tokens, offsets = token_arrays(texts[lo:hi])
-                    a, b, c, _ = m.expected(bucket_of(tokens), offsets)
-                    start, move, emit = start + a, move + b, emit + c
-            rows = [start.tobytes(), move.tobytes(), *(e.tobytes() for e in emit)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.binary())], names=["part", "v"])
-
-        summed = train.select("text").mapInArrow(expect, "part long, v binary").repartition("part").sortWithinPartitions("part").mapInArrow(_sum_rows, "part long, v binary")
-        parts = {r["part"]: np.frombuffer(r["v"]) for r in summed.collect()}  # states + 2 rows
+                    a, b, c, d = m.expected(own.value.symbols(tokens), offsets)
+                    start, move, emit, likelihood = start + a, move + b, emit + c, likelihood + d
+            all_ = np.concatenate([start, move.ravel(), [likelihood], emit.ravel()])
+            rows = [all_[k : k + _SLICE].tobytes() for k in range(0, len(all_), _SLICE)]
+            salt = np.full(len(rows), TaskContext.get().partitionId() % _SALTS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.binary()), pa.array(salt, pa.int32())], names=["part", "v", "salt"])
+
+        some = train.select("text").mapInArrow(expect, "part long, v binary, salt int").repartition("part", "salt").mapInArrow(_added, "part long, v binary")
+        parts = {r["part"]: np.frombuffer(r["v"]) for r in some.repartition("part").mapInArrow(_added, "part long, v binary").collect()}  # the model's slices
         if not parts:
             break
-        model = model.updated(parts[0], parts[1].reshape(states, states), np.array([parts[2 + s] for s in range(states)]), shares)
+        start, move, likelihood, emit = np.split(np.concatenate([parts[k] for k in sorted(parts)]), np.cumsum([states, states * states, 1]))
+        model = model.updated(start, move.reshape(states, states), emit.reshape(states, -1), shares)
+        if last is not None and likelihood[0] - last < GAIN * abs(last):
+            break
+        last = likelihood[0]
     return model
 
 
@@ -271,60 +320,78 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, id_col: s
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     learned = source.where(F.col("id").isNotNull() & ~held_out(F.col("id"))).select("text")
     counts = checkpoint(word_counts(learned))
-    # the bucket of a word as in bucket_of: bits 20 to 63 of the hash, without sign
-    bucket = F.when(F.col("word") == END, 0).otherwise(F.shiftrightunsigned("word", 20) % (BUCKETS - 1) + 1).cast("int")
+    bucket = (F.shiftrightunsigned("word", 20) % BUCKETS).cast("int")  # as in bucket_of
     per_bucket = counts.groupBy(bucket.alias("bucket")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # BUCKETS rows at most
     size, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in per_bucket:
         size[r["bucket"]], kinds[r["bucket"]] = r["n"], r["v"]
     total, distinct = int(size.sum()), int(kinds.sum())
-    shares = (size + 1) / (total + BUCKETS)
-    model = sc.broadcast(train_hmm(learned, shares, states, rounds))
-    log_bucket = sc.broadcast(np.log10(size + kinds + 1))
+    top = counts.where((F.col("c") >= OFTEN) & (F.col("word") != END)).orderBy(F.col("c").desc(), "word").limit(COMMON).collect()
+    ends = counts.where(F.col("word") == END).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+    own_words, own_counts = np.array([END, *(r["word"] for r in top)], np.int64), np.array([ends, *(r["c"] for r in top)], float)
+    np.subtract.at(size, bucket_of(own_words), own_counts)
+    np.subtract.at(kinds, bucket_of(own_words), own_counts > 0)
+    known = Words(own_words, own_counts)
+    shares = (np.append(own_counts, size) + 1) / (total + BUCKETS + len(own_words))
+    model = sc.broadcast(train_hmm(learned, known, shares, states, rounds))
+    words = sc.broadcast(known)
+    # what a token adds to the base score's sum, and what its symbol takes from the latent score
+    log_own = sc.broadcast(np.append(np.log10(own_counts + 1), np.zeros(BUCKETS)))
+    log_bucket = sc.broadcast(np.append(np.zeros(len(own_words)), np.log10(size + kinds + 1)))
 
     # each row's key: id and text, so that repeated ids with other texts stay apart
-    key = F.xxhash64(F.col("id").cast("string"), "text")
+    keys = [F.xxhash64(F.col("id").cast("string"), "text", F.lit(seed)).alias(n) for seed, n in enumerate(("key", "more"))]
 
     def latent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             for lo, hi in chunks(texts, 1 << 21):
                 tokens, offsets = token_arrays(texts[lo:hi])
-                buckets = bucket_of(tokens)
-                sums = np.append(0.0, np.cumsum(log_bucket.value[buckets]))
-                inside = sums[offsets[1:]] - sums[offsets[:-1]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(np.diff(offsets)), pa.array(model.value.log10(buckets, offsets) - inside)], names=["id", "key", "n_tokens", "latent"])
+                symbols = words.value.symbols(tokens)
+
+                def sums(values: np.ndarray, offsets: np.ndarray = offsets) -> np.ndarray:
+                    running = np.append(0.0, np.cumsum(values))
+                    return running[offsets[1:]] - running[offsets[:-1]]
+
+                seen = np.append(words.value.counts > 0, np.zeros(BUCKETS, bool))[symbols]
+                hidden = model.value.log10(symbols, offsets) - sums(log_bucket.value[symbols])
+                columns = [np.diff(offsets), hidden, sums(log_own.value[symbols]), sums(seen)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi] for k in range(3)), *map(pa.array, columns)], names=["id", "key", "more", "n_tokens", "latent", "own", "seen"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per distinct word of a chunk: the documents that hold it, and how often."""
+        """Per distinct word of a chunk without a symbol of its own: the documents that hold it, and how often."""
         for batch in batches:
-            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            keys, more, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for lo, hi in chunks(texts, 1 << 22):
                 tokens, offsets = token_arrays(texts[lo:hi])
-                owner = np.repeat(np.arange(hi - lo), np.diff(offsets))
+                rare = words.value.find(tokens) < 0
+                tokens, owner = tokens[rare], np.repeat(np.arange(hi - lo), np.diff(offsets))[rare]
+                if not len(tokens):
+                    continue
                 order = np.lexsort((owner, tokens))
                 tokens, owner = tokens[order], owner[order]
                 new = np.ones(len(tokens), bool)
                 new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
                 at = np.flatnonzero(new)
                 times = np.diff(np.append(at, len(tokens))).astype(np.int32)
-                words = tokens[at]
-                first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-                cuts = pa.array(np.append(first, len(words)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(words[first]), pa.ListArray.from_arrays(cuts, pa.array(keys[lo:hi][owner[at]])), pa.ListArray.from_arrays(cuts, pa.array(times))], names=["word", "keys", "times"])
+                word = tokens[at]
+                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                cuts = pa.array(np.append(first, len(word)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (keys[lo:hi][owner[at]], more[lo:hi][owner[at]], times)]
+                yield pa.RecordBatch.from_arrays([pa.array(word[first]), *lists], names=["word", "keys", "more", "times"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = source.withColumn("key", key)
-    own = keyed.select("id", "key", "text").mapInArrow(latent, f"id {kind}, key long, n_tokens long, latent double")
-    posted = keyed.select("key", "text").mapInArrow(post, "word long, keys array<long>, times array<int>")
-    met = posted.join(counts, "word", "left").select(F.explode(F.arrays_zip("keys", "times")).alias("p"), F.coalesce("c", F.lit(0)).alias("c"))
-    sums = met.groupBy(F.col("p.keys").alias("key")).agg(F.sum(F.col("p.times") * F.log10(F.col("c") + 1)).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("p.times")).otherwise(0)).alias("k"))
+    keyed = source.select("id", *keys, "text")
+    own = keyed.mapInArrow(latent, f"id {kind}, key long, more long, n_tokens long, latent double, own double, seen double")
+    posted = keyed.select("key", "more", "text").mapInArrow(post, "word long, keys array<long>, more array<long>, times array<int>")
+    met = posted.join(counts, "word", "left").select(F.explode(F.arrays_zip("keys", "more", "times")).alias("p"), F.coalesce("c", F.lit(0)).alias("c"))
+    sums = met.groupBy(F.col("p.keys").alias("key"), F.col("p.more").alias("more")).agg(F.sum(F.col("p.times") * F.log10(F.col("c") + 1)).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("p.times")).otherwise(0)).alias("k"))
     # equal rows post together; each gets its share
-    rows = own.groupBy("key").agg(F.first("id").alias("id"), F.first("n_tokens").alias("n_tokens"), F.first("latent").alias("latent"), F.count("*").alias("copies"))
-    out = rows.join(sums, "key").withColumn("s", F.col("s") / F.col("copies")).withColumn("k", F.col("k") / F.col("copies"))
+    rows = own.groupBy("key", "more").agg(*[F.first(n).alias(n) for n in ("id", "n_tokens", "latent", "own", "seen")], F.count("*").alias("copies"))
+    out = rows.join(sums, ["key", "more"], "left").withColumn("s", F.coalesce(F.col("s") / F.col("copies"), F.lit(0.0))).withColumn("k", F.coalesce(F.col("k") / F.col("copies"), F.lit(0.0)))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    base = F.col("s") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
+    base = F.col("own") + F.col("s") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
     return out.select(
-        F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens", F.round("k").cast("long").alias("n_known"),
+        F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "n_tokens", F.round(F.col("seen") + F.col("k")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("s") + F.col("latent")).alias("score"),
     )

@@ -5,8 +5,9 @@ Documents with equal shingle sets are one node. Nodes are joined at Jaccard simi
 1. Shingles get one global order: rare before frequent, by counts over all documents in a fixed-size
    array of hashed counters (any fixed order is correct; a good one keeps frequent shingles out of
    prefixes), then by hash.
-2. Each node posts the prefix of its ordered set that a similar set must meet. A list (the nodes posting one
-   shingle) is sorted by set size, and blocks of it are skipped by size and by position.
+2. Each node posts the prefix of its ordered set that a similar set must meet, with the shingle's position. A
+   list (the nodes posting one shingle) is sorted by set size and position; pairs of its blocks are skipped
+   whole where their sizes, or the elements before and behind the position, leave too small an overlap.
 3. Short lists give candidate pairs, and the number of lists a pair shares bounds its overlap from above.
    Long lists are first compared with one leader each. Those answers are reused for the rest of a
    list: members linked to each other already need no comparison, and a pair whose distances to the
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm._arrays import U64, chunks, mix, shingle_sets
-from canopy.llm._spark import checkpoint, components, local_roots, runs, small_enough
+from canopy.llm._spark import checkpoint, components, join_hot, local_roots, runs, small_enough, written
 
 #: Counters of the frequency order: 2^24; a byte each, 16 MB, goes to every executor.
 COUNTER_BITS = 24
@@ -73,9 +74,12 @@ def needed_overlap(a, b, num: int):
 
 def near_sets(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per document: component by links, smallest id."""
-    joined = linked_rows(docs, num, width, id_col, text_col)
-    low = joined.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("component"))
-    return joined.join(low, "c", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    member, nodes = linked_nodes(docs, num, width, id_col, text_col)
+    low = nodes.groupBy("c").agg(F.min("low").alias("component"), F.count("*").alias("n"))
+    named = join_hot(nodes.select("node", "c"), low.select("c", "component"), "c", low.select("c", "n")).select("node", "component")
+    rows = join_hot(member.where("n > 0"), named, "node", nodes.select("node", F.col("rows").alias("n")))
+    rows = rows.unionByName(member.where("n = 0"), allowMissingColumns=True)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -84,7 +88,14 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def linked_rows(docs: DataFrame, num: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, key, n, c)``, one row per document: c is the same for linked ones, null for an empty set."""
+    """``(id, key, c)`` of the documents with words: c is the same for linked ones."""
+    member, nodes = linked_nodes(docs, num, width, id_col, text_col)
+    return join_hot(member.where("n > 0").select("id", "key", "node"), nodes.select("node", "c"), "node", nodes.select("node", F.col("rows").alias("n")))
+
+
+def linked_nodes(docs: DataFrame, num: int, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(id, key, node, n)``, one row per document, and ``(node, rows, low, key, c)`` of the sets that are not empty:
+    the documents that have it, their smallest id and one's key, and the same c for linked ones."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(id_col, text_col).alias("key"))
@@ -148,11 +159,9 @@ def linked_rows(docs: DataFrame, num: int, width: int, id_col: str, text_col: st
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, metas)], names=["token", "node", "meta"])
 
-    allowed = (100 - num) / 100
-
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: a pair of a short list with both sizes (n: a's, m: b's); 1: a member of a long list (a: the
-        token, b: the node, n: its size); 2: leader and member."""
+        token, b: the node, n: its size and position); 2: leader and member."""
         for table, marks in runs(batches, ["token"]):
             token, node, meta = (table[c].to_numpy() for c in ("token", "node", "meta"))
             sizes = np.diff(marks)
@@ -164,7 +173,7 @@ def linked_rows(docs: DataFrame, num: int, width: int, id_col: str, text_col: st
                 if len(at) > SHORT_LIST:
                     z, leader = np.full(len(at), 1, np.int32), np.full(len(at), node[at].min())
                     none = np.zeros(len(at), np.int64)
-                    out.append((z, np.full(len(at), token[lo]), node[at], meta[at] >> 32, none))
+                    out.append((z, np.full(len(at), token[lo]), node[at], meta[at], none))
                     out.append((z + 1, leader, node[at], none, none))
                 else:
                     at = at[np.argsort(meta[at], kind="stable")]
@@ -182,7 +191,7 @@ def linked_rows(docs: DataFrame, num: int, width: int, id_col: str, text_col: st
     posted = source.select("text").mapInArrow(prefixes, "token long, node long, meta long")
     found = checkpoint(posted.repartition("token").sortWithinPartitions("token", "meta", "node").mapInArrow(lists, "kind int, a long, b long, n long, m long").where("a <> b OR kind = 1"))
     shared = found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("na"), F.first("m").alias("nb"))
-    long_ = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "n")
+    long_ = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.shiftright("n", 32).alias("n"), F.col("n").bitwiseAND(0xFFFFFFFF).alias("pos"))
     has_long = not long_.isEmpty()
 
     def bounded(pairs: DataFrame, more: Column) -> DataFrame:
@@ -200,8 +209,10 @@ def linked_rows(docs: DataFrame, num: int, width: int, id_col: str, text_col: st
             counted = counted.join(extra.select(F.col("node").alias(side), F.col("e").alias(f"e{side}")), side, "left")
         more = F.least(F.coalesce("ea", F.lit(0)), F.coalesce("eb", F.lit(0)))
     first = checkpoint(bounded(counted, more).union(star).distinct())
+    # one row a set: its documents are counted before anything joins them
+    per_node = checkpoint(member.where("n > 0").groupBy("node").agg(F.count("*").alias("rows"), F.min("id").alias("low"), F.min("key").alias("key")))
     repeats = _repeats(member)
-    judged = verify(first, member, source, num, width, repeats)
+    judged = verify(first, per_node, source, num, width, repeats)
     links = judged.where("linked").select("a", "b")
     group = components(links).withColumnRenamed("v", "node")
     if has_long:
@@ -210,7 +221,7 @@ def linked_rows(docs: DataFrame, num: int, width: int, id_col: str, text_col: st
         leader = long_.groupBy("token").agg(F.min("node").alias("leader"))
         rest = long_.join(leader, "token").join(group, "node", "left").join(extra, "node")
         rest = rest.join(away.select(F.col("a").alias("leader"), F.col("b").alias("node"), "distance"), ["leader", "node"], "left")
-        rest = rest.select("token", "node", "n", "e", F.coalesce("c", "node").alias("c"), F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("distance", F.lit(-9.0))).alias("d"))
+        rest = rest.select("token", "node", "n", "pos", "e", F.coalesce("c", "node").alias("c"), F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("distance", F.lit(-9.0))).alias("d"))
 
         def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """A spanning set of a long list's pairs that the first round has not settled.
@@ -219,35 +230,60 @@ def linked_rows(docs: DataFrame, num: int, width: int, id_col: str, text_col: st
             Any other pair shares elements in long lists only: at most the smaller of both counts (e).
             """
             for table, marks in runs(batches, ["token"]):
-                node, n, e, c, d = (table[x].to_numpy() for x in ("node", "n", "e", "c", "d"))
-                past = -(-num * n // 100) - 1  # elements behind the prefix
-                ends = np.zeros(len(n), np.int64)
+                node, n, pos, e, c, d = (table[x].to_numpy() for x in ("node", "n", "pos", "e", "c", "d"))
                 left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for lo, hi in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
-                    if (c[lo:hi] == c[lo]).all():
-                        continue
-                    ends[lo:hi] = np.searchsorted(n[lo:hi], n[lo:hi] * 100 // num, side="right") + lo
-                    label = np.arange(lo, hi)
-                    for i in range(lo, hi):
-                        j = slice(i + 1, ends[i])
-                        near = (np.abs(d[j] - d[i]) <= allowed + 1e-9) | (d[j] < 0) | (d[i] < 0)
-                        enough = np.minimum(e[j], e[i]) + np.maximum(past[j], past[i]) >= needed_overlap(n[j], n[i], num)
-                        hit = np.flatnonzero((c[j] != c[i]) & near & enough) + i + 1
-                        if len(hit) and len(old := np.setdiff1d(label[hit - lo], label[i - lo])):
-                            label[np.isin(label, old)] = label[i - lo]
-                    at = np.flatnonzero(label != np.arange(lo, hi))
-                    left.append(node[label[at]])
-                    right.append(node[at + lo])
+                    if not (c[lo:hi] == c[lo]).all():
+                        i, j = open_pairs(n[lo:hi], pos[lo:hi], e[lo:hi], c[lo:hi], d[lo:hi], num)
+                        left.append(node[lo + i])
+                        right.append(node[lo + j])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-        open_ = rest.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(unsettled, "a long, b long")
+        open_ = rest.repartition("token").sortWithinPartitions("token", "n", "pos", "node").mapInArrow(unsettled, "a long, b long")
         wide = components(open_).withColumnRenamed("v", "node").withColumnRenamed("c", "g")
-        more_links = compare_blocks(wide, group, member, source, num, width, repeats)
+        more_links = compare_blocks(wide, group, per_node, source, num, width, repeats)
         if not more_links.isEmpty():
             group = components(links.union(more_links)).withColumnRenamed("v", "node")
-    # the empty set links with nothing, so its documents do not share a component
-    lone = F.when(F.col("n") > 0, F.coalesce("c", "node"))
-    return member.join(group, "node", "left").select("id", "key", "n", lone.alias("c"))
+    return member, written(per_node.join(group, "node", "left").withColumn("c", F.coalesce("c", "node")))
+
+
+def open_pairs(n: np.ndarray, pos: np.ndarray, e: np.ndarray, c: np.ndarray, d: np.ndarray, num: int, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning set (i, j) of the pairs of one list that may link and are in no common component yet.
+
+    The list is sorted by size n and position pos. Two blocks are skipped if none of their pairs can link by
+    size, or by what is before (pos) and behind it (n - pos) at most. e: elements shared in long lists at
+    most, c: component, d: distance to the list's leader (negative: unknown).
+    """
+    past, rest = -(-num * n // 100) - 1, n - pos  # elements behind the prefix; from the position on
+    label, allowed = np.arange(len(n)), (100 - num) / 100 + 1e-9
+    starts = np.arange(0, len(n), block)
+    ends = np.minimum(starts + block, len(n))
+    low, high = n[starts], n[ends - 1]
+    top_pos, top_rest = np.maximum.reduceat(pos, starts), np.maximum.reduceat(rest, starts)
+    out: list[tuple[int, int]] = []
+
+    for a in range(len(starts)):
+        others = np.arange(a, len(starts))
+        most = np.minimum(top_rest[a], top_rest[others]) + np.minimum(top_pos[a], top_pos[others])
+        go = (num * low[others] <= 100 * high[a]) & (most >= needed_overlap(low[a], low[others], num))
+        i = np.arange(starts[a], ends[a])
+        for b in others[go].tolist():
+            j = np.arange(starts[b], ends[b])
+            x, y = i[:, None], j[None, :]
+            need = needed_overlap(n[x], n[y], num)
+            hit = (c[x] != c[y]) & (x < y) & (num * n[y] <= 100 * n[x])
+            hit &= (np.minimum(rest[x], rest[y]) + np.minimum(pos[x], pos[y]) >= need) & (np.minimum(e[x], e[y]) + np.maximum(past[x], past[y]) >= need)
+            hit &= (np.abs(d[x] - d[y]) <= allowed) | (d[x] < 0) | (d[y] < 0)
+            hit &= label[x] != label[y]
+            at, to = np.nonzero(hit)
+            while len(at):
+                p, q = int(i[at[0]]), int(j[to[0]])
+                out.append((p, q))
+                label[label == label[q]] = label[p]
+                keep = label[i[at]] != label[j[to]]
+                at, to = at[keep], to[keep]
+    i, j = np.array(out, np.int64).reshape(-1, 2).T
+    return i, j
 
 
 def may_link(x: np.ndarray, y: np.ndarray, num: int) -> np.ndarray:
@@ -256,9 +292,9 @@ def may_link(x: np.ndarray, y: np.ndarray, num: int) -> np.ndarray:
     return np.minimum(a - i, b - j) + np.minimum(i, j) >= needed_overlap(a, b, num)
 
 
-def texts_of(nodes: DataFrame, member: DataFrame, source: DataFrame, repeats: bool) -> DataFrame:
+def texts_of(nodes: DataFrame, per_node: DataFrame, source: DataFrame, repeats: bool) -> DataFrame:
     """``(node, text)``: the whole text of one document of each node."""
-    keys = checkpoint(member.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key")))
+    keys = checkpoint(per_node.select("node", "key").join(nodes, "node"))
     texts = source.join(small_enough(keys), "key").select("node", "text")
     return texts.groupBy("node").agg(F.max("text").alias("text")) if repeats else texts
 
@@ -280,7 +316,7 @@ def overlaps(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
     return total
 
 
-def compare_blocks(wide: DataFrame, group: DataFrame, member: DataFrame, source: DataFrame, num: int, width: int, repeats: bool, block: int = 192) -> DataFrame:
+def compare_blocks(wide: DataFrame, group: DataFrame, per_node: DataFrame, source: DataFrame, num: int, width: int, repeats: bool, block: int = 192) -> DataFrame:
     """Links ``(a, b)`` inside the groups (node, g), as a spanning set for each pair of blocks.
 
     A group of m nodes is dealt to m / block blocks that meet pairwise, so a task holds two blocks at a time.
@@ -290,7 +326,7 @@ def compare_blocks(wide: DataFrame, group: DataFrame, member: DataFrame, source:
     own = wide.join(sized, "g").join(group, "node", "left").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     own = own.select("g", "node", F.coalesce("c", "node").alias("c"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     own = own.select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "c")
-    spread = own.join(texts_of(wide.select("node"), member, source, repeats), "node").select("g", "lo", "hi", "node", "c", "text")
+    spread = own.join(texts_of(wide.select("node"), per_node, source, repeats), "node").select("g", "lo", "hi", "node", "c", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, marks in runs(batches, ["g", "lo", "hi"]):
@@ -309,10 +345,10 @@ def compare_blocks(wide: DataFrame, group: DataFrame, member: DataFrame, source:
     return checkpoint(spread.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(compare, "a long, b long"))
 
 
-def verify(pairs: DataFrame, member: DataFrame, source: DataFrame, num: int, width: int, repeats: bool) -> DataFrame:
+def verify(pairs: DataFrame, per_node: DataFrame, source: DataFrame, num: int, width: int, repeats: bool) -> DataFrame:
     """``(a, b, distance, linked)`` of node pairs, from the whole texts of one document of each node."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = texts_of(wanted, member, source, repeats)
+    texts = texts_of(wanted, per_node, source, repeats)
     chunked = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
     asks = pairs.join(chunked, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     other = asks.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "text")
@@ -350,7 +386,7 @@ def drop_copies(docs: DataFrame, num: int = 75, width: int = 5, id_col: str = "d
 
     It is the one of smallest id (nulls last); of several texts of that id any one, and of repeated rows one.
     """
-    rows = checkpoint(linked_rows(docs, num, width, id_col, text_col).where("c IS NOT NULL"))
+    rows = checkpoint(linked_rows(docs, num, width, id_col, text_col))
     best = rows.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("best")).select("best.key")
     counts = rows.groupBy("key").agg(F.count("*").alias("times"))
     gone = counts.join(best, "key", "left_anti").select("key")

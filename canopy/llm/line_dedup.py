@@ -107,6 +107,32 @@ def within(a: str, b: str, threshold: int) -> bool:
     return bool(reach[threshold] >> at & 1)
 
 
+def spanning_links(lines: list[str], side: list[int], threshold: int) -> list[tuple[int, int]]:
+    """A spanning set (i, j) of the lines within the threshold; where there are two sides, only across these."""
+    order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
+    length, root, out = [len(x) for x in lines], list(range(len(lines))), []
+    both = len(set(side)) > 1
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, i in enumerate(order):
+        for m in range(k - 1, -1, -1):
+            j = order[m]
+            if length[i] - length[j] > threshold:
+                break
+            if both and side[i] == side[j]:
+                continue
+            a, b = find(i), find(j)
+            if a != b and within(lines[i], lines[j], threshold):
+                root[a] = b
+                out.append((i, j))
+    return out
+
+
 def _trim(c: Column) -> Column:
     return F.trim(c, F.lit(_BLANKS))
 
@@ -175,24 +201,20 @@ def near_lines(docs: DataFrame, threshold: int, near_chars: int, text_col: str,
     parts = F.ceil(F.col("n") / block).cast("int")
     spread = met.select("key", "h", parts.alias("parts"), F.pmod(F.xxhash64("h"), parts).cast("int").alias("own"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "h").join(lines, "h")
+    spread = spread.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "h").join(lines, "h")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, marks in runs(batches, ["key", "lo", "hi"]):
-            h, text = found["h"].to_numpy(), found["line"].to_pylist()
+            h, text, own = found["h"].to_numpy(), found["line"].to_pylist(), found["own"].to_pylist()
+            first, second = found["lo"].to_numpy(), found["hi"].to_numpy()
             left, right = [], []
             for lo, hi in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
-                group = list(range(lo, hi))
-                root = {i: i for i in group}
-                for i in group:
-                    for j in group:
-                        if j >= i:
-                            break
-                        if root[i] != root[j] and within(text[i], text[j], threshold):
-                            old, new = root[i], root[j]
-                            root = {k: new if r == old else r for k, r in root.items()}
-                            left.append(h[i])
-                            right.append(h[j])
+                side = own[lo:hi]
+                if first[lo] != second[lo] and len(set(side)) < 2:
+                    continue  # one of the two blocks is empty
+                for i, j in spanning_links(text[lo:hi], side, threshold):
+                    left.append(h[lo + i])
+                    right.append(h[lo + j])
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 

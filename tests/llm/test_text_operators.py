@@ -343,6 +343,30 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, short_list):
         assert jaccard.near_sets(docs.where("false")).count() == 0
 
 
+def test_skipping_blocks_loses_no_pair():
+    rng = np.random.default_rng(3)
+    for block in (1, 4, 64):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40))) for _ in range(40)]
+        sets += [np.unique(np.append(s[: len(s) - rng.integers(0, 3)], rng.integers(0, 60, 1))) for s in sets]
+        rows = []
+        for k, s in enumerate(sets):
+            at = np.flatnonzero(s == 7)  # the list of element 7, sets being ordered by element
+            if len(at) and at[0] < jaccard.prefix_length(len(s), 75):
+                rows.append((len(s), int(at[0]), k))
+        n, pos, who = np.array(sorted(rows)).T
+        none = np.full(len(n), -9.0)
+        i, j = jaccard.open_pairs(n, pos, n, np.arange(len(n)), none, 75, block)
+        root = {k: k for k in range(len(n))}
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            old, new = root[a], root[b]
+            root = {k: new if r == old else r for k, r in root.items()}
+        for a in range(len(n)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[who[a]], sets[who[b]]))
+                if 100 * both >= 75 * (n[a] + n[b] - both):
+                    assert root[a] == root[b]
+
+
 def test_jaccard_tells_texts_of_one_id_apart(spark):
     rnd = random.Random(4)
     text = [words(rnd, 40, 5000) for _ in range(8)]
