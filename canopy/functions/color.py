@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,32 +44,43 @@ def delta76(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.sqrt(sum((x - y) * (x - y) for x, y in zip(a, b, strict=True)))
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of a struct of values that are computed once however often it uses them."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
 def delta2000(one: tuple[Column, ...], two: tuple[Column, ...]) -> Column:
     """CIEDE2000 with unit weights."""
-    (l1, a1, b1), (l2, a2, b2) = one, two
-    mean_c7 = F.pow((F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2, F.lit(7.0))
-    g = (1 - F.sqrt(mean_c7 / (mean_c7 + 25.0**7))) * 0.5 + 1
-    p1, p2 = a1 * g, a2 * g
-    c1, c2 = F.sqrt(p1 * p1 + b1 * b1), F.sqrt(p2 * p2 + b2 * b2)
+    cos = lambda angle: F.cos(F.radians(angle))
     hue = lambda b, a: F.when((a == 0) & (b == 0), 0.0).otherwise((F.degrees(F.atan2(b, a)) + 360) % 360)
-    h1, h2 = hue(b1, p1), hue(b2, p2)
-    grey = c1 * c2 == 0
-    turn = h2 - h1
-    dh = F.when(grey, 0.0).when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
-    dl, dc = l2 - l1, c2 - c1
-    dh_ = F.sqrt(c1 * c2) * 2 * F.sin(F.radians(dh) / 2)
-    ml, mc, total = (l1 + l2) / 2, (c1 + c2) / 2, h1 + h2
-    mh = F.when(grey, total).when(F.abs(turn) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
-    cos = lambda k, off: F.cos(F.radians(mh * k + off))
-    t = 1 - cos(1, -30) * 0.17 + cos(2, 0) * 0.24 + cos(3, 6) * 0.32 - cos(4, -63) * 0.20
-    ml50 = (ml - 50) * (ml - 50)
-    sl = ml50 * 0.015 / F.sqrt(ml50 + 20) + 1
-    sc, sh = mc * 0.045 + 1, mc * 0.015 * t + 1
-    mc7 = F.pow(mc, F.lit(7.0))
-    turn_term = F.exp(-F.pow((mh - 275) / 25, F.lit(2.0))) * 30
-    rt = -F.sqrt(mc7 / (mc7 + 25.0**7)) * 2 * F.sin(F.radians(turn_term * 2))
-    x, y, z = dl / sl, dc / sc, dh_ / sh
-    return F.sqrt(x * x + y * y + z * z + rt * y * z)
+
+    def stretched(s: Column) -> Column:
+        mean_c7 = F.pow((F.sqrt(s["a1"] * s["a1"] + s["b1"] * s["b1"]) + F.sqrt(s["a2"] * s["a2"] + s["b2"] * s["b2"])) / 2, F.lit(7.0))
+        return let(polar, **_fields(s, "l1", "b1", "l2", "b2"), a1=s["a1"], a2=s["a2"], g=(1 - F.sqrt(mean_c7 / (mean_c7 + 25.0**7))) * 0.5 + 1)
+
+    def polar(s: Column) -> Column:
+        p1, p2 = s["a1"] * s["g"], s["a2"] * s["g"]
+        chroma = lambda p, b: F.sqrt(p * p + b * b)
+        return let(means, **_fields(s, "l1", "l2"), c1=chroma(p1, s["b1"]), c2=chroma(p2, s["b2"]), h1=hue(s["b1"], p1), h2=hue(s["b2"], p2))
+
+    def means(s: Column) -> Column:
+        grey, turn, total = s["c1"] * s["c2"] == 0, s["h2"] - s["h1"], s["h1"] + s["h2"]
+        dh = F.when(grey, 0.0).when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
+        mh = F.when(grey, total).when(F.abs(turn) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
+        return let(result, dl=s["l2"] - s["l1"], dc=s["c2"] - s["c1"], dh=F.sqrt(s["c1"] * s["c2"]) * 2 * F.sin(F.radians(dh) / 2), mh=mh, mc=(s["c1"] + s["c2"]) / 2, off=(s["l1"] + s["l2"]) / 2 - 50)
+
+    def result(s: Column) -> Column:
+        t = 1 - cos(s["mh"] - 30) * 0.17 + cos(s["mh"] * 2) * 0.24 + cos(s["mh"] * 3 + 6) * 0.32 - cos(s["mh"] * 4 - 63) * 0.20
+        mc7 = F.pow(s["mc"], F.lit(7.0))
+        rt = -F.sqrt(mc7 / (mc7 + 25.0**7)) * 2 * F.sin(F.radians(F.exp(-F.pow((s["mh"] - 275) / 25, F.lit(2.0))) * 60))
+        x = s["dl"] / (s["off"] * s["off"] * 0.015 / F.sqrt(s["off"] * s["off"] + 20) + 1)
+        return let(lambda v: F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"] + v["rt"] * v["y"] * v["z"]), x=x, y=s["dc"] / (s["mc"] * 0.045 + 1), z=s["dh"] / (s["mc"] * 0.015 * t + 1), rt=rt)
+
+    return let(stretched, **{f"{n}{i}": v.cast("double") for i, colour in ((1, one), (2, two)) for n, v in zip("lab", colour, strict=True)})
+
+
+def _fields(s: Column, *names: str) -> dict[str, Column]:
+    return {n: s[n] for n in names}
 
 
 def blend_fit(colour: tuple[Column, ...], own: tuple[Column, ...], back: tuple[Column, ...]) -> tuple[Column, Column]:

@@ -1,6 +1,7 @@
 """Spatial joins, one-to-one matching and related joins over boxes.
 
-Boxes of one case are joined through a grid: each box is listed under the cells it covers and meets the
+Boxes of one case meet by an equi-join on the case. Cases with more than ``crowded`` boxes on a side, which are
+counted first, go through a grid instead: each box is listed under the cells it covers and meets the
 other side by an equi-join on (case, cell); a pair is kept only in the cell that holds the upper left corner
 of its intersection, so no pair is seen twice and no distinct is needed. Boxes that cover more than
 ``max_cells`` cells are listed under one row for their whole case instead.
@@ -10,9 +11,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canopy.functions import geometry as G
@@ -47,10 +49,21 @@ def prefixed(df: DataFrame, p: str, keep: tuple[str, ...] = ("case_id",)) -> Dat
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(p + c) for c in df.columns])
 
 
-def spatial_join(left: DataFrame, right: DataFrame, cell: int = 64, max_cells: int = 64, condition: Column | None = None) -> DataFrame:
+def spatial_join(left: DataFrame, right: DataFrame, cell: int = 64, max_cells: int = 64, condition: Column | None = None, crowded: int = 256) -> DataFrame:
     """Pairs (columns ``l_*``, ``r_*``) of one case whose boxes overlap with a positive area."""
     a, b = prefixed(left, "l_"), prefixed(right, "r_")
+    busy = lambda df: df.groupBy("case_id").count().where(F.col("count") > crowded).select("case_id")
+    dense = checkpoint(busy(left).union(busy(right)).distinct())
+    if dense.isEmpty():
+        pairs = a.join(b, "case_id")
+    else:
+        pairs = _grid_join(a.join(dense, "case_id", "left_semi"), b.join(dense, "case_id", "left_semi"), cell, max_cells)
+        pairs = pairs.unionByName(a.join(dense, "case_id", "left_anti").join(b, "case_id"))
+    pairs = pairs.where(G.overlap("l_", "r_") > 0)
+    return pairs if condition is None else pairs.where(condition)
+
 
+def _grid_join(a: DataFrame, b: DataFrame, cell: int, max_cells: int) -> DataFrame:
     def cells(df: DataFrame, p: str) -> DataFrame:
         x, y, x2, y2 = G.edges(p)
         lo_x, hi_x, lo_y, hi_y = (F.floor(v / cell) for v in (x, x2, y, y2))
@@ -63,28 +76,57 @@ def spatial_join(left: DataFrame, right: DataFrame, cell: int = 64, max_cells: i
     home = (F.floor(F.greatest("l_x", "r_x") / cell) == F.col("c.i")) & (F.floor(F.greatest("l_y", "r_y") / cell) == F.col("c.j"))
     fine = fine.where(home).drop("c")
     coarse = ca.where("wide").drop("wide", "at").join(b, "case_id").unionByName(ca.where("NOT wide").drop("wide", "at").join(cb.where("wide").drop("wide", "at"), "case_id"))
-    pairs = fine.unionByName(coarse).where(G.overlap("l_", "r_") > 0)
-    return pairs if condition is None else pairs.where(condition)
+    return fine.unionByName(coarse)
+
+
+#: Pairs of one group that one task goes through; larger groups are split into their connected pairs.
+GROUP_PAIRS = 1_000_000
+
+
+def _settling_group(pairs: DataFrame, group: str, left: list[str], right: list[str], same: bool, limit: int) -> DataFrame:
+    """``pairs`` with ``_group``: rows of different groups do not compete. It is ``group``, and in groups of more than
+    ``limit`` pairs the connected component of the pair (by 64-bit hashes; a collision only joins two groups).
+    ``same``: both sides name the same things."""
+    from canopy.operators.stats import components
 
+    large = checkpoint(pairs.groupBy(group).count().where(F.col("count") > limit).select(group))
+    whole = F.xxhash64(group)
+    if large.isEmpty():
+        return pairs.withColumn("_group", whole)
+    vertex = lambda cols, side: F.xxhash64(F.lit(side), *cols)
+    heavy = pairs.join(large, group, "left_semi").withColumn("_v", vertex(left, 0))
+    parts = components(heavy.select(F.col("_v").alias("a"), vertex(right, 0 if same else 1).alias("b")))
+    heavy = heavy.join(parts.select(F.col("v").alias("_v"), F.col("component").alias("_group")), "_v").drop("_v")
+    return pairs.join(large, group, "left_anti").withColumn("_group", whole).unionByName(heavy)
 
-def match_one_to_one(pairs: DataFrame, left: list[str], right: list[str], score: str, max_rounds: int = 50) -> DataFrame:
-    """Locally dominant greedy matching (J02): pairs that are best for both sides, round by round.
 
-    Gives the optimal pairs wherever no box is contested, and at least half the optimal total else.
+def match_one_to_one(pairs: DataFrame, left: list[str], right: list[str], score: str, group: str = "case_id", limit: int = GROUP_PAIRS) -> DataFrame:
+    """Greedy matching (J02): of all pairs by falling score, ties by the keys, each side is used once.
+
+    The pairs of a group are sorted by Spark and gone through once; a task holds the keys used in one group. Gives
+    the optimal pairs wherever no box is contested, and at least half the optimal total else.
     """
-    order_l = W.partitionBy(*left).orderBy(F.col(score).desc(), *right)
-    order_r = W.partitionBy(*right).orderBy(F.col(score).desc(), *left)
-    open_, taken = pairs, None
-    for _ in range(max_rounds):
-        ranked = checkpoint(open_.withColumn("_l", F.row_number().over(order_l)).withColumn("_r", F.row_number().over(order_r)))
-        won = ranked.where("_l = 1 AND _r = 1").drop("_l", "_r")
-        taken = won if taken is None else taken.unionByName(won)
-        rest = ranked.where("NOT (_l = 1 AND _r = 1)").drop("_l", "_r")
-        open_ = rest.join(won.select(*left), left, "left_anti").join(won.select(*right), right, "left_anti").select(*pairs.columns)
-        open_ = checkpoint(open_)
-        if open_.isEmpty():
-            return taken
-    raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
+    columns, n = pairs.columns, len(left)
+    keyed = _settling_group(checkpoint(pairs), group, left, right, False, limit)
+    keyed = keyed.select("_group", *[F.col(c).alias(f"_k{i}") for i, c in enumerate([*left, *right])], *columns)
+    dealt = keyed.repartition("_group").sortWithinPartitions("_group", F.col(score).desc(), *left, *right)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used_l, used_r = None, set(), set()
+        for batch in batches:
+            keep = []
+            keys = [batch.column(i).to_pylist() for i in range(1 + 2 * n)]
+            for i, (g, *k) in enumerate(zip(*keys, strict=True)):
+                if g != now:
+                    now, used_l, used_r = g, set(), set()
+                a, b = tuple(k[:n]), tuple(k[n:])
+                if a not in used_l and b not in used_r:
+                    used_l.add(a)
+                    used_r.add(b)
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays(batch.take(pa.array(keep, pa.int64())).columns[1 + 2 * n :], names=columns)
+
+    return dealt.mapInArrow(pick, pairs.schema)
 
 
 def match_nodes(pred: DataFrame, truth: DataFrame, iou_num: int = 1, iou_den: int = 2) -> DataFrame:
@@ -107,19 +149,42 @@ def covering_node(boxes: DataFrame, nodes: DataFrame, share: float, key: str = "
     return pairs.groupBy("case_id", f"l_{key}").agg(F.min_by(f"r_{key}", F.struct(G.area("r_"), F.col(f"r_{key}"))).alias("cover"))
 
 
-def suppress(findings: DataFrame, key: list[str], rank: list[Column], iou: float, max_rounds: int = 50) -> DataFrame:
-    """Non-maximum suppression (J23): findings without a kept overlapping finding that ranks before them."""
-    f = checkpoint(findings.withColumn("_rank", F.row_number().over(W.partitionBy("case_id").orderBy(*rank, *key))))
-    pairs = checkpoint(spatial_join(f, f, condition=(F.col("l__rank") < F.col("r__rank")) & (G.iou("l_", "r_") >= iou)).select("case_id", F.col("l__rank").alias("strong"), F.col("r__rank").alias("weak")))
-    open_, kept = f.select("case_id", "_rank"), None
-    for _ in range(max_rounds):
-        blocked = pairs.select("case_id", F.col("weak").alias("_rank")).distinct()
-        safe = checkpoint(open_.join(blocked, ["case_id", "_rank"], "left_anti"))
-        kept = safe if kept is None else kept.union(safe)
-        gone = pairs.join(safe.withColumnRenamed("_rank", "strong"), ["case_id", "strong"], "left_semi").select("case_id", F.col("weak").alias("_rank")).distinct()
-        open_ = checkpoint(open_.join(safe, ["case_id", "_rank"], "left_anti").join(gone, ["case_id", "_rank"], "left_anti"))
-        if open_.isEmpty():
-            return f.join(kept, ["case_id", "_rank"], "left_semi").drop("_rank")
-        alive = open_.withColumnRenamed("_rank", "strong")
-        pairs = checkpoint(pairs.join(alive, ["case_id", "strong"], "left_semi").join(open_.withColumnRenamed("_rank", "weak"), ["case_id", "weak"], "left_semi"))
-    raise RuntimeError(f"suppression did not settle in {max_rounds} rounds")
+def suppress(findings: DataFrame, key: list[str], rank: list[str], iou: float, limit: int = GROUP_PAIRS) -> DataFrame:
+    """Non-maximum suppression (J23): findings without a kept overlapping finding that ranks before them.
+
+    ``rank``: numeric columns, larger ones first; ties go to the smaller key.
+    """
+    order = [f"_o{i}" for i in range(len(rank))]
+    f = checkpoint(findings.withColumns({o: -F.col(c) for o, c in zip(order, rank, strict=True)}))
+    side = lambda p: F.struct(*[F.col(p + c) for c in (*order, *key)])
+    pairs = spatial_join(f, f, condition=(side("l_") < side("r_")) & (G.iou("l_", "r_") >= iou))
+    return without_beaten(f, pairs, key, order, limit=limit).drop(*order)
+
+
+def without_beaten(items: DataFrame, pairs: DataFrame, key: list[str], order: list[str], group: str = "case_id", limit: int = GROUP_PAIRS) -> DataFrame:
+    """``items`` (group, key) without those that a kept one beats; in ``pairs`` l_* comes before r_* by ``order`` and key.
+
+    Sorted by l, all that could beat l is known when l comes, so one pass over each group settles it.
+    """
+    left, right, n = [f"l_{k}" for k in key], [f"r_{k}" for k in key], len(key) + 1
+    p = checkpoint(pairs.select(group, *[f"l_{c}" for c in order], *left, *right))
+    keyed = _settling_group(p, group, [group, *left], [group, *right], True, limit)
+    dealt = keyed.repartition("_group").sortWithinPartitions("_group", *[f"l_{c}" for c in order], *left)
+
+    def beaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gone = None, set()
+        for batch in batches:
+            out = []
+            for g, case, *k in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if g != now:
+                    now, gone = g, set()
+                a, b = (case, *k[: n - 1]), (case, *k[n - 1 :])
+                if a not in gone and b not in gone:
+                    gone.add(b)
+                    out.append(b)
+            columns = list(zip(*out, strict=True)) or [()] * n
+            yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(i + 1).type) for i, c in enumerate(columns)], names=[group, *key])
+
+    types = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in [group, *key])
+    losers = dealt.select("_group", group, *left, *right).mapInArrow(beaten, types)
+    return items.join(losers, [group, *key], "left_anti")

@@ -59,6 +59,41 @@ VIEWS = {
       SELECT l_orderkey AS case_id, CAST((n - 1) % 8 AS INT) AS y, CAST(l_linenumber % 8 AS INT) AS x,
              (l_partkey * 53) % 256 AS r1, (l_partkey * 97) % 256 AS g1, (l_partkey * 29) % 256 AS b1,
              (l_partkey * 53 + l_suppkey % 3) % 256 AS r2, (l_partkey * 97 + l_suppkey % 2) % 256 AS g2, (l_partkey * 29) % 256 AS b2 FROM lines""",
+    "nodes_gt": """
+      SELECT l_orderkey AS case_id, n AS node, CASE WHEN n > 1 THEN CAST(floor(n / 2) AS INT) END AS parent,
+             (l_partkey * 37) % 360 AS x, (n - 1) * 48 AS y, 16 + (l_suppkey * 13) % 200 AS w, 16 + (l_partkey * 7) % 32 AS h, l_partkey % 5 AS type,
+             (l_partkey * 53) % 256 AS r, (l_partkey * 97) % 256 AS g, (l_partkey * 29) % 256 AS b, (l_suppkey * 41) % 256 AS stroke,
+             (l_partkey * 7) % 24 AS radius, 100 - 25 * (l_suppkey % 3) AS opacity, 2 * (l_suppkey % 4) AS shadow,
+             'Item ' || CAST(l_partkey % 50 AS STRING) || ' ' || l_returnflag AS text, 12 + 2 * (l_partkey % 4) AS size, 400 + 100 * (l_partkey % 3) AS weight,
+             'g' || CAST(l_partkey % 9 AS STRING) AS glyph, CASE WHEN l_partkey % 3 <> 0 THEN 'comp' || CAST(l_partkey % 6 AS STRING) END AS component,
+             'state' || CAST(l_suppkey % 2 AS STRING) AS variant, 't' || CAST(l_partkey % 7 AS STRING) AS token, l_linenumber AS gap FROM lines""",
+    "nodes_pred": """
+      SELECT l_orderkey AS case_id, n AS node, CASE WHEN n > 1 THEN CAST(floor(n / 2) AS INT) END AS parent,
+             (l_partkey * 37) % 360 + CASE WHEN l_partkey % 4 = 0 THEN 3 ELSE 0 END AS x, (n - 1) * 48 + CASE WHEN l_suppkey % 6 = 0 THEN 4 ELSE 0 END AS y,
+             16 + (l_suppkey * 13) % 200 + CASE WHEN l_partkey % 11 = 0 THEN 3 ELSE 0 END AS w, 16 + (l_partkey * 7) % 32 AS h, l_partkey % 5 AS type,
+             ((l_partkey * 53) % 256 + CASE WHEN l_suppkey % 5 = 0 THEN 37 ELSE 0 END) % 256 AS r, (l_partkey * 97) % 256 AS g, (l_partkey * 29) % 256 AS b,
+             ((l_suppkey * 41) % 256 + CASE WHEN l_partkey % 13 = 0 THEN 30 ELSE 0 END) % 256 AS stroke,
+             (l_partkey * 7) % 24 + CASE WHEN l_suppkey % 7 = 0 THEN 3 ELSE 0 END AS radius, 100 - 25 * ((l_suppkey + CASE WHEN l_partkey % 17 = 0 THEN 1 ELSE 0 END) % 3) AS opacity,
+             2 * ((l_suppkey + CASE WHEN l_partkey % 19 = 0 THEN 3 ELSE 0 END) % 4) AS shadow,
+             'Item ' || CAST((l_partkey + CASE WHEN l_suppkey % 8 = 0 THEN 1 ELSE 0 END) % 50 AS STRING) || ' ' || l_returnflag AS text,
+             12 + 2 * (l_partkey % 4) + CASE WHEN l_suppkey % 9 = 0 THEN 2 ELSE 0 END AS size, 400 + 100 * (l_partkey % 3) AS weight,
+             'g' || CAST((l_partkey + CASE WHEN l_suppkey % 10 = 0 THEN 1 ELSE 0 END) % 9 AS STRING) AS glyph,
+             CASE WHEN l_partkey % 3 <> 0 THEN 'comp' || CAST((l_partkey + CASE WHEN l_suppkey % 11 = 0 THEN 1 ELSE 0 END) % 6 AS STRING) END AS component,
+             'state' || CAST((l_suppkey + CASE WHEN l_partkey % 23 = 0 THEN 1 ELSE 0 END) % 2 AS STRING) AS variant,
+             't' || CAST((l_partkey + CASE WHEN l_suppkey % 12 = 0 THEN 1 ELSE 0 END) % 7 AS STRING) AS token, l_linenumber + CASE WHEN l_partkey % 21 = 0 THEN 4 ELSE 0 END AS gap
+      FROM lines WHERE (l_orderkey * 7 + n) % 11 <> 0""",
+    "raster": """
+      SELECT case_id, x, y, CAST(40 * (floor(x / 6) + floor(y / 5)) AS INT) % 256 AS ar, CAST(60 * floor(y / 5) AS INT) % 256 AS ag, CAST(30 * floor(x / 6) AS INT) % 256 AS ab,
+             (CAST(40 * (floor(x / 6) + floor(y / 5)) AS INT) + CASE WHEN k % 7 = 0 THEN 25 ELSE 0 END) % 256 AS br, CAST(60 * floor(y / 5) AS INT) % 256 AS bg,
+             (CAST(30 * floor(x / 6) AS INT) + CASE WHEN k % 11 = 0 THEN 40 ELSE 0 END) % 256 AS bb
+      FROM (SELECT case_id, k, CAST((place - 1) % 24 AS INT) AS x, CAST(floor((place - 1) / 24) AS INT) AS y
+            FROM (SELECT l_suppkey AS case_id, l_partkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS place FROM lineitem) q) p""",
+    "regions": """
+      SELECT p_partkey % (SELECT count(*) FROM supplier) AS case_id, p_partkey AS node, p_partkey % 3 AS type,
+             CASE WHEN p_partkey % 2 = 1 AND p_partkey >= (SELECT count(*) FROM supplier) THEN p_partkey - (SELECT count(*) FROM supplier) END AS parent,
+             CAST(p_partkey % 20 AS INT) AS x, CAST((p_size * 3) % 22 AS INT) AS y, CAST(2 + p_partkey % 5 AS INT) AS w, CAST(2 + p_size % 4 AS INT) AS h, p_name || ' ' || p_type AS text FROM part""",
+    "frames": """
+      SELECT s_suppkey AS case_id, 24 AS tw, 24 AS th, 24 - CAST(s_suppkey % 4 AS INT) AS rw, 25 - CAST(s_suppkey % 3 AS INT) AS rh FROM supplier""",
 }
 
 

@@ -185,7 +185,7 @@ def j22(spark, d):
 
 @query("j23_suppress")
 def j23(spark, d):
-    return spatial.suppress(view(spark, d, "findings"), ["fid"], [F.col("confidence").desc()], 0.5).select("case_id", "fid", "confidence")
+    return spatial.suppress(view(spark, d, "findings"), ["fid"], ["confidence"], 0.5).select("case_id", "fid", "confidence")
 
 
 @query("j24_covering_node", f"WITH pairs AS (SELECT {_PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY case_id, l_node ORDER BY ga, r_node) AS k FROM pairs WHERE i * 2 >= pa AND i > 0) SELECT case_id, l_node, r_node AS cover FROM r WHERE k = 1")
@@ -480,13 +480,6 @@ def n08(spark, d):
 
 
 # ---------------------------------------------------------------------------------- pixels and diffs
-@query("p02_pixel_metrics", "SELECT case_id, count(*) AS n, round(avg(((r1 - r2) * (r1 - r2) + (g1 - g2) * (g1 - g2) + (b1 - b2) * (b1 - b2)) / 3.0), 9) AS mse, max(greatest(abs(r1 - r2), abs(g1 - g2), abs(b1 - b2))) AS worst, round(avg(CASE WHEN r1 <> r2 OR g1 <> g2 OR b1 <> b2 THEN 1.0 ELSE 0.0 END), 9) AS frac_bad FROM pixels GROUP BY case_id")
-def p02(spark, d):
-    p = view(spark, d, "pixels")
-    diff = [F.col(f"{c}1") - F.col(f"{c}2") for c in "rgb"]
-    return p.groupBy("case_id").agg(F.count("*").alias("n"), F.round(F.avg(sum(x * x for x in diff) / 3.0), 9).alias("mse"), F.max(F.greatest(*[F.abs(x) for x in diff])).alias("worst"), F.round(F.avg(F.when((diff[0] != 0) | (diff[1] != 0) | (diff[2] != 0), 1.0).otherwise(0.0)), 9).alias("frac_bad"))
-
-
 @query("p11_dominant_color", "WITH q AS (SELECT case_id, r1 // 32 AS r, g1 // 32 AS g, b1 // 32 AS b, count(*) AS n FROM pixels GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, r, g, b) AS i, sum(n) OVER (PARTITION BY case_id) AS s FROM q) SELECT case_id, r, g, b, round(n::DOUBLE / s, 9) AS share FROM k WHERE i = 1")
 def p11(spark, d):
     q = view(spark, d, "pixels").groupBy("case_id", *[F.floor(F.col(f"{c}1") / 32).alias(c) for c in "rgb"]).agg(F.count("*").alias("n"))
@@ -494,18 +487,6 @@ def p11(spark, d):
     return best.select("case_id", "t.r", "t.g", "t.b", F.round(-F.col("t.m") / F.col("s"), 9).alias("share"))
 
 
-@query("d01_pair_findings", f"""WITH {_MATCHED}, j AS (SELECT m.case_id, m.l_node, m.r_node, p.x - g.x AS dx, p.y - g.y AS dy FROM matched m JOIN boxes_pred p ON m.case_id = p.case_id AND m.l_node = p.node JOIN boxes_gt g ON m.case_id = g.case_id AND m.r_node = g.node)
-  SELECT case_id, l_node, r_node, 'geometry.shift' AS type, round(sqrt(dx * dx + dy * dy), 9) AS magnitude FROM j WHERE abs(dx) > 2 OR abs(dy) > 2""")
-def d01(spark, d):
-    m = spatial.match_nodes(view(spark, d, "boxes_pred"), view(spark, d, "boxes_gt"))
-    dx, dy = F.col("l_x") - F.col("r_x"), F.col("l_y") - F.col("r_y")
-    size = F.greatest(F.abs(F.col("l_w") - F.col("r_w")), F.abs(F.col("l_h") - F.col("r_h")))
-    shift = F.when((F.abs(dx) > 2) | (F.abs(dy) > 2), F.struct(F.lit("geometry.shift").alias("type"), F.sqrt(dx * dx + dy * dy).alias("magnitude")))
-    resize = F.when(size > 2, F.struct(F.lit("geometry.size").alias("type"), size.cast("double").alias("magnitude")))
-    f = m.select("case_id", "l_node", "r_node", F.explode(F.array_compact(F.array(shift, resize))).alias("f"))
-    return f.select("case_id", "l_node", "r_node", "f.type", F.round("f.magnitude", 9).alias("magnitude"))
-
-
 @query("d09_token_consistency", """WITH u AS (SELECT r_node % 4 AS token, l_type AS v, case_id FROM (SELECT case_id, node AS r_node, type AS l_type FROM boxes_gt)), c AS (SELECT case_id, token, v, count(*) AS n FROM u GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY case_id, token ORDER BY n DESC, v) AS r FROM c) SELECT case_id, token, v, n FROM m WHERE r > 1""")
 def d09(spark, d):
     c = view(spark, d, "boxes_gt").groupBy("case_id", (F.col("node") % 4).alias("token"), F.col("type").alias("v")).agg(F.count("*").alias("n"))

@@ -24,9 +24,10 @@ def test_spatial_join_meets_every_pair_once_and_handles_large_boxes(spark):
     boxes = [(1, k, (k * 37) % 300, (k * 53) % 300, 10 + (k * 29) % 90, 10 + (k * 17) % 70, k % 3) for k in range(60)]
     boxes += [(1, 60, 0, 0, 5000, 4000, 0), (1, 61, 10, 10, 0, 0, 0), (2, 0, 0, 0, 10, 10, 0), (1, 62, -70, -70, 100, 100, 1)]
     df = spark.createDataFrame(boxes, BOX)
-    got = [(r["l_node"], r["r_node"], r["case_id"]) for r in spatial.spatial_join(df, df).collect()]
     want = [(a[1], b[1], a[0]) for a, b in itertools.product(boxes, boxes) if a[0] == b[0] and iou(a, b) > 0]
-    assert sorted(got) == sorted(want)
+    for crowded in (256, 8):
+        got = [(r["l_node"], r["r_node"], r["case_id"]) for r in spatial.spatial_join(df, df, crowded=crowded).collect()]
+        assert sorted(got) == sorted(want)
 
 
 def test_matching_is_one_to_one_and_locally_dominant(spark):
@@ -37,6 +38,34 @@ def test_matching_is_one_to_one_and_locally_dominant(spark):
     assert spatial.match_nodes(empty, spark.createDataFrame(boxes, BOX)).count() == 0
 
 
+def greedy(pairs):
+    used_l, used_r, out = set(), set(), set()
+    for score, a, b in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        if a not in used_l and b not in used_r:
+            used_l.add(a)
+            used_r.add(b)
+            out.add((a, b))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 5])
+def test_matching_of_a_chain_and_of_random_pairs(spark, limit):
+    chain = [(1, a, b, 1.0 - 0.001 * (a + b)) for a in range(300) for b in (a, a + 1)]
+    other = [(2, k % 17, (k * 7) % 13, ((k * 31) % 50) / 50) for k in range(17 * 13)]
+    df = spark.createDataFrame(chain + other, "case_id int, l_node int, r_node int, s double")
+    got = spatial.match_one_to_one(df, ["case_id", "l_node"], ["case_id", "r_node"], "s", limit=limit).collect()
+    for case, rows in ((1, chain), (2, other)):
+        assert {(r["l_node"], r["r_node"]) for r in got if r["case_id"] == case} == greedy([(s, a, b) for _, a, b, s in rows])
+
+
+def test_suppression_of_a_chain(spark):
+    rows = [(1, k, 8 * k, 0, 20, 20, 1000 - k) for k in range(300)]
+    df = spark.createDataFrame(rows, "case_id int, fid int, x int, y int, w int, h int, confidence int")
+    for limit in (1_000_000, 10):
+        got = {r["fid"] for r in spatial.suppress(df, ["fid"], ["confidence"], 0.4, limit).collect()}
+        assert got == set(range(0, 300, 2))
+
+
 def test_suppression_equals_greedy_scan(spark):
     rows = [(1, k, (k * 31) % 90, (k * 17) % 60, 30, 20, (k * 7) % 10) for k in range(40)]
     df = spark.createDataFrame(rows, "case_id int, fid int, x int, y int, w int, h int, confidence int")
@@ -44,7 +73,7 @@ def test_suppression_equals_greedy_scan(spark):
     for r in sorted(rows, key=lambda r: (-r[6], r[1])):
         if all(iou(r, k) < 0.5 for k in kept):
             kept.append(r)
-    got = {r["fid"] for r in spatial.suppress(df, ["fid"], [F.col("confidence").desc()], 0.5).collect()}
+    got = {r["fid"] for r in spatial.suppress(df, ["fid"], ["confidence"], 0.5).collect()}
     assert got == {r[1] for r in kept}
 
 
@@ -81,6 +110,7 @@ def test_batch_gains_are_shared(spark):
 
 def test_components_on_a_long_path_and_star(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 230)] + [(5, 5)], "a long, b long")
+    assert {tuple(r) for r in stats.components(e).collect()} == {tuple(r) for r in stats.components(e, few=4).collect()}
     got = {r["v"]: r["component"] for r in stats.components(e).collect()}
     assert {got[k] for k in range(100, 161)} == {100} and {got[k] for k in range(200, 230)} == {7} and got[5] == 5
 
