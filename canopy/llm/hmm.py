@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm._arrays import chunks, offsets_of, ragged, word_arrays
-from canopy.llm._spark import checkpoint
+from canopy.llm._spark import checkpoint, written
 
 STATES, BUCKETS, ROUNDS, SEGMENT = 4, 8192, 4, 64
 COMMON, OFTEN, GAIN = 32768, 20, 1e-3
@@ -281,10 +281,22 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train_hmm(train: DataFrame, words: Words, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = 11) -> Hmm:
-    """Baum-Welch over all texts of ``train(text)``; ``shares``: the corpus's symbol shares."""
+def coded_chunks(lists: pa.ListArray, limit: int = 1 << 18) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows of about ``limit`` symbols (one row at least), their symbols on end and the offsets of each row's."""
+    ends = np.cumsum(lists.value_lengths().to_numpy())
+    at = 0
+    while at < len(ends):
+        start = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, start + limit, side="right")))
+        part = lists.slice(at, stop - at)
+        yield slice(at, stop), part.flatten().to_numpy().astype(np.int64), np.append(0, ends[at:stop] - start)
+        at = stop
+
+
+def train_hmm(train: DataFrame, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS, seed: int = 11) -> Hmm:
+    """Baum-Welch over all texts of ``train(symbols)``; ``shares``: the corpus's symbol shares."""
     sc = train.sparkSession.sparkContext
-    model, own, last = Hmm.fresh(shares, states, seed), sc.broadcast(words), None
+    model, last = Hmm.fresh(shares, states, seed), None
     for _ in range(rounds):
         shared = sc.broadcast(model)
 
@@ -292,17 +304,15 @@ def train_hmm(train: DataFrame, words: Words, shares: np.ndarray, states: int =
             m = shared.value
             start, move, emit, likelihood = np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit), 0.0
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for lo, hi in chunks(texts, 1 << 21):
-                    tokens, offsets = token_arrays(texts[lo:hi])
-                    a, b, c, d = m.expected(own.value.symbols(tokens), offsets)
+                for _, symbols, offsets in coded_chunks(batch.column(0)):
+                    a, b, c, d = m.expected(symbols, offsets)
                     start, move, emit, likelihood = start + a, move + b, emit + c, likelihood + d
             all_ = np.concatenate([start, move.ravel(), [likelihood], emit.ravel()])
             rows = [all_[k : k + _SLICE].tobytes() for k in range(0, len(all_), _SLICE)]
             salt = np.full(len(rows), TaskContext.get().partitionId() % _SALTS)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.binary()), pa.array(salt, pa.int32())], names=["part", "v", "salt"])
 
-        some = train.select("text").mapInArrow(expect, "part long, v binary, salt int").repartition("part", "salt").mapInArrow(_added, "part long, v binary")
+        some = train.select("symbols").mapInArrow(expect, "part long, v binary, salt int").repartition("part", "salt").mapInArrow(_added, "part long, v binary")
         parts = {r["part"]: np.frombuffer(r["v"]) for r in some.repartition("part").mapInArrow(_added, "part long, v binary").collect()}  # the model's slices
         if not parts:
             break
@@ -333,7 +343,6 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, id_col: s
     np.subtract.at(kinds, bucket_of(own_words), own_counts > 0)
     known = Words(own_words, own_counts)
     shares = (np.append(own_counts, size) + 1) / (total + BUCKETS + len(own_words))
-    model = sc.broadcast(train_hmm(learned, known, shares, states, rounds))
     words = sc.broadcast(known)
     # what a token adds to the base score's sum, and what its symbol takes from the latent score
     log_own = sc.broadcast(np.append(np.log10(own_counts + 1), np.zeros(BUCKETS)))
@@ -342,12 +351,18 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, id_col: s
     # each row's key: id and text, so that repeated ids with other texts stay apart
     keys = [F.xxhash64(F.col("id").cast("string"), "text", F.lit(seed)).alias(n) for seed, n in enumerate(("key", "more"))]
 
-    def latent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Symbols of every text, written once: the rounds and the scores read these."""
         for batch in batches:
-            texts = batch.column(3).to_pylist()
+            texts = batch.column(4).to_pylist()
             for lo, hi in chunks(texts, 1 << 21):
                 tokens, offsets = token_arrays(texts[lo:hi])
-                symbols = words.value.symbols(tokens)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(words.value.symbols(tokens).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi] for k in range(4)), lists], names=["id", "key", "more", "learn", "symbols"])
+
+    def latent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, symbols, offsets in coded_chunks(batch.column(3)):
 
                 def sums(values: np.ndarray, offsets: np.ndarray = offsets) -> np.ndarray:
                     running = np.append(0.0, np.cumsum(values))
@@ -356,7 +371,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, id_col: s
                 seen = np.append(words.value.counts > 0, np.zeros(BUCKETS, bool))[symbols]
                 hidden = model.value.log10(symbols, offsets) - sums(log_bucket.value[symbols])
                 columns = [np.diff(offsets), hidden, sums(log_own.value[symbols]), sums(seen)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi] for k in range(3)), *map(pa.array, columns)], names=["id", "key", "more", "n_tokens", "latent", "own", "seen"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[rows.start : rows.stop] for k in range(3)), *map(pa.array, columns)], names=["id", "key", "more", "n_tokens", "latent", "own", "seen"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per distinct word of a chunk without a symbol of its own: the documents that hold it, and how often."""
@@ -382,7 +397,10 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, id_col: s
 
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = source.select("id", *keys, "text")
-    own = keyed.mapInArrow(latent, f"id {kind}, key long, more long, n_tokens long, latent double, own double, seen double")
+    learn = F.col("id").isNotNull() & ~held_out(F.col("id"))
+    coded = written(source.select("id", *keys, learn.alias("learn"), "text").mapInArrow(code, f"id {kind}, key long, more long, learn boolean, symbols array<int>"))
+    model = sc.broadcast(train_hmm(coded.where("learn"), shares, states, rounds))
+    own = coded.select("id", "key", "more", "symbols").mapInArrow(latent, f"id {kind}, key long, more long, n_tokens long, latent double, own double, seen double")
     posted = keyed.select("key", "more", "text").mapInArrow(post, "word long, keys array<long>, more array<long>, times array<int>")
     met = posted.join(counts, "word", "left").select(F.explode(F.arrays_zip("keys", "more", "times")).alias("p"), F.coalesce("c", F.lit(0)).alias("c"))
     sums = met.groupBy(F.col("p.keys").alias("key"), F.col("p.more").alias("more")).agg(F.sum(F.col("p.times") * F.log10(F.col("c") + 1)).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("p.times")).otherwise(0)).alias("k"))
