@@ -224,9 +224,9 @@ def d13(spark, d):
 
 @query("d14_round_trip", """WITH j AS (SELECT coalesce(a.case_id, b.case_id) AS case_id, a.node AS an, b.node AS bn, greatest(abs(a.x - b.x), abs(a.y - b.y), abs(a.w - b.w), abs(a.h - b.h)) AS drift, a.text AS ta, b.text AS tb FROM nodes_gt a FULL JOIN nodes_pred b ON a.case_id = b.case_id AND a.node = b.node),
   g AS (SELECT case_id, count(an) AS before, count(bn) AS after, count(*) FILTER (bn IS NULL) AS lost, count(*) FILTER (an IS NULL) AS new, max(CASE WHEN an IS NOT NULL AND bn IS NOT NULL THEN drift END) AS max_drift, avg(CASE WHEN an IS NOT NULL AND bn IS NOT NULL THEN drift END) AS mean_drift, count(*) FILTER (an IS NOT NULL AND bn IS NOT NULL AND ta <> tb) AS texts FROM j GROUP BY 1)
-  SELECT case_id, before, after, lost, new, max_drift, round(mean_drift, 6) AS mean_drift, texts, lost > 0 OR new > 0 OR texts > 0 OR coalesce(max_drift, 0) > 0.5 AS lossy FROM g""")
+  SELECT case_id, before, after, lost, new, coalesce(max_drift, -1) AS max_drift, round(coalesce(mean_drift, -1), 6) AS mean_drift, texts, lost > 0 OR new > 0 OR texts > 0 OR coalesce(max_drift, 0) > 0.5 AS lossy FROM g""")
 def d14(spark, d):
-    return differ.round_trip(*_both(spark, d)).withColumn("mean_drift", F.round("mean_drift", 6))
+    return differ.round_trip(*_both(spark, d)).fillna(-1, ["max_drift", "mean_drift"]).withColumn("mean_drift", F.round("mean_drift", 6))
 
 
 _REGIONS = "rg AS (SELECT case_id, fid AS id, CASE WHEN fid % 2 = 0 THEN floor(fid / 6)::INT END AS node, type, (magnitude % 3) AS dx, (confidence % 2) AS dy, confidence AS mass, x, y, w, h FROM findings)"

@@ -1,6 +1,6 @@
 """All registered queries: importing the modules below adds theirs to the registry."""
 
-from canopy.plans import catalog_queries, differ_queries, pixel_queries, review_queries, stream_queries
+from canopy.plans import catalog_queries, differ_queries, pixel_queries, review_queries, source_queries, stream_queries
 from canopy.registry import FLAGSHIP, ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "catalog_queries", "differ_queries", "pixel_queries", "review_queries", "stream_queries"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "catalog_queries", "differ_queries", "pixel_queries", "review_queries", "source_queries", "stream_queries"]
