@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cyrillic and Greek look-alikes and their Latin letters (fixed values).
-LOOK_ALIKES = ("АВЕКМНОРСТХаеорсхАΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTXaeopcxABEZHIKMNOPTYXo")
+LOOK_ALIKES = ("АВЕКМНОРСТХУІЈЅаеорсхуіјѕΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTXYIJSaeopcxyijsABEZHIKMNOPTYXo")
 
 
 def normalize(text: Column) -> Column:
@@ -49,3 +49,22 @@ def parse_px(text: Column, rem: float = 16.0) -> Column:
 def content_id(kind: str, *parts: Column) -> Column:
     """``kind-`` and the first ten hex digits of the SHA-1 of the parts joined by a unit separator."""
     return F.concat(F.lit(f"{kind}-"), F.substring(F.sha1(F.concat_ws("\x1f", *[p.cast("string") for p in parts])), 1, 10))
+
+
+def text_parts(texts: DataFrame, key: list[str], column: str) -> DataFrame:
+    """The whole of each text that is not blank (k -1, band 0 to 100) and, of several lines, each with its band in per cent."""
+    t = texts.select(*key, F.col(column).alias("text"), F.split(column, "\n", -1).alias("a"))
+    lines = t.select(*key, F.size("a").alias("n"), F.posexplode("a").alias("k", "line")).where((F.col("n") > 1) & (F.trim("line") != ""))
+    lines = lines.select(*key, "k", (F.col("k") * 100.0 / F.col("n")).alias("y0"), ((F.col("k") + 1) * 100.0 / F.col("n")).alias("y1"), F.length("line").alias("chars"))
+    whole = t.where(normalize(F.col("text")) != "").select(*key, F.lit(-1).alias("k"), F.lit(0.0).alias("y0"), F.lit(100.0).alias("y1"), F.length("text").alias("chars"))
+    return lines.unionByName(whole)
+
+
+def parse_variant(name: Column) -> Column:
+    """``Style=Filled, State=Enabled`` as a map."""
+    return F.str_to_map(F.regexp_replace(name, r"\s*,\s*", ","), F.lit(","), F.lit("="))
+
+
+def project_variant(variant: Column, vocabulary: dict[str, list[str]]) -> Column:
+    """The vocabulary's properties only, missing ones at their first value."""
+    return F.create_map(*[x for k, values in vocabulary.items() for x in (F.lit(k), F.coalesce(variant[k], F.lit(values[0])))])

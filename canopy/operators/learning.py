@@ -95,3 +95,51 @@ def rule_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     a, b = old.select("signature", F.col("answer").alias("old_answer")), new.select("signature", F.col("answer").alias("new_answer"))
     change = F.when(F.col("old_answer").isNull(), "added").when(F.col("new_answer").isNull(), "removed").when(F.col("old_answer") != F.col("new_answer"), "changed")
     return a.join(b, "signature", "full_outer").withColumn("change", change).where("change IS NOT NULL").select("signature", "old_answer", "new_answer", "change")
+
+
+def signatures(roots: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(case_id, signature): hash of type, corner class, shadow and the kinds of the atoms in order, runs collapsed."""
+    order = W.partitionBy("case_id").orderBy("position")
+    a = atoms.withColumn("before", F.lag("kind").over(order)).where(~F.col("kind").eqNullSafe(F.col("before")))
+    kinds = a.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("position", "kind"))).alias("k")).select("case_id", F.array_join("k.kind", ",").alias("kinds"))
+    corner = F.when(F.col("radius") < 2, "square").when(F.col("radius") * 2 >= F.least("w", "h"), "pill").otherwise("round")
+    parts = F.concat_ws("\x1f", "type", corner, F.when(F.col("shadow") > 0, "shadow").otherwise("flat"), "kinds")
+    return roots.join(kinds, "case_id").select("case_id", F.substring(F.sha1(parts), 1, 16).alias("signature"))
+
+
+def compatible(pairs: DataFrame, a: str, b: str, groups: list[list]) -> DataFrame:
+    """Pairs of equal types, or of types in one group."""
+    same = F.col(a) == F.col(b)
+    for g in groups:
+        same = same | (F.col(a).isin(g) & F.col(b).isin(g))
+    return pairs.where(same)
+
+
+#: Leaf types of findings with the unit of their magnitude; null where it is not scored (fixed values).
+TAXONOMY = [
+    ("geometry.shift", "px"), ("geometry.size", "px"), ("geometry.radius", "px"), ("color.fill", "dE"), ("color.stroke", "dE"), ("color.tint_global", "dE"),
+    ("structure.missing", None), ("structure.extra", None), ("structure.split", "px"), ("structure.merge", "px"), ("text.content", "CER"), ("text.style", "steps"),
+    ("text.position", "px"), ("icon.glyph", None), ("icon.missing", None), ("effect.shadow", "px"), ("effect.opacity", "share"), ("layout.spacing", "px"),
+    ("noise.antialias", None), ("noise.subpixel", None), ("noise.compression", None), ("noise.browser", None),
+]
+
+
+def with_taxonomy(findings: DataFrame) -> DataFrame:
+    """Findings with parent, unit and is_error of their type, null for unknown types except the parent."""
+    t = findings.sparkSession.createDataFrame(TAXONOMY, "type string, unit string").withColumn("is_error", ~F.col("type").startswith("noise."))
+    return findings.join(F.broadcast(t), "type", "left").withColumn("parent", F.split_part("type", F.lit("."), F.lit(1)))
+
+
+def canonical_values(corrections: DataFrame) -> DataFrame:
+    """Correction values in one form for each kind, null with a reason where malformed.
+
+    Texts lose surplus white space, colours become lower-case #rrggbb, places and sizes numbers joined by commas.
+    """
+    text = F.trim(F.regexp_replace("value", r"\s+", " "))
+    color = F.lower(F.trim("value"))
+    box = F.regexp_replace("value", r"\s", "")
+    kind = F.col("kind")
+    texts, boxes = kind.isin("text", "icon", "component"), kind.isin("move", "resize")
+    reason = F.when(texts & (text == ""), "empty text").when((kind == "recolour") & ~color.rlike("^#[0-9a-f]{6}$"), "no colour").when(boxes & ~box.rlike(r"^-?[0-9.]+(,-?[0-9.]+){1,3}$"), "no box").when(~(texts | boxes | (kind == "recolour")), "unknown kind")
+    value = F.when(texts, text).when(kind == "recolour", color).when(boxes, box)
+    return corrections.withColumn("reason", reason).withColumn("value", F.when(F.col("reason").isNull(), value))
