@@ -1,6 +1,6 @@
 """All registered queries: importing the modules below adds theirs to the registry."""
 
-from canopy.plans import benchmark_queries, catalog_queries, differ_queries, learning_queries, matcher_queries, pixel_queries, review_queries, source_queries, stream_queries
+from canopy.plans import benchmark_queries, catalog_queries, differ_queries, learning_queries, matcher_queries, novelty_queries, pixel_queries, review_queries, source_queries, stream_queries
 from canopy.registry import FLAGSHIP, ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "benchmark_queries", "catalog_queries", "differ_queries", "learning_queries", "matcher_queries", "pixel_queries", "review_queries", "source_queries", "stream_queries"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "benchmark_queries", "catalog_queries", "differ_queries", "learning_queries", "matcher_queries", "novelty_queries", "pixel_queries", "review_queries", "source_queries", "stream_queries"]
