@@ -6,12 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Metric, higher is better, norm (null: none), weight, stage: fixed values of the composite's definition.
-SPEC = [("node_recall", True, None, 2.0, "perceive"), ("text_cer", False, None, 1.0, "perceive"), ("mean_de", False, 0.5, 1.5, "render"), ("ssim", True, None, 1.0, "render")]
+from canopy.operators.spatial import checkpoint
+from canopy.operators.stats import quantiles
 
+#: Metric, higher is better, value of goodness 0 (null: 1), weight, stage: the composite's definition (fixed values).
+SPEC = [
+    ("node_precision", True, None, 1.0, "perceive"), ("node_recall", True, None, 1.5, "perceive"), ("mean_iou", True, None, 1.0, "perceive"),
+    ("color_de", False, 20.0, 1.0, "perceive"), ("text_cer", False, None, 1.0, "perceive"), ("text_recall", True, None, 1.5, "perceive"),
+    ("radius_mae", False, 8.0, 0.5, "perceive"), ("type_acc", True, None, 0.5, "perceive"), ("component_acc", True, None, 1.5, "map"),
+    ("token_acc", True, None, 0.5, "map"), ("mean_de", False, 20.0, 1.5, "render"), ("frac_bad", False, 0.3, 1.0, "render"),
+    ("ssim", True, None, 0.5, "render"), ("layout_consistency", True, None, 0.5, "perceive"), ("jnd_frac_nontext", False, 0.3, 1.0, "render"),
+    ("chamfer_tile_max", False, 128.0, 0.5, "render"), ("edge_within1", True, None, 1.0, "render"),
+]
 
-def spec(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame(SPEC, "metric string, higher boolean, norm double, weight double, stage string")
+
+def spec(df: DataFrame, rows: list[tuple] | None = None) -> DataFrame:
+    return df.sparkSession.createDataFrame(rows or SPEC, "metric string, higher boolean, norm double, weight double, stage string")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -29,8 +39,9 @@ def goodness(value: Column, higher: Column, norm: Column) -> Column:
     return F.when(value.isNotNull(), F.when(finite, F.when(higher, v).otherwise(1 - v)).otherwise(0.0))
 
 
-def with_goodness(metrics: DataFrame) -> DataFrame:
-    return metrics.join(F.broadcast(spec(metrics)), "metric").withColumn("goodness", goodness(F.col("value"), F.col("higher"), F.col("norm")))
+def with_goodness(metrics: DataFrame, rows: list[tuple] | None = None) -> DataFrame:
+    """Metrics with their definition (``SPEC``, or rows like it) and goodness."""
+    return metrics.join(F.broadcast(spec(metrics, rows)), "metric").withColumn("goodness", goodness(F.col("value"), F.col("higher"), F.col("norm")))
 
 
 def composites(metrics: DataFrame) -> DataFrame:
@@ -43,7 +54,9 @@ def roll_up(metrics: DataFrame) -> DataFrame:
     """Mean, median, worst, best, count and goodness of each metric."""
     v = F.col("value")
     g = with_goodness(metrics)
-    return g.groupBy("metric").agg(F.avg(v).alias("mean"), F.median(v).alias("p50"), F.when(F.first("higher"), F.min(v)).otherwise(F.max(v)).alias("worst"), F.when(F.first("higher"), F.max(v)).otherwise(F.min(v)).alias("best"), F.count(v).alias("n"), F.avg("goodness").alias("goodness"))
+    r = g.groupBy("metric").agg(F.avg(v).alias("mean"), F.when(F.first("higher"), F.min(v)).otherwise(F.max(v)).alias("worst"), F.when(F.first("higher"), F.max(v)).otherwise(F.min(v)).alias("best"), F.count(v).alias("n"), F.avg("goodness").alias("goodness"))
+    p = quantiles(metrics, ["metric"], F.col("value"), [0.5]).select("metric", F.col("q")[0].alias("p50"))
+    return r.join(p, "metric", "left").select("metric", "mean", "p50", "worst", "best", "n", "goodness")
 
 
 def worst(metrics: DataFrame, k: int) -> DataFrame:
@@ -63,22 +76,21 @@ def detection_report(matches: DataFrame, pred: DataFrame, truth: DataFrame) -> D
     return t.select("type", "tp", "n_pred", "n_gt", ratio(tp, p).alias("precision"), ratio(tp, g).alias("recall"), f1(tp, p, g).alias("f1"))
 
 
-def average_precision(scored: DataFrame, n_truth: int, buckets: int = 64) -> DataFrame:
+def average_precision(scored: DataFrame, n_truth: int) -> DataFrame:
     """Non-interpolated AP of (confidence, case_id, fid, hit), ranked by confidence.
 
-    Ranks come from counts of confidence ranges plus ranks inside a range, so no task sees all rows.
+    Rows are dealt to ranges of the whole order, so equal confidences share no task; ranks are those in a range plus the
+    rows of the ranges before.
     """
     order = [F.col("confidence").desc(), F.col("case_id"), F.col("fid")]
-    edges = scored.approxQuantile("confidence", [i / buckets for i in range(1, buckets)], 0.01)
-    # ranges of falling confidence; equal confidences share a range
-    scored = scored.withColumn("range", sum([(F.col("confidence") < e).cast("int") for e in sorted(set(edges))], F.lit(0)))
-    sums = scored.groupBy("range").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("h"))
-    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    s = checkpoint(scored.select("confidence", "case_id", "fid", F.col("hit").cast("int").alias("hit")).repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    sums = s.groupBy("range").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
+    before = W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
     base = sums.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h0"))
     inside = W.partitionBy("range").orderBy(*order)
-    ranked = scored.join(F.broadcast(base), "range").withColumn("k", F.col("n0") + F.row_number().over(inside))
-    ranked = ranked.withColumn("hits", F.col("h0") + F.sum(F.col("hit").cast("long")).over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    return ranked.agg((F.coalesce(F.sum(F.when(F.col("hit"), F.col("hits") / F.col("k"))), F.lit(0.0)) / F.lit(max(1, n_truth))).alias("ap"))
+    ranked = s.join(F.broadcast(base), "range").withColumn("k", F.col("n0") + F.row_number().over(inside))
+    ranked = ranked.withColumn("hits", F.col("h0") + F.sum("hit").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    return ranked.agg((F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("hits") / F.col("k"))), F.lit(0.0)) / F.lit(max(1, n_truth))).alias("ap"))
 
 
 def gate(current: DataFrame, baseline: DataFrame, eps: float) -> DataFrame:

@@ -7,12 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canopy.operators.quality import f1, ratio
+from canopy.operators.stats import quantiles
+
+
+def runtime(rows: DataFrame, by: str, seconds: str) -> DataFrame:
+    """Mean, 95 % point, largest and total of the seconds."""
+    p = quantiles(rows, [by], F.col(seconds), [0.95]).select(by, F.col("q")[0].alias("p95_s"))
+    return rows.groupBy(by).agg(F.avg(seconds).alias("mean_s"), F.max(seconds).alias("max_s"), F.sum(seconds).alias("total_s")).join(p, by, "left")
 
 
 def magnitude_error(pairs: DataFrame, by: str, predicted: Column, truth: Column) -> DataFrame:
     """Mean absolute and median relative error of matched magnitudes."""
     err = F.abs(predicted - truth)
-    return pairs.groupBy(by).agg(F.count("*").alias("n"), F.avg(err).alias("mae"), F.median(err / F.greatest(F.lit(1), F.abs(truth))).alias("median_relative"))
+    m = quantiles(pairs, [by], err / F.greatest(F.lit(1), F.abs(truth)), [0.5]).select(by, F.col("q")[0].alias("median_relative"))
+    return pairs.groupBy(by).agg(F.count("*").alias("n"), F.avg(err).alias("mae")).join(m, by, "left")
 
 
 def noise_report(cases: DataFrame, spurious: DataFrame, by: str) -> DataFrame:
@@ -68,7 +76,7 @@ def record_errors(records: DataFrame, key: list[str], rules: dict[str, Column])
 
 def tercile_policy(records: DataFrame, least: int = 6) -> DataFrame:
     """Counts by type, operator and tercile of the magnitude within the type; one tercile for small types."""
-    e = records.groupBy("type").agg(F.percentile("magnitude", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("e"), F.count("*").alias("m"))
+    e = quantiles(records, ["type"], F.col("magnitude"), [1 / 3, 2 / 3]).withColumnRenamed("q", "e").join(records.groupBy("type").agg(F.count("*").alias("m")), "type")
     third = F.when(F.col("m") < least, 0).when(F.col("magnitude") <= F.col("e")[0], 0).when(F.col("magnitude") <= F.col("e")[1], 1).otherwise(2)
     return records.join(e, "type").groupBy("type", "operator", third.alias("third")).agg(F.count("*").alias("n"), F.sum(F.col("fixed").cast("long")).alias("k"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canopy.operators.spatial import written
+from canopy.operators.spatial import checkpoint, written
 
 
 #: Edges that one task may settle.
@@ -71,6 +71,27 @@ def components(edges: DataFrame, few: int = FEW_EDGES, max_rounds: int = 60) ->
     return out.select("v", F.col("c").alias("component")).unionByName(alone.withColumn("component", F.col("v")))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: Column, qs: list[float]) -> DataFrame:
+    """(keys, q array): exact quantiles by linear interpolation, nulls left out; keys of nulls only are left out.
+
+    Equal values are counted first, then dealt to ranges of (keys, value); a value's place is the counts of the ranges
+    before plus those in its range, so few keys with many values are no large tasks.
+    """
+    n = df.select(*keys, value.cast("double").alias("_v")).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    s = checkpoint(n.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    part = s.groupBy(*keys, "_part").agg(F.sum("_n").alias("_k"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    base = part.select(*keys, "_part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(W.partitionBy(*keys)).alias("_all"))
+    inside = W.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    v = s.join(base, [*keys, "_part"]).withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+    # places count from 0; a value holds those from _end - _n to _end - 1
+    at = lambda p: F.max(F.when((p < F.col("_end")) & (p >= F.col("_end") - F.col("_n")), F.col("_v")))
+    places = [((F.col("_all") - 1) * q) for q in qs]
+    g = v.groupBy(*keys).agg(F.first("_all").alias("_all"), *[f.alias(f"_{n}{i}") for i, p in enumerate(places) for n, f in (("lo", at(F.floor(p))), ("hi", at(F.ceil(p))))])
+    out = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (p - F.floor(p)) for i, p in enumerate(places)]
+    return g.select(*keys, F.array(*out).alias("q"))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
@@ -116,7 +137,7 @@ def conformal(scores: DataFrame, reference: DataFrame) -> DataFrame:
     return j.where("ref = 0").select("id", "score", ((F.col("as_large") + 1) / (F.col("all") + 1)).alias("p"))
 
 
-def null_model(tiles: DataFrame, bins: int = 16, top: int = 20) -> DataFrame:
+def stratum_summary(tiles: DataFrame, top: int = 20) -> DataFrame:
     """By stratum and over all: count, mean, variance, maximum of the values and mean of the top ones."""
     agg = tiles.groupingSets([["stratum"], []], "stratum").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"), F.max("value").alias("max"))
     rank = F.row_number().over(W.partitionBy("stratum").orderBy(F.col("value").desc(), "id"))
@@ -137,7 +158,8 @@ def survival(hist: DataFrame) -> DataFrame:
 
 
 def robust_scale(values: DataFrame) -> DataFrame:
-    """Values by stratum less the median, over the interquartile range (deviation if that is 0)."""
-    s = values.groupBy("stratum").agg(F.median("value").alias("m"), (F.percentile("value", 0.75) - F.percentile("value", 0.25)).alias("iqr"), F.stddev_samp("value").alias("sd"))
+    """Values by stratum less the median, over the interquartile range (deviation if that is 0)."""
+    q = quantiles(values, ["stratum"], F.col("value"), [0.25, 0.5, 0.75])
+    s = q.select("stratum", F.col("q")[1].alias("m"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")).join(values.groupBy("stratum").agg(F.stddev_samp("value").alias("sd")), "stratum")
     scale = F.when(F.col("iqr") > 0, F.col("iqr")).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
     return values.join(s, "stratum").select("id", "stratum", ((F.col("value") - F.col("m")) / scale).alias("z"))

@@ -26,6 +26,12 @@ def a08(spark, d):
     return r.select("family", "cases", F.round("false_case_rate", 9).alias("false_case_rate"), F.round("per_case", 9).alias("per_case"))
 
 
+@query("a09_runtime", "SELECT event_type, round(avg(value), 9) AS mean_s, round(quantile_cont(value, 0.95), 9) AS p95_s, max(value) AS max_s, round(sum(value), 6) AS total_s FROM events GROUP BY event_type")
+def a09(spark, d):
+    r = review.runtime(read(spark, d, "events"), "event_type", "value")
+    return r.select("event_type", F.round("mean_s", 9).alias("mean_s"), F.round("p95_s", 9).alias("p95_s"), "max_s", F.round("total_s", 6).alias("total_s"))
+
+
 @query("a16_ladder", """WITH r AS (SELECT metric, avg(value) FILTER (WHERE family % 3 = 0) AS run0, avg(value) FILTER (WHERE family % 3 = 1) AS run1, avg(value) FILTER (WHERE family % 3 = 2) AS run2 FROM metrics GROUP BY metric)
   SELECT metric, round(run0, 9) AS run0, round(run1, 9) AS run1, round(run2, 9) AS run2, CASE WHEN run0 - run1 >= run1 - run2 THEN 1 ELSE 2 END AS rung, round(greatest(run0 - run1, run1 - run2), 9) AS cost FROM r""")
 def a16(spark, d):
