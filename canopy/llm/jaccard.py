@@ -43,6 +43,8 @@ COUNTER_BITS = 24
 _PART = 1 << 16
 #: Longer lists are compared with a leader first.
 SHORT_LIST = 8
+#: Members of a longer list that a task compares with as many others.
+LIST_BLOCK = 512
 
 
 def node_of(s: np.ndarray) -> int:
@@ -218,10 +220,10 @@ def linked_nodes(docs: DataFrame, num: int, width: int, id_col: str, text_col: s
     if has_long:
         # distance of every member of a long list to its leader, from the answers of the first round
         away = judged.select("a", "b", "distance").union(judged.select("b", "a", "distance"))
-        leader = long_.groupBy("token").agg(F.min("node").alias("leader"))
+        leader = long_.groupBy("token").agg(F.min("node").alias("leader"), F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("parts"))
         rest = long_.join(leader, "token").join(group, "node", "left").join(extra, "node")
         rest = rest.join(away.select(F.col("a").alias("leader"), F.col("b").alias("node"), "distance"), ["leader", "node"], "left")
-        rest = rest.select("token", "node", "n", "pos", "e", F.coalesce("c", "node").alias("c"), F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("distance", F.lit(-9.0))).alias("d"))
+        rest = rest.select("token", "parts", "node", "n", "pos", "e", F.coalesce("c", "node").alias("c"), F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce("distance", F.lit(-9.0))).alias("d"))
 
         def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """A spanning set of a long list's pairs that the first round has not settled.
@@ -229,17 +231,21 @@ def linked_nodes(docs: DataFrame, num: int, width: int, id_col: str, text_col: s
             A pair that also meets in a short list was bounded, and if need be verified, in the first round.
             Any other pair shares elements in long lists only: at most the smaller of both counts (e).
             """
-            for table, marks in runs(batches, ["token"]):
-                node, n, pos, e, c, d = (table[x].to_numpy() for x in ("node", "n", "pos", "e", "c", "d"))
+            for table, marks in runs(batches, ["token", "lo", "hi"]):
+                node, n, pos, e, c, d, own, first, second = (table[x].to_numpy() for x in ("node", "n", "pos", "e", "c", "d", "own", "lo", "hi"))
                 left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for lo, hi in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
                     if not (c[lo:hi] == c[lo]).all():
-                        i, j = open_pairs(n[lo:hi], pos[lo:hi], e[lo:hi], c[lo:hi], d[lo:hi], num)
+                        side = own[lo:hi] if first[lo] != second[lo] else np.arange(hi - lo)
+                        i, j = open_pairs(n[lo:hi], pos[lo:hi], e[lo:hi], c[lo:hi], d[lo:hi], side, num)
                         left.append(node[lo + i])
                         right.append(node[lo + j])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-        open_ = rest.repartition("token").sortWithinPartitions("token", "n", "pos", "node").mapInArrow(unsettled, "a long, b long")
+        # a list is dealt to blocks that meet pairwise, so that no list is one task
+        rest = rest.withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rest = rest.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "parts")
+        open_ = rest.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "pos", "node").mapInArrow(unsettled, "a long, b long")
         wide = components(open_).withColumnRenamed("v", "node").withColumnRenamed("c", "g")
         more_links = compare_blocks(wide, group, per_node, source, num, width, repeats)
         if not more_links.isEmpty():
@@ -247,12 +253,12 @@ def linked_nodes(docs: DataFrame, num: int, width: int, id_col: str, text_col: s
     return member, written(per_node.join(group, "node", "left").withColumn("c", F.coalesce("c", "node")))
 
 
-def open_pairs(n: np.ndarray, pos: np.ndarray, e: np.ndarray, c: np.ndarray, d: np.ndarray, num: int, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def open_pairs(n: np.ndarray, pos: np.ndarray, e: np.ndarray, c: np.ndarray, d: np.ndarray, side: np.ndarray, num: int, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Spanning set (i, j) of the pairs of one list that may link and are in no common component yet.
 
     The list is sorted by size n and position pos. Two blocks are skipped if none of their pairs can link by
     size, or by what is before (pos) and behind it (n - pos) at most. e: elements shared in long lists at
-    most, c: component, d: distance to the list's leader (negative: unknown).
+    most, c: component, d: distance to the list's leader (negative: unknown). Only pairs of two sides are compared.
     """
     past, rest = -(-num * n // 100) - 1, n - pos  # elements behind the prefix; from the position on
     label, allowed = np.arange(len(n)), (100 - num) / 100 + 1e-9
@@ -271,7 +277,7 @@ def open_pairs(n: np.ndarray, pos: np.ndarray, e: np.ndarray, c: np.ndarray, d:
             j = np.arange(starts[b], ends[b])
             x, y = i[:, None], j[None, :]
             need = needed_overlap(n[x], n[y], num)
-            hit = (c[x] != c[y]) & (x < y) & (num * n[y] <= 100 * n[x])
+            hit = (c[x] != c[y]) & (side[x] != side[y]) & (x < y) & (num * n[y] <= 100 * n[x])
             hit &= (np.minimum(rest[x], rest[y]) + np.minimum(pos[x], pos[y]) >= need) & (np.minimum(e[x], e[y]) + np.maximum(past[x], past[y]) >= need)
             hit &= (np.abs(d[x] - d[y]) <= allowed) | (d[x] < 0) | (d[y] < 0)
             hit &= label[x] != label[y]

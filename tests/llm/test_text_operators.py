@@ -320,6 +320,7 @@ def brute_components(sets, num=75):
 @pytest.mark.parametrize("short_list", [8, 1])
 def test_jaccard_equals_brute_force(spark, monkeypatch, short_list):
     monkeypatch.setattr(jaccard, "SHORT_LIST", short_list)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 512 if short_list == 8 else 3)
     rnd = random.Random(9)
     texts = list(ODD) + ["A b", "a B", "a b c d e", "A B C D E", None]
     for _ in range(6):
@@ -355,7 +356,7 @@ def test_skipping_blocks_loses_no_pair():
                 rows.append((len(s), int(at[0]), k))
         n, pos, who = np.array(sorted(rows)).T
         none = np.full(len(n), -9.0)
-        i, j = jaccard.open_pairs(n, pos, n, np.arange(len(n)), none, 75, block)
+        i, j = jaccard.open_pairs(n, pos, n, np.arange(len(n)), none, np.arange(len(n)), 75, block)
         root = {k: k for k in range(len(n))}
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             old, new = root[a], root[b]
