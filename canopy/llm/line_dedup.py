@@ -148,7 +148,7 @@ def doc_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
 
 
-def near_lines(docs: DataFrame, threshold: int, near_chars: int, text_col: str, block: int = 1024) -> DataFrame:
+def near_lines(docs: DataFrame, threshold: int, near_chars: int, text_col: str, block: int = 256) -> DataFrame:
     """``(v, c)``: lines (by hash) that link with another line within the threshold, and their class."""
     shortest = max(near_chars, threshold + 1)
 
