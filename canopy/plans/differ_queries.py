@@ -114,12 +114,12 @@ _TINT = _M.replace("JOIN nodes_pred p", "JOIN (SELECT * REPLACE (least(255, r +
 @query("d04_global_tint", f"""WITH {_TINT}, c AS (SELECT case_id, shape, de, ll - rl AS l, la - ra AS a, lbb - rbb AS b FROM m UNION ALL SELECT case_id, shape, ds, sl - tl, sa - ta, sbb - tbb FROM m),
   q AS (SELECT case_id, count(*) AS n, count(*) FILTER (de > 3) AS k, count(*) FILTER (shape) AS s, count(*) FILTER (shape AND de > 3) AS sk, avg(de) FILTER (de > 3) AS magnitude, avg(l) FILTER (de > 3) AS ml, avg(a) FILTER (de > 3) AS ma, avg(b) FILTER (de > 3) AS mb FROM c GROUP BY 1),
   o AS (SELECT q.case_id, avg(sqrt(pow(l - ml, 2) + pow(a - ma, 2) + pow(b - mb, 2))) AS off FROM c JOIN q ON c.case_id = q.case_id WHERE de > 3 GROUP BY 1)
-  SELECT q.case_id, round(magnitude, 6) AS magnitude, n AS pairs, k AS changed FROM q JOIN o ON q.case_id = o.case_id WHERE n >= 4 AND k >= n * 0.6 AND sk > 0 AND sk >= s * 0.5 AND sqrt(ml * ml + ma * ma + mb * mb) > 3 AND off / sqrt(ml * ml + ma * ma + mb * mb) <= 0.4""")
+  SELECT q.case_id, round(magnitude, 6) AS magnitude, n AS pairs, k AS changed FROM q JOIN o ON q.case_id = o.case_id WHERE n >= 4 AND k >= n * 0.6 AND sk > 0 AND sk >= s * 0.5 AND sqrt(ml * ml + ma * ma + mb * mb) > 3 AND off / sqrt(ml * ml + ma * ma + mb * mb) <= 0.9""")
 def d04(spark, d):
     gt = view(spark, d, "nodes_gt")
     even = F.col("case_id") % 2 == 0
     tinted = gt.withColumns({"r": F.least(F.lit(255), F.col("r") + F.when(even, 25).otherwise(0)), "stroke": F.least(F.lit(255), F.col("stroke") + F.when(even, 12).otherwise(0))})
-    return differ.global_tint(spatial.match_nodes(tinted, gt)).withColumn("magnitude", F.round("magnitude", 6))
+    return differ.global_tint(spatial.match_nodes(tinted, gt), spread=0.9).withColumn("magnitude", F.round("magnitude", 6))
 
 
 _UP = "up(case_id, node, ancestor) AS (SELECT case_id, node, parent FROM nodes_gt WHERE parent IS NOT NULL UNION ALL SELECT up.case_id, up.node, n.parent FROM up JOIN nodes_gt n ON up.case_id = n.case_id AND up.ancestor = n.node WHERE n.parent IS NOT NULL)"
@@ -144,11 +144,16 @@ def d05m(spark, d):
     return differ.merge_neighbours(_moves(spark, d), 40).select("case_id", "nodes", "x", "y", "w", "h")
 
 
-@query("d06_spacing_drift", f"""WITH {_MOVES}, s AS (SELECT case_id, parent, node, 'x' AS axis, abs(dx) AS way, ex AS place FROM mv WHERE abs(dy) <= 2 AND abs(dx) > 1 UNION ALL SELECT case_id, parent, node, 'y', abs(dy), ey FROM mv WHERE abs(dx) <= 2 AND abs(dy) > 1),
+_DRIFT = _MOVES.replace("JOIN nodes_pred p", "JOIN (SELECT * REPLACE (y + CASE WHEN node <= 5 THEN 2 * (node - 1) ELSE 0 END AS y) FROM nodes_gt) p").replace(f"{_I} * 3 >=", f"{_I} * 4 >=")
+
+
+@query("d06_spacing_drift", f"""WITH {_DRIFT}, s AS (SELECT case_id, parent, node, 'x' AS axis, abs(dx) AS way, ex AS place FROM mv WHERE abs(dy) <= 2 AND abs(dx) > 1 UNION ALL SELECT case_id, parent, node, 'y', abs(dy), ey FROM mv WHERE abs(dx) <= 2 AND abs(dy) > 1),
   t AS (SELECT *, coalesce(way < lag(way) OVER (PARTITION BY case_id, axis ORDER BY place, node) - 2, false) AS back, min(round(way)) OVER (PARTITION BY case_id, axis) AS step FROM s)
   SELECT case_id, axis, any_value(step)::DOUBLE AS step, count(*) AS n FROM t GROUP BY case_id, axis HAVING count(*) >= 2 AND count(DISTINCT round(way)) >= 2 AND max(abs(round(way) / step - round(round(way) / step))) <= 0.25 AND NOT bool_or(back)""")
 def d06(spark, d):
-    pairs = _pairs(spark, d)
+    gt = view(spark, d, "nodes_gt")
+    late = gt.withColumn("y", F.col("y") + F.when(F.col("node") <= 5, (F.col("node") - 1) * 2).otherwise(0))
+    pairs = spatial.match_nodes(late, gt, 1, 3)
     m = differ.moves(pairs, differ.pair_findings(pairs)).withColumn("parent", F.lit(0))  # every node beside the others
     return differ.spacing_drift(m).select("case_id", "axis", F.col("step").cast("double").alias("step"), "n")
 
