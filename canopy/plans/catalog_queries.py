@@ -10,12 +10,12 @@ from canopy.plans.views import view
 from canopy.registry import _HITS, _hits, query, read
 
 
-@query("j18_layered_params", """WITH l AS (SELECT p_partkey AS key, p_size::BIGINT AS value, 0 AS o, 'default' AS layer FROM part UNION ALL SELECT s_suppkey, 100 + s_nationkey, 1, 'global' FROM supplier UNION ALL SELECT c_custkey, 1000 + c_nationkey, 2, 'local' FROM customer WHERE c_custkey % 3 = 0),
+@query("j18_layered_params", """WITH l AS (SELECT p_partkey AS key, p_size::BIGINT AS value, 0 AS o, 'default' AS layer FROM part UNION ALL SELECT s_suppkey, 100 + s_nationkey, 1, 'global' FROM supplier UNION ALL SELECT c_custkey, 1000 + c_nationkey, 2, 'local' FROM customer),
   r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY o DESC) AS n FROM l) SELECT key, value, layer FROM r WHERE n = 1""")
 def j18(spark, d):
     default = read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("long").alias("value"))
     whole = read(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_nationkey") + 100).cast("long").alias("value"))
-    local = read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), (F.col("c_nationkey") + 1000).cast("long").alias("value"))
+    local = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_nationkey") + 1000).cast("long").alias("value"))
     return catalog.layered([("default", default), ("global", whole), ("local", local)])
 
 

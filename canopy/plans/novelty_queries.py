@@ -84,20 +84,20 @@ _VECTORS = "v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x
 _D2 = "round(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9)"
 
 
-@query("n07_leave_one_out", f"WITH {_VECTORS}, q AS (SELECT * FROM v WHERE id % 5 = 0), p AS (SELECT a.id, b.id AS o, {_D2} AS d2 FROM q a JOIN q b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, o) AS k FROM p) SELECT id, round(sqrt(d2), 6) AS d FROM r WHERE k = 5")
+@query("n07_leave_one_out", f"WITH {_VECTORS}, q AS (SELECT * FROM v), p AS (SELECT a.id, b.id AS o, {_D2} AS d2 FROM q a JOIN q b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, o) AS k FROM p) SELECT id, round(sqrt(d2), 6) AS d FROM r WHERE k = 5")
 def n07l(spark, d):
-    v = embedding_items(spark, d).where("id % 5 = 0")
+    v = embedding_items(spark, d)
     return novelty.leave_one_out_distances(v).withColumn("d", F.round("d", 6))
 
 
-@query("n08_novelty", f"""WITH {_VECTORS}, kn AS (SELECT * FROM v WHERE id % 5 = 0), it AS (SELECT * FROM v WHERE id % 5 = 1), lp AS (SELECT a.id, b.id AS o, {_D2} AS d2 FROM kn a JOIN kn b ON a.id <> b.id), lr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, o) AS k FROM lp), rf AS (SELECT sqrt(d2) AS d FROM lr WHERE k = 5),
+@query("n08_novelty", f"""WITH {_VECTORS}, kn AS (SELECT * FROM v WHERE id % 2 = 0), it AS (SELECT * FROM v WHERE id % 2 = 1), lp AS (SELECT a.id, b.id AS o, {_D2} AS d2 FROM kn a JOIN kn b ON a.id <> b.id), lr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, o) AS k FROM lp), rf AS (SELECT sqrt(d2) AS d FROM lr WHERE k = 5),
   p AS (SELECT a.id, b.id AS o, b.label, {_D2} AS d2 FROM it a JOIN kn b ON true), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, o) AS k FROM p), n AS (SELECT * FROM r WHERE k <= 5), c AS (SELECT id, label, count(*) AS m, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, label) AS q FROM n WHERE label IS NOT NULL GROUP BY 1, 2),
   s AS (SELECT n.id, sqrt(d2) AS d, (1.0 + (SELECT count(*) FROM rf WHERE rf.d >= sqrt(n.d2))) / (1 + (SELECT count(*) FROM rf)) AS p FROM n WHERE k = 5)
   SELECT s.id, round(d, 6) AS d, round(p, 9) AS p, c.label, round(m / 5.0, 9) AS purity, p < 0.3 OR (m / 5.0 < 0.6 AND p < 0.6) AS candidate FROM s JOIN c ON s.id = c.id AND q = 1""")
 def n08n(spark, d):
     v = embedding_items(spark, d)
-    known = v.where("id % 5 = 0")
-    n = novelty.novelty(v.where("id % 5 = 1"), known, novelty.leave_one_out_distances(known), alpha=0.3)
+    known = v.where("id % 2 = 0")
+    n = novelty.novelty(v.where("id % 2 = 1"), known, novelty.leave_one_out_distances(known), alpha=0.3)
     return n.withColumns({"d": F.round("d", 6), "p": F.round("p", 9), "purity": F.round("purity", 9)})
 
 

@@ -34,7 +34,7 @@ def tree_documents(spark: SparkSession, d: str) -> DataFrame:
             inner = F.concat(F.expr("substr(own, 1, length(own) - 1)"), F.lit(',"children":['), F.col("kids"), F.lit("]}"))
             level = level.withColumn("tree", F.when(F.col("kids").isNull(), F.col("own")).otherwise(inner)).drop("kids")
         below = level.select("case_id", "node", "parent", "tree")
-    head = F.concat(F.lit('{"version":"1","width":'), (F.col("case_id") % 7 + 320).cast("string"), F.lit(',"height":640,"design_system":"ds'), (F.col("case_id") % 3).cast("string"), F.lit('","meta":{},"root":'), F.col("tree"), F.lit("}"))
+    head = F.concat(F.lit('{"version":"1","id":"'), F.col("case_id").cast("string"), F.lit('","width":'), (F.col("case_id") % 7 + 320).cast("string"), F.lit(',"height":640,"design_system":"ds'), (F.col("case_id") % 3).cast("string"), F.lit('","meta":{},"root":'), F.col("tree"), F.lit("}"))
     return below.select(F.col("case_id").cast("string").alias("doc_id"), head.alias("text"))
 
 
@@ -43,14 +43,11 @@ def _documents(spark, d):
     return readers.with_head(t.select("doc_id", F.expr("try_parse_json(text)").alias("doc")))
 
 
-@query("s01_read_trees", "SELECT DISTINCT case_id::VARCHAR AS doc_id, (case_id % 7 + 320)::INTEGER AS width, 640 AS height, 1.0::DOUBLE AS dpr, 'ds' || (case_id % 3) AS design_system FROM nodes_gt WHERE case_id % 20 = 0")
+@query("s01_read_trees", "SELECT DISTINCT case_id::VARCHAR AS doc_id, (case_id % 7 + 320)::INTEGER AS width, 640 AS height, 1.0::DOUBLE AS dpr, 'ds' || (case_id % 3) AS design_system FROM nodes_gt")
 def s01(spark, d):
-    # one file a document: by an output partition for each
     at = folder(spark, "trees")
-    t = tree_documents(spark, d).where("CAST(doc_id AS BIGINT) % 20 = 0")
-    t.select("text", F.col("doc_id").alias("name")).repartition("name").write.partitionBy("name").text(at)
-    back = spark.read.text(at, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract("_metadata.file_path", "name=([0-9]+)/", 1).alias("doc_id"), F.expr("try_parse_json(value)").alias("doc"))
-    return readers.with_head(back).select("doc_id", "width", "height", "dpr", "design_system")
+    tree_documents(spark, d).select("text").write.text(at)
+    return readers.read_trees(spark, at, lines=True).select("doc_id", "width", "height", "dpr", "design_system")
 
 
 _TREE = """WITH RECURSIVE up(case_id, node, parent, path) AS (SELECT case_id, node, parent, [0::BIGINT] FROM nodes_gt WHERE parent IS NULL

@@ -295,11 +295,11 @@ def a04(spark, d):
 
 _HITS = """h AS (SELECT f.case_id, f.fid, f.confidence, f.magnitude, f.type, max(CASE WHEN f.type = g.type AND
   greatest(least(f.x + f.w, g.x + g.w) - greatest(f.x, g.x), 0) * greatest(least(f.y + f.h, g.y + g.h) - greatest(f.y, g.y), 0) * 3 >= f.w * f.h + g.w * g.h THEN 1 ELSE 0 END) AS hit
-  FROM (SELECT * FROM findings WHERE detector = 0) f LEFT JOIN boxes_gt g ON f.case_id = g.case_id GROUP BY ALL)"""
+  FROM findings f LEFT JOIN boxes_gt g ON f.case_id = g.case_id GROUP BY ALL)"""
 
 
 def _hits(spark, d):
-    f = view(spark, d, "findings").where("detector = 0")
+    f = view(spark, d, "findings")
     near = (F.col("l_type") == F.col("r_type")) & (G.overlap("l_", "r_") * 3 >= G.area("l_") + G.area("r_"))
     hit = spatial.spatial_join(f, view(spark, d, "boxes_gt"), condition=near).select("case_id", F.col("l_fid").alias("fid")).distinct().withColumn("hit", F.lit(True))
     return f.join(hit, ["case_id", "fid"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
@@ -421,12 +421,12 @@ def l16(spark, d):
     return learning.derive_rules(view(spark, d, "corrections")).withColumn("confidence", F.round("confidence", 9))
 
 
-@query("j17_rule_diff", """WITH a AS (SELECT signature, answer, row_number() OVER (PARTITION BY signature ORDER BY count(DISTINCT screen) DESC, answer DESC) AS r FROM corrections WHERE item % 2 = 0 GROUP BY 1, 2), b AS (SELECT signature, answer, row_number() OVER (PARTITION BY signature ORDER BY count(DISTINCT screen) DESC, answer DESC) AS r FROM corrections WHERE item % 3 <> 0 GROUP BY 1, 2),
+@query("j17_rule_diff", """WITH a AS (SELECT signature, answer, row_number() OVER (PARTITION BY signature ORDER BY count(DISTINCT screen) DESC, answer DESC) AS r FROM corrections WHERE item % 2 = 0 GROUP BY 1, 2), b AS (SELECT signature, answer, row_number() OVER (PARTITION BY signature ORDER BY count(DISTINCT screen) DESC, answer DESC) AS r FROM corrections GROUP BY 1, 2),
   j AS (SELECT coalesce(x.signature, y.signature) AS signature, x.answer AS old_answer, y.answer AS new_answer FROM (SELECT * FROM a WHERE r = 1) x FULL JOIN (SELECT * FROM b WHERE r = 1) y ON x.signature = y.signature)
   SELECT *, CASE WHEN old_answer IS NULL THEN 'added' WHEN new_answer IS NULL THEN 'removed' ELSE 'changed' END AS change FROM j WHERE old_answer IS DISTINCT FROM new_answer""")
 def j17(spark, d):
     c = view(spark, d, "corrections")
-    return learning.rule_diff(learning.derive_rules(c.where("item % 2 = 0")), learning.derive_rules(c.where("item % 3 <> 0")))
+    return learning.rule_diff(learning.derive_rules(c.where("item % 2 = 0")), learning.derive_rules(c))
 
 
 @query("l29_state", "WITH u AS (SELECT DISTINCT reverts AS id FROM ledger WHERE accepted AND reverts IS NOT NULL), l AS (SELECT * FROM ledger WHERE accepted AND reverts IS NULL AND id NOT IN (SELECT id FROM u)), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, id DESC) AS n FROM l) SELECT k, new_value AS value FROM r WHERE n = 1")

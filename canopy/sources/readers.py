@@ -18,12 +18,16 @@ def _get(v: str, path: str, kind: str) -> Column:
     return F.expr(f"try_variant_get({v}, '$.{path}', '{kind}')")
 
 
-def read_trees(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each JSON file with a screen tree: (doc_id, width, height, dpr, design_system, meta, doc).
+def read_trees(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row for each JSON document with a screen tree: (doc_id, width, height, dpr, design_system, meta, doc).
 
-    doc_id is the file's name up to its first point; files that are no JSON are left out.
+    A document is a file, doc_id its name up to the first point; with ``lines`` it is a line, doc_id its field ``id``.
+    What is no JSON is left out.
     """
-    t = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^([^.]*)", 1).alias("doc_id"), F.expr("try_parse_json(value)").alias("doc"))
+    doc = F.expr("try_parse_json(value)").alias("doc")
+    if lines:
+        return with_head(spark.read.text(path).select(doc).where("doc IS NOT NULL").select(_get("doc", "id", "string").alias("doc_id"), "doc"))
+    t = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^([^.]*)", 1).alias("doc_id"), doc)
     return with_head(t.where("doc IS NOT NULL"))
 
 
