@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import byte_bpe, hmm, jaccard, line_dedup, near_vectors, packing, sharding, topk, toxicity, url_filter
+from canopy.llm import byte_bpe, conversation, fingerprint, hmm, jaccard, line_dedup, near_vectors, packing, sharding, topk, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,8 +55,16 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_read(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.against_edits(_read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(conversation.damaged(_read(spark, sf_dir, "conversations")), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_vectors, op2_toxicity, op3_packing, op4_line_dedup, op5_sharding, op6_top_k, op7_byte_bpe, op8_ngram_jaccard, op9_url_filter, op10_hmm)
+    f.__name__: f for f in (op1_near_vectors, op2_toxicity, op3_packing, op4_line_dedup, op5_sharding, op6_top_k, op7_byte_bpe, op8_ngram_jaccard, op9_url_filter, op10_hmm, op11_fingerprints, op12_conversation_repair)
 }
 ORACLES: dict[str, str] = {
     "op1_near_vectors": near_vectors.ORACLE,
