@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import byte_bpe, conversation, fingerprint, hmm, jaccard, line_dedup, near_vectors, packing, sharding, topk, toxicity, url_filter
+from canopy.llm import byte_bpe, collocation, conversation, fingerprint, hmm, jaccard, line_dedup, near_vectors, packing, sharding, topk, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,8 +63,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair(conversation.damaged(_read(spark, sf_dir, "conversations")), digest=True)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_vectors, op2_toxicity, op3_packing, op4_line_dedup, op5_sharding, op6_top_k, op7_byte_bpe, op8_ngram_jaccard, op9_url_filter, op10_hmm, op11_fingerprints, op12_conversation_repair)
+    f.__name__: f for f in (op1_near_vectors, op2_toxicity, op3_packing, op4_line_dedup, op5_sharding, op6_top_k, op7_byte_bpe, op8_ngram_jaccard, op9_url_filter, op10_hmm, op11_fingerprints, op12_conversation_repair, op13_collocations)
 }
 ORACLES: dict[str, str] = {
     "op1_near_vectors": near_vectors.ORACLE,
@@ -72,4 +76,5 @@ ORACLES: dict[str, str] = {
     "op6_top_k": topk.ORACLE,
     "op8_ngram_jaccard": jaccard.ORACLE,
     "op9_url_filter": url_filter.oracle(),
+    "op13_collocations": collocation.ORACLE,
 }
