@@ -484,3 +484,56 @@ def repair(rows: DataFrame, digest: bool = False, hold: int = 1 << 23) -> DataFr
     stream = info.unionByName(texts, allowMissingColumns=True).repartition("conv").sortWithinPartitions("conv", "part", "seq")
     chained = stream.mapInArrow(chain, f"conv_id {kind}, {result_ddl}")
     return done.unionByName(chained)
+
+
+def _edit(state: str, cost: str, letter: str, line: str) -> str:
+    """SQL of a state (six digits of cost, letters, a bar, lines each behind a line feed) after an edit."""
+    return f"lpad((substr({state}, 1, 6)::INTEGER + {cost})::VARCHAR, 6, '0') || substr({state}, 7, strpos({state}, '|') - 7) || '{letter}' || substr({state}, strpos({state}, '|')) || {line}"
+
+
+def oracle() -> str:
+    """The query's rows by a row-wise search for the cheapest and smallest edits, in DuckDB's SQL."""
+    line = lambda role, text="text": f"chr(10) || {role} || ':' || {text}"
+    insert = lambda s, role: _edit(s, str(INSERT), "I", f"chr(10) || '{role}:'")
+    stay = f"CASE WHEN fault = 1 THEN {CUT} ELSE 0 END"
+    delete = lambda s: _edit(s, str(DELETE), "D", "''")
+    keep = lambda s, i: f"CASE WHEN fault < 2 AND left(role, 1) = '{i}' THEN {_edit(s, stay, 'K', line('role'))} END"
+    name = lambda s, role: f"CASE WHEN fault < 2 THEN {_edit(s, f'{REROLE} + {stay}', 'R', line(chr(39) + role + chr(39)))} END"
+    start = f"SELECT conv_id, 0 AS i, '000000|' AS s0, NULL::VARCHAR AS s1, {insert(chr(39) + '000000|' + chr(39), 'user')} AS s2 FROM (SELECT DISTINCT conv_id FROM conversations)"
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations
+), coded AS (
+  SELECT keyed.*, xor(list_reduce(list_prepend(4294967295, list_transform(generate_series(1, length(s)), lambda k: ord(s[k])::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS code FROM keyed, crc
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded JOIN (SELECT unnest([0, 1]) AS copy) ON copy = 0 OR code = 3 WHERE code > 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM hurt
+), marked AS (
+  SELECT *, CASE WHEN solid = '' THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 3 WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+    lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS following FROM placed
+), begun AS (
+  SELECT *, {insert("s2", "assistant")} AS s3 FROM ({start})
+), reach AS (
+  SELECT * FROM begun
+  UNION ALL
+  SELECT conv_id, i, p0 AS s0, p1 AS s1, p2 AS s2, least(p3, {insert("p2", "assistant")}) AS s3 FROM (
+    SELECT conv_id, i, p0, p1, p3, least(p2, {insert("p0", "user")}, {insert("p1", "user")}, {insert("p3", "user")}) AS p2 FROM (
+      SELECT m.conv_id, m.i, {delete("s0")} AS p0, least({delete("s1")}, {keep("s0", "s")}) AS p1,
+        least({delete("s2")}, {", ".join(f"{keep(s, 'u')}, {name(s, 'user')}" for s in ("s0", "s1", "s3"))}) AS p2,
+        least({delete("s3")}, {keep("s2", "a")}, {name("s2", "assistant")}) AS p3
+      FROM reach JOIN marked m ON m.i = reach.i + 1 AND m.conv_id IS NOT DISTINCT FROM reach.conv_id))
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+    count(*) FILTER (following IS NOT NULL AND left(role, 1) || following NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM marked GROUP BY conv_id
+), best AS (
+  SELECT reach.conv_id, least(s0, s3) AS s, c.* EXCLUDE (conv_id) FROM reach LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM reach.conv_id WHERE reach.i = coalesce(n, 0)
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  substr(s, 1, 6)::BIGINT AS cost, substr(s, 7, strpos(s, '|') - 7) AS audit, sha256(substr(s, strpos(s, '|') + 2)) AS repaired_sha256
+FROM best
+"""

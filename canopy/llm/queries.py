@@ -76,5 +76,6 @@ ORACLES: dict[str, str] = {
     "op6_top_k": topk.ORACLE,
     "op8_ngram_jaccard": jaccard.ORACLE,
     "op9_url_filter": url_filter.oracle(),
+    "op12_conversation_repair": conversation.oracle(),
     "op13_collocations": collocation.ORACLE,
 }

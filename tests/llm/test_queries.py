@@ -11,8 +11,8 @@ from tests.llm.test_text_operators import brute_components, brute_sets, edit_dis
 BLANKS = " \t\r\v\f"
 
 
-def test_all_ten_are_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+def test_all_thirteen_are_registered():
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def brute_lines(rows):
