@@ -41,22 +41,53 @@ def test_near_vectors_equal_brute_force(spark):
     assert near_vectors.near_vectors(vectors(spark, rows).where("false")).count() == 0
 
 
-@pytest.mark.parametrize("offset", [0.0, 0.7])
-def test_near_vectors_find_isolated_pairs_of_a_large_label(spark, tmp_path, offset):
-    rng = np.random.default_rng(3)
-    n, pairs, dim = 100_000, 1000, 64
+def planted_pairs(rng, n, pairs, dim, offset):
+    """Unit vectors about a centre, the last ``pairs`` at cosine 0.935 to the first ones."""
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     centre = unit(rng.standard_normal((1, dim))) * offset
     base = unit(unit(rng.standard_normal((n - pairs, dim))) + centre)
     side = rng.standard_normal((pairs, dim))
     side = unit(side - (side * base[:pairs]).sum(1, keepdims=True) * base[:pairs])
-    x = np.concatenate([base, 0.935 * base[:pairs] + np.sqrt(1 - 0.935**2) * side])
+    return np.concatenate([base, 0.935 * base[:pairs] + np.sqrt(1 - 0.935**2) * side])
+
+
+@pytest.mark.parametrize("offset", [0.0, 0.7])
+def test_near_vectors_find_isolated_pairs_of_a_large_label(spark, tmp_path, offset):
+    n, pairs = 100_000, 1000
+    x = planted_pairs(np.random.default_rng(3), n, pairs, 64, offset)
     rows = pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), "label": np.zeros(n, np.int32)})
     pq.write_table(rows, tmp_path / "embeddings.parquet", row_group_size=20_000)
     got = near_vectors.near_vectors(spark.read.parquet(f"{tmp_path}/embeddings.parquet")).where(F.col("vec_id") >= n - pairs).toPandas()
     recall = (got["component_id"] < n - pairs).mean()
     print(f"recall at offset {offset}: {recall}")
-    assert recall >= 0.98
+    assert recall >= 0.985
+
+
+@pytest.mark.parametrize("offset", [0.0, 0.7])
+def test_passes_find_links_at_every_label_size(spark, tmp_path, offset):
+    rng, labels = np.random.default_rng(4), []
+    for label, (n, copies) in enumerate([(60, 1), (200, 10), (2000, 2), (20_000, 1)]):
+        labels += [(label * copies + 100 * k + label, planted_pairs(rng, n, n // 10, 64, offset)) for k in range(copies)]
+    x = np.concatenate([v for _, v in labels]).astype(np.float32)
+    names = np.repeat([g for g, _ in labels], [len(v) for _, v in labels]).astype(np.int32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": names}), tmp_path / "embeddings.parquet", row_group_size=9000)
+    df = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    got = near_vectors.near_vectors(df).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    want = np.zeros(len(x), int)
+    for g in np.unique(names):
+        at = np.flatnonzero(names == g)
+        y = x[at].astype(float)
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        want[at] = [(block >= 0.93).sum() - 1 for block in (y[k] @ y.T for k in range(len(y)))]
+    assert (got <= want).all()
+    for size in (60, 200, 2000, 20_000):
+        own = np.isin(names, [g for g, v in labels if len(v) == size])
+        recall = got[own].sum() / want[own].sum()
+        print(f"label of {size}, offset {offset}: {want[own].sum()} links, recall {recall}")
+        assert recall >= 0.99
+    if offset:
+        whole = near_vectors.near_vectors(df, exact=1 << 20).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+        assert (whole == want).all()
 
 
 def test_top_k_equals_brute_force(spark):
