@@ -1,20 +1,21 @@
 """Line deduplication by a segment-partition edit join (operator 4).
 
-Lines (split at line feeds, blanks at both ends ignored) within ``threshold`` edits of each other, or linked
+Lines (split at line feeds, blanks at both ends ignored) within the threshold of each other, or linked
 by a chain of such lines, are one class, and every class keeps its first occurrence: smallest document id,
-then position. Lines shorter than ``near_chars`` are only matched exactly; blank lines stay.
+then position. The threshold follows the shorter line's length: one edit for every ``per_edit`` characters, ``threshold``
+edits at most, so that the shortest lines are matched exactly; blank lines stay.
 
-A line of length l is cut into threshold + 1 segments of nearly equal length. Two lines within the threshold
+A line of length l is cut into one segment more than its threshold, of nearly equal length. Two lines within the threshold
 share at least one segment of the shorter line, at a place which the lengths and the segment's number
 narrow down to a few; each line posts its own segments and those substrings of it that may be a segment
-of a line up to ``threshold`` shorter. Lines that meet in a posting are verified by a banded
+of a shorter line within that line's threshold. Lines that meet in a posting are verified by a banded
 bit-parallel edit distance: the band's diagonals are the bits of one integer for each number of edits.
 Postings shared by very many lines are cut into blocks of ``block`` lines that meet pairwise, and only a
 spanning set of links leaves a posting.
 
 Texts cross a shuffle once, to be rebuilt; all else moves as hashes and positions. Lines are equal if two
 64-bit hashes are. Defined results: a null text stays null; documents that repeat (same id and text) count
-as one and are changed alike; a null id sorts behind all others; other columns pass through whatever their
+as one and are changed alike, and a null id or text equals no other; a null id sorts behind all others; other columns pass through whatever their
 names; an empty table gives no rows.
 """
 
@@ -50,14 +51,21 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def postings(line: str, threshold: int, shortest: int) -> set[int]:
+def allowed(length: int, threshold: int, per_edit: int) -> int:
+    """Edits within which a line of this length and a longer one are near."""
+    return min(threshold, length // per_edit)
+
+
+def postings(line: str, threshold: int, per_edit: int) -> set[int]:
     """Hashes of (length, segment number, content) for the line's own segments and all it must probe."""
     out, n = set(), len(line)
     data = line.encode() if line.isascii() else None
-    for length in range(max(shortest, n - threshold), n + 1):
-        shift = n - length
-        for i, (start, size) in enumerate(segments(length, threshold + 1)):
-            right = threshold - i
+    for length in range(max(1, n - threshold), n + 1):
+        edits, shift = allowed(length, threshold, per_edit), n - length
+        if not edits or shift > edits:
+            continue
+        for i, (start, size) in enumerate(segments(length, edits + 1)):
+            right = edits - i
             lo = max(0, start - i, start + shift - right)
             hi = min(n - size, start + i, start + shift + right)
             seed = length * (threshold + 1) + i
@@ -107,7 +115,7 @@ def within(a: str, b: str, threshold: int) -> bool:
     return bool(reach[threshold] >> at & 1)
 
 
-def spanning_links(lines: list[str], side: list[int], threshold: int) -> list[tuple[int, int]]:
+def spanning_links(lines: list[str], side: list[int], threshold: int, per_edit: int) -> list[tuple[int, int]]:
     """A spanning set (i, j) of the lines within the threshold; where there are two sides, only across these."""
     order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
     length, root, out = [len(x) for x in lines], list(range(len(lines))), []
@@ -126,8 +134,8 @@ def spanning_links(lines: list[str], side: list[int], threshold: int) -> list[tu
                 break
             if both and side[i] == side[j]:
                 continue
-            a, b = find(i), find(j)
-            if a != b and within(lines[i], lines[j], threshold):
+            a, b, edits = find(i), find(j), allowed(length[j], threshold, per_edit)
+            if a != b and length[i] - length[j] <= edits and within(lines[i], lines[j], edits):
                 root[a] = b
                 out.append((i, j))
     return out
@@ -145,12 +153,14 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def doc_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    """Identity of a document by id and text, either of which may be null."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("string"), F.col(text_col).isNull(), F.col(text_col))
 
 
-def near_lines(docs: DataFrame, threshold: int, near_chars: int, text_col: str, block: int = 256) -> DataFrame:
+def near_lines(docs: DataFrame, threshold: int, per_edit: int, text_col: str, block: int = 256) -> DataFrame:
     """``(v, c)``: lines (by hash) that link with another line within the threshold, and their class."""
-    shortest = max(near_chars, threshold + 1)
+    # a shorter line has neither a threshold of its own nor is it a longer one's partner
+    shortest = max(per_edit, 1)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -162,7 +172,7 @@ def near_lines(docs: DataFrame, threshold: int, near_chars: int, text_col: str,
                     if len(line) < shortest or (h := line_hash(line)) in seen:
                         continue
                     seen.add(h)
-                    own = postings(line, threshold, shortest)
+                    own = postings(line, threshold, per_edit)
                     keys.extend(own)
                     owners.append((h, len(own)))
                     if len(keys) > 200_000:
@@ -212,7 +222,7 @@ def near_lines(docs: DataFrame, threshold: int, near_chars: int, text_col: str,
                 side = own[lo:hi]
                 if first[lo] != second[lo] and len(set(side)) < 2:
                     continue  # one of the two blocks is empty
-                for i, j in spanning_links(text[lo:hi], side, threshold):
+                for i, j in spanning_links(text[lo:hi], side, threshold, per_edit):
                     left.append(h[lo + i])
                     right.append(h[lo + j])
             if left:
@@ -222,12 +232,12 @@ def near_lines(docs: DataFrame, threshold: int, near_chars: int, text_col: str,
     return components(edges)
 
 
-def repeated_lines(docs: DataFrame, threshold: int = 2, near_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = 2, per_edit: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(dk, gone array<int>)``: positions of the lines of each document that repeat an earlier line."""
     lines = line_table(docs, id_col, text_col).select("id", "dk", "pos", "h", "g")
     place = F.struct(F.col("id").isNull().alias("null"), "id", "dk", "pos")
     first = checkpoint(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    near = near_lines(docs, threshold, near_chars, text_col)
+    near = near_lines(docs, threshold, per_edit, text_col)
     tied = first.join(near.withColumnRenamed("v", "h"), "h", "left")
     low = tied.where("c IS NOT NULL").groupBy("c").agg(F.min("first").alias("class_first"))
     # only lines that occur twice or have a near line can lose an occurrence
@@ -236,15 +246,16 @@ def repeated_lines(docs: DataFrame, threshold: int = 2, near_chars: int = 20, id
     return hit.groupBy("dk").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedupe_lines(docs: DataFrame, threshold: int = 2, near_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
+def dedupe_lines(docs: DataFrame, threshold: int = 2, per_edit: int = 10, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """``docs`` without repeated lines (``n_chars``, where there is one, is counted anew).
 
     With ``report``: ``(doc_id, n_lines, n_removed, text)`` instead.
     """
-    gone = repeated_lines(docs, threshold, near_chars, id_col, text_col)
+    gone = repeated_lines(docs, threshold, per_edit, id_col, text_col)
     at, columns = docs.columns.index(text_col), docs.columns
     names = [f"c{i}" for i in range(len(columns))]
-    plain = docs.toDF(*names).withColumn("_dk", F.xxhash64(F.col(names[columns.index(id_col)]).cast("string"), F.col(names[at])))
+    plain = docs.toDF(*names)
+    plain = plain.withColumn("_dk", doc_key(names[columns.index(id_col)], names[at]))
     joined = plain.join(gone.select(F.col("dk").alias("_dk"), F.col("gone").alias("_gone")), "_dk", "left").drop("_dk")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ def test_all_thirteen_are_registered():
 
 
 def brute_lines(rows):
-    """Texts without lines within two edits of an earlier one (of 20 letters or more), or equal to one."""
+    """Texts without lines equal to an earlier one, or within two edits of it (one below 20 letters, none below 10)."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     lines = [(i, k, x.strip(BLANKS)) for i in order for k, x in enumerate((rows[i][1] or "").split("\n")) if x.strip(BLANKS)]
     kinds = list(dict.fromkeys(x for _, _, x in lines))
@@ -29,7 +29,8 @@ def brute_lines(rows):
 
     for a, x in enumerate(kinds):
         for y in kinds[:a]:
-            if min(len(x), len(y)) >= 20 and abs(len(x) - len(y)) <= 2 and edit_distance(x, y) <= 2:
+            edits = min(2, min(len(x), len(y)) // 10)
+            if abs(len(x) - len(y)) <= edits and edit_distance(x, y) <= edits:
                 root[find(x)] = find(y)
     first, gone = {}, defaultdict(set)
     for i, k, x in lines:

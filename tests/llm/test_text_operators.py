@@ -224,10 +224,10 @@ def test_banded_distance_and_postings():
             near = edit_distance(a, b) <= t
             assert line_dedup.within(a, b, t) == near
             if near and min(len(a), len(b)) > t:
-                assert line_dedup.postings(a, t, t + 1) & line_dedup.postings(b, t, t + 1)
+                assert line_dedup.postings(a, t, 1) & line_dedup.postings(b, t, 1)
 
 
-def brute_line_dedup(rows, threshold, near_chars):
+def brute_line_dedup(rows, threshold, per_edit):
     lines = [(i, k, x.strip(" \t\r\v\f")) for i, t in rows for k, x in enumerate((t or "").split("\n")) if t and x.strip(" \t\r\v\f")]
     lines.sort(key=lambda x: (x[0], x[1]))
     kinds = list(dict.fromkeys(x for _, _, x in lines))
@@ -241,7 +241,8 @@ def brute_line_dedup(rows, threshold, near_chars):
     for a in range(len(kinds)):
         for b in range(a):
             x, y = kinds[a], kinds[b]
-            if min(len(x), len(y)) >= near_chars and abs(len(x) - len(y)) <= threshold and edit_distance(x, y) <= threshold:
+            edits = min(threshold, min(len(x), len(y)) // per_edit)
+            if abs(len(x) - len(y)) <= edits and edit_distance(x, y) <= edits:
                 root[find(x)] = find(y)
     seen, gone = set(), defaultdict(set)
     for i, k, x in lines:
@@ -252,6 +253,15 @@ def brute_line_dedup(rows, threshold, near_chars):
     return {i: t if i not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
 
 
+def test_line_dedup_leaves_null_ids_and_texts_alone(spark):
+    rows = [(1, "5"), (None, "5"), (5, None), (None, None), (6, "12345678901\n12345678902\n123456789\n123456780"), (6, "12345678901\n12345678902\n123456789\n123456780"), (7, "5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_removed"], r["text"]) for r in line_dedup.dedupe_lines(docs, report=True).collect())
+    # lines of 10 letters or more may differ by one edit, shorter ones may not; repeated rows are changed alike
+    left = "12345678901\n123456789\n123456780"
+    assert got == Counter({(1, 0, "5"): 1, (None, 1, ""): 1, (5, 0, None): 1, (None, 0, None): 1, (6, 1, left): 2, (7, 1, ""): 1})
+
+
 def test_line_dedup_equals_brute_force(spark):
     rnd = random.Random(6)
     base = [" ".join(words(rnd, rnd.randrange(1, 9))) for _ in range(12)]
@@ -264,7 +274,7 @@ def test_line_dedup_equals_brute_force(spark):
 
     texts = ["\n".join(near(rnd.choice(base)) for _ in range(rnd.randrange(1, 8))) for _ in range(40)] + [None, "", "\n \n", "one\none", "x" * 9000]
     rows = list(enumerate(texts))
-    expected = brute_line_dedup(rows, 2, 20)
+    expected = brute_line_dedup(rows, 2, 10)
     docs = documents(spark, texts)
     out = line_dedup.dedupe_lines(docs)
     assert out.columns == docs.columns and out.schema == docs.schema
@@ -278,7 +288,7 @@ def test_line_dedup_blocks_do_not_change_links(spark):
     rnd = random.Random(8)
     text = "\n".join(f"this line has a number {rnd.randrange(400):03d} at its end" for _ in range(60))
     docs = documents(spark, [text])
-    sizes = [{frozenset(r["v"] for r in g) for g in _groups(line_dedup.near_lines(docs, 2, 20, "text", block=b).collect())} for b in (4, 1000)]
+    sizes = [{frozenset(r["v"] for r in g) for g in _groups(line_dedup.near_lines(docs, 2, 10, "text", block=b).collect())} for b in (4, 1000)]
     assert sizes[0] == sizes[1]
 
 

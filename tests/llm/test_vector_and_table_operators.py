@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +107,23 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_tells_rows_of_one_id_apart(spark):
+    rows = [(1, [1.0, 1.0], 0), (1, [5.0, 5.0], 0), (100, [1.0, 1.0], 0)]
+    for order in (rows, rows[::-1], [rows[1], rows[0], rows[2]]):
+        for shard_rows in (100, 1):
+            got = topk.top_k(vectors(spark, order), F.col("vec_id") % 100 == 0, shard_rows=shard_rows).collect()
+            assert sorted(tuple(r) for r in got) == [(100, 1, 1, 10 * 1024**2), (100, 2, 1, 2 * 1024**2)]
+    twice = [(100, [1.0, 1.0], 0), (100, [1.0, 1.0], 0), (100, [2.0, 2.0], 0), (7, [3.0, -0.0], 0), (7, [3.0, 0.0], 0), (None, [9.0, 9.0], 0)]
+    want = Counter()
+    x = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v, _ in twice[:-1]]
+    for a, (q, u) in enumerate(x):
+        if q == 100:
+            best = sorted((-int(u @ v), i) for b, (i, v) in enumerate(x) if a != b)
+            want.update((q, k, i, -s) for k, (s, i) in enumerate(best[:3], 1))
+    for shard_rows in (100, 2):
+        assert Counter(tuple(r) for r in topk.top_k(vectors(spark, twice), F.col("vec_id") % 100 == 0, k=3, shard_rows=shard_rows).collect()) == want
+
+
 def test_sharding_is_even_stable_and_total(spark):
     docs = spark.range(4000).select(F.when(F.col("id") % 1000 != 7, F.col("id")).alias("doc_id"), F.lit("x").alias("slot"), F.lit("y").alias("shard"))
     rows = sharding.shard(docs, "doc_id").collect()
