@@ -32,10 +32,10 @@ def structural_metrics(pred: DataFrame, truth: DataFrame, text_type: int = 2) ->
     """Metrics of each case (A01, A02); undefined ones are null.
 
     precision, recall, mean_iou, color_de, text_cer, text_recall, radius_mae, type_acc, component_acc (name and variant),
-    component_name_acc, token_acc. Matching is by IoU over all types.
+    component_name_acc, token_acc. Matching is by IoU over all types, with the greatest total.
     """
     pairs = spatial.spatial_join(pred, truth, condition=G.overlap("l_", "r_") * 2 >= G.union_area("l_", "r_")).withColumn("iou", G.iou("l_", "r_"))
-    m = spatial.checkpoint(spatial.match_one_to_one(pairs, ["case_id", "l_node"], ["case_id", "r_node"], "iou"))
+    m = spatial.checkpoint(spatial.assign(pairs, ["case_id", "l_node"], ["case_id", "r_node"], "iou"))
     lab = lambda p: C.lab(*[F.col(p + c) for c in "rgb"])
     both_text = (F.col("l_type") == text_type) & (F.col("r_type") == text_type)
     one = m.groupBy("case_id").agg(
@@ -61,11 +61,12 @@ def structural_metrics(pred: DataFrame, truth: DataFrame, text_type: int = 2) ->
     return j.select("case_id", (F.col("k") / F.col("n_pred")).alias("precision"), (F.col("k") / F.col("n_gt")).alias("recall"), *names)
 
 
-def match_findings(pred: DataFrame, truth: DataFrame, page_area: float, parent: Column | None = None, loc_iou: float = 0.3, centre_share: float = 0.25) -> DataFrame:
+def match_findings(pred: DataFrame, truth: DataFrame, page_area: float, parent: Column | None = None, loc_iou: float = 0.3, centre_share: float = 0.25, tie: Column | None = None) -> DataFrame:
     """One-to-one pairs (l: predicted, r: true) of findings that are localised.
 
     Localised: IoU of ``loc_iou``, or the centre in a true box of at most a quarter of the page. Equal types, and equal
-    parents (``parent`` of a column ``type``; the part before the point without it), are preferred.
+    parents (``parent`` of a column ``type``; the part before the point without it), are preferred. As many pairs as
+    possible are taken, and of those the best by score.
     """
     up = lambda p: F.split_part(F.col(p + "type").cast("string"), F.lit("."), F.lit(1))
     inside = (G.area("r_") <= page_area * centre_share) & G.contains_centre("r_", "l_")
@@ -73,7 +74,9 @@ def match_findings(pred: DataFrame, truth: DataFrame, page_area: float, parent:
     bonus = lambda same: F.when(same, 0.5).otherwise(0.0)
     same_parent = up("l_") == up("r_") if parent is None else F.col("l_parent") == F.col("r_parent")
     j = j.withColumn("score", 1 + G.iou("l_", "r_") + bonus(same_parent) + bonus(F.col("l_type") == F.col("r_type")))
-    return spatial.match_one_to_one(j, ["case_id", "l_fid"], ["case_id", "r_fid"], "score")
+    if tie is not None:
+        j = j.withColumn("tie", tie)
+    return spatial.assign(j, ["case_id", "l_fid"], ["case_id", "r_fid"], "score", most=True, tie=None if tie is None else "tie")
 
 
 def detection_levels(pairs: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:

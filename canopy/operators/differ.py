@@ -15,7 +15,7 @@ from canopy.functions import color as C
 from canopy.functions import geometry as G
 from canopy.functions import text as X
 from canopy.operators import spatial, tree
-from canopy.operators.stats import components
+from canopy.operators.core import components
 
 #: Tolerances of the checks.
 POS_TOL, SIZE_TOL, TEXT_SLACK, COLOR_TOL, RADIUS_TOL, SHADOW_TOL = 1.0, 1.5, 2.0, 6.0, 2.0, 2.0
@@ -50,7 +50,8 @@ def closure(nodes: DataFrame) -> DataFrame:
 
 
 def pair_items(expected: DataFrame, actual: DataFrame, max_distance: float = 40.0, least: float = 0.35) -> DataFrame:
-    """One-to-one pairs by overlap, nearness, size and text likeness."""
+    """One-to-one pairs by overlap, nearness, size and text likeness (J05): as many as possible, of those the best by
+    total score; those that score less than ``least`` are left out then."""
     pad = {"x": F.col("x") - max_distance, "y": F.col("y") - max_distance, "w": F.col("w") + 2 * max_distance, "h": F.col("h") + 2 * max_distance}
     own = {f"o{c}": F.col(c) for c in "xywh"}
     wide = actual.withColumns(own).withColumns(pad)
@@ -65,12 +66,13 @@ def pair_items(expected: DataFrame, actual: DataFrame, max_distance: float = 40.
     near = ((F.col("iou") >= 0.05) | (F.col("d") <= max_distance)) & ((F.col("alike") >= 0.2) | (F.col("iou") >= 0.3))
     words = (ke != "text") | (F.col("same_text") >= 0.3) | (F.col("iou") >= 0.5)
     score = F.col("iou") + F.exp(-F.col("d") / 8) * 0.5 + F.col("alike") * 0.3 + F.when(F.col("l_type") == F.col("r_type"), 0.2).otherwise(0.0) - F.when(ke != ka, 0.3).otherwise(0.0) + F.when(ke == "text", F.col("same_text") * 0.6).otherwise(0.0)
-    j = j.where(gate & near & words).withColumn("score", score).where(F.col("score") >= least).drop("alike", "same_text", "d")
-    return spatial.match_one_to_one(j, ["case_id", "l_node"], ["case_id", "r_node"], "score")
+    j = j.where(gate & near & words).withColumn("score", score).drop("alike", "same_text", "d")
+    return spatial.assign(j, ["case_id", "l_node"], ["case_id", "r_node"], "score", most=True).where(F.col("score") >= least)
 
 
 def match_elements(target: DataFrame, candidate: DataFrame, max_shift: float = 40.0, min_ratio: float = 0.5, max_cost: float = 1.8, weights: tuple[float, float, float, float] = (1.0, 0.6, 0.8, 0.3)) -> DataFrame:
-    """One-to-one pairs of least cost by overlap, edge displacement, colour, text and glyph."""
+    """One-to-one pairs by overlap, edge displacement, colour, text and glyph (J04): as many as possible, of those the
+    cheapest; those above ``max_cost`` are left out then."""
     w_shift, w_color, w_text, w_icon = weights
     own = {f"o{c}": F.col(c) for c in "xywh"}
     wide = candidate.withColumns(own).withColumns({"x": F.col("x") - max_shift - 1, "y": F.col("y") - max_shift - 1, "w": F.col("w") + 2 * max_shift + 2, "h": F.col("h") + 2 * max_shift + 2})
@@ -81,8 +83,8 @@ def match_elements(target: DataFrame, candidate: DataFrame, max_shift: float = 4
     cost = 1 - G.iou("l_", "r_") + shift * w_shift / max_shift + F.least(F.lit(1.0), C.delta76(lab("l_"), lab("r_")) / 50) * w_color
     cost = cost + F.when(kind("r_") == "text", F.least(F.lit(1.0), X.cer(F.col("l_text"), F.col("r_text"))) * w_text).otherwise(0.0)
     cost = cost + F.when((kind("r_") == "icon") & ~F.col("l_glyph").eqNullSafe(F.col("r_glyph")), w_icon).otherwise(0.0)
-    j = j.where((shift <= max_shift) & (kind("l_") == kind("r_")) & ~(small("w") & small("h"))).withColumn("cost", cost).where(F.col("cost") <= max_cost)
-    return spatial.match_one_to_one(j.withColumn("likeness", -F.col("cost")), ["case_id", "l_node"], ["case_id", "r_node"], "likeness").drop("likeness")
+    j = j.where((shift <= max_shift) & (kind("l_") == kind("r_")) & ~(small("w") & small("h"))).withColumn("cost", cost)
+    return spatial.assign(j.withColumn("likeness", -F.col("cost")), ["case_id", "l_node"], ["case_id", "r_node"], "likeness", most=True).drop("likeness").where(F.col("cost") <= max_cost)
 
 
 def with_colours(pairs: DataFrame) -> DataFrame:

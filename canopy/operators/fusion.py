@@ -101,14 +101,14 @@ def clusters(findings: DataFrame, order: list, link: float = 0.3) -> DataFrame:
 
 
 def label_clusters(votes: DataFrame, truth: DataFrame, least: float = 0.3) -> DataFrame:
-    """(case_id, cluster, label): the true type each cluster localises, one to one, else ``none``.
+    """(case_id, cluster, label): the true type each cluster localises, one to one, else ``none`` (L08); as many as possible.
 
     Votes: (case_id, cluster, type, x, y, w, h).
     """
     j = spatial.spatial_join(votes, truth, condition=G.iou("l_", "r_") >= least)
     score = 1 + G.iou("l_", "r_") + F.when(F.col("l_type") == F.col("r_type"), 0.5).otherwise(0.0)
     best = j.withColumn("score", score).groupBy("case_id", "l_cluster", "r_fid", "r_type").agg(F.max("score").alias("score"))
-    hit = spatial.match_one_to_one(best, ["case_id", "l_cluster"], ["case_id", "r_fid"], "score")
+    hit = spatial.assign(best, ["case_id", "l_cluster"], ["case_id", "r_fid"], "score", most=True)
     hit = hit.select("case_id", F.col("l_cluster").alias("cluster"), F.col("r_type").cast("string").alias("label"))
     return votes.select("case_id", "cluster").distinct().join(hit, ["case_id", "cluster"], "left").withColumn("label", F.coalesce("label", F.lit("none")))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from canopy.functions import color as C
 from canopy.functions import geometry as G
 from canopy.operators import spatial
-from canopy.operators.stats import components
+from canopy.operators.core import components
 
 
 def contained(boxes: DataFrame, share: float = 0.9, text_share: float = 0.6, text_type: int = 2, leaf_types: tuple[int, ...] = (2, 3)) -> DataFrame:

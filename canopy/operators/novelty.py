@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import geometry as G
 from canopy.operators import spatial, stats
-from canopy.operators.stats import components
+from canopy.operators.core import components
 
 #: Logarithmic bins: ``BINS`` of them from 10^LOW to 10^HIGH; 0 is bin 0.
 BINS, LOW, HIGH = 540, -7.0, 2.0

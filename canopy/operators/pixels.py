@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canopy.functions import color as C
-from canopy.operators.spatial import checkpoint
-from canopy.operators.stats import components
+from canopy.operators.core import checkpoint
+from canopy.operators.core import components
 
 #: Colour differences from which a pixel counts: just noticeable, plainly wrong.
 JND, BAD = 2.3, 6.0

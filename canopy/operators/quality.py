@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canopy.operators.spatial import checkpoint
+from canopy.operators.core import checkpoint
 from canopy.operators.stats import quantiles
 
 #: Metric, higher is better, value of goodness 0 (null: 1), weight, stage: the composite's definition (fixed values).

@@ -9,40 +9,18 @@ of its intersection, so no pair is seen twice and no distinct is needed. Boxes t
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canopy.functions import geometry as G
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, ``spark.checkpoint.dir``; a temporary folder only in local mode, where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="canopy-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: for loops of joins, as a checkpoint keeps its plan's
-    size estimate and joins multiply those without end."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from canopy.operators.core import checkpoint, components, local_roots, runs
 
 
 def prefixed(df: DataFrame, p: str, keep: tuple[str, ...] = ("case_id",)) -> DataFrame:
@@ -87,8 +65,6 @@ def _settling_group(pairs: DataFrame, group: str, left: list[str], right: list[s
     """``pairs`` with ``_group``: rows of different groups do not compete. It is ``group``, and in groups of more than
     ``limit`` pairs the connected component of the pair (by 64-bit hashes; a collision only joins two groups).
     ``same``: both sides name the same things."""
-    from canopy.operators.stats import components
-
     large = checkpoint(pairs.groupBy(group).count().where(F.col("count") > limit).select(group))
     whole = F.xxhash64(group)
     if large.isEmpty():
@@ -129,12 +105,121 @@ def match_one_to_one(pairs: DataFrame, left: list[str], right: list[str], score:
     return dealt.mapInArrow(pick, pairs.schema)
 
 
-def match_nodes(pred: DataFrame, truth: DataFrame, iou_num: int = 1, iou_den: int = 2) -> DataFrame:
-    """One-to-one matches of equal type with IoU of at least iou_num / iou_den."""
+def assignment(size: int, edges: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Pairs (l, r) of greatest total weight, each side used once, from (l, r, weight) of whole numbers.
+
+    Shortest augmenting paths with potentials over the given edges: the left side's ``size`` members come in one
+    after the other, each with a place of its own of weight 0 to stay alone.
+    """
+    near: list[list[tuple[int, int]]] = [[(-1 - i, 0)] for i in range(size)]
+    for i, j, weight in edges:
+        near[i].append((j, -weight))
+    left, right = [0] * size, defaultdict(int)
+    owner: dict[int, int] = {}
+    mate: dict[int, int] = {}
+    for s in range(size):
+        best, via, done, heap = {}, {}, set(), []
+        i, base = s, 0
+        while True:
+            for j, cost in near[i]:
+                if j not in done:
+                    new = base + cost - left[i] - right[j]
+                    if j not in best or new < best[j]:
+                        best[j], via[j] = new, i
+                        heappush(heap, (new, j))
+            while heap[0][1] in done:
+                heappop(heap)
+            base, j = heappop(heap)
+            done.add(j)
+            if j not in owner:
+                break
+            i = owner[j]
+        left[s] += base
+        for k in done - {j}:
+            left[owner[k]] += base - best[k]
+            right[k] -= base - best[k]
+        while True:
+            i = via[j]
+            owner[j], mate[i], j = i, j, mate.get(i)
+            if i == s:
+                break
+    return [(i, j) for j, i in owner.items() if j >= 0]
+
+
+def assign(pairs: DataFrame, left: list[str], right: list[str], score: str, group: str = "case_id", most: bool = False, tie: str | None = None, limit: int = GROUP_PAIRS) -> DataFrame:
+    """Optimal one-to-one matching (J02): the pairs of greatest total score, each side used once.
+
+    With ``most``, as many pairs as possible, and of those matchings the one of greatest total score. Scores count in
+    steps of 1e-9; of equal totals the one with the greatest total of ``tie``, a column of small whole numbers, is taken.
+    ``contested`` tells pairs whose sides have other partners. Pairs that are not contested are settled by two
+    windows; the others are split into connected parts, each of which one task solves.
+    """
+    columns, n = pairs.columns, len(left)
+    alone = lambda keys: F.count("*").over(W.partitionBy(*keys)) == 1
+    marked = checkpoint(pairs.withColumn("contested", ~(alone(left) & alone(right))))
+    # without ``most`` a score of 0 or less adds nothing
+    worth = F.lit(True) if most else F.col(score) > 0
+    settled = marked.where(~F.col("contested") & worth)
+    keyed = _settling_group(marked.where("contested"), group, left, right, False, limit)
+    extra = [F.round(F.col(score) * 1_000_000_000).cast("long").alias("_score"), (F.col(tie).cast("long") if tie else F.lit(0).cast("long")).alias("_tie")]
+    keyed = keyed.select("_group", *[F.col(c).alias(f"_k{i}") for i, c in enumerate([*left, *right])], *extra, *columns, "contested")
+    dealt = keyed.repartition("_group").sortWithinPartitions("_group", *left, *right)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in runs(batches, ["_group"]):
+            keys = [table.column(1 + i).to_pylist() for i in range(2 * n)]
+            scores, ties = table["_score"].to_pylist(), table["_tie"].to_pylist()
+            keep: list[int] = []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                sides = []
+                for of in (keys[:n], keys[n:]):
+                    place: dict[tuple, int] = {}
+                    sides.append([place.setdefault(k, len(place)) for k in zip(*(c[lo:hi] for c in of), strict=True)])
+                keep += (lo + k for k in _best_pairs(*sides, scores[lo:hi], ties[lo:hi], most))
+            yield from table.select(list(range(3 + 2 * n, table.num_columns))).take(pa.array(sorted(keep), pa.int64())).to_batches()
+
+    return settled.unionByName(dealt.mapInArrow(solve, marked.schema))
+
+
+def _best_pairs(a: list[int], b: list[int], scores: list[int], ties: list[int], most: bool) -> Iterator[int]:
+    """Positions of the pairs (a, b) of the best matching, part by part."""
+    at, size = np.array(a), max(a) + 1
+    root = local_roots(size + max(b) + 1, at, size + np.array(b))[at]
+    order = np.argsort(root, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+        part = part.tolist()
+        if len(part) == 1:
+            if most or scores[part[0]] > 0:
+                yield part[0]
+            continue
+        place: dict[int, int] = {}
+        rows = [place.setdefault(a[k], len(place)) for k in part]
+        count = 2 * sum(abs(scores[k]) for k in part) + 1 if most else 0
+        step = 2 * sum(abs(ties[k]) for k in part) + 1
+        edges = {(i, b[k]): k for i, k in zip(rows, part, strict=True)}
+        weight = [(i, j, (count + scores[k]) * step + ties[k]) for (i, j), k in edges.items()]
+        for pair in assignment(len(place), weight):
+            yield edges[pair]
+
+
+def match_nodes(pred: DataFrame, truth: DataFrame, iou_num: int = 1, iou_den: int = 2, tie: Column | None = None) -> DataFrame:
+    """One-to-one matches of equal type with IoU of at least iou_num / iou_den and the greatest total IoU.
+
+    A true box with an ink box (ix, iy, iw, ih, not null; glyphs) matches by the better of the two.
+    """
     inter, union = G.overlap("l_", "r_"), G.union_area("l_", "r_")
-    ok = (inter * iou_den >= union * iou_num) & (F.col("l_type") == F.col("r_type"))
-    pairs = spatial_join(pred, truth, condition=ok).withColumn("iou", G.iou("l_", "r_"))
-    return match_one_to_one(pairs, ["case_id", "l_node"], ["case_id", "r_node"], "iou")
+    ok, score = inter * iou_den >= union * iou_num, G.iou("l_", "r_")
+    if "ix" in truth.columns:
+        ink = truth.where(F.col("iw") * F.col("ih") > 0).withColumns({c: F.col(f"i{c}") for c in "xywh"})
+        pairs = spatial_join(pred, truth).withColumn("iou", score).unionByName(spatial_join(pred, ink).withColumn("iou", score))
+        own = [c for c in pairs.columns if c not in ("iou", "r_x", "r_y", "r_w", "r_h")]
+        pairs = pairs.groupBy(*own).agg(F.max("iou").alias("iou")).where((F.col("iou") * iou_den >= iou_num) & (F.col("l_type") == F.col("r_type")))
+        pairs = pairs.join(truth.select("case_id", F.col("node").alias("r_node"), *[F.col(c).alias(f"r_{c}") for c in "xywh"]), ["case_id", "r_node"])
+    else:
+        pairs = spatial_join(pred, truth, condition=ok & (F.col("l_type") == F.col("r_type"))).withColumn("iou", score)
+    if tie is None:
+        return assign(pairs, ["case_id", "l_node"], ["case_id", "r_node"], "iou")
+    return assign(pairs.withColumn("tie", tie), ["case_id", "l_node"], ["case_id", "r_node"], "iou", tie="tie").drop("tie")
 
 
 def best_overlap(left: DataFrame, right: DataFrame, key: str = "node") -> DataFrame:

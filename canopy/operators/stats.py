@@ -2,73 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canopy.operators.spatial import checkpoint, written
-
-
-#: Edges that one task may settle.
-FEW_EDGES = 500_000
-
-
-def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest reachable position for each of ``n`` positions under the links (i, j)."""
-    label = np.arange(n)
-    while True:
-        a, b = label[i], label[j]
-        live = a != b
-        if not live.any():
-            return label
-        i, j = i[live], j[live]
-        np.minimum.at(label, np.maximum(a, b)[live], np.minimum(a, b)[live])
-        while not np.array_equal(label, up := label[label]):
-            label = up
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(v, c)``, c the smallest vertex, for all edges of one task."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if held:
-        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = local_roots(len(ids), at[: len(a)], at[len(a) :])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["v", "c"])
-
-
-def components(edges: DataFrame, few: int = FEW_EDGES, max_rounds: int = 60) -> DataFrame:
-    """``(v, component)``: smallest vertex reachable over the undirected edges (a, b) of longs.
-
-    While there are more than ``few`` edges, every vertex hooks to its neighbour of smallest random rank and the edges
-    are contracted, so vertices shrink by a constant factor a round and no long path is walked step by step.
-    What is left is settled in one task.
-    """
-    e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    level = written(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    maps: list[DataFrame] = []
-    while level.count() > few:
-        if len(maps) == max_rounds:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-        both = level.union(level.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))), F.col(c))  # noqa: B023, E731
-        hook = written(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.when(F.col("m") < rank("a"), F.col("m")["b"]).otherwise(F.col("a")).alias("c")))
-        maps.append(hook)
-        left, right = hook.select(F.col("v").alias("a"), F.col("c").alias("ca")), hook.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-        level = written(level.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
-    out = written(level.repartition(1).mapInArrow(_settle, "v long, c long"))
-    for hook in reversed(maps):
-        up = out.select(F.col("v").alias("c"), F.col("c").alias("top"))
-        out = hook.join(up, "c", "left").select("v", F.coalesce("top", "c").alias("c"))
-    if maps:
-        low = out.groupBy("c").agg(F.min("v").alias("component"))
-        out = written(out.join(low, "c").select("v", F.col("component").alias("c")))
-    alone = e.where("a = b").select(F.col("a").alias("v")).distinct().join(out, "v", "left_anti")
-    return out.select("v", F.col("c").alias("component")).unionByName(alone.withColumn("component", F.col("v")))
+from canopy.operators.core import checkpoint, components, local_roots, written  # noqa: F401
 
 
 def quantiles(df: DataFrame, keys: list[str], value: Column, qs: list[float]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canopy.operators.spatial import checkpoint
+from canopy.operators.core import checkpoint
 
 
 def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:

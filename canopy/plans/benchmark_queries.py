@@ -34,7 +34,7 @@ def _located(spark, d):
     """Pairs by an IoU of a half, whatever their types."""
     pred, truth = _detections(spark, d)
     j = spatial.spatial_join(pred, truth, condition=G.overlap("l_", "r_") * 2 >= G.union_area("l_", "r_")).withColumn("iou", G.iou("l_", "r_"))
-    return spatial.match_one_to_one(j, ["case_id", "l_fid"], ["case_id", "r_fid"], "iou")
+    return spatial.assign(j, ["case_id", "l_fid"], ["case_id", "r_fid"], "iou")
 
 
 _LOC = f"loc AS (SELECT p.case_id, p.node AS l_fid, g.node AS r_fid, p.type AS l_type, g.type AS r_type FROM boxes_pred p JOIN boxes_gt g ON p.case_id = g.case_id AND {_I} * 3 >= p.w * p.h + g.w * g.h)"

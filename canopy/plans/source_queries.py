@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.operators import differ
-from canopy.operators.spatial import shared_folder
+from canopy.operators.core import shared_folder
 from canopy.plans.views import view
 from canopy.registry import query, read
 from canopy.sources import readers, sinks

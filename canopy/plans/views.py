@@ -31,6 +31,12 @@ VIEWS = {
              (l_orderkey * 31 + n * 17 + d.detector * 7) % 1000 AS confidence, l_partkey % 40 AS magnitude
       FROM lines CROSS JOIN (SELECT 0 AS detector UNION ALL SELECT 1 UNION ALL SELECT 2) d
       WHERE (l_orderkey * 5 + n * 3 + d.detector) % 4 <> 0""",
+    "rivals_gt": """
+      SELECT l_orderkey AS case_id, n AS node, CAST(floor((n - 1) / 3) AS INT) AS slot, CAST(floor((n - 1) / 3) AS INT) * 400 + (l_partkey * 5) % 31 AS x, (l_suppkey * 3) % 17 AS y,
+             60 + (l_partkey * 7) % 23 AS w, 50 + (l_suppkey * 11) % 13 AS h, l_partkey % 2 AS type FROM lines""",
+    "rivals_pred": """
+      SELECT l_orderkey AS case_id, n AS node, CAST(floor((n - 1) / 3) AS INT) AS slot, CAST(floor((n - 1) / 3) AS INT) * 400 + (l_suppkey * 13) % 31 AS x, (l_partkey * 7) % 17 AS y,
+             60 + (l_suppkey * 5) % 23 AS w, 50 + (l_partkey * 3) % 13 AS h, (l_partkey + CASE WHEN n % 4 = 0 THEN 1 ELSE 0 END) % 2 AS type FROM lines""",
     "tree": """
       SELECT 'r' || r_regionkey AS id, CAST(NULL AS STRING) AS parent, 0 AS depth, r_name AS name, r_regionkey AS k FROM region
       UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1, n_name, n_nationkey FROM nation

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from canopy.functions import color as C
 from canopy.functions import geometry as G
 from canopy.functions import text as X
-from canopy.operators import learning, quality, spatial, stats, tokens, tree
+from canopy.operators import benchmark, learning, quality, spatial, stats, tokens, tree
 from canopy.plans.views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,40 @@ def j02(spark, d):
     return m.select("case_id", "l_node", "r_node", F.round("iou", 9).alias("iou"))
 
 
+def _best_matching(pairs: str, value: str) -> str:
+    """Of all matchings in each (case, slot) of at most three boxes a side the one with the greatest (value, tie)."""
+    return f"""WITH RECURSIVE boxes AS (SELECT p.case_id, p.slot, p.node AS l_node, g.node AS r_node, p.type AS l_type, g.type AS r_type, p.x + p.w / 2.0 AS cx, p.y + p.h / 2.0 AS cy, g.x, g.y, g.w, g.h,
+    greatest(least(p.x + p.w, g.x + g.w) - greatest(p.x, g.x), 0) * greatest(least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y), 0) AS i, p.w * p.h + g.w * g.h AS s FROM rivals_pred p JOIN rivals_gt g ON p.case_id = g.case_id AND p.slot = g.slot),
+  pairs AS (SELECT case_id, slot, l_node, r_node, round(i * 1.0 / (s - i), 9) AS iou, {value} AS score, (1 << ((l_node - 1) % 3 * 3 + (r_node - 1) % 3))::BIGINT AS tie FROM boxes WHERE {pairs}),
+  lefts AS (SELECT case_id, slot, l_node, row_number() OVER (PARTITION BY case_id, slot ORDER BY l_node) AS k FROM (SELECT DISTINCT case_id, slot, l_node FROM pairs)),
+  open AS (SELECT case_id, slot, l_node, k, r_node, score, tie FROM lefts JOIN pairs USING (case_id, slot, l_node) UNION ALL SELECT case_id, slot, l_node, k, NULL, 0, 0 FROM lefts),
+  found AS (SELECT DISTINCT case_id, slot, 0::BIGINT AS k, []::BIGINT[] AS l, []::BIGINT[] AS r, 0::HUGEINT AS score, 0::BIGINT AS tie FROM lefts
+    UNION ALL SELECT f.case_id, f.slot, o.k, CASE WHEN o.r_node IS NULL THEN f.l ELSE list_append(f.l, o.l_node) END, CASE WHEN o.r_node IS NULL THEN f.r ELSE list_append(f.r, o.r_node) END, f.score + o.score, f.tie + o.tie
+    FROM found f JOIN open o ON o.case_id = f.case_id AND o.slot = f.slot AND o.k = f.k + 1 AND (o.r_node IS NULL OR NOT list_contains(f.r, o.r_node))),
+  best AS (SELECT case_id, slot, unnest(l) AS l_node, unnest(r) AS r_node FROM (SELECT *, row_number() OVER (PARTITION BY case_id, slot ORDER BY score DESC, tie DESC) AS place FROM found f WHERE k = (SELECT max(k) FROM lefts o WHERE o.case_id = f.case_id AND o.slot = f.slot)) WHERE place = 1),
+  l AS (SELECT case_id, l_node, count(*) AS nl FROM pairs GROUP BY ALL), r AS (SELECT case_id, r_node, count(*) AS nr FROM pairs GROUP BY ALL)
+  SELECT b.case_id, b.l_node, b.r_node, p.iou, nl > 1 OR nr > 1 AS contested FROM best b JOIN pairs p USING (case_id, l_node, r_node) JOIN l USING (case_id, l_node) JOIN r USING (case_id, r_node)"""
+
+
+def _tie(key: str):
+    """A bit for each place of a slot of three boxes a side, so that no two matchings have equal totals."""
+    at = lambda side: ((F.col(f"{side}_{key}") - 1) % 3).cast("int")
+    return F.pow(F.lit(2), at("l") * 3 + at("r")).cast("long")
+
+
+@query("j02_contested_nodes", _best_matching("i * 2 >= s - i AND i > 0 AND l_type = r_type", "round(i * 1.0 / (s - i) * 1000000000)::BIGINT"))
+def j02_contested(spark, d):
+    m = spatial.match_nodes(view(spark, d, "rivals_pred"), view(spark, d, "rivals_gt"), tie=_tie("node"))
+    return m.select("case_id", "l_node", "r_node", F.round("iou", 9).alias("iou"), "contested")
+
+
+@query("j03_contested_findings", _best_matching("i > 0 AND (i * 10 >= 3 * (s - i) OR (cx >= x AND cx < x + w AND cy >= y AND cy < y + h))", "100000000000 + round((1 + i * 1.0 / (s - i) + CASE WHEN l_type = r_type THEN 0.5 ELSE 0.0 END + CASE WHEN l_type = r_type THEN 0.5 ELSE 0.0 END) * 1000000000)::BIGINT"))
+def j03_contested(spark, d):
+    pred, truth = (view(spark, d, v).withColumn("fid", F.col("node")) for v in ("rivals_pred", "rivals_gt"))
+    m = benchmark.match_findings(pred, truth, 1e9, tie=_tie("fid"))
+    return m.select("case_id", F.col("l_fid").alias("l_node"), F.col("r_fid").alias("r_node"), F.round(G.iou("l_", "r_"), 9).alias("iou"), "contested")
+
+
 @query("j06_best_overlap", f"""WITH pairs AS (SELECT {_PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY case_id, l_node ORDER BY i * 1.0 / (s - i) DESC, r_node) AS k FROM pairs WHERE i > 0)
   SELECT case_id, l_node, r_node AS best, round(i * 1.0 / (s - i), 9) AS iou FROM r WHERE k = 1""")
 def j06(spark, d):
