@@ -5,10 +5,11 @@ ones up to ``longest`` words, padded at the end of its piece; only these longest
 (lang, w1, ..., wk) then sums them over successively shorter prefixes, which are the counts of all shorter phrases
 and, at its first level, each language's number of words.
 
-Windows are padded early where a phrase cannot reach ``min_count``: one pass counts words and pairs of neighbours
-in a fixed number of hashed counters (``2^bits`` bytes a task), and a window ends before a word or a pair whose
-counter stays below. A counter counts at least what its words and pairs count, so every phrase that is frequent enough
-keeps all its occurrences and counts are exact; where data outgrow the counters only more windows are counted.
+Windows are padded early where a phrase cannot reach ``min_count``: passes over the texts count words and pairs, then
+triples and so on in a fixed number of hashed counters (``2^bits`` bytes a task), each pass only where all shorter
+parts may be frequent; a window ends where its counter stays below. A counter counts at least what its phrases count,
+so every phrase that is frequent enough keeps all its occurrences and counts are exact; where data outgrow the counters
+(more than about 2^bits * min_count / 2 words) ever more windows are counted, so raise ``bits`` or ``min_count`` with them.
 
 Scores are integers from decimals of 38 digits. A candidate's least cut, its longer candidates and the ranks are
 joins, grouped aggregates and two ranking steps (``_DEAL`` parts of a language first).
@@ -55,34 +56,68 @@ class Words:
         self.text = np.searchsorted(np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1), self.starts, side="right")
 
 
-def _slots(hashes: np.ndarray, langs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counters of each word and of each pair of neighbours, apart for every language."""
-    own = mix(hashes ^ langs)
-    pair = mix(own[:-1] * U64(3) + hashes[1:])
-    return (own >> U64(64 - bits)).astype(np.int64), (pair >> U64(64 - bits)).astype(np.int64)
+class Grams:
+    """Hashes of the phrases of 1, 2, ... words at each position, apart for every language."""
 
+    def __init__(self, words: Words, langs: list[str], bits: int):
+        seeds = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in langs], U64)
+        self.piece, self.bits, self.order = words.piece, bits, 1
+        self.word = slice_hashes(words.raw, words.starts, words.ends)
+        self.hash = mix(self.word ^ seeds[words.text])
 
-def _spoken(words: Words, langs: list[str]) -> np.ndarray:
-    seeds = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in langs], U64)
-    return seeds[words.text]
+    def slots(self) -> np.ndarray:
+        return (self.hash >> U64(64 - self.bits)).astype(np.int64)
 
+    def longer(self) -> np.ndarray:
+        """Goes on to phrases of one word more; which positions have one in their piece."""
+        k = self.order
+        self.order += 1
+        if k >= len(self.word):
+            return np.zeros(len(self.word), bool)
+        self.hash = np.append(mix(self.hash[:-k] * U64(3) + self.word[k:]), np.zeros(k, U64))
+        return np.append(self.piece[k:] == self.piece[:-k], np.zeros(k, bool))
 
-def frequent_slots(source: DataFrame, limit: int, bits: int) -> np.ndarray:
-    """One bit for each counter of words and pairs that reaches ``limit``; ``source``: lang, text."""
-    limit = min(limit, 255)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint8)
-        for batch in batches:
-            langs, texts = (batch.column(k).to_pylist() for k in (0, 1))
-            for lo, hi in chunks(texts):
-                words = Words(texts[lo:hi])
-                own, pair = _slots(slice_hashes(words.raw, words.starts, words.ends), _spoken(words, langs[lo:hi]), bits)
-                slot, n = np.unique(np.concatenate([own, pair[words.piece[1:] == words.piece[:-1]]]), return_counts=True)
-                total[slot] = np.minimum(total[slot] + n, limit)
-        for k in range(0, len(total), _PART):
-            if total[k : k + _PART].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(total[k : k + _PART].tobytes(), 1)], pa.binary())], names=["part", "counts"])
+def _alive(grams: Grams, reached: np.ndarray, counted: int) -> Iterator[np.ndarray]:
+    """For phrases of 1, 2, ... words the positions where they and all their parts may be frequent; without
+    end, so that those of ``counted`` words and more are only known by their parts."""
+    have = lambda slot: reached[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 > 0
+    alive = have(grams.slots()) if counted else np.ones(len(grams.word), bool)
+    while True:
+        yield alive
+        inside = grams.longer()
+        alive = alive & inside & np.append(alive[1:], np.zeros(min(1, len(alive)), bool))
+        if grams.order <= counted:
+            alive &= have(grams.slots())
+
+
+def frequent_slots(source: DataFrame, limit: int, bits: int, longest: int) -> np.ndarray:
+    """One bit for each counter of phrases that reaches ``limit``; ``source``: lang, text."""
+    limit, spark = min(limit, 255), source.sparkSession
+
+    def reached_in(orders: list[int], before: np.ndarray) -> np.ndarray:
+        known = spark.sparkContext.broadcast(before)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 << bits, np.uint8)
+            for batch in batches:
+                langs, texts = (batch.column(k).to_pylist() for k in (0, 1))
+                for lo, hi in chunks(texts):
+                    grams, slots = Grams(Words(texts[lo:hi]), langs[lo:hi], bits), []
+                    for order, alive in zip(range(1, orders[-1] + 1), _alive(grams, known.value, orders[0] - 1), strict=False):
+                        if order in orders:
+                            slots.append(grams.slots()[alive])
+                    slot, n = np.unique(np.concatenate(slots), return_counts=True)
+                    total[slot] = np.minimum(total[slot] + n, limit)
+            for k in range(0, len(total), _PART):
+                if total[k : k + _PART].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(total[k : k + _PART].tobytes(), 1)], pa.binary())], names=["part", "counts"])
+
+        out = before.copy()
+        summed = source.mapInArrow(count, "part long, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(add, "part long, bits binary")
+        for row in summed.collect():  # a bit for each of a fixed number of counters
+            out[row["part"] // 8 : (row["part"] + _PART) // 8] |= np.frombuffer(row["bits"], np.uint8)
+        return out
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = None, None
@@ -102,29 +137,19 @@ def frequent_slots(source: DataFrame, limit: int, bits: int) -> np.ndarray:
             yield reached()
 
     out = np.zeros(max(_PART, 1 << bits) // 8, np.uint8)
-    summed = source.mapInArrow(count, "part long, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(add, "part long, bits binary")
-    for row in summed.collect():  # a bit for each of a fixed number of counters
-        out[row["part"] // 8 : (row["part"] + _PART) // 8] = np.frombuffer(row["bits"], np.uint8)
+    for orders in ([1, 2], *([k] for k in range(3, longest + 1))):
+        out = reached_in([k for k in orders if k <= longest], out)
     return out
 
 
-def window_lengths(words: Words, hashes: np.ndarray, langs: np.ndarray, reached: np.ndarray, bits: int, longest: int) -> np.ndarray:
-    """Words of the window at each position: up to the end of its piece or of what is frequent."""
-    have = lambda slot: reached[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 > 0
-    own, pair = _slots(hashes, langs, bits)
-    alive = have(own)
-    on = np.zeros(len(own), bool)
-    on[:-1] = (words.piece[1:] == words.piece[:-1]) & alive[1:] & have(pair)
-    out = alive.astype(np.int64)
-    for k in range(longest - 1):
-        alive = alive & np.append(on[k:], np.zeros(k, bool))[: len(on)]
-        out += alive
-    return out
+def window_lengths(grams: Grams, reached: np.ndarray, longest: int) -> np.ndarray:
+    """Words of the window at each position: up to the end of its piece or of what may be frequent."""
+    return sum(alive.astype(np.int64) for _, alive in zip(range(longest), _alive(grams, reached, longest), strict=False))
 
 
 def count_windows(source: DataFrame, min_count: int, longest: int, bits: int) -> DataFrame:
     """``(lang, w1, ..., wk, n)``: the distinct padded windows with their counts; '' is padding."""
-    reached = source.sparkSession.sparkContext.broadcast(frequent_slots(source, min_count, bits))
+    reached = source.sparkSession.sparkContext.broadcast(frequent_slots(source, min_count, bits, longest))
     columns = [f"w{k}" for k in range(1, longest + 1)]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +160,7 @@ def count_windows(source: DataFrame, min_count: int, longest: int, bits: int) ->
                 names = sorted(set(langs[lo:hi]))
                 place = {x: k for k, x in enumerate(names)}
                 number = np.array([place[x] for x in langs[lo:hi]], np.int64)
-                hashes = slice_hashes(words.raw, words.starts, words.ends)
-                length = window_lengths(words, hashes, _spoken(words, langs[lo:hi]), reached.value, bits, longest)
+                length = window_lengths(Grams(words, langs[lo:hi], bits), reached.value, longest)
                 for at in range(0, len(length), _SLICE):
                     own = slice(at, min(at + _SLICE, len(length)))
                     more = slice(at, at + _SLICE + longest)
