@@ -40,6 +40,11 @@ def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return fy * 116 - 16, (fx - fy) * 500, (fy - fz) * 200
 
 
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    """Relative luminance of an sRGB colour."""
+    return _linear(r) * 0.2126 + _linear(g) * 0.7152 + _linear(b) * 0.0722
+
+
 def delta76(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.sqrt(sum((x - y) * (x - y) for x, y in zip(a, b, strict=True)))
 
