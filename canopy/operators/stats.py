@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canopy.operators.core import checkpoint, components, local_roots, written  # noqa: F401
+from canopy.operators.metric import k_nearest  # noqa: F401
 
 
 def quantiles(df: DataFrame, keys: list[str], value: Column, qs: list[float]) -> DataFrame:
@@ -30,28 +31,6 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, qs: list[float]) ->
     return g.select(*keys, F.array(*out).alias("q"))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-
-
-def k_nearest(queries: DataFrame, known: DataFrame, k: int, limit: int = 50_000) -> DataFrame:
-    """The k nearest known items of each query, ties to the smaller id.
-
-    The known side is sent to all executors only up to ``limit`` rows (counted); beyond, both sides are dealt
-    to blocks that meet pairwise, so neither is held whole anywhere.
-    """
-    q, o = queries.select(F.col("id").alias("query_id"), F.col("x").alias("qx")), known.select("id", "x", "label")
-    n = known.count()
-    if n <= limit:
-        pairs = q.join(F.broadcast(o))
-    else:
-        blocks = -(-n // limit)
-        pairs = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(o.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "block").drop("block")
-    d = pairs.where("query_id <> id").withColumn("d2", F.round(squared_distance(F.col("qx"), F.col("x")), 9))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("d2", "id"))
-    return d.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "label", "d2")
-
-
 def purity(neighbours: DataFrame) -> DataFrame:
     """Most frequent label among each query's neighbours (ties to the smaller) and its share."""
     v = neighbours.groupBy("query_id", "label").agg(F.count("*").alias("n"))
@@ -62,17 +41,19 @@ def purity(neighbours: DataFrame) -> DataFrame:
 def conformal(scores: DataFrame, reference: DataFrame) -> DataFrame:
     """p-value of each score: (1 + reference scores as large) / (1 + reference scores).
 
-    Both sides are sorted together by ranges of the score, and counts above a range are added up.
+    Equal scores are counted, then dealt to ranges of falling score; a score has the reference scores of the ranges before its
+    own and those down to it in its range.
     """
     both = scores.select("id", "score", F.lit(0).alias("ref")).union(reference.select(F.lit(None), "score", F.lit(1)))
-    edges = sorted(set(reference.approxQuantile("score", [i / 32 for i in range(1, 32)], 0.01)))
-    both = both.withColumn("range", sum([(F.col("score") < e).cast("int") for e in edges], F.lit(0)))
-    per = both.groupBy("range").agg(F.sum("ref").alias("n"))
+    dealt = checkpoint(both.repartitionByRange(F.col("score").desc()).withColumn("range", F.spark_partition_id()))
+    per = dealt.groupBy("range").agg(F.sum("ref").alias("n"))
     above = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
     base = per.select("range", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.sum("n").over(W.partitionBy(F.lit(0))).alias("all"))
-    inside = W.partitionBy("range").orderBy(F.col("score").desc()).rangeBetween(W.unboundedPreceding, 0)
-    j = both.join(F.broadcast(base), "range").withColumn("as_large", F.col("n0") + F.sum("ref").over(inside))
-    return j.where("ref = 0").select("id", "score", ((F.col("as_large") + 1) / (F.col("all") + 1)).alias("p"))
+    counted = dealt.groupBy("range", "score").agg(F.sum("ref").alias("n"))
+    inside = W.partitionBy("range").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
+    large = counted.withColumn("n", F.sum("n").over(inside)).join(F.broadcast(base), "range")
+    j = dealt.where("ref = 0").join(large.select("range", "score", (F.col("n0") + F.col("n")).alias("as_large"), "all"), ["range", "score"])
+    return j.select("id", "score", ((F.col("as_large") + 1) / (F.col("all") + 1)).alias("p"))
 
 
 def stratum_summary(tiles: DataFrame, top: int = 20) -> DataFrame:

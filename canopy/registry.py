@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from canopy.functions import color as C
 from canopy.functions import geometry as G
 from canopy.functions import text as X
-from canopy.operators import benchmark, learning, quality, spatial, stats, tokens, tree
+from canopy.operators import benchmark, learning, metric, quality, spatial, stats, tokens, tree
 from canopy.plans.views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +208,17 @@ def j19(spark, d):
     return stats.k_nearest(items.where("id % 50 = 0"), items, 5).select("query_id", "rank", "id", "d2")
 
 
+@query("j19_standardised", """WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), e AS (SELECT unnest(x) AS v, unnest(generate_series(1, len(x))) AS dim FROM v),
+  m AS (SELECT dim, quantile_cont(v, 0.5) AS c, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, stddev_pop(v) AS sd FROM e GROUP BY dim), o AS (SELECT list(c ORDER BY dim) AS c, list(CASE WHEN iqr > 1e-6 THEN iqr ELSE greatest(sd, 1e-3) END ORDER BY dim) AS s FROM m),
+  z AS (SELECT id, label, list_transform(list_zip(x, c, s), lambda t: (t[1] - t[2]) / t[3]) AS x FROM v, o),
+  p AS (SELECT a.id AS query_id, b.id, b.label, round(list_sum(list_transform(list_zip(a.x, b.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 9) AS d2 FROM z a JOIN z b ON a.id % 20 = 0 AND a.id <> b.id),
+  n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d2, id) <= 5), g AS (SELECT query_id, label, count(*) AS n FROM n GROUP BY ALL)
+  SELECT query_id, label, n / 5.0 AS purity FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) = 1""")
+def j19_standardised(spark, d):
+    items = metric.standardised(embedding_items(spark, d))
+    return stats.purity(metric.k_nearest(items.where("id % 20 = 0"), items, 5))
+
+
 @query("j22_co_location", """SELECT a.case_id, a.fid AS a, b.fid AS b FROM findings a JOIN findings b ON a.case_id = b.case_id AND a.detector < b.detector
   AND greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) * 13 >= 3 * (a.w * a.h + b.w * b.h)""")
 def j22(spark, d):
