@@ -50,6 +50,20 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def against(rows: DataFrame, table: DataFrame, limit: int = 20_000) -> DataFrame:
+    """Every row of ``rows`` with every row of ``table``: sent to all executors up to ``limit`` rows (counted), beyond that in
+    blocks of so many, each met by all rows in tasks of its own."""
+    blocks = -(-table.count() // limit)
+    if blocks <= 1:
+        return rows.join(F.broadcast(table))
+    dealt = table.withColumn("_block", F.pmod(F.xxhash64(*table.columns), F.lit(blocks)).cast("int"))
+    # a block is met in several parts of the rows, so that no task holds all rows
+    parts = 64
+    spread = rows.withColumns({"_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "_part": F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int")})
+    dealt = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return spread.join(dealt, ["_block", "_part"]).drop("_block", "_part")
+
+
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole runs of equal ``keys`` from batches sorted by them, with the runs' offsets.
 

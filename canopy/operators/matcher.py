@@ -9,18 +9,13 @@ from pyspark.sql import functions as F
 from canopy.functions import color as C
 from canopy.functions import geometry as G
 from canopy.operators import spatial
-from canopy.operators.tokens import MAX_TOKENS
+from canopy.operators.core import against, small_enough
 
 #: Weights of a signature's parts, and the score below which a critical part halves the whole (fixed values).
 WEIGHTS = {"height": 2.0, "radius": 1.5, "fill": 2.0, "stroke": 1.5, "text": 0.75}
 ZERO_PENALTY = 0.5
-
-
-def bounded(table: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
-    """``table`` marked for broadcast; larger ones are refused."""
-    if table.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rows to broadcast")
-    return F.broadcast(table)
+#: Weight of a needed component among a node's content.
+CHILD_WEIGHT = 1.5
 
 
 def colour_class(l: Column, a: Column, b: Column, neutral: float = 12.0, light: float = 75.0, dark: float = 35.0) -> Column:
@@ -73,7 +68,7 @@ def type_distance(size: Column, weight: Column, line: Column, role_size: Column,
 def nearest_role(texts: DataFrame, roles: DataFrame, limit: float = 1.5) -> DataFrame:
     """(id, role, distance): nearest type role within ``limit``, ties to the smaller priority."""
     styles = texts.select("size", "weight", "line").distinct()
-    pairs = styles.join(bounded(roles.select("role", "priority", F.col("size").alias("rs"), F.col("weight").alias("rw"), F.col("line").alias("rl"))))
+    pairs = against(styles, roles.select("role", "priority", F.col("size").alias("rs"), F.col("weight").alias("rw"), F.col("line").alias("rl")))
     d = F.round(type_distance(*[F.col(c) for c in ("size", "weight", "line", "rs", "rw", "rl")]), 9)
     best = pairs.withColumn("d", d).groupBy("size", "weight", "line").agg(F.min(F.struct("d", "priority", "role")).alias("m"))
     on = F.col("t.size").eqNullSafe(F.col("b.size")) & F.col("t.weight").eqNullSafe(F.col("b.weight")) & F.col("t.line").eqNullSafe(F.col("b.line"))
@@ -82,7 +77,7 @@ def nearest_role(texts: DataFrame, roles: DataFrame, limit: float = 1.5) -> Data
 
 def nearest_level(values: DataFrame, levels: DataFrame, tol: float = 3.0) -> DataFrame:
     """(id, level): nearest elevation within ``tol``, ties to the lower one."""
-    pairs = values.select("id", "value").join(bounded(levels.select("level", "reach"))).withColumn("d", F.abs(F.col("value") - F.col("reach")))
+    pairs = against(values.select("id", "value"), levels.select("level", "reach")).withColumn("d", F.abs(F.col("value") - F.col("reach")))
     best = pairs.groupBy("id").agg(F.min(F.struct("d", "reach", "level")).alias("m"))
     return best.select("id", F.when(F.col("m.d") <= tol, F.col("m.level")).alias("level"))
 
@@ -100,10 +95,11 @@ def match_catalog(nodes: DataFrame, signatures: DataFrame, top: int = 3) -> Data
     """(id, component, variant, score, rank): best variant of each component, the ``top`` components of each node.
 
     Nodes: (id, type, w, h, radius, r, g, b, stroke, texts). Signatures: (component, variant, type, low, high, rule,
-    sr, sg, sb, stroked, least, most), of a node's type only. The score is the weighted mean of the parts; one that is 0 in
-    height or fill multiplies it by a half.
+    sr, sg, sb, stroked, least, most), of a node's type only. With ``needs`` in the signatures (a component or null) and ``parts``
+    in the nodes (the components among a node's content) a signature that needs a component counts it as one more part. The
+    score is the weighted mean of the parts; one that is 0 in height or fill multiplies it by a half.
     """
-    j = nodes.join(bounded(signatures), "type")
+    j = nodes.join(small_enough(signatures, 20_000), "type")
     lab = {f"n{k}": v for k, v in zip("lab", C.lab(F.col("r"), F.col("g"), F.col("b")), strict=True)} | {f"s{k}": v for k, v in zip("uvw", C.lab(F.col("sr"), F.col("sg"), F.col("sb")), strict=True)}
     j = j.withColumns(lab).withColumn("de", C.delta76(tuple(F.col(f"n{k}") for k in "lab"), tuple(F.col(f"s{k}") for k in "uvw")))
     parts = {
@@ -114,7 +110,11 @@ def match_catalog(nodes: DataFrame, signatures: DataFrame, top: int = 3) -> Data
         "text": count_score(F.col("texts"), F.col("least"), F.col("most")),
     }
     j = j.withColumns({f"p_{k}": v for k, v in parts.items()})
-    mean = sum(F.col(f"p_{k}") * w for k, w in WEIGHTS.items()) / sum(WEIGHTS.values())
+    total, weight = sum(F.col(f"p_{k}") * w for k, w in WEIGHTS.items()), F.lit(sum(WEIGHTS.values()))
+    if "needs" in signatures.columns:
+        total = total + F.when(F.array_contains("parts", F.col("needs")), CHILD_WEIGHT).otherwise(0.0)
+        weight = weight + F.when(F.col("needs").isNotNull(), CHILD_WEIGHT).otherwise(0.0)
+    mean = total / weight
     j = j.withColumn("score", F.round(mean * F.when((F.col("p_height") == 0) | (F.col("p_fill") == 0), ZERO_PENALTY).otherwise(1.0), 9))
     best = j.groupBy("id", "component").agg(F.min_by(F.struct("variant", "score"), F.struct(-F.col("score"), F.col("variant"))).alias("t"))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.col("t.score").desc(), "component"))
@@ -131,7 +131,7 @@ def fill_slots(atoms: DataFrame, slots: DataFrame) -> DataFrame:
     # an open slot ends its kind's list
     first_open = s.where("multiple").groupBy("component", "kind").agg(F.min("at").alias("open"))
     s = s.join(first_open, ["component", "kind"], "left").where("open IS NULL OR at <= open").drop("open")
-    return a.join(bounded(s), ["component", "kind"]).where("n = at OR (multiple AND n >= at)").select("id", "slot", "atom")
+    return a.join(small_enough(s, 20_000), ["component", "kind"]).where("n = at OR (multiple AND n >= at)").select("id", "slot", "atom")
 
 
 def rule_lookup(nodes: DataFrame, rules: DataFrame, height_tol: float = 6.0, aspect_tol: float = 0.35) -> DataFrame:

@@ -7,15 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canopy.functions import color as C
-
-#: Most tokens that are sent to every executor.
-MAX_TOKENS = 20_000
-
-
-def _bounded(tokens: DataFrame) -> DataFrame:
-    if tokens.limit(MAX_TOKENS + 1).count() > MAX_TOKENS:
-        raise ValueError(f"more than {MAX_TOKENS} tokens")
-    return F.broadcast(tokens)
+from canopy.operators.core import against
 
 
 def snap_colors(colors: DataFrame, tokens: DataFrame, limit: float = 10.0, tie: float = 0.05) -> DataFrame:
@@ -25,7 +17,7 @@ def snap_colors(colors: DataFrame, tokens: DataFrame, limit: float = 10.0, tie:
     """
     distinct = colors.select("r", "g", "b").distinct()
     t = tokens.select("token", "priority", F.col("r").alias("tr"), F.col("g").alias("tg"), F.col("b").alias("tb"))
-    pairs = distinct.join(_bounded(t))
+    pairs = against(distinct, t)
     de = C.delta76(C.lab(*map(F.col, ("r", "g", "b"))), C.lab(*map(F.col, ("tr", "tg", "tb"))))
     pairs = pairs.withColumn("de", F.round(de, 6))
     near = pairs.withColumn("least", F.min("de").over(W.partitionBy("r", "g", "b"))).where(F.col("de") <= F.col("least") + tie)
@@ -37,7 +29,7 @@ def snap_colors(colors: DataFrame, tokens: DataFrame, limit: float = 10.0, tie:
 def snap_radius(nodes: DataFrame, tokens: DataFrame, tol: float = 2.0, pill: float = 0.45) -> DataFrame:
     """Nearest corner token within ``tol``, ``full`` for pills."""
     t = tokens.select(F.col("radius").alias("tr")).distinct()
-    pairs = nodes.select("id", "radius", "w", "h").join(_bounded(t)).withColumn("d", F.abs(F.col("tr") - F.col("radius")))
+    pairs = against(nodes.select("id", "radius", "w", "h"), t).withColumn("d", F.abs(F.col("tr") - F.col("radius")))
     best = pairs.groupBy("id", "radius", "w", "h").agg(F.min(F.struct("d", "tr")).alias("m"))
     round_ = F.col("radius") >= F.greatest(F.lit(1), F.least("w", "h")) * pill
     return best.select("id", F.when(round_, "full").when(F.col("m.d") <= tol, F.concat(F.lit("corner."), F.col("m.tr").cast("string"))).alias("token"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from canopy.functions import color as C
 from canopy.functions import geometry as G
 from canopy.functions import text as X
-from canopy.operators import differ, learning, matcher, pixels, spatial, tokens
+from canopy.operators import differ, learning, mapping, matcher, pixels, spatial, tokens
 from canopy.plans.differ_queries import _M, _UP
 from canopy.plans.pixel_queries import _DE, delta
 from canopy.plans.views import view
@@ -201,6 +201,55 @@ def j14(spark, d):
     return r.select("id", F.coalesce("component", F.lit("")).alias("component"), F.round("confidence", 6).alias("confidence"), "effect")
 
 
+#: Levels of nodes_gt from its leaves (13 nodes a case at most, each the parent of two) to the roots' children.
+_DEPTHS = (3, 2, 1)
+
+
+def _mapping_sql() -> str:
+    """Every level's matches from the atoms that the level below was given, one set of tables a level."""
+    low = max(_DEPTHS) + 1
+    parts = [f"""base AS (SELECT case_id, node, parent, CASE type WHEN 2 THEN 'text' WHEN 3 THEN 'icon' ELSE 'frame' END AS kind, type, x, y, w, h, radius, CASE WHEN node % 3 = 0 THEN NULL ELSE r END AS r, CASE WHEN node % 3 = 0 THEN NULL ELSE g END AS g, CASE WHEN node % 3 = 0 THEN NULL ELSE b END AS b,
+    CASE WHEN node % 3 = 0 THEN 0 ELSE shadow END AS stroke, text, radius % 20 AS signature, CAST(floor(log2(node)) AS INT) AS depth, NOT (type NOT IN (2, 3) AND node % 3 = 0 AND EXISTS (SELECT 1 FROM nodes_gt k WHERE k.case_id = q.case_id AND k.parent = q.node)) AS atomic FROM nodes_gt q),
+  {_SIG}, ls AS (SELECT *, {_lab('s')}, CASE WHEN variant < 'J' THEN 'comp' || (type % 6) END AS needs FROM sig), {_LOOKUP.split('lk AS')[0].rstrip().rstrip(',')},
+  atoms{low} AS (SELECT case_id, parent AS host, node AS atom, kind, NULL::VARCHAR AS component, x, y, text FROM base WHERE false)"""]
+    for d in _DEPTHS:
+        up = d + 1
+        parts.append(f"""lv{d} AS (SELECT b.*, {_lab('')}, coalesce(t, 0) AS texts, coalesce(parts, []) AS parts FROM base b LEFT JOIN (SELECT case_id, host, count(*) FILTER (kind = 'text') AS t, list(DISTINCT component) FILTER (component IS NOT NULL) AS parts FROM atoms{up} GROUP BY ALL) c ON c.case_id = b.case_id AND c.host = b.node
+    JOIN (SELECT case_id, w AS pw, h AS ph FROM nodes_gt WHERE parent IS NULL) p ON p.case_id = b.case_id WHERE depth = {d} AND kind = 'frame' AND NOT (b.w >= pw * 0.98 AND b.h >= ph * 0.98)),
+  j{d} AS (SELECT case_id, node, component, variant, greatest(0, 1 - greatest(low - h, h - high, 0) / 6.0) AS ph, greatest(1, least(w, h)) AS short, radius, rule, CASE WHEN v.r IS NULL THEN NULL ELSE sqrt(pow(l - sl, 2) + pow(a - sa, 2) + pow(bb - sbb, 2)) END AS de, ((stroke > 0) = stroked)::INT AS ps, greatest(0.0, 1 - 0.5 * greatest(least - texts, texts - most, 0)) AS pt, needs, parts FROM lv{d} v JOIN ls ON v.type = ls.type),
+  k{d} AS (SELECT *, CASE rule WHEN 'any' THEN 1 WHEN 'none' THEN CASE WHEN radius <= 2 THEN 1 ELSE greatest(0, 1 - (radius - 2) / 4.0) END ELSE CASE WHEN radius >= short * 0.42 AND 8 < short / 2.0 - 2 THEN 0 ELSE greatest(0, 1 - greatest(6 - radius, radius - 10, 0) / 4.0) END END AS pr, CASE WHEN de IS NULL THEN 0 WHEN de <= 6 THEN 1 ELSE greatest(0, 1 - (de - 6) / 6) END AS pf FROM j{d}),
+  s{d} AS (SELECT case_id, node, component, variant, round((ph * 2 + pr * 1.5 + pf * 2 + ps * 1.5 + pt * 0.75 + CASE WHEN list_contains(parts, needs) THEN 1.5 ELSE 0 END) / (7.75 + CASE WHEN needs IS NOT NULL THEN 1.5 ELSE 0 END) * CASE WHEN ph = 0 OR pf = 0 THEN 0.5 ELSE 1 END, 9) AS score FROM k{d}),
+  v{d} AS (SELECT * FROM s{d} QUALIFY row_number() OVER (PARTITION BY case_id, node, component ORDER BY score DESC, variant) = 1),
+  c{d} AS (SELECT *, row_number() OVER (PARTITION BY case_id, node ORDER BY score DESC, component) AS rank, lead(score) OVER (PARTITION BY case_id, node ORDER BY score DESC, component) AS second FROM v{d} QUALIFY rank <= 3),
+  b{d} AS (SELECT case_id, node, component, variant, score, score - coalesce(second, 0) AS margin, score * (0.5 + 0.5 * least(1.0, greatest(0.0, score - coalesce(second, 0)) / 0.2)) AS confidence FROM c{d} WHERE rank = 1),
+  r{d} AS (SELECT v.case_id, v.node, answer, rl.confidence AS rc FROM lv{d} v JOIN rl ON v.signature = rl.signature AND abs(v.h - height) <= 6 AND abs(v.w::DOUBLE / v.h - aspect) <= 0.35 QUALIFY row_number() OVER (PARTITION BY v.case_id, v.node ORDER BY rl.confidence DESC, support DESC, local DESC, rule) = 1),
+  e{d} AS (SELECT b.*, answer, rc, CASE WHEN answer IS NULL THEN 'none' WHEN answer = component THEN 'boost' WHEN score >= 0.85 AND margin >= 0.4 THEN 'veto' WHEN answer = 'none' THEN 'reject' WHEN rc >= 0.75 THEN 'override' ELSE 'kept' END AS effect FROM b{d} b LEFT JOIN r{d} USING (case_id, node)),
+  m{d} AS (SELECT case_id, node, effect, CASE WHEN effect <> 'reject' AND (score >= 0.45 OR effect = 'override') THEN CASE effect WHEN 'override' THEN answer ELSE component END END AS component, CASE WHEN effect NOT IN ('reject', 'override') AND score >= 0.45 THEN variant WHEN effect = 'override' AND answer = component THEN variant END AS variant,
+    CASE WHEN effect <> 'reject' AND (score >= 0.45 OR effect = 'override') THEN CASE effect WHEN 'boost' THEN greatest(confidence, least(0.9, confidence + 0.25)) WHEN 'override' THEN least(0.9, rc) ELSE confidence END END AS confidence, effect NOT IN ('reject', 'override') AND score < 0.45 AND score >= 0.3 AS open FROM e{d}),
+  o{d} AS (SELECT b.case_id, b.node, b.parent, b.kind, b.atomic, b.x, b.y, b.text, effect, m.component, m.variant, m.confidence, CASE WHEN open THEN (SELECT string_agg(c.component || ':' || c.variant, ',' ORDER BY rank) FROM c{d} c WHERE c.case_id = b.case_id AND c.node = b.node) END AS candidates FROM base b LEFT JOIN m{d} m USING (case_id, node) WHERE depth = {d}),
+  w{d} AS (SELECT a.case_id, a.host AS node, kind, coalesce(a.component, text, atom::VARCHAR) AS value, row_number() OVER (PARTITION BY a.case_id, a.host, kind ORDER BY x, y, atom) AS n FROM atoms{up} a),
+  p{d} AS (SELECT case_id, node, max(value) FILTER (kind = 'text' AND n = 1) AS label, string_agg(value, '|' ORDER BY n) FILTER (kind = 'instance') AS inner_parts FROM w{d} GROUP BY ALL),
+  q{d} AS (SELECT o.*, CASE WHEN o.component IS NOT NULL THEN coalesce(label, '') ELSE '' END AS label, CASE WHEN o.component IS NOT NULL THEN coalesce(inner_parts, '') ELSE '' END AS inner_parts FROM o{d} o LEFT JOIN p{d} USING (case_id, node)),
+  atoms{d} AS (SELECT case_id, parent AS host, node AS atom, CASE WHEN component IS NOT NULL THEN 'instance' ELSE kind END AS kind, component, x, y, text FROM o{d} WHERE atomic OR component IS NOT NULL
+    UNION ALL SELECT a.case_id, o.parent, atom, a.kind, a.component, a.x, a.y, a.text FROM atoms{up} a JOIN o{d} o ON o.case_id = a.case_id AND o.node = a.host WHERE NOT o.atomic AND o.component IS NULL)""")
+    rows = " UNION ALL ".join(f"SELECT case_id, node, coalesce(component, '') AS component, coalesce(variant, '') AS variant, round(coalesce(confidence, 0), 6) AS confidence, coalesce(effect, '') AS effect, label, inner_parts, coalesce(candidates, '') AS candidates FROM q{d}" for d in _DEPTHS)
+    return "WITH " + ",\n  ".join(parts) + f" SELECT * FROM ({rows}) UNION ALL SELECT case_id, node, '', '', 0, '', '', '', '' FROM base WHERE depth = 0"
+
+
+@query("j15_map_documents", _mapping_sql())
+def j15(spark, d):
+    kind = F.when(F.col("type") == 2, "text").when(F.col("type") == 3, "icon").otherwise("frame")
+    bare = F.col("node") % 3 == 0
+    n = view(spark, d, "nodes_gt").select("case_id", "node", "parent", kind.alias("kind"), "type", *"xywh", "radius", *[F.when(~bare, F.col(c)).alias(c) for c in "rgb"], F.when(bare, 0).otherwise(F.col("shadow")).alias("stroke"), F.lit(0).alias("shadow"), "text", (F.col("radius") % 20).alias("signature"))
+    signatures = _signatures(spark, d).withColumn("needs", F.when(F.col("variant") < "J", F.concat(F.lit("comp"), (F.col("type") % 6).cast("string"))))
+    components = signatures.select("component").distinct()
+    slots = components.join(F.broadcast(spark.createDataFrame([(1, "label", "text", False), (2, "parts", "instance", True)], "position int, slot string, kind string, multiple boolean")))
+    m = mapping.map_documents(n, signatures, slots, _rules(spark, d), assign=0.45, candidate=0.3)
+    of = lambda k: F.coalesce(F.element_at("props", F.lit(k)), F.lit(""))
+    said = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["component"], c["variant"])), ",")
+    return m.select("case_id", "node", *[F.coalesce(c, F.lit("")).alias(c) for c in ("component", "variant", "effect")], F.round(F.coalesce("confidence", F.lit(0.0)), 6).alias("confidence"), of("label").alias("label"), of("parts").alias("inner_parts"), F.coalesce(said, F.lit("")).alias("candidates"))
+
+
 @query("j34_signatures", "SELECT component, count(*) AS n, min(h) - 2.0 AS low, max(h) + 2.0 AS high, min(radius) AS radius_low, max(radius) AS radius_high, bool_or(shadow > 0) AS stroked, min(gap) AS least, max(gap) AS most FROM nodes_gt WHERE component IS NOT NULL GROUP BY component")
 def j34(spark, d):
     return matcher.derived_signature(view(spark, d, "nodes_gt").where("component IS NOT NULL").select("component", "h", "radius", F.col("shadow").alias("stroke"), F.col("gap").alias("texts")))
