@@ -224,8 +224,8 @@ def _mapping_sql() -> str:
   b{d} AS (SELECT case_id, node, component, variant, score, score - coalesce(second, 0) AS margin, score * (0.5 + 0.5 * least(1.0, greatest(0.0, score - coalesce(second, 0)) / 0.2)) AS confidence FROM c{d} WHERE rank = 1),
   r{d} AS (SELECT v.case_id, v.node, answer, rl.confidence AS rc FROM lv{d} v JOIN rl ON v.signature = rl.signature AND abs(v.h - height) <= 6 AND abs(v.w::DOUBLE / v.h - aspect) <= 0.35 QUALIFY row_number() OVER (PARTITION BY v.case_id, v.node ORDER BY rl.confidence DESC, support DESC, local DESC, rule) = 1),
   e{d} AS (SELECT b.*, answer, rc, CASE WHEN answer IS NULL THEN 'none' WHEN answer = component THEN 'boost' WHEN score >= 0.85 AND margin >= 0.4 THEN 'veto' WHEN answer = 'none' THEN 'reject' WHEN rc >= 0.75 THEN 'override' ELSE 'kept' END AS effect FROM b{d} b LEFT JOIN r{d} USING (case_id, node)),
-  m{d} AS (SELECT case_id, node, effect, CASE WHEN effect <> 'reject' AND (score >= 0.45 OR effect = 'override') THEN CASE effect WHEN 'override' THEN answer ELSE component END END AS component, CASE WHEN effect NOT IN ('reject', 'override') AND score >= 0.45 THEN variant WHEN effect = 'override' AND answer = component THEN variant END AS variant,
-    CASE WHEN effect <> 'reject' AND (score >= 0.45 OR effect = 'override') THEN CASE effect WHEN 'boost' THEN greatest(confidence, least(0.9, confidence + 0.25)) WHEN 'override' THEN least(0.9, rc) ELSE confidence END END AS confidence, effect NOT IN ('reject', 'override') AND score < 0.45 AND score >= 0.3 AS open FROM e{d}),
+  m{d} AS (SELECT case_id, node, effect, CASE WHEN effect <> 'reject' AND (score >= 0.36 OR effect = 'override') THEN CASE effect WHEN 'override' THEN answer ELSE component END END AS component, CASE WHEN effect NOT IN ('reject', 'override') AND score >= 0.36 THEN variant WHEN effect = 'override' AND answer = component THEN variant END AS variant,
+    CASE WHEN effect <> 'reject' AND (score >= 0.36 OR effect = 'override') THEN CASE effect WHEN 'boost' THEN greatest(confidence, least(0.9, confidence + 0.25)) WHEN 'override' THEN least(0.9, rc) ELSE confidence END END AS confidence, effect NOT IN ('reject', 'override') AND score < 0.36 AND score >= 0.2 AS open FROM e{d}),
   o{d} AS (SELECT b.case_id, b.node, b.parent, b.kind, b.atomic, b.x, b.y, b.text, effect, m.component, m.variant, m.confidence, CASE WHEN open THEN (SELECT string_agg(c.component || ':' || c.variant, ',' ORDER BY rank) FROM c{d} c WHERE c.case_id = b.case_id AND c.node = b.node) END AS candidates FROM base b LEFT JOIN m{d} m USING (case_id, node) WHERE depth = {d}),
   w{d} AS (SELECT a.case_id, a.host AS node, kind, coalesce(a.component, text, atom::VARCHAR) AS value, row_number() OVER (PARTITION BY a.case_id, a.host, kind ORDER BY x, y, atom) AS n FROM atoms{up} a),
   p{d} AS (SELECT case_id, node, max(value) FILTER (kind = 'text' AND n = 1) AS label, string_agg(value, '|' ORDER BY n) FILTER (kind = 'instance') AS inner_parts FROM w{d} GROUP BY ALL),
@@ -244,7 +244,7 @@ def j15(spark, d):
     signatures = _signatures(spark, d).withColumn("needs", F.when(F.col("variant") < "J", F.concat(F.lit("comp"), (F.col("type") % 6).cast("string"))))
     components = signatures.select("component").distinct()
     slots = components.join(F.broadcast(spark.createDataFrame([(1, "label", "text", False), (2, "parts", "instance", True)], "position int, slot string, kind string, multiple boolean")))
-    m = mapping.map_documents(n, signatures, slots, _rules(spark, d), assign=0.45, candidate=0.3)
+    m = mapping.map_documents(n, signatures, slots, _rules(spark, d), assign=0.36, candidate=0.2)
     of = lambda k: F.coalesce(F.element_at("props", F.lit(k)), F.lit(""))
     said = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["component"], c["variant"])), ",")
     return m.select("case_id", "node", *[F.coalesce(c, F.lit("")).alias(c) for c in ("component", "variant", "effect")], F.round(F.coalesce("confidence", F.lit(0.0)), 6).alias("confidence"), of("label").alias("label"), of("parts").alias("inner_parts"), F.coalesce(said, F.lit("")).alias("candidates"))
