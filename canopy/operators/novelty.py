@@ -171,35 +171,3 @@ def cluster_report(members: DataFrame, features: list[str]) -> DataFrame:
     types = members.groupBy("cluster", "nearest").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.min_by("nearest", F.struct(-F.col("k"), F.col("nearest"))).alias("nearest"))
     firsts = members.groupBy("cluster", "page").agg(F.min("id").alias("id")).groupBy("cluster").agg(F.slice(F.array_sort(F.collect_list("id")), 1, 4).alias("exemplars"))
     return a.withColumn("promotable", F.col("pages") >= 2).join(types, "cluster").join(firsts, "cluster")
-
-
-def typing_model(items: DataFrame, features: list[str], trees: int = 20, depth: int = 8, seed: int = 7):
-    """A forest for ``label`` (string) on features, classes weighted to the same total (N12); returns a fitted pipeline."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-    n = items.groupBy("label").agg(F.count("*").alias("_n"))
-    weighted = items.join(F.broadcast(n), "label").withColumn("_weight", F.lit(1.0) / F.col("_n"))
-    stages = [StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"), VectorAssembler(inputCols=features, outputCol="_x"), RandomForestClassifier(labelCol="_label", featuresCol="_x", weightCol="_weight", numTrees=trees, maxDepth=depth, seed=seed)]
-    return Pipeline(stages=stages).fit(weighted)
-
-
-def typed(items: DataFrame, model) -> DataFrame:
-    """(id, label, predicted, probability) of items by a fitted typing model."""
-    from pyspark.ml.functions import vector_to_array
-
-    names = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    t = model.transform(items)
-    return t.select("id", "label", F.get(names, F.col("prediction").cast("int")).alias("predicted"), F.array_max(vector_to_array("probability")).alias("probability"))
-
-
-def cross_validated(items: DataFrame, features: list[str], folds: int = 3, trees: int = 10, depth: int = 6) -> DataFrame:
-    """(fold, n, accuracy) of typing models, whole documents (``page``) held out in turn."""
-    f = spatial.checkpoint(items.withColumn("_fold", F.pmod(F.xxhash64("page"), F.lit(folds))))
-    out = None
-    for k in range(folds):
-        model = typing_model(f.where(F.col("_fold") != k), features, trees, depth)
-        t = typed(f.where(F.col("_fold") == k), model).agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy")).withColumn("fold", F.lit(k))
-        out = t if out is None else out.unionByName(t)
-    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canopy.operators import novelty
+from canopy.operators import cart, novelty
 from canopy.plans.views import view
 from canopy.registry import embedding_items, query, read
 
@@ -73,8 +73,9 @@ def n18(spark, d):
     return novelty.item_table(r, f, 3, 900.0).select("case_id", "id", "source", F.coalesce("type", F.lit("")).alias("type"))
 
 
-@query("n11_known_labels", """WITH j AS (SELECT f.case_id, f.fid AS id, g.type, i::DOUBLE / (f.w * f.h + g.w * g.h - i) AS o, g.node FROM findings f JOIN boxes_gt g ON f.case_id = g.case_id CROSS JOIN LATERAL (SELECT greatest(least(f.x + f.w, g.x + g.w) - greatest(f.x, g.x), 0) * greatest(least(f.y + f.h, g.y + g.h) - greatest(f.y, g.y), 0) AS i) WHERE i > 0),
-  k AS (SELECT *, row_number() OVER (PARTITION BY case_id, id ORDER BY round(o, 12) DESC, node) AS r FROM j WHERE o >= 0.7) SELECT f.case_id, f.fid AS id, coalesce(k.type::VARCHAR, 'noise') AS label FROM findings f LEFT JOIN k ON f.case_id = k.case_id AND f.fid = k.id AND r = 1""")
+@query("n11_known_labels", """WITH fi AS MATERIALIZED (SELECT case_id, fid, x, y, w, h FROM findings), bo AS MATERIALIZED (SELECT case_id, node, type, x, y, w, h FROM boxes_gt), hit AS MATERIALIZED (SELECT f.case_id, f.fid AS id, g.type, g.node, greatest(least(f.x + f.w, g.x + g.w) - greatest(f.x, g.x), 0) * greatest(least(f.y + f.h, g.y + g.h) - greatest(f.y, g.y), 0) AS i, f.w * f.h + g.w * g.h AS s FROM fi f JOIN bo g ON f.case_id = g.case_id),
+  j AS (SELECT case_id, id, type, node, i::DOUBLE / (s - i) AS o FROM hit WHERE i > 0),
+  k AS (SELECT *, row_number() OVER (PARTITION BY case_id, id ORDER BY round(o, 12) DESC, node) AS r FROM j WHERE o >= 0.7) SELECT f.case_id, f.fid AS id, coalesce(k.type::VARCHAR, 'noise') AS label FROM fi f LEFT JOIN (SELECT * FROM k WHERE r = 1) k ON f.case_id = k.case_id AND f.fid = k.id""")
 def n11(spark, d):
     i = view(spark, d, "findings").select("case_id", F.col("fid").alias("id"), "x", "y", "w", "h")
     return novelty.known_labels(i, view(spark, d, "boxes_gt").withColumn("fid", F.col("node")), 0.7)
@@ -120,16 +121,57 @@ def n10(spark, d):
 
 
 def _typing_items(spark, d):
-    r = view(spark, d, "nodes_gt")
-    return r.select(F.xxhash64("case_id", "node").alias("id"), F.col("case_id").alias("page"), F.when(F.col("w") * F.col("h") > 3000, "large").when(F.col("radius") > 12, "round").otherwise("plain").alias("label"), F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h"), F.col("radius").cast("double").alias("radius"))
+    size = F.col("w") * F.col("h")
+    label = F.when(size > 3000, "large").when((F.col("radius") > 12) & (F.col("w") > 60), "round").otherwise("plain")
+    label = F.when((F.col("case_id") + F.col("node")) % 17 == 0, "round").otherwise(label)
+    return view(spark, d, "nodes_gt").select((F.col("case_id") * 100 + F.col("node")).alias("id"), F.col("case_id").alias("page"), label.alias("label"), *[F.col(c).cast("double").alias(c) for c in ("w", "h", "radius")])
 
 
-@query("n12_typing_model")
+_ITEMS = """it AS (SELECT case_id * 100 + node AS id, case_id AS page, CASE WHEN (case_id + node) % 17 = 0 THEN 'round' WHEN w * h > 3000 THEN 'large' WHEN radius > 12 AND w > 60 THEN 'round' ELSE 'plain' END AS label, w::DOUBLE AS w, h::DOUBLE AS h, radius::DOUBLE AS radius FROM nodes_gt)"""
+_CLASSES = ("large", "plain", "round")
+
+
+def _tree_sql(train: str, levels: int, least: int) -> str:
+    """Split search of every model's tree over ``train`` (model, id, label, w, h, radius): s0, s1, ... and leaves ``lf``."""
+    of = lambda c: f"(count(*) FILTER (label = '{c}'))"
+    total = lambda p: "(" + " + ".join(f"{p}{c} / n{c}" for c in _CLASSES) + ")"
+    square = lambda p: f"CASE WHEN {total(p)} > 0 THEN (" + " + ".join(f"pow({p}{c} / n{c}, 2)" for c in _CLASSES) + f") / {total(p)} ELSE 0 END"
+    parts = [f"a0 AS (SELECT model, id, label, w, h, radius, 1::BIGINT AS node FROM {train})", "cw AS (SELECT model, " + ", ".join(f"greatest({of(c)}, 1)::DOUBLE AS n{c}" for c in _CLASSES) + " FROM a0 GROUP BY model)"]
+    for d in range(levels):
+        parts.append(f"""v{d} AS (SELECT model, node, feature, value, {", ".join(f"{of(c)} AS k{c}" for c in _CLASSES)} FROM (SELECT model, node, label, unnest(['w', 'h', 'radius']) AS feature, unnest([w, h, radius]) AS value FROM a{d}) GROUP BY 1, 2, 3, 4),
+  t{d} AS (SELECT model, node, {", ".join(f"{of(c)} AS t{c}" for c in _CLASSES)} FROM a{d} GROUP BY 1, 2),
+  c{d} AS (SELECT *, {", ".join(f"t{c} - l{c} AS r{c}" for c in _CLASSES)} FROM (SELECT model, node, feature, value, {", ".join(f"sum(k{c}) OVER (PARTITION BY model, node, feature ORDER BY value) AS l{c}" for c in _CLASSES)} FROM v{d}) JOIN t{d} USING (model, node) JOIN cw USING (model)),
+  s{d} AS (SELECT model, node, feature, value AS threshold, round({square("l")} + {square("r")} - {square("t")}, 9) AS gain FROM c{d} WHERE {" + ".join(f"l{c}" for c in _CLASSES)} >= {least} AND {" + ".join(f"r{c}" for c in _CLASSES)} >= {least} QUALIFY gain > 1e-9 AND row_number() OVER (PARTITION BY model, node ORDER BY round({square("l")} + {square("r")} - {square("t")}, 9) DESC, feature, value) = 1),
+  a{d + 1} AS (SELECT a.* EXCLUDE (node), CASE WHEN feature IS NULL THEN node WHEN CASE feature WHEN 'w' THEN w WHEN 'h' THEN h ELSE radius END <= threshold THEN node * 2 ELSE node * 2 + 1 END AS node FROM a{d} a LEFT JOIN s{d} s USING (model, node))""")
+    parts.append(f"""lq AS (SELECT model, node, {", ".join(f"{of(c)} / any_value(n{c}) AS q{c}" for c in _CLASSES)} FROM a{levels} JOIN cw USING (model) GROUP BY 1, 2),
+  lf AS (SELECT model, node, CASE WHEN qlarge >= qplain AND qlarge >= qround THEN 'large' WHEN qplain >= qround THEN 'plain' ELSE 'round' END AS predicted, greatest(qlarge, qplain, qround) / (qlarge + qplain + qround) AS probability FROM lq)""")
+    return ",\n  ".join(parts)
+
+
+def _down_sql(items: str, levels: int) -> str:
+    """``p{levels}``: items (model, ...) with the node they end in."""
+    parts = [f"p0 AS (SELECT *, 1::BIGINT AS node FROM {items})"]
+    parts += [f"p{d + 1} AS (SELECT a.* EXCLUDE (node), CASE WHEN feature IS NULL THEN node WHEN CASE feature WHEN 'w' THEN w WHEN 'h' THEN h ELSE radius END <= threshold THEN node * 2 ELSE node * 2 + 1 END AS node FROM p{d} a LEFT JOIN s{d} s USING (model, node))" for d in range(levels)]
+    return ", ".join(parts)
+
+
+@query("n12_typing_model", f"WITH {_ITEMS}, tr AS (SELECT 0 AS model, * FROM it), {_tree_sql('tr', 2, 5)} SELECT node, feature, threshold, gain FROM s0 UNION ALL SELECT node, feature, threshold, gain FROM s1")
 def n12(spark, d):
-    i = _typing_items(spark, d)
-    return novelty.typed(i, novelty.typing_model(i, ["w", "h", "radius"])).groupBy("label", "predicted").agg(F.count("*").alias("n"))
+    splits, _ = cart.fit(_typing_items(spark, d).withColumn("model", F.lit(0)), ["w", "h", "radius"], 2, 5)
+    return splits.drop("model")
+
+
+@query("n17_typed_regions", f"WITH {_ITEMS}, tr AS (SELECT 0 AS model, * FROM it WHERE page % 2 = 0), {_tree_sql('tr', 3, 5)}, te AS (SELECT 0 AS model, * FROM it WHERE page % 2 = 1), {_down_sql('te', 3)} SELECT id, label, predicted, round(probability, 6) AS probability FROM p3 JOIN lf USING (model, node)")
+def n17(spark, d):
+    items, features = _typing_items(spark, d).withColumn("model", F.lit(0)), ["w", "h", "radius"]
+    model = cart.fit(items.where("page % 2 = 0"), features, 3, 5)
+    return cart.apply(items.where("page % 2 = 1"), *model, features, 3).select("id", "label", "predicted", F.round("probability", 6).alias("probability"))
 
 
-@query("n13_cross_validation")
+@query("n13_cross_validation", f"""WITH {_ITEMS}, tr AS (SELECT model::INT AS model, it.* FROM it JOIN (SELECT unnest([0, 1, 2]) AS model) ON page % 3 <> model), {_tree_sql('tr', 3, 5)}, te AS (SELECT (page % 3)::INT AS model, * FROM it), {_down_sql('te', 3)},
+  x AS (SELECT model AS fold, label, CASE WHEN probability >= 0.5 THEN predicted END AS said FROM p3 LEFT JOIN lf USING (model, node)), g AS (SELECT fold, label AS c, count(*) AS g, count(*) FILTER (label = said) AS tp FROM x GROUP BY 1, 2), s AS (SELECT fold, said AS c, count(*) AS p FROM x WHERE said IS NOT NULL GROUP BY 1, 2),
+  f AS (SELECT fold, avg(2.0 * tp / (g + coalesce(p, 0))) AS macro_f1 FROM g LEFT JOIN s USING (fold, c) GROUP BY 1)
+  SELECT fold, n, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(abstained, 6) AS abstained FROM (SELECT fold, count(*) AS n, avg(coalesce(label = said, false)::INT) AS accuracy, avg((said IS NULL)::INT) AS abstained FROM x GROUP BY 1) JOIN f USING (fold)""")
 def n13(spark, d):
-    return novelty.cross_validated(_typing_items(spark, d), ["w", "h", "radius"])
+    v = cart.cross_validated(_typing_items(spark, d), ["w", "h", "radius"], (F.col("page") % 3).cast("int"), depth=3, least=5)
+    return v.select("fold", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "abstained")])

@@ -219,8 +219,9 @@ def j19_standardised(spark, d):
     return stats.purity(metric.k_nearest(items.where("id % 20 = 0"), items, 5))
 
 
-@query("j22_co_location", """SELECT a.case_id, a.fid AS a, b.fid AS b FROM findings a JOIN findings b ON a.case_id = b.case_id AND a.detector < b.detector
-  AND greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) * 13 >= 3 * (a.w * a.h + b.w * b.h)""")
+@query("j22_co_location", """WITH fi AS MATERIALIZED (SELECT detector, case_id, fid, x, y, w, h FROM findings), two AS MATERIALIZED (SELECT unnest([0, 0, 1]) AS d, unnest([1, 2, 2]) AS e),
+  j AS MATERIALIZED (SELECT a.case_id, a.fid AS a, b.fid AS b, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS i, a.w * a.h + b.w * b.h AS s FROM fi a JOIN two ON two.d = a.detector JOIN fi b ON b.case_id = a.case_id AND b.detector = two.e)
+  SELECT case_id, a, b FROM j WHERE i * 13 >= 3 * s""")
 def j22(spark, d):
     f = view(spark, d, "findings")
     # IoU of 0.3 or more, in integers: i / (s - i) >= 3 / 10
