@@ -18,11 +18,8 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def tree_documents(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, text): one JSON tree for each case, put together from its leaves upwards."""
-    n = view(spark, d, "nodes_gt").withColumn("depth", F.floor(F.log2("node")))
-    own = F.struct(F.concat(F.lit("n"), F.col("node").cast("string")).alias("id"), F.element_at(F.array(*[F.lit(t) for t in ("frame", "rect", "text", "icon", "image")]), (F.col("type") + 1).cast("int")).alias("type"), F.struct("x", "y", "w", "h").alias("box"), "text", (F.col("opacity") / 100.0).alias("opacity"), F.when(F.col("component").isNotNull(), F.struct(F.col("component").alias("name"))).alias("component"))
-    n = n.select("case_id", "node", "parent", "depth", F.to_json(own).alias("own"))
+def nested(n: DataFrame) -> DataFrame:
+    """(case_id, node, parent, tree) of the roots: nodes (case_id, node, parent, depth, own: JSON) with their children inside."""
     below = None
     for depth in range(n.agg(F.max("depth")).first()[0], -1, -1):
         level = n.where(F.col("depth") == depth)
@@ -34,6 +31,14 @@ def tree_documents(spark: SparkSession, d: str) -> DataFrame:
             inner = F.concat(F.expr("substr(own, 1, length(own) - 1)"), F.lit(',"children":['), F.col("kids"), F.lit("]}"))
             level = level.withColumn("tree", F.when(F.col("kids").isNull(), F.col("own")).otherwise(inner)).drop("kids")
         below = level.select("case_id", "node", "parent", "tree")
+    return below
+
+
+def tree_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text): one JSON tree for each case, put together from its leaves upwards."""
+    n = view(spark, d, "nodes_gt").withColumn("depth", F.floor(F.log2("node")))
+    own = F.struct(F.concat(F.lit("n"), F.col("node").cast("string")).alias("id"), F.element_at(F.array(*[F.lit(t) for t in ("frame", "rect", "text", "icon", "image")]), (F.col("type") + 1).cast("int")).alias("type"), F.struct("x", "y", "w", "h").alias("box"), "text", (F.col("opacity") / 100.0).alias("opacity"), F.when(F.col("component").isNotNull(), F.struct(F.col("component").alias("name"))).alias("component"))
+    below = nested(n.select("case_id", "node", "parent", "depth", F.to_json(own).alias("own")))
     head = F.concat(F.lit('{"version":"1","id":"'), F.col("case_id").cast("string"), F.lit('","width":'), (F.col("case_id") % 7 + 320).cast("string"), F.lit(',"height":640,"design_system":"ds'), (F.col("case_id") % 3).cast("string"), F.lit('","meta":{},"root":'), F.col("tree"), F.lit("}"))
     return below.select(F.col("case_id").cast("string").alias("doc_id"), head.alias("text"))
 
