@@ -18,6 +18,19 @@ def parse_hex(text: Column) -> Column:
     return F.when(full.isNotNull(), F.struct(part(2).alias("r"), part(4).alias("g"), part(6).alias("b"), alpha.alias("a")))
 
 
+def parse_css(text: Column) -> Column:
+    """``rgb(r, g, b)``, ``rgba(r, g, b, a)`` or a hex colour as struct<r, g, b, a>; null if it is none of them.
+
+    Parts are cut to 0..255, alphas to 0..1; a missing alpha is 1.
+    """
+    t = F.lower(F.trim(text))
+    number = r"\s*(-?[0-9]*\.?[0-9]+)\s*"
+    pattern = rf"^rgba?\({number},{number},{number}(?:,{number})?\)$"
+    part = lambda k: F.greatest(F.lit(0), F.least(F.lit(255), F.round(F.regexp_extract(t, pattern, k).try_cast("double")))).cast("int")
+    alpha = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.regexp_extract(t, pattern, 4).try_cast("double"))), F.lit(1.0))
+    return F.when(t.rlike(pattern), F.struct(part(1).alias("r"), part(2).alias("g"), part(3).alias("b"), alpha.alias("a"))).otherwise(parse_hex(text))
+
+
 def to_hex(r: Column, g: Column, b: Column) -> Column:
     return F.lower(F.format_string("#%02x%02x%02x", r.cast("int"), g.cast("int"), b.cast("int")))
 

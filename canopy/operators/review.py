@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from canopy.functions import geometry as G
+from canopy.operators import spatial
+from canopy.operators.core import checkpoint
 from canopy.operators.quality import f1, ratio
 from canopy.operators.stats import quantiles
 
@@ -104,6 +107,21 @@ def route(scored: DataFrame, truth: DataFrame) -> DataFrame:
     return s.withColumn("r", rank).where("r = 1").select("type", "detector", "f1", "precision")
 
 
+def apply_route(findings: DataFrame, routes: DataFrame, page_area: float, iou: float = 0.5, loc_iou: float = 0.3, centre_share: float = 0.25, touch: float = 0.1) -> DataFrame:
+    """Findings of each type's detector, without those that an emitted one stands for.
+
+    They are emitted by falling precision of their route, then confidence, then the smaller fid. One is dropped if an emitted one of
+    its case overlaps it with an IoU of ``iou``, or is localised by it (IoU of ``loc_iou``, or its centre in the emitted box of at
+    most a quarter of the page) with an IoU above ``touch``. Findings: case_id, fid, detector, type, confidence, x, y, w, h.
+    """
+    f = checkpoint(findings.join(F.broadcast(routes.select("type", "detector", "precision")), ["type", "detector"]).withColumns({"_p": -F.col("precision"), "_c": -F.col("confidence")}))
+    first = lambda p: F.struct(F.col(f"{p}_p"), F.col(f"{p}_c"), F.col(f"{p}fid"))
+    o = G.iou("l_", "r_")
+    at = (o >= loc_iou) | ((G.area("l_") <= page_area * centre_share) & G.contains_centre("l_", "r_"))
+    pairs = spatial.spatial_join(f, f, condition=(first("l_") < first("r_")) & ((o >= iou) | (at & (o > touch))))
+    return spatial.without_beaten(f, pairs, ["fid"], ["_p", "_c"]).drop("_p", "_c")
+
+
 def leave_one_out(values: DataFrame, fold: str, value: str) -> DataFrame:
     """Mean of all folds but one, for each fold, from sums: rows are not repeated."""
     s = values.groupBy(fold).agg(F.sum(value).alias("s"), F.count(value).alias("n"))

@@ -104,6 +104,17 @@ def l12(spark, d):
     return review.route(scored, truth).withColumn("f1", F.round("f1", 9)).withColumn("precision", F.round("precision", 9))
 
 
+@query("l12_routed_findings", """WITH RECURSIVE rt AS (SELECT unnest([0, 1, 2, 3, 4]) AS type, unnest([2, 0, 1, 0, 2]) AS detector, unnest([0.9, 0.5, 0.7, 0.7, 0.6]) AS precision),
+  c AS (SELECT f.*, row_number() OVER (PARTITION BY case_id ORDER BY precision DESC, confidence DESC, fid) AS k FROM findings f JOIN rt USING (type, detector)),
+  o AS (SELECT a.case_id, a.k AS i, b.k AS j, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS v, a.w * a.h + b.w * b.h AS s, a.w * a.h <= 25000 AND b.x + b.w / 2.0 >= a.x AND b.x + b.w / 2.0 < a.x + a.w AND b.y + b.h / 2.0 >= a.y AND b.y + b.h / 2.0 < a.y + a.h AS inside FROM c a JOIN c b ON a.case_id = b.case_id AND a.k < b.k),
+  nb AS (SELECT case_id, j AS k, list(i) AS before FROM (SELECT *, v * 1.0 / (s - v) AS iou FROM o WHERE v > 0) WHERE iou >= 0.5 OR ((iou >= 0.3 OR inside) AND iou > 0.1) GROUP BY 1, 2), r AS (SELECT c.case_id, c.k, before FROM c LEFT JOIN nb USING (case_id, k)),
+  scan AS (SELECT DISTINCT case_id, 0::BIGINT AS k, []::BIGINT[] AS kept FROM r UNION ALL SELECT s.case_id, r.k, CASE WHEN before IS NOT NULL AND list_has_any(kept, before) THEN kept ELSE list_append(kept, r.k) END FROM scan s JOIN r ON r.case_id = s.case_id AND r.k = s.k + 1),
+  e AS (SELECT case_id, unnest(kept) AS k FROM scan s WHERE k = (SELECT max(k) FROM c WHERE c.case_id = s.case_id)) SELECT case_id, fid, type, detector FROM c JOIN e USING (case_id, k)""")
+def l12_routed(spark, d):
+    routes = spark.createDataFrame([(0, 2, 0.9), (1, 0, 0.5), (2, 1, 0.7), (3, 0, 0.7), (4, 2, 0.6)], "type long, detector int, precision double")
+    return review.apply_route(view(spark, d, "findings"), routes, 100_000.0).select("case_id", "fid", "type", "detector")
+
+
 @query("l13_leave_one_out", f"""WITH {_GOOD}, c AS (SELECT case_id, family, sum(weight * goodness) / sum(CASE WHEN goodness IS NOT NULL THEN weight END) AS v FROM good GROUP BY ALL HAVING count(goodness) > 0), s AS (SELECT family, sum(v) AS s, count(v) AS n FROM c GROUP BY family)
   SELECT family, round(s / n, 9) AS held_out, round((sum(s) OVER () - s) / (sum(n) OVER () - n), 9) AS others FROM s""")
 def l13(spark, d):

@@ -67,6 +67,16 @@ def f02(spark, d):
     return c.select("id", "hex", p["r"].cast("long").alias("red"), p["g"].cast("long").alias("green"), p["b"].cast("long").alias("blue"))
 
 
+@query("f02_css_colors", """SELECT id, r AS red, g AS green, b AS blue, CASE id % 4 WHEN 1 THEN round((id % 101) / 100.0, 6) ELSE 1.0 END AS alpha FROM colors WHERE id % 4 < 3 UNION ALL SELECT id, -1, -1, -1, -1.0 FROM colors WHERE id % 4 = 3""")
+def f02_css(spark, d):
+    c = view(spark, d, "colors")
+    kinds = [F.format_string("rgb(%d,%d, %d)", "r", "g", "b"), F.format_string(" RGBA( %d, %d,%d , %.2f )", "r", "g", "b", (F.col("id") % 101) / F.lit(100.0)), F.upper(C.to_hex(F.col("r"), F.col("g"), F.col("b"))), F.format_string("rgb(%d, %d)", "r", "g")]
+    text = F.element_at(F.array(*kinds), (F.col("id") % 4 + 1).cast("int"))
+    p = C.parse_css(text)
+    of = lambda k, kind: F.coalesce(p[k].cast(kind), F.lit(-1).cast(kind))
+    return c.select("id", of("r", "long").alias("red"), of("g", "long").alias("green"), of("b", "long").alias("blue"), F.round(of("a", "double"), 6).alias("alpha"))
+
+
 @query("f03_lab", f"WITH q AS (SELECT id, {_lab('')} FROM colors) SELECT id, round(l, 6) AS l, round(a, 6) AS a, round(bb, 6) AS bb FROM q")
 def f03(spark, d):
     lab = C.lab(F.col("r"), F.col("g"), F.col("b"))
