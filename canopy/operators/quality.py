@@ -106,3 +106,21 @@ def judge_criteria(measured: DataFrame, criteria: DataFrame) -> DataFrame:
     room = F.when(F.col("op") == ">=", F.col("value") - F.col("threshold")).otherwise(F.col("threshold") - F.col("value"))
     margin = F.coalesce(room / F.greatest(F.abs("threshold"), F.lit(1e-9)), F.lit(-1.0))
     return j.select("case_id", "family", "criterion", margin.alias("margin"), (margin >= 0).alias("passed"))
+
+
+def worst_cases(judged: DataFrame, k: int = 6) -> DataFrame:
+    """(family, case_id, passed, margin_min, margin_mean, rank): the k worst cases of each family.
+
+    A case passes if all its criteria do; cases are ranked by their least margin, then their mean margin (clipped to one either way), then the id.
+    """
+    clipped = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("margin")))
+    c = judged.groupBy("family", "case_id").agg(F.bool_and("passed").alias("passed"), F.min("margin").alias("margin_min"), F.round(F.avg(clipped), 9).alias("margin_mean"))
+    return c.withColumn("rank", F.row_number().over(W.partitionBy("family").orderBy("margin_min", "margin_mean", "case_id"))).where(F.col("rank") <= k)
+
+
+def generalisation(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_before, n_after, before, after, delta) of mean goodness; a side without values is null, as is then the change."""
+    side = lambda df, p: df.groupBy(*keys).agg(F.count("goodness").alias(f"n_{p}"), F.avg("goodness").alias(p))
+    j = side(before, "before").join(side(after, "after"), keys, "full_outer")
+    zero = [F.coalesce(f"n_{p}", F.lit(0)).alias(f"n_{p}") for p in ("before", "after")]
+    return j.select(*keys, *zero, "before", "after", (F.col("after") - F.col("before")).alias("delta"))

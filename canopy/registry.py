@@ -382,6 +382,22 @@ def f15(spark, d):
     return quality.with_goodness(view(spark, d, "metrics")).select("case_id", "metric", F.round("goodness", 9).alias("goodness"))
 
 
+def _all_metrics_sql() -> str:
+    values = ", ".join(f"({k}, '{m}', {str(higher).lower()}, {norm or 1.0})" for k, (m, higher, norm, *_) in enumerate(quality.SPEC))
+    return f"""WITH s(k, metric, higher, norm) AS (VALUES {values}), v AS (SELECT o_orderkey AS case_id, metric, higher, norm, CASE WHEN (o_orderkey + k) % 13 = 0 THEN NULL ELSE ((o_orderkey * 17 + k * 31 + o_custkey) % 131 - 10) / 100.0 * norm END AS value FROM orders, s)
+  SELECT case_id, metric, round(CASE WHEN value IS NULL THEN -1 WHEN higher THEN least(1, greatest(0, value / norm)) ELSE 1 - least(1, greatest(0, value / norm)) END, 9) AS goodness FROM v"""
+
+
+@query("f15_all_metrics", _all_metrics_sql())
+def f15_all(spark, d):
+    s = quality.spec(read(spark, d, "orders")).select("metric", F.coalesce("norm", F.lit(1.0)).alias("n"))
+    place = F.array_position(F.array(*[F.lit(m) for m, *_ in quality.SPEC]), F.col("metric")) - 1
+    key = F.col("o_orderkey")
+    value = F.when((key + place) % 13 != 0, ((key * 17 + place * 31 + F.col("o_custkey")) % 131 - 10) / 100.0 * F.col("n"))
+    m = read(spark, d, "orders").join(F.broadcast(s)).select(key.alias("case_id"), "metric", value.alias("value"))
+    return quality.with_goodness(m).select("case_id", "metric", F.round(F.coalesce("goodness", F.lit(-1.0)), 9).alias("goodness"))
+
+
 @query("a11_composites", f"WITH {_GOOD} SELECT case_id, round(sum(weight * goodness) / sum(CASE WHEN goodness IS NOT NULL THEN weight END), 9) AS composite FROM good GROUP BY case_id HAVING count(goodness) > 0")
 def a11(spark, d):
     return quality.composites(view(spark, d, "metrics")).select("case_id", F.round("composite", 9).alias("composite"))
@@ -424,6 +440,18 @@ def a20(spark, d):
     return m.groupBy("family", "criterion").agg(F.count("*").alias("n"), F.round(F.avg(F.col("passed").cast("double")), 9).alias("rate"), F.round(F.avg(clipped), 9).alias("objective"), F.min("margin").alias("worst"))
 
 
+@query("a20_worst_cases", f"WITH {_MARGINS}, c AS (SELECT family, case_id, bool_and(margin >= 0) AS passed, min(margin) AS margin_min, round(avg(least(1.0, greatest(-1.0, margin))), 9) AS margin_mean FROM margins GROUP BY 1, 2) SELECT family, case_id, passed, round(margin_min, 9) AS margin_min, margin_mean, row_number() OVER (PARTITION BY family ORDER BY margin_min, margin_mean, case_id)::INTEGER AS rank FROM c QUALIFY rank <= 6")
+def a20_worst(spark, d):
+    return quality.worst_cases(a19(spark, d)).withColumn("margin_min", F.round("margin_min", 9))
+
+
+@query("a22_change_by_metric", f"WITH {_GOOD}, g AS (SELECT family, metric, count(goodness) FILTER (case_id % 2 = 0) AS n_before, count(goodness) FILTER (case_id % 2 = 1) AS n_after, avg(goodness) FILTER (case_id % 2 = 0) AS b, avg(goodness) FILTER (case_id % 2 = 1) AS a FROM good GROUP BY 1, 2) SELECT family, metric, n_before, n_after, round(b, 9) AS before, round(a, 9) AS after, round(a - b, 8) AS delta FROM g")
+def a22_change(spark, d):
+    g = quality.with_goodness(view(spark, d, "metrics"))
+    out = quality.generalisation(g.where("case_id % 2 = 0"), g.where("case_id % 2 = 1"), ["family", "metric"])
+    return out.withColumns({"before": F.round("before", 9), "after": F.round("after", 9), "delta": F.round("delta", 8)})
+
+
 @query("a22_generalisation", f"WITH {_GOOD} SELECT family, round(avg(CASE WHEN case_id % 2 = 0 THEN goodness END), 9) AS before, round(avg(CASE WHEN case_id % 2 = 1 THEN goodness END), 9) AS after FROM good GROUP BY family")
 def a22(spark, d):
     g = quality.with_goodness(view(spark, d, "metrics"))
