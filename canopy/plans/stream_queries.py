@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canopy.registry import query
+from canopy.plans.source_queries import folder
+from canopy.registry import query, read
 from canopy.streaming import live
 
 
@@ -23,6 +24,32 @@ def r01(spark, d):
     return live.drain(live.first_entries(e, ["user_id", "event_type"], "60 days").select("user_id", "event_type"))
 
 
+def _ledger_lines(spark, d):
+    """Every event as a line, each third of them twice, some of them broken."""
+    at, k = folder(spark, "ledger"), F.col("event_id")
+    good = F.to_json(F.struct(F.concat(F.lit("e"), k.cast("string")).alias("id"), F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), (k % 5 != 0).alias("accepted")))
+    line = F.when(k % 17 == 0, F.lit("{oops")).when(k % 19 == 0, F.concat(F.lit('{"kind":"'), F.col("event_type"), F.lit('"}'))).when(k % 23 == 0, F.regexp_replace(good, '"kind":"[^"]*"', '"kind":"other"')).when(k % 29 == 0, F.lit("[1]")).otherwise(good)
+    times = F.explode(F.when(k % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    read(spark, d, "events").select(line.alias("value"), times.alias("n")).select("value").write.text(at)
+    kinds = [r[0] for r in read(spark, d, "events").select("event_type").distinct().collect()]  # a vocabulary
+    return live.ledger_lines(spark, at, kinds)
+
+
+_BROKEN = "CASE WHEN event_id % 17 = 0 THEN 'not an object' WHEN event_id % 19 = 0 THEN 'no id' WHEN event_id % 23 = 0 THEN 'unknown kind' WHEN event_id % 29 = 0 THEN 'not an object' END"
+
+
+@query("r01_ledger_lines", f"SELECT 'e' || event_id AS id, event_type AS kind, event_id % 5 <> 0 AS accepted FROM events WHERE {_BROKEN} IS NULL")
+def r01_lines(spark, d):
+    entries, _ = _ledger_lines(spark, d)
+    return live.drain(live.first_entries(entries, ["id"], "60 days").select("id", "kind", "accepted"))
+
+
+@query("r01_rejected_lines", f"SELECT {_BROKEN} AS reason, sum(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS n FROM events WHERE {_BROKEN} IS NOT NULL GROUP BY 1")
+def r01_rejected(spark, d):
+    _, rejected = _ledger_lines(spark, d)
+    return live.drain(rejected).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("r02_latency_windows", """WITH w AS (SELECT event_type AS kind, value, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events)
   SELECT kind, start, start + INTERVAL 1 HOUR AS "end", count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max FROM w
   WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY kind, start""")

@@ -43,6 +43,26 @@ def test_first_entries_drop_repeats_of_other_batches(batches):
     assert sorted(r.id for r in live.drain(live.first_entries(s, ["id"], "5 hours").select("id")).collect()) == [1, 2, 3]
 
 
+def test_votes_stand_once_their_state_is_gone(batches):
+    rows = "signature long, screen long, item long, answer string, ts timestamp", [(1, 10, 1, "a", at(0)), (1, 11, 2, "a", at(1))], [(2, 99, 3, "z", at(100))], [(1, 10, 4, "b", at(101))]
+    votes = lambda keep: {(r.signature, r.answer, r.s) for r in live.drain(live.support_changes(batches(*rows), keep)).groupBy("signature", "answer").agg(F.sum("change").alias("s")).where("s > 0").collect()}
+    assert votes(None) == {(1, "a", 1), (1, "b", 1), (2, "z", 1)}
+    assert votes("30 days") == votes(None)
+    # after the second batch the first answers are three days old: their state goes, so the answer of the third is one more vote
+    assert votes("1 day") == {(1, "a", 2), (1, "b", 1), (2, "z", 1)}
+
+
+def test_ledger_lines_are_checked_and_repeats_dropped(spark, tmp_path):
+    good = lambda k, h: f'{{"id":"e{k}","kind":"move","ts":"{at(h)}","accepted":true,"more":{{"x":1}}}}'
+    files = [[good(1, 0), good(2, 1), "{broken", ""], [good(1, 0), '{"kind":"move"}', "[1, 2]", "  ", '"text"'], [good(3, 2).replace("move", "odd"), good(3, 2), '{"id":"e9","kind":"move","ts":"soon"}', good(2, 1)]]
+    for k, lines in enumerate(files):
+        (tmp_path / f"{k}.jsonl").write_text("\n".join(lines))
+    entries, rejected = live.ledger_lines(spark, str(tmp_path), ["move"], 1)
+    got = live.drain(live.first_entries(entries, ["id"], "5 hours")).collect()
+    assert sorted((r.id, r.accepted) for r in got) == [("e1", True), ("e2", True), ("e3", True)] and '"more"' in got[0].body
+    assert sorted(r.reason for r in live.drain(rejected).collect()) == ["no id", "no time", "not an object", "not an object", "not an object", "unknown kind"]
+
+
 def test_windows_and_sessions_close_behind_the_watermark(batches):
     rows = [("k", at(0.1), 1.0), ("k", at(0.2), 3.0)], [("k", at(9), 5.0)]
     w = live.drain(live.latency_windows(batches("kind string, ts timestamp, value double", *rows), "1 hour", "1 hour", "1 hour")).collect()
