@@ -76,18 +76,28 @@ def gradients(pixels: DataFrame, value: Column) -> DataFrame:
 _TAN = 13573
 
 
-def thin_ridges(g: DataFrame) -> DataFrame:
-    """(case_id, x, y, m): pixels whose magnitude |gx| + |gy| is the largest across their edge's direction."""
-    g = g.withColumn("m", F.abs("gx") + F.abs("gy"))
-    column = F.struct(F.coalesce(_beside("m", "y", -1), F.lit(0)).alias("up"), F.col("m").alias("own"), F.coalesce(_beside("m", "y", 1), F.lit(0)).alias("down"))
-    g = g.withColumn("c", column)
-    g = g.withColumns({"left": _beside("c", "x", -1), "right": _beside("c", "x", 1)})
-    of = lambda side, part: F.coalesce(F.col(f"{side}.{part}"), F.lit(0))
+def _aslant(value: str, line: Column, step: int) -> Column:
+    """The neighbour's value ``step`` pixels on along a diagonal (x and y change by one a step); null outside the image."""
+    return F.max(value).over(W.partitionBy("case_id", line).orderBy("x").rangeBetween(step, step))
+
+
+def thin_ridges(g: DataFrame, low: int = 0) -> DataFrame:
+    """(case_id, x, y, m): pixels whose magnitude |gx| + |gy| is above ``low`` and the largest across their edge's direction.
+
+    Each of the eight neighbours is looked up along a line through both pixels, so that none is missed where an image's
+    rows end at different columns. Pixels of ``low`` or less never outdo one above it and are left out first.
+    """
+    g = g.withColumn("m", F.abs("gx") + F.abs("gy")).where(F.col("m") > low)
+    g = g.withColumns({"left": _beside("m", "x", -1), "right": _beside("m", "x", 1)}).withColumns({"up": _beside("m", "y", -1), "down": _beside("m", "y", 1)})
+    falling_line, rising_line = F.col("x") - F.col("y"), F.col("x") + F.col("y")
+    g = g.withColumns({"left_up": _aslant("m", falling_line, -1), "right_down": _aslant("m", falling_line, 1)})
+    g = g.withColumns({"left_down": _aslant("m", rising_line, -1), "right_up": _aslant("m", rising_line, 1)})
+    of = lambda side: F.coalesce(F.col(side), F.lit(0))
     ax, ay, m = F.abs("gx"), F.abs("gy") * 32768, F.col("m")
     flat, steep = ay < ax * _TAN, ay > ax * _TAN + ax * 65536
     falling = (F.col("gx") < 0) != (F.col("gy") < 0)
-    slant = F.when(falling, (m > of("right", "up")) & (m > of("left", "down"))).otherwise((m > of("left", "up")) & (m > of("right", "down")))
-    keep = F.when(flat, (m > of("left", "own")) & (m >= of("right", "own"))).when(steep, (m > F.col("c.up")) & (m >= F.col("c.down"))).otherwise(slant)
+    slant = F.when(falling, (m > of("right_up")) & (m > of("left_down"))).otherwise((m > of("left_up")) & (m > of("right_down")))
+    keep = F.when(flat, (m > of("left")) & (m >= of("right"))).when(steep, (m > of("up")) & (m >= of("down"))).otherwise(slant)
     return g.where(keep).select("case_id", "x", "y", "m")
 
 
@@ -96,7 +106,7 @@ def edges(pixels: DataFrame, value: Column | None = None, low: int = 40, high: i
 
     Ridge pixels are linked to their eight neighbours; a connected part without a strong pixel is left out.
     """
-    ridge = written(thin_ridges(gradients(pixels, gray() if value is None else value)).where(F.col("m") > low).withColumn("v", F.xxhash64("case_id", "x", "y")))
+    ridge = written(thin_ridges(gradients(pixels, gray() if value is None else value), low).withColumn("v", F.xxhash64("case_id", "x", "y")))
     forward = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])
     to = ridge.select("case_id", "x", "y", F.col("v").alias("a"), F.explode(forward).alias("o")).select("case_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "a")
     part = components(to.join(ridge.select("case_id", "x", "y", F.col("v").alias("b")), ["case_id", "x", "y"]).select("a", "b"))

@@ -72,3 +72,9 @@ def test_edges_equal_array_code(spark):
     assert raster.edges(df.where("false"), raster.gray("a")).count() == 0
     flat = raster.edges(df.withColumns({c: F.lit(9) for c in ("ar", "ag", "ab")}), raster.gray("a"))
     assert flat.count() == 0
+
+
+def test_ridge_sees_diagonal_neighbours_of_ragged_rows(spark):
+    # (1, 1) has no neighbour on its left; the one above that place outdoes it along the gradient
+    g = spark.createDataFrame([(1, 0, 0, 60, 60), (1, 1, 0, 10, 10), (1, 1, 1, 25, 25)], "case_id int, x int, y int, gx int, gy int")
+    assert [(r["x"], r["y"]) for r in raster.thin_ridges(g, 30).collect()] == [(0, 0)]
