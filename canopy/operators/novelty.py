@@ -147,20 +147,23 @@ def novelty(items: DataFrame, known: DataFrame, reference: DataFrame, k: int = 5
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     """(id, cluster) of points (id, x, y) by density (N09); noise has no cluster, a border point that of its nearest core.
 
-    Points meet in cells of side ``eps``; a cluster's name is its smallest core id.
+    Points meet in cells of side ``eps``; a cluster's name is its smallest core id. Points of one place have the same neighbours
+    and the same cluster, so places meet, each once, with the number and the smallest id of their points.
     """
     cell = lambda c: F.floor(F.col(c) / eps)
-    own = points.select("id", "x", "y", cell("x").alias("i"), cell("y").alias("j"))
+    places = spatial.checkpoint(points.groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumns({"i": cell("x"), "j": cell("y")}))
+    own = places.select(F.col("id").alias("a"), "x", "y", "i", "j")
     around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    other = own.withColumn("i", around("i")).withColumn("j", around("j")).select("i", "j", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    other = places.withColumn("i", around("i")).withColumn("j", around("j")).select("i", "j", F.col("id").alias("b"), "n", F.col("x").alias("bx"), F.col("y").alias("by"))
     d2 = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
-    near = spatial.checkpoint(own.join(other, ["i", "j"]).withColumn("d2", d2).where(F.col("d2") <= eps * eps).select(F.col("id").alias("a"), "b", "d2"))
-    core = spatial.checkpoint(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a"))
+    near = spatial.checkpoint(own.join(other, ["i", "j"]).withColumn("d2", d2).where(F.col("d2") <= eps * eps).select("a", "b", "n", "d2"))
+    core = spatial.checkpoint(near.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a"))
     links = near.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi")
     part = components(links.select("a", "b"))
-    member = part.select(F.col("v").alias("id"), F.col("component").alias("cluster"))
-    border = near.join(core, "a", "left_anti").join(part.select(F.col("v").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("component", F.struct("d2", "b")).alias("cluster"))
-    return points.select("id").join(member.unionByName(border), "id", "left")
+    member = part.select(F.col("v").alias("place"), F.col("component").alias("cluster"))
+    border = near.join(core, "a", "left_anti").join(part.select(F.col("v").alias("b"), "component"), "b").groupBy(F.col("a").alias("place")).agg(F.min_by("component", F.struct("d2", "b")).alias("cluster"))
+    named = places.select("x", "y", F.col("id").alias("place")).join(member.unionByName(border), "place").select("x", "y", "cluster")
+    return points.join(named, ["x", "y"], "left").select("id", "cluster")
 
 
 def cluster_report(members: DataFrame, features: list[str]) -> DataFrame:
