@@ -138,12 +138,19 @@ def rule_lookup(nodes: DataFrame, rules: DataFrame, height_tol: float = 6.0, asp
     """(id, rule, answer, confidence): the best active rule with the node's signature and about its size.
 
     Rules: (rule, signature, answer, height, aspect, confidence, support, local, active). Ties by support, then local
-    rules, then the id.
+    rules, then the id. Nodes of one signature and size have the same rule, and of rules alike in signature, height and
+    aspect only the first can be the best; so distinct sizes meet distinct rules, in steps of height wider than ``height_tol``.
     """
-    j = nodes.select("id", "signature", "h", (F.col("w") / F.greatest(F.col("h"), F.lit(1))).alias("ratio")).join(rules.where("active"), "signature")
-    near = j.where((F.abs(F.col("h") - F.col("height")) <= height_tol) & (F.abs(F.col("ratio") - F.col("aspect")) <= aspect_tol))
     order = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), (~F.col("local")).alias("l"), "rule")
-    return near.groupBy("id").agg(F.min_by(F.struct("rule", "answer", "confidence"), order).alias("t")).select("id", "t.*")
+    shape = ["signature", "h", "ratio"]
+    n = nodes.select("id", "signature", "h", (F.col("w") / F.greatest(F.col("h"), F.lit(1))).alias("ratio"))
+    kept = rules.where("active").groupBy("signature", "height", "aspect").agg(F.min(F.struct(order.alias("o"), "answer", "confidence")).alias("t"))
+    step = lambda c: F.floor(F.col(c) / (height_tol + 1))
+    kept = kept.withColumn("_step", F.explode(F.sequence(step("height") - 1, step("height") + 1)))
+    j = n.select(*shape).distinct().withColumn("_step", step("h")).join(kept, ["signature", "_step"])
+    near = j.where((F.abs(F.col("h") - F.col("height")) <= height_tol) & (F.abs(F.col("ratio") - F.col("aspect")) <= aspect_tol))
+    best = near.groupBy(*shape).agg(F.min("t").alias("t"))
+    return n.join(best, shape).select("id", F.col("t.o.rule").alias("rule"), "t.answer", "t.confidence")
 
 
 def rule_effect(candidates: DataFrame, rules: DataFrame, boost: float = 0.25, override: float = 0.75, cap: float = 0.9, veto_score: float = 0.85, veto_margin: float = 0.4) -> DataFrame:
