@@ -36,7 +36,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder.
 
     For loops of joins: a checkpoint keeps the size estimate of its plan, and a join multiplies those of its
@@ -45,7 +45,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     if float(spark.conf.get("spark.sql.sources.fileCompressionFactor", "1.0")) == 1.0:
         spark.conf.set("spark.sql.sources.fileCompressionFactor", PACKED)
     return spark.read.schema(df.schema).parquet(path)

@@ -36,16 +36,16 @@ def walk(files: DataFrame, most: int = 256) -> DataFrame:
     level, out = level.withColumn("origin", box), None
     for _ in range(most):
         level = level.withColumn("shown", F.col("open") & F.coalesce(_get("node", "visible", "boolean"), F.lit(True)))
-        # VARIANT columns cannot be told apart by a union's constraints, so a level is a table of its own
-        level = written(level.withColumn("node", F.expr("to_json(node)")))
+        # VARIANT columns cannot be told apart by a union's constraints, so a level is a table of its own; it is kept as it was parsed
+        level = written(level, "zstd")
         if level.isEmpty():
             break
         out = level if out is None else out.unionByName(level)
-        level = level.withColumn("node", F.expr("parse_json(node)")).withColumn("open", F.col("shown") & (_kind() == "frame"))
+        level = level.withColumn("open", F.col("shown") & (_kind() == "frame"))
         level = spark.sql("SELECT doc_id, try_variant_get(node, '$.id', 'string') AS parent_id, concat(path, array(c.pos)) AS path, open, origin, c.value AS node FROM {level}, LATERAL variant_explode(try_variant_get(node, '$.children', 'variant')) AS c", level=level)
     else:
         raise ValueError(f"file deeper than {most}")
-    return (level.withColumn("shown", F.lit(True)) if out is None else out.withColumn("node", F.expr("parse_json(node)"))).select("doc_id", "parent_id", "path", "shown", "origin", "node")
+    return (level if out is None else out).select("doc_id", "parent_id", "path", "shown", "origin", "node")
 
 
 def _kind() -> Column:
@@ -86,15 +86,16 @@ def design_nodes(walked: DataFrame) -> DataFrame:
     inner = inner.groupBy("doc_id", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).agg(F.min_by("f", "path").alias("inner_fill"))
     mode = {"HORIZONTAL": "row", "VERTICAL": "column"}
     box = [F.coalesce(_get("node", f"absoluteBoundingBox.{c}", "double"), F.lit(0.0)) for c in ("x", "y", "width", "height")]
-    n = walked.where("shown").join(inner, ["doc_id", "path"], "left")
     layout = F.coalesce(*[F.when(_get("node", "layoutMode", "string") == a, F.lit(b)) for a, b in mode.items()])
-    n = n.select(
+    # a node carries its children, so only what is read of it goes through the join
+    n = walked.where("shown").select(
         "doc_id", _get("node", "id", "string").alias("node_id"), "parent_id", (F.size("path") - 1).alias("depth"), "path", kind.alias("type"), _get("node", "name", "string").alias("name"),
         (box[0] - F.col("origin.x")).alias("x"), (box[1] - F.col("origin.y")).alias("y"), box[2].alias("w"), box[3].alias("h"), F.coalesce(_get("node", "opacity", "double"), F.lit(1.0)).alias("opacity"), corner.alias("radius"),
-        F.when(kind == "text", F.lit(None)).when(kind == "icon", F.coalesce(fill, "inner_fill")).otherwise(fill).alias("fill"), F.when(width > 0, stroke).alias("stroke"), F.when((width > 0) & stroke.isNotNull(), width).alias("stroke_width"),
+        F.when(kind != "text", fill).alias("fill"), F.when(width > 0, stroke).alias("stroke"), F.when((width > 0) & stroke.isNotNull(), width).alias("stroke_width"),
         _shadow().alias("shadow"), F.when(kind == "text", F.coalesce(_get("node", "characters", "string"), F.lit(""))).alias("text"), F.when(kind == "text", _style()).alias("style"), F.when(kind == "text", F.coalesce(fill, F.lit("#000000"))).alias("ink"),
         F.when(kind == "frame", layout).alias("layout"), F.when((kind == "frame") & layout.isNotNull(), F.coalesce(_get("node", "itemSpacing", "double"), F.lit(0.0))).alias("gap"),
         F.when(kind == "icon", F.coalesce(F.nullif(X.kebab(F.regexp_replace(_get("node", "name", "string"), r"(?i)^(icons?[/_-]?)", "")), F.lit("")), F.lit("icon"))).alias("glyph"))
+    n = n.join(inner, ["doc_id", "path"], "left").withColumn("fill", F.when(F.col("type") == "icon", F.coalesce("fill", "inner_fill")).otherwise(F.col("fill"))).drop("inner_fill")
     return n.withColumn("preorder", F.row_number().over(W.partitionBy("doc_id").orderBy("path")) - 1)
 
 

@@ -1,6 +1,9 @@
 """Matching shuffles each side once; closures read their nodes once."""
 
 from canopy.operators import differ, spatial
+from canopy.plans import design_queries
+from canopy.sources import design_files
+from tests.conftest import SF
 
 BOX = "case_id int, node int, x int, y int, w int, h int, type int"
 
@@ -39,3 +42,15 @@ def test_closure_reads_its_nodes_once(spark):
     got = {(r["node"], r["ancestor"], r["distance"]) for r in differ.closure(nodes).collect()}
     assert got == {(n, n >> d, d) for n in range(2, 16) for d in range(1, 4) if n >> d}
     assert seen.value == 15
+
+
+def test_design_files_are_packed_and_levels_kept_parsed(spark, monkeypatch):
+    tables, real = [], design_files.written
+    monkeypatch.setattr(design_files, "written", lambda df, *a: tables.append(df.schema["node"].dataType.typeName()) or real(df, *a))
+    files = design_queries._files(spark, SF)
+    assert all(f.endswith(".gz") for f in files.inputFiles())
+    n = design_files.design_nodes(design_files.walk(files))
+    assert set(tables) == {"variant"}
+    # only what is read of a node meets its children's fills
+    plan = n._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant_get" not in plan[: plan.index("Join LeftOuter")] and n.count() > 0
