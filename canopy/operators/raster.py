@@ -101,6 +101,12 @@ def thin_ridges(g: DataFrame, low: int = 0) -> DataFrame:
     return g.where(keep).select("case_id", "x", "y", "m")
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """``df`` to be met by a sort-merge join: sides of pixels pack so well that by their shuffled size they would be broadcast
+    through the driver, where they take many times that."""
+    return df.hint("merge")
+
+
 def edges(pixels: DataFrame, value: Column | None = None, low: int = 40, high: int = 120) -> DataFrame:
     """(case_id, x, y) of edge pixels (P10): thin ridges above ``low`` that hang together with one above ``high``.
 
@@ -109,10 +115,10 @@ def edges(pixels: DataFrame, value: Column | None = None, low: int = 40, high: i
     ridge = written(thin_ridges(gradients(pixels, gray() if value is None else value), low).withColumn("v", F.xxhash64("case_id", "x", "y")))
     forward = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])
     to = ridge.select("case_id", "x", "y", F.col("v").alias("a"), F.explode(forward).alias("o")).select("case_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "a")
-    part = components(to.join(ridge.select("case_id", "x", "y", F.col("v").alias("b")), ["case_id", "x", "y"]).select("a", "b"))
-    named = ridge.join(part, "v", "left").withColumn("c", F.coalesce("component", "v"))
+    part = components(to.join(_sorted(ridge.select("case_id", "x", "y", F.col("v").alias("b"))), ["case_id", "x", "y"]).select("a", "b"))
+    named = ridge.join(_sorted(part), "v", "left").withColumn("c", F.coalesce("component", "v"))
     strong = named.where(F.col("m") > high).select("c").distinct()
-    return named.join(strong, "c", "left_semi").select("case_id", "x", "y")
+    return named.join(_sorted(strong), "c", "left_semi").select("case_id", "x", "y")
 
 
 FEATURES = [
@@ -134,20 +140,22 @@ def region_features(pixels: DataFrame, boxes: DataFrame, contents: DataFrame, re
     cover = lambda kind: _cells(contents.where(F.col("kind") == kind)).withColumn(kind, F.lit(True))
     p = pixels.select("case_id", "x", "y", *[v.alias(f"t{n}") for n, v in zip("lab", lab("a"), strict=True)], *[v.alias(f"c{n}") for n, v in zip("lab", lab("b"), strict=True)])
     at = ["case_id", "x", "y"]
-    p = p.join(edges(pixels, gray("a"), low, high).withColumn("et", F.lit(True)), at, "left").join(edges(pixels, gray("b"), low, high).withColumn("ec", F.lit(True)), at, "left")
-    p = written(p.join(cover("text"), at, "left").join(cover("icon"), at, "left"))
+    marks = [edges(pixels, gray(s), low, high).withColumn(c, F.lit(True)) for s, c in (("a", "et"), ("b", "ec"))] + [cover("text"), cover("icon")]
+    for mark in marks:
+        p = p.join(_sorted(mark), at, "left")
+    p = written(p)
     size = p.groupBy("case_id").agg((F.max("x") + 1).alias("pw"), (F.max("y") + 1).alias("ph"))
-    b = boxes.join(size, "case_id").select("case_id", "node", F.greatest("x", F.lit(0)).alias("x0"), F.greatest("y", F.lit(0)).alias("y0"), F.least(F.col("x") + F.col("w"), "pw").alias("x1"), F.least(F.col("y") + F.col("h"), "ph").alias("y1"), "pw", "ph")
+    b = boxes.join(_sorted(size), "case_id").select("case_id", "node", F.greatest("x", F.lit(0)).alias("x0"), F.greatest("y", F.lit(0)).alias("y0"), F.least(F.col("x") + F.col("w"), "pw").alias("x1"), F.least(F.col("y") + F.col("h"), "ph").alias("y1"), "pw", "ph")
     b = written(b.where("x1 - x0 >= 2 AND y1 - y0 >= 2"))
     rows = b.withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1)))
-    inside = written(p.join(rows, ["case_id", "y"]).where("x >= x0 AND x < x1"))
+    inside = written(p.join(_sorted(rows), ["case_id", "y"]).where("x >= x0 AND x < x1"))
     gap = lambda one, two: F.sqrt(sum((F.col(one + n) - (F.col(two + n) if isinstance(two, str) else two[n])) ** 2 for n in "lab"))
     key = ["case_id", "node"]
     on_border = F.when((F.col("x") == F.col("x0")) | (F.col("x") == F.col("x1") - 1), 1).otherwise(0) + F.when((F.col("y") == F.col("y0")) | (F.col("y") == F.col("y1") - 1), 1).otherwise(0)
     medians = inside.withColumn("k", on_border).where("k > 0").groupBy(*key).agg(*[F.percentile(f"{s}{n}", 0.5, F.col("k")).alias(f"m{s}{n}") for s in "tc" for n in "lab"])
     fits = [f for n in "lab" for f in (F.regr_slope(f"t{n}", f"c{n}").alias(f"s{n}"), F.avg(f"t{n}").alias(f"at{n}"), F.avg(f"c{n}").alias(f"ac{n}"))]
-    models = medians.join(inside.groupBy(*key).agg(*fits), key)
-    q = inside.join(models, key)
+    models = medians.join(_sorted(inside.groupBy(*key).agg(*fits)), key)
+    q = inside.join(_sorted(models), key)
     fitted = {n: F.coalesce(F.col(f"s{n}"), F.lit(0.0)) * (F.col(f"c{n}") - F.col(f"ac{n}")) + F.col(f"at{n}") for n in "lab"}
     chroma = lambda s: F.sqrt(F.col(f"{s}a") ** 2 + F.col(f"{s}b") ** 2)
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
@@ -158,9 +166,9 @@ def region_features(pixels: DataFrame, boxes: DataFrame, contents: DataFrame, re
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     moved = inside.select(*key, "x0", "y0", "x1", "y1", "pw", "ph", "x", "y", "tl", "ta", "tb", F.explode(steps).alias("dx")).withColumn("dy", F.explode(steps))
     moved = moved.where("x0 + dx >= 0 AND y0 + dy >= 0 AND x1 + dx <= pw AND y1 + dy <= ph").withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})
-    errors = moved.join(p.select(*at, "cl", "ca", "cb"), at).groupBy(*key, "dx", "dy").agg(F.sum(gap("t", "c")).alias("e"), F.count("*").alias("k"))
-    best = errors.join(g.select(*key, "n"), key).where("k = n").groupBy(*key).agg(F.min("e").alias("best"))
-    f = g.join(best, key, "left")
+    errors = moved.join(_sorted(p.select(*at, "cl", "ca", "cb")), at).groupBy(*key, "dx", "dy").agg(F.sum(gap("t", "c")).alias("e"), F.count("*").alias("k"))
+    best = errors.join(_sorted(g.select(*key, "n")), key).where("k = n").groupBy(*key).agg(F.min("e").alias("best"))
+    f = g.join(_sorted(best), key, "left")
     gain = lambda left: F.greatest(F.lit(0.0), 1 - F.col(left) / (F.col("total") + 1e-6))
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     return f.select(
