@@ -55,6 +55,21 @@ def test_far_cells_are_not_compared(spark):
     assert compared.value < 0.1 * n * n / 10
 
 
+def test_queries_go_to_blocks_and_copies_stay_few(spark, monkeypatch):
+    """A query is sent once for all near cells of a block; of many equal items the smallest ids are the nearest."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    x = np.round(rng.standard_normal((n, 24)), 3)
+    x[500:1500] = x[500]
+    sent = []
+    monkeypatch.setattr(metric, "written", lambda df, f=metric.written: sent.append(f(df)) or sent[-1])
+    monkeypatch.setattr(metric, "WAITING", 2000, raising=False)
+    df = items(spark, x)
+    got = metric.k_nearest(df, df, 3).collect()
+    assert {(r["query_id"], r["rank"], r["id"], r["d2"]) for r in got} == brute(x, range(n), 3)
+    assert sum(t.count() for t in sent if "bound" in t.columns) <= 3 * n
+
+
 def test_conformal_counts_reference_scores_as_large(spark):
     rng = np.random.default_rng(7)
     ref, own = rng.integers(0, 50, 300) / 10, rng.integers(0, 60, 80) / 10
