@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 FEW_EDGES = 500_000
 #: Rows of two longs up to which a side may be sent to every executor (about 32 MB).
 BROADCAST_ROWS = 1_000_000
+#: Rows that a task sorts or groups at once where they are dealt by ``dealt``.
+TASK_ROWS = 1_000_000
 #: Bytes in memory for a byte of a Parquet file, for estimates.
 PACKED = "10.0"
 
@@ -56,6 +58,15 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, which has ``rows`` rows, dealt by ``keys`` to so many tasks that one gets about ``TASK_ROWS``.
+
+    A shuffle whose number of partitions is Spark's choice has them joined to a size in compressed bytes, so that a task of small
+    rows gets millions of them, and hash tables and sorts of what they grow into.
+    """
+    return df.repartition(max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def against(rows: DataFrame, table: DataFrame, limit: int = 20_000) -> DataFrame:
     """Every row of ``rows`` with every row of ``table``: sent to all executors up to ``limit`` rows (counted), beyond that in
     blocks of so many, each met by all rows in tasks of its own."""
