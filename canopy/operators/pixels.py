@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from canopy.functions import color as C
 from canopy.operators.core import checkpoint
 from canopy.operators.core import components
+from canopy.operators.core import dealt, written
 
 #: Colour differences from which a pixel counts: just noticeable, plainly wrong.
 JND, BAD = 2.3, 6.0
@@ -69,8 +70,9 @@ def box_sums(pixels: DataFrame, boxes: DataFrame, value: Column, key: str = "nod
 
     The running sum up to an edge is that of the last pixel before it, so rows need not be complete.
     """
-    row = W.partitionBy("case_id", "y").orderBy("x")
-    run = pixels.select("case_id", "y", F.col("x").alias("at"), F.sum(value).over(row).alias("s"), F.row_number().over(row).alias("n"))
+    row = W.partitionBy("case_id", "y").orderBy("at")
+    kept = written(pixels.select("case_id", "y", F.col("x").alias("at"), value.alias("value")))
+    run = dealt(kept, kept.count(), "case_id", "y").select("case_id", "y", "at", F.sum("value").over(row).alias("s"), F.row_number().over(row).alias("n"))
     run = run.withColumn("until", F.coalesce(F.lead("at").over(W.partitionBy("case_id", "y").orderBy("at")) - 1, F.lit(2**31 - 1)))
     rows = _corners(boxes, key)
     hit = rows.join(run, ["case_id", "y"]).where("edge >= at AND edge <= until")
@@ -86,13 +88,15 @@ def _corners(boxes: DataFrame, key: str) -> DataFrame:
 
 def node_errors(pixels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Mean difference in each node's box less its children's parts of it; of the whole box if nothing is left."""
-    own = box_sums(pixels, nodes, F.col("de")).withColumnRenamed("s", "total").withColumnRenamed("n", "area")
     kids = nodes.where("parent IS NOT NULL").select("case_id", F.col("node").alias("kid"), F.col("parent").alias("node"), *[F.col(c).alias(f"k{c}") for c in "xywh"])
     j = kids.join(nodes.select("case_id", "node", "x", "y", "w", "h"), ["case_id", "node"])
     x, y = F.greatest("x", "kx"), F.greatest("y", "ky")
     cut = j.select("case_id", "kid", "node", x.alias("x"), y.alias("y"), (F.least(F.col("x") + F.col("w"), F.col("kx") + F.col("kw")) - x).alias("w"), (F.least(F.col("y") + F.col("h"), F.col("ky") + F.col("kh")) - y).alias("h"))
-    inner = box_sums(pixels, cut, F.col("de"), "kid").join(cut.select("case_id", "kid", "node"), ["case_id", "kid"]).groupBy("case_id", "node").agg(F.sum("s").alias("s"), F.sum("n").alias("k"))
-    e = nodes.select("case_id", "node").join(own, ["case_id", "node"], "left").join(inner, ["case_id", "node"], "left")
+    # boxes and their children's parts meet the pixels together
+    boxes = nodes.select("case_id", "node", F.lit(None).cast(cut.schema["kid"].dataType).alias("kid"), *"xywh").unionByName(cut).withColumn("box", F.struct("node", "kid"))
+    of = lambda kid, c: F.sum(F.when(F.col("box.kid").isNotNull() == F.lit(kid), F.col(c)))
+    sums = box_sums(pixels, boxes, F.col("de"), "box").groupBy("case_id", "box.node").agg(of(False, "s").alias("total"), of(False, "n").alias("area"), of(True, "s").alias("s"), of(True, "n").alias("k"))
+    e = nodes.select("case_id", "node").join(sums, ["case_id", "node"], "left")
     left, total = F.coalesce("area", F.lit(0)) - F.coalesce("k", F.lit(0)), F.coalesce("total", F.lit(0.0))
     error = F.when(F.coalesce("area", F.lit(0)) <= 0, 0.0).when(left <= 0, total / F.col("area")).otherwise(F.greatest(F.lit(0.0), total - F.coalesce("s", F.lit(0.0))) / left)
     return e.select("case_id", "node", error.alias("error"))

@@ -1,6 +1,6 @@
 """Matching shuffles each side once; closures read their nodes once."""
 
-from canopy.operators import differ, spatial
+from canopy.operators import core, differ, fusion, matcher, pixels, spatial
 from canopy.plans import design_queries
 from canopy.sources import design_files
 from tests.conftest import SF
@@ -54,3 +54,26 @@ def test_design_files_are_packed_and_levels_kept_parsed(spark, monkeypatch):
     # only what is read of a node meets its children's fills
     plan = n._jdf.queryExecution().optimizedPlan().toString()
     assert "variant_get" not in plan[: plan.index("Join LeftOuter")] and n.count() > 0
+
+
+def test_large_inputs_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
+    """Sums of boxes and posteriors: tasks by the number of rows, not by compressed bytes."""
+    monkeypatch.setattr(core, "TASK_ROWS", 50, raising=False)
+    plan = lambda df: df._jdf.queryExecution().toString()
+    pixel = spark.range(400).selectExpr("id % 4 AS case_id", "id div 40 AS y", "id % 40 AS x", "1.0D AS de")
+    boxes = spark.createDataFrame([(0, 1, None, 0, 0, 40, 10), (0, 2, 1, 0, 0, 8, 2)], "case_id long, node long, parent long, x long, y long, w long, h long")
+    errors = pixels.node_errors(pixel, boxes)
+    assert "RepartitionByExpression [case_id#" in plan(errors) and sorted((r["node"], r["error"]) for r in errors.collect()) == [(1, 1.0), (2, 1.0)]
+    samples = spark.range(300).selectExpr("id div 3 AS cluster", "IF(id % 2 = 0, 'a', 'none') AS label", "id % 3 AS detector", "IF(id % 5 = 0, 'a', NULL) AS type", "id / 300 AS confidence")
+    model = fusion.fit_fusion(samples, spark.createDataFrame([("a", "x"), ("none", None)], "label string, parent string"))
+    post = fusion.posterior(samples, model)
+    assert "RepartitionByExpression [cluster#" in plan(post) and post.count() == 200
+
+
+def test_pairs_of_nodes_and_signatures_are_not_shuffled(spark):
+    nodes = spark.range(40).selectExpr("id", "0 AS type", "20 AS w", "20 AS h", "4 AS radius", "10 AS r", "20 AS g", "30 AS b", "0 AS stroke", "1 AS texts").repartition(3)
+    signs = spark.range(6).selectExpr("concat('c', id % 3) AS component", "concat('v', id) AS variant", "0 AS type", "16D AS low", "24D AS high", "'any' AS rule", "10 AS sr", "20 AS sg", "30 AS sb", "false AS stroked", "1 AS least", "1 AS most")
+    found = matcher.match_catalog(nodes, signs, 2)
+    assert {(r["component"], r["variant"], r["score"], r["rank"]) for r in found.collect()} == {("c0", "v0", 1.0, 1), ("c1", "v1", 1.0, 2)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
