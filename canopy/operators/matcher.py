@@ -99,9 +99,11 @@ def match_catalog(nodes: DataFrame, signatures: DataFrame, top: int = 3) -> Data
     in the nodes (the components among a node's content) a signature that needs a component counts it as one more part. The
     score is the weighted mean of the parts; one that is 0 in height or fill multiplies it by a half.
     """
-    j = nodes.join(small_enough(signatures, 20_000), "type")
-    lab = {f"n{k}": v for k, v in zip("lab", C.lab(F.col("r"), F.col("g"), F.col("b")), strict=True)} | {f"s{k}": v for k, v in zip("uvw", C.lab(F.col("sr"), F.col("sg"), F.col("sb")), strict=True)}
-    j = j.withColumns(lab).withColumn("de", C.delta76(tuple(F.col(f"n{k}") for k in "lab"), tuple(F.col(f"s{k}") for k in "uvw")))
+    lab = lambda p, names, of: {f"{p}{k}": v for k, v in zip(names, C.lab(*[F.col(c) for c in of]), strict=True)}
+    # nodes are dealt before they meet their signatures, so that pairs are not shuffled
+    n, s = nodes.withColumns(lab("n", "lab", "rgb")).repartition("id"), signatures.withColumns(lab("s", "uvw", ("sr", "sg", "sb")))
+    j = n.join(small_enough(s, 20_000), "type")
+    j = j.withColumn("de", C.delta76(tuple(F.col(f"n{k}") for k in "lab"), tuple(F.col(f"s{k}") for k in "uvw")))
     parts = {
         "height": G.soft_range(F.col("h").cast("double"), F.col("low"), F.col("high"), F.lit(6.0)),
         "radius": radius_score(F.col("radius"), F.col("w"), F.col("h"), F.col("rule")),
