@@ -1,8 +1,8 @@
 """Near-duplicate vectors by sorted projection passes (operator 1).
 
 1. Equal vectors of a group become one node with a count.
-2. The number of passes and the window are planned for each group: a sample of its nodes, hashed about the
-   group's centre, tells how many leading bits two nodes must share to be within a window, and so what share
+2. The number of passes and the window are planned for each group from all its nodes: dealt to blocks and hashed about
+   the group's centre, they tell how many leading bits two nodes must share to be within a window, and so what share
    of pairs at the threshold all passes miss. The cheapest plan that misses at most ``miss`` is taken (the one
    that misses least, if none does). A group that fits into the smallest window needs one pass and no plan.
 3. Each pass hashes every node, less its group's centre, to a string of random sign bits. Nodes are
@@ -36,10 +36,10 @@ from canopy.llm._spark import checkpoint, components, local_roots, runs, small_e
 
 #: Screening works on bytes; a cosine is off by less than this.
 _MARGIN = 0.03
-#: Plans to choose from, the sampled nodes of a group, and what sending a node counts in comparisons.
+#: Plans to choose from, the nodes of a block that plans, and what sending a node counts in comparisons.
 _PASSES = np.array([4, 6, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 256])
 _WINDOWS = np.array([64, 128, 256, 512, 1024])
-_SAMPLE = 4096
+_PLANNED = 4096
 _SEND = 500
 
 
@@ -58,15 +58,19 @@ def _units(x: np.ndarray) -> np.ndarray:
     return unit / np.linalg.norm(unit, axis=1, keepdims=True)
 
 
-def plan_group(unit: np.ndarray, size: int, threshold: float, miss: float, bits: int, seed: int) -> tuple[np.ndarray, int, int, float]:
-    """Centre, passes, window and expected miss of a group of ``size`` nodes from a sample of it.
+def _choices(size: int) -> np.ndarray:
+    """Windows for a group of ``size`` nodes."""
+    return _WINDOWS[_WINDOWS < max(size / 2, _WINDOWS[0] + 1)]
+
+
+def misses(unit: np.ndarray, centre: np.ndarray, size: int, threshold: float, bits: int, seed: int) -> np.ndarray:
+    """Expected misses by window and passes, summed over a block of nodes dealt by chance from a group of ``size``.
 
     A pair that shares k leading bits is within a window of w if at most w nodes share them: k is read from the
-    sample's neighbours in sorted order, node by node, so denser parts of a group count with their density. The
+    block's neighbours in sorted order, node by node, so denser parts of a group count with their density. The
     chance to share k bits follows from the angle of a pair at the threshold, seen from the centre. Nodes most
-    of whose sampled neighbours are links come together by chains and do not count.
+    of whose neighbours in the block are links come together by chains and do not count.
     """
-    centre = unit.mean(0)
     r = unit - centre
     n, reach, trials = len(r), 8, 4
     with np.errstate(divide="ignore"):
@@ -89,17 +93,67 @@ def plan_group(unit: np.ndarray, size: int, threshold: float, miss: float, bits:
         chance.append(same[order])
         chained.append(linked >= reach)
     k, p, chain = (np.concatenate(a) for a in (least, chance, chained))
-    best, least = (np.inf, 0, 0, 1.0), (np.inf, 0, 0, 1.0)
-    for w in _WINDOWS[_WINDOWS < max(size / 2, _WINDOWS[0] + 1)].tolist():
+    out = []
+    for w in _choices(size).tolist():
         need = np.maximum(k + np.log2(reach * size / (n * w)), 0)
         lost = 1 - np.where(need > bits, 0.0, p**need)
-        for passes in _PASSES.tolist():
-            cost, missed = passes * (_SEND + w), float(np.where(chain, 0.0, lost**passes).mean())
-            if missed < least[3]:
-                least = (cost, passes, w, missed)
-            if missed <= miss and cost < best[0]:
-                best = (cost, passes, w, missed)
-    return centre, *(best if best[1] else least)[1:]
+        out.append([float(np.where(chain, 0.0, lost**passes).sum()) / trials for passes in _PASSES.tolist()])
+    return np.array(out)
+
+
+def cheapest(missed: np.ndarray, size: int, miss: float) -> tuple[int, int, float]:
+    """Passes, window and expected miss of a group of ``size`` nodes, from its nodes' mean of ``misses``."""
+    windows = _choices(size)
+    cost = _PASSES[None, :] * (_SEND + windows[:, None])
+    fits = missed <= miss
+    at = np.where(fits, cost, np.inf).argmin() if fits.any() else missed.argmin()
+    w, passes = np.unravel_index(at, missed.shape)
+    return int(_PASSES[passes]), int(windows[w]), float(missed[w, passes])
+
+
+def plan_groups(nodes: DataFrame, big: DataFrame, threshold: float, miss: float, bits: int, seed: int) -> DataFrame:
+    """(g, passes, w, centre) of the groups (g, m) of ``big`` from all their nodes (node, g, x)."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sum of the unit vectors of each group, or of such sums."""
+        for table, marks in runs(batches, ["g"]):
+            g, m = table["g"].to_numpy(), table["m"].to_numpy()
+            vectors, weight = table["x"].combine_chunks(), table["k"].to_numpy()
+            total, count = [], []
+            for lo, hi in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
+                x = _matrix(vectors.slice(lo, hi - lo))
+                total.append((_units(x) if weight[lo] == 0 else x).sum(0).tolist())
+                count.append(int(np.maximum(weight[lo:hi], 1).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(g[marks[:-1]]), pa.array(m[marks[:-1]]), pa.array(count, pa.int64()), pa.array(total, pa.list_(pa.float64()))], names=["g", "m", "k", "x"])
+
+    def batch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from sums(iter([batch.sort_by("g")]))
+
+    def block_misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, marks in runs(batches, ["g", "block"]):
+            g, m, vectors, centres = table["g"].to_numpy(), table["m"].to_numpy(), table["x"].combine_chunks(), table["centre"].combine_chunks()
+            for lo, hi in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
+                lost = misses(_units(_matrix(vectors.slice(lo, hi - lo))), _matrix(centres.slice(lo, 1))[0], int(m[lo]), threshold, bits, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(g[lo : lo + 1]), pa.array(m[lo : lo + 1]), pa.array([lost.ravel().tolist()], pa.list_(pa.float64()))], names=["g", "m", "lost"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, marks in runs(batches, ["g"]):
+            g, m, lost = table["g"].to_numpy(), table["m"].to_numpy(), table["lost"].combine_chunks()
+            plans = [cheapest(_matrix(lost.slice(lo, hi - lo)).sum(0).reshape(-1, len(_PASSES)) / m[lo], int(m[lo]), miss) for lo, hi in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(g[marks[:-1]]), pa.array([p for p, *_ in plans], pa.int32()), pa.array([w for _, w, _ in plans], pa.int32())], names=["g", "passes", "w"])
+
+    own = nodes.join(small_enough(big), "g").select("g", "m", "node", "x")
+    shape = "g long, m long, k long, x array<double>"
+    # a group leaves a row for each batch that has some of it
+    part = own.select("g", "m", F.lit(0).cast("long").alias("k"), "x").mapInArrow(batch_sums, shape)
+    centres = part.repartition("g").sortWithinPartitions("g", "k", F.xxhash64("x")).mapInArrow(sums, shape)
+    centres = checkpoint(centres.select("g", F.transform("x", lambda v: (v / F.col("k")).cast("float")).alias("centre")))
+    blocks = F.ceil(F.col("m") / _PLANNED)
+    dealt = own.join(small_enough(centres), "g").select("g", F.pmod(F.xxhash64("node", F.lit(3)), blocks).alias("block"), "m", "x", "centre")
+    lost = dealt.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(block_misses, "g long, m long, lost array<double>")
+    chosen = lost.repartition("g").sortWithinPartitions("g").mapInArrow(choose, "g long, passes int, w int")
+    return chosen.join(small_enough(centres), "g")
 
 
 def _matrix(column: pa.Array, rows: np.ndarray | None = None) -> np.ndarray:
@@ -138,17 +192,8 @@ def near_vectors(
     spark = df.sparkSession
     sizes = checkpoint(nodes.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > exact))
     big = sizes.where(F.col("m") > int(_WINDOWS[0]) + 1)
-    sample = nodes.join(small_enough(big), "g").where(F.pmod(F.xxhash64("node", F.lit(3)), F.col("m")) < _SAMPLE).select("g", "m", "x")
-
-    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, marks in runs(batches, ["g"]):
-            g, m, vectors = table["g"].to_numpy(), table["m"].to_numpy(), table["x"].combine_chunks()
-            for lo, hi in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
-                centre, passes, window, _ = plan_group(_units(_matrix(vectors.slice(lo, hi - lo))), int(m[lo]), threshold, miss, bits, seed)
-                yield pa.RecordBatch.from_arrays([pa.array(g[lo : lo + 1]), pa.array([passes], pa.int32()), pa.array([window], pa.int32()), pa.array([centre.astype(np.float32).tolist()], pa.list_(pa.float32()))], names=["g", "passes", "w", "centre"])
-
     # a row for each group of more nodes than the smallest window
-    plans = checkpoint(sample.repartition("g").sortWithinPartitions("g").mapInArrow(plan, "g long, passes int, w int, centre array<float>"))
+    plans = checkpoint(plan_groups(nodes, big, threshold, miss, bits, seed))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[tuple[int, int], np.ndarray] = {}
