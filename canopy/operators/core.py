@@ -53,6 +53,16 @@ def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compiled(spark: SparkSession) -> None:
+    """Has operators run one by one where their joint code is longer than the JVM compiles.
+
+    HotSpot interprets methods of more than 8,000 bytes, which a join whose condition compares two boxes easily reaches. A limit
+    that the session has set itself stays.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is counted to hold at most ``limit`` rows, else unchanged."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

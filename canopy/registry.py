@@ -163,7 +163,7 @@ def j02_contested(spark, d):
 
 @query("j03_contested_findings", _best_matching("i > 0 AND (i * 10 >= 3 * (s - i) OR (cx >= x AND cx < x + w AND cy >= y AND cy < y + h))", "100000000000 + round((1 + i * 1.0 / (s - i) + CASE WHEN l_type = r_type THEN 0.5 ELSE 0.0 END + CASE WHEN l_type = r_type THEN 0.5 ELSE 0.0 END) * 1000000000)::BIGINT"))
 def j03_contested(spark, d):
-    pred, truth = (view(spark, d, v).withColumn("fid", F.col("node")) for v in ("rivals_pred", "rivals_gt"))
+    pred, truth = (view(spark, d, v).select("case_id", F.col("node").alias("fid"), "x", "y", "w", "h", "type") for v in ("rivals_pred", "rivals_gt"))
     m = benchmark.match_findings(pred, truth, 1e9, tie=_tie("fid"))
     return m.select("case_id", F.col("l_fid").alias("l_node"), F.col("r_fid").alias("r_node"), F.round(G.iou("l_", "r_"), 9).alias("iou"), "contested")
 

@@ -24,6 +24,17 @@ def test_matching_by_type_stays_dealt_by_case(spark, monkeypatch):
     assert marked.count("Exchange hashpartitioning") == 2
 
 
+def test_contested_pairs_are_settled_where_the_join_has_dealt_them(spark):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    rows = [(c, n, 50 * (n // 2) + n, 0, 40, 40, 0) for c in range(20) for n in range(4)]
+    a, b = spark.createDataFrame(rows, BOX), spark.createDataFrame(rows[1:], BOX)
+    found = spatial.match_nodes(a, b)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 79 and found.where("contested").count() == 79
+    # longer methods than HotSpot compiles were interpreted
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
 def test_equality_as_bounds(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (None, 1), (None, None)], "a int, b int").withColumn("s", spatial.same(spatial.F.col("a"), spatial.F.col("b")))
     assert [r["s"] for r in df.collect()] == [True, False, None, None]
