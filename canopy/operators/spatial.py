@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from heapq import heappop, heappush
 
 import numpy as np
@@ -37,13 +38,21 @@ def same(a: Column, b: Column) -> Column:
     return (a <= b) & (a >= b)
 
 
-def spatial_join(left: DataFrame, right: DataFrame, cell: int = 64, max_cells: int = 64, condition: Column | None = None, crowded: int = 256) -> DataFrame:
-    """Pairs (columns ``l_*``, ``r_*``) of one case whose boxes overlap with a positive area."""
+def crowded_cases(*sides: DataFrame, crowded: int = 256) -> DataFrame:
+    """Cases with more than ``crowded`` boxes on a side."""
+    counts = [df.groupBy("case_id").count().where(F.col("count") > crowded).select("case_id") for df in sides]
+    return checkpoint(reduce(DataFrame.union, counts).distinct())
+
+
+def spatial_join(left: DataFrame, right: DataFrame, cell: int = 64, max_cells: int = 64, condition: Column | None = None, crowded: int | None = 256) -> DataFrame:
+    """Pairs (columns ``l_*``, ``r_*``) of one case whose boxes overlap with a positive area.
+
+    ``crowded`` None: the caller knows that no case is crowded.
+    """
     compiled(left.sparkSession)
     a, b = prefixed(left, "l_"), prefixed(right, "r_")
-    busy = lambda df: df.groupBy("case_id").count().where(F.col("count") > crowded).select("case_id")
-    dense = checkpoint(busy(left).union(busy(right)).distinct())
-    if dense.isEmpty():
+    dense = None if crowded is None else crowded_cases(*([left] if left is right else [left, right]), crowded=crowded)
+    if dense is None or dense.isEmpty():
         pairs = a.join(b, "case_id")
     else:
         pairs = _grid_join(a.join(dense, "case_id", "left_semi"), b.join(dense, "case_id", "left_semi"), cell, max_cells)
@@ -87,6 +96,11 @@ def _settling_group(pairs: DataFrame, group: str, left: list[str], right: list[s
     return pairs.join(large, group, "left_anti").withColumn("_group", whole).unionByName(heavy)
 
 
+def by_parts(pairs: DataFrame, group: str, left: list[str], right: list[str], limit: int = GROUP_PAIRS) -> DataFrame:
+    """``pairs`` of things of one kind dealt by ``_group``: their group, or in large groups their connected part."""
+    return _settling_group(checkpoint(pairs), group, left, right, True, limit).repartition("_group").sortWithinPartitions("_group")
+
+
 def match_one_to_one(pairs: DataFrame, left: list[str], right: list[str], score: str, group: str = "case_id", limit: int = GROUP_PAIRS) -> DataFrame:
     """Greedy matching (J02): of all pairs by falling score, ties by the keys, each side is used once.
 

@@ -35,6 +35,15 @@ def test_contested_pairs_are_settled_where_the_join_has_dealt_them(spark):
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
 
 
+def test_findings_meet_once_and_are_clustered_where_they_met(spark):
+    finding = "case_id int, fid int, detector int, type int, x int, y int, w int, h int, confidence int"
+    rows = [(c, 3 * k + d, d, 0, 60 * k + 5 * d, 0, 40, 40, d) for c in (1, 2) for k in range(4) for d in range(3)] + [(1, 90, 0, 0, 0, 0, 0, 40, 9), (1, 91, 0, 0, 4, 0, 40, 40, 9)]
+    got = fusion.clusters(spark.createDataFrame(rows, finding), [0, 1, 2])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "Join LeftAnti" not in plan
+    assert {(r["case_id"], r["fid"], r["cluster"], r["role"]) for r in got.collect()} == {(c, 3 * k + d, 91 if (c, k) == (1, 0) else 3 * k, "fragment" if (c, k, d) == (1, 0, 0) else "vote") for c in (1, 2) for k in range(4) for d in range(3)} | {(1, 90, 90, "vote"), (1, 91, 91, "vote")}
+
+
 def test_equality_as_bounds(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (None, 1), (None, None)], "a int, b int").withColumn("s", spatial.same(spatial.F.col("a"), spatial.F.col("b")))
     assert [r["s"] for r in df.collect()] == [True, False, None, None]
