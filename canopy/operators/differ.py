@@ -19,6 +19,8 @@ from canopy.operators.core import components
 
 #: Tolerances of the checks.
 POS_TOL, SIZE_TOL, TEXT_SLACK, COLOR_TOL, RADIUS_TOL, SHADOW_TOL = 1.0, 1.5, 2.0, 6.0, 2.0, 2.0
+#: Types of findings that ``moves`` takes.
+MOVED = ("geometry.shift", "text.position")
 FINDING = ["case_id", "node", "actual", "type", "magnitude", "x", "y", "w", "h"]
 
 
@@ -95,12 +97,12 @@ def with_colours(pairs: DataFrame) -> DataFrame:
     return p.withColumns({"_fill": C.delta76(of("_fl"), of("_fr")), "_stroke": C.delta76(of("_sl"), of("_sr"))})
 
 
-def pair_findings(pairs: DataFrame) -> DataFrame:
-    """Up to eleven typed differences of each pair, as rows."""
+def pair_findings(pairs: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
+    """Up to eleven typed differences of each pair, as rows (D01); only those of ``types``, if given."""
     col = lambda c: (F.col(f"l_{c}"), F.col(f"r_{c}"))
     diff = lambda c: F.abs(F.col(f"l_{c}") - F.col(f"r_{c}"))
     text, shape = (kind("l_") == "text") & (kind("r_") == "text"), (kind("l_") == "shape") & (kind("r_") == "shape")
-    found = lambda when, name, magnitude: F.when(when, F.struct(F.lit(name).alias("type"), magnitude.cast("double").alias("magnitude")))
+    found = lambda when, name, magnitude: (name, F.when(when, F.struct(F.lit(name).alias("type"), magnitude.cast("double").alias("magnitude"))))
     content = text & (X.normalize(F.col("l_text")) != X.normalize(F.col("r_text")))
     style = text & ~content & ((diff("size") > 1) | (diff("weight") >= 100))
     dl, dt = F.col("l_x") - F.col("r_x"), F.col("l_y") - F.col("r_y")
@@ -110,7 +112,7 @@ def pair_findings(pairs: DataFrame) -> DataFrame:
     moved = ~content & ~style & (edge > slack + POS_TOL)
     same_size = (diff("w") <= slack + SIZE_TOL) & (diff("h") <= slack + SIZE_TOL)
     way = F.sqrt((dl + dr) * (dl + dr) / 4 + (dt + db) * (dt + db) / 4)
-    pairs = with_colours(pairs)
+    pairs = with_colours(pairs) if types is None or any(t.startswith("color.") for t in types) else pairs
     fill, stroke = F.col("_fill"), F.col("_stroke")
     reach = F.greatest(*col("shadow"))
     one_shadow = ((F.col("l_shadow") > 0) != (F.col("r_shadow") > 0)) & (reach > SHADOW_TOL)
@@ -131,7 +133,7 @@ def pair_findings(pairs: DataFrame) -> DataFrame:
         found(~who("l_").eqNullSafe(who("r_")), "component.identity", F.lit(None)),
     ]
     box = F.struct(*_union_box("l_", "r_"))
-    f = pairs.select("case_id", F.col("r_node").alias("node"), F.col("l_node").alias("actual"), F.explode(F.array_compact(F.array(*checks))).alias("f"), box.alias("box"))
+    f = pairs.select("case_id", F.col("r_node").alias("node"), F.col("l_node").alias("actual"), F.explode(F.array_compact(F.array(*[c for n, c in checks if types is None or n in types]))).alias("f"), box.alias("box"))
     return f.select("case_id", "node", "actual", "f.type", "f.magnitude", "box.x", "box.y", "box.w", "box.h")
 
 
@@ -208,7 +210,7 @@ def moves(pairs: DataFrame, findings: DataFrame) -> DataFrame:
     """Shift and text position findings with their offsets, the expected place and parent."""
     mid = lambda c, e: (F.col(f"l_{c}") + F.col(f"l_{e}") / 2) - (F.col(f"r_{c}") + F.col(f"r_{e}") / 2)
     at = pairs.select("case_id", F.col("r_node").alias("node"), F.col("r_parent").alias("parent"), mid("x", "w").alias("dx"), mid("y", "h").alias("dy"), F.col("r_x").alias("ex"), F.col("r_y").alias("ey"))
-    return findings.where(F.col("type").isin("geometry.shift", "text.position")).join(at, ["case_id", "node"])
+    return findings.where(F.col("type").isin(*MOVED)).join(at, ["case_id", "node"])
 
 
 def fold_moves(m: DataFrame, up: DataFrame, tol: float = POS_TOL + 1) -> DataFrame:

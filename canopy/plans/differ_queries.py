@@ -151,10 +151,10 @@ _DRIFT = _MOVES.replace("JOIN nodes_pred p", "JOIN (SELECT * REPLACE (y + CASE W
   t AS (SELECT *, coalesce(way < lag(way) OVER (PARTITION BY case_id, axis ORDER BY place, node) - 2, false) AS back, min(round(way)) OVER (PARTITION BY case_id, axis) AS step FROM s)
   SELECT case_id, axis, any_value(step)::DOUBLE AS step, count(*) AS n FROM t GROUP BY case_id, axis HAVING count(*) >= 2 AND count(DISTINCT round(way)) >= 2 AND max(abs(round(way) / step - round(round(way) / step))) <= 0.25 AND NOT bool_or(back)""")
 def d06(spark, d):
-    gt = view(spark, d, "nodes_gt")
+    gt = view(spark, d, "nodes_gt").select("case_id", "node", "parent", "x", "y", "w", "h", "type", "text", "size", "weight")
     late = gt.withColumn("y", F.col("y") + F.when(F.col("node") <= 5, (F.col("node") - 1) * 2).otherwise(0))
     pairs = spatial.match_nodes(late, gt, 1, 3)
-    m = differ.moves(pairs, differ.pair_findings(pairs)).withColumn("parent", F.lit(0))  # every node beside the others
+    m = differ.moves(pairs, differ.pair_findings(pairs, differ.MOVED)).withColumn("parent", F.lit(0))  # every node beside the others
     return differ.spacing_drift(m).select("case_id", "axis", F.col("step").cast("double").alias("step"), "n")
 
 
