@@ -194,16 +194,19 @@ def opacity_groups(faded: DataFrame, up: DataFrame) -> DataFrame:
 def global_tint(pairs: DataFrame, least: int = 4, share: float = 0.6, spread: float = 0.4) -> DataFrame:
     """Cases most of whose colours, surfaces among them, are offset alike, with the mean difference."""
     rows = [F.struct(*[(F.col(f"{k}l{n}") - F.col(f"{k}r{n}")).alias(n) for n in "lab"], F.col(de).alias("de"), (kind("r_") == "shape").alias("shape")) for k, de in (("_f", "_fill"), ("_s", "_stroke"))]
-    c = with_colours(pairs).select("case_id", F.explode(F.array(*rows)).alias("c")).select("case_id", "c.*").withColumn("changed", F.col("de") > COLOR_TOL / 2)
-    mean = lambda n: F.avg(F.when(F.col("changed"), F.col(n)))
-    count = lambda k: F.sum(k.cast("long"))
-    m = c.groupBy("case_id").agg(F.count("*").alias("n"), count(F.col("changed")).alias("k"), count(F.col("shape")).alias("s"), count(F.col("shape") & F.col("changed")).alias("sk"), mean("de").alias("magnitude"), *[mean(n).alias(f"m{n}") for n in "lab"])
-    m = m.where((F.col("n") >= least) & (F.col("k") >= F.col("n") * share) & (F.col("sk") > 0) & (F.col("sk") >= F.col("s") * 0.5))
+    # dealt by case as they are, before the colours are computed, once
+    p = pairs.select("case_id", "r_type", *[s + c for s in ("l_", "r_") for c in ("r", "g", "b", "stroke")]).repartition("case_id")
+    c = with_colours(p).select("case_id", F.explode(F.array(*rows)).alias("c")).select("case_id", "c.*").withColumn("changed", F.col("de") > COLOR_TOL / 2)
+    case = W.partitionBy("case_id")
+    mean = lambda n: F.avg(F.when(F.col("changed"), F.col(n))).over(case)
+    count = lambda k: F.sum(k.cast("long")).over(case)
+    m = c.withColumns({"n": F.count("*").over(case), "k": count(F.col("changed")), "s": count(F.col("shape")), "sk": count(F.col("shape") & F.col("changed")), "magnitude": mean("de")} | {f"m{n}": mean(n) for n in "lab"})
+    m = m.where(F.col("changed") & (F.col("n") >= least) & (F.col("k") >= F.col("n") * share) & (F.col("sk") > 0) & (F.col("sk") >= F.col("s") * 0.5))
     size = F.sqrt(sum(F.col(f"m{n}") * F.col(f"m{n}") for n in "lab"))
     off = F.sqrt(sum(F.pow(F.col(n) - F.col(f"m{n}"), F.lit(2.0)) for n in "lab"))
-    s = c.where("changed").join(m, "case_id").groupBy("case_id").agg(F.avg(off).alias("off"))
+    g = m.groupBy("case_id").agg(F.avg(off).alias("off"), *[F.first(v).alias(v) for v in ("magnitude", "n", "k", "ml", "ma", "mb")])
     ok = (F.col("off") / F.greatest(size, F.lit(1e-6)) <= spread) & (size > COLOR_TOL / 2)
-    return m.join(s, "case_id").where(ok).select("case_id", "magnitude", F.col("n").alias("pairs"), F.col("k").alias("changed"))
+    return g.where(ok).select("case_id", "magnitude", F.col("n").alias("pairs"), F.col("k").alias("changed"))
 
 
 def moves(pairs: DataFrame, findings: DataFrame) -> DataFrame:

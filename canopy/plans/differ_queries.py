@@ -116,7 +116,7 @@ _TINT = _M.replace("JOIN nodes_pred p", "JOIN (SELECT * REPLACE (least(255, r +
   o AS (SELECT q.case_id, avg(sqrt(pow(l - ml, 2) + pow(a - ma, 2) + pow(b - mb, 2))) AS off FROM c JOIN q ON c.case_id = q.case_id WHERE de > 3 GROUP BY 1)
   SELECT q.case_id, round(magnitude, 6) AS magnitude, n AS pairs, k AS changed FROM q JOIN o ON q.case_id = o.case_id WHERE n >= 4 AND k >= n * 0.6 AND sk > 0 AND sk >= s * 0.5 AND sqrt(ml * ml + ma * ma + mb * mb) > 3 AND off / sqrt(ml * ml + ma * ma + mb * mb) <= 0.9""")
 def d04(spark, d):
-    gt = view(spark, d, "nodes_gt")
+    gt = view(spark, d, "nodes_gt").select("case_id", "node", "x", "y", "w", "h", "type", "r", "g", "b", "stroke")
     even = F.col("case_id") % 2 == 0
     tinted = gt.withColumns({"r": F.least(F.lit(255), F.col("r") + F.when(even, 25).otherwise(0)), "stroke": F.least(F.lit(255), F.col("stroke") + F.when(even, 12).otherwise(0))})
     return differ.global_tint(spatial.match_nodes(tinted, gt), spread=0.9).withColumn("magnitude", F.round("magnitude", 6))
