@@ -1,7 +1,8 @@
 """Matching shuffles each side once; closures read their nodes once."""
 
-from canopy.operators import core, differ, fusion, matcher, pixels, spatial
+from canopy.operators import benchmark, core, differ, fusion, matcher, pixels, spatial
 from canopy.plans import design_queries
+from canopy.plans.views import view
 from canopy.sources import design_files
 from tests.conftest import SF
 
@@ -44,6 +45,27 @@ def test_findings_meet_once_and_are_clustered_where_they_met(spark):
     assert {(r["case_id"], r["fid"], r["cluster"], r["role"]) for r in got.collect()} == {(c, 3 * k + d, 91 if (c, k) == (1, 0) else 3 * k, "fragment" if (c, k, d) == (1, 0, 0) else "vote") for c in (1, 2) for k in range(4) for d in range(3)} | {(1, 90, 90, "vote"), (1, 91, 91, "vote")}
 
 
+def test_moves_take_only_their_findings(spark):
+    pairs = spatial.match_nodes(view(spark, SF, "nodes_pred"), view(spark, SF, "nodes_gt"))
+    every, some = (differ.pair_findings(pairs, *t) for t in ((), (differ.MOVED,)))
+    assert "color" not in some._jdf.queryExecution().optimizedPlan().toString()
+    assert some.count() == every.where(differ.F.col("type").isin(*differ.MOVED)).count() > 0
+
+
+def test_tint_deals_its_pairs_once(spark):
+    pairs = spatial.match_nodes(view(spark, SF, "nodes_pred"), view(spark, SF, "nodes_gt"))
+    plan = differ.global_tint(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_scores_count_true_nodes_by_case(spark, monkeypatch):
+    pred, gt = (view(spark, SF, n) for n in ("nodes_pred", "nodes_gt"))
+    roi = gt.selectExpr("case_id", "0 AS node", "0 AS x", "0 AS y", "200 AS w", "150 AS h").distinct()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in plan(benchmark.scoped_measures(pred, gt, roi))
+    assert "node#" not in plan(benchmark.structural_metrics(pred, gt)).split("Join LeftOuter")[1].split("\n")[0]
+
+
 def test_equality_as_bounds(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (None, 1), (None, None)], "a int, b int").withColumn("s", spatial.same(spatial.F.col("a"), spatial.F.col("b")))
     assert [r["s"] for r in df.collect()] == [True, False, None, None]
