@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -225,11 +227,15 @@ def promoted(baseline: DataFrame, summary: DataFrame, by: str = "family") -> tup
 
 def scoped_measures(pred: DataFrame, truth: DataFrame, roi: DataFrame, share: float = 0.5) -> DataFrame:
     """(case_id, scope, n_gt, matched, recall) of the whole frame and of the nodes in the region of interest."""
-    m = spatial.match_nodes(pred, truth).select("case_id", F.col("r_node").alias("node"), F.lit(1).alias("hit"))
-    inside = spatial.spatial_join(truth, roi, condition=G.overlap("l_", "r_") >= G.area("l_") * share).select("case_id", F.col("l_node").alias("node")).distinct().withColumn("scope", F.lit("roi"))
-    t = truth.select("case_id", "node")
-    t = t.withColumn("scope", F.lit("full")).unionByName(t.join(inside, ["case_id", "node"]))
-    g = t.join(m, ["case_id", "node"], "left").groupBy("case_id", "scope").agg(F.count("*").alias("n_gt"), F.count("hit").alias("matched"))
+    box = ["case_id", "node", "x", "y", "w", "h"]
+    ink = [c for c in ("ix", "iy", "iw", "ih") if c in truth.columns]
+    m = spatial.match_nodes(pred.select(*box, "type"), truth.select(*box, "type", *ink))
+    hit = m.select("case_id", F.col("r_node").alias("node"), *[F.col(f"r_{c}").alias(c) for c in "xywh"])
+    inside = lambda df: spatial.spatial_join(df, roi, condition=G.overlap("l_", "r_") >= G.area("l_") * share).select("case_id", F.col("l_node").alias("node")).distinct()
+    # counted by case where they are; nodes do not meet their matches again
+    count = lambda df, scope, n: df.groupBy("case_id").agg(F.count("*").alias(n)).withColumn("scope", F.lit(scope))
+    parts = [count(truth, "full", "n_gt"), count(inside(truth.select(*box)), "roi", "n_gt"), count(hit, "full", "matched"), count(inside(hit), "roi", "matched")]
+    g = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy("case_id", "scope").agg(F.sum("n_gt").alias("n_gt"), F.coalesce(F.sum("matched"), F.lit(0)).alias("matched"))
     return g.withColumn("recall", F.col("matched") / F.col("n_gt"))
 
 
