@@ -36,29 +36,27 @@ def structural_metrics(pred: DataFrame, truth: DataFrame, text_type: int = 2) ->
     precision, recall, mean_iou, color_de, text_cer, text_recall, radius_mae, type_acc, component_acc (name and variant),
     component_name_acc, token_acc. Matching is by IoU over all types, with the greatest total.
     """
-    pairs = spatial.spatial_join(pred, truth, condition=G.overlap("l_", "r_") * 2 >= G.union_area("l_", "r_")).withColumn("iou", G.iou("l_", "r_"))
-    m = spatial.checkpoint(spatial.assign(pairs, ["case_id", "l_node"], ["case_id", "r_node"], "iou"))
+    own = ["case_id", "node", "x", "y", "w", "h", "type", "r", "g", "b", "text", "radius", "component", "variant", "token"]
+    pairs = spatial.spatial_join(pred.select(*own), truth.select(*own), condition=G.overlap("l_", "r_") * 2 >= G.union_area("l_", "r_")).withColumn("iou", G.iou("l_", "r_"))
+    m = spatial.assign(pairs, ["case_id", "l_node"], ["case_id", "r_node"], "iou")
     lab = lambda p: C.lab(*[F.col(p + c) for c in "rgb"])
     both_text = (F.col("l_type") == text_type) & (F.col("r_type") == text_type)
+    yes = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("double"))
+    alike = lambda c: F.col(f"l_{c}") == F.col(f"r_{c}")
     one = m.groupBy("case_id").agg(
         F.count("*").alias("k"), F.avg("iou").alias("mean_iou"), F.avg(C.delta76(lab("l_"), lab("r_"))).alias("color_de"),
         F.avg(F.when(both_text, X.cer(F.col("l_text"), F.col("r_text")))).alias("text_cer"),
         F.avg(F.when(F.col("r_type") != text_type, F.abs(F.col("l_radius") - F.col("r_radius")))).alias("radius_mae"),
         F.avg((F.col("l_type") == F.col("r_type")).cast("double")).alias("type_acc"),
+        yes(alike("component") & alike("variant")).alias("components"), yes(alike("component")).alias("names"), yes(alike("token")).alias("tokens"),
     )
-    got = m.select("case_id", F.col("r_node").alias("node"), F.col("l_component").alias("pc"), F.col("l_variant").alias("pv"), F.col("l_token").alias("pt"))
-    read = recovered_texts(pred.where(F.col("type") == text_type), truth.where(F.col("type") == text_type)).withColumn("read", F.lit(True))
-    t = truth.join(got, ["case_id", "node"], "left").join(read, ["case_id", "node"], "left")
-    yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    name = F.col("pc") == F.col("component")
-    has = F.col("component").isNotNull()
-    g = t.groupBy("case_id").agg(
-        F.count("*").alias("n_gt"), F.avg(F.when(F.col("type") == text_type, yes(F.col("read")))).alias("text_recall"),
-        F.avg(F.when(has, yes(name & (F.col("pv") == F.col("variant"))))).alias("component_acc"), F.avg(F.when(has, yes(name))).alias("component_name_acc"),
-        F.avg(F.when(F.col("token").isNotNull(), yes(F.col("pt") == F.col("token")))).alias("token_acc"),
-    )
+    read = recovered_texts(pred.where(F.col("type") == text_type), truth.where(F.col("type") == text_type)).groupBy("case_id").agg(F.count("*").alias("read"))
+    # true nodes are counted by case, and do not meet their matches again
+    g = truth.groupBy("case_id").agg(F.count("*").alias("n_gt"), F.count(F.when(F.col("type") == text_type, 1)).alias("n_text"), F.count("component").alias("n_component"), F.count("token").alias("n_token"))
     p = pred.groupBy("case_id").agg(F.count("*").alias("n_pred"))
-    j = g.join(p, "case_id", "left").join(one, "case_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    j = g.join(p, "case_id", "left").join(one, "case_id", "left").join(read, "case_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    share = lambda c, n: F.when(F.col(n) > 0, F.coalesce(c, F.lit(0)).cast("double") / F.col(n))
+    j = j.withColumns({"text_recall": share("read", "n_text"), "component_acc": share("components", "n_component"), "component_name_acc": share("names", "n_component"), "token_acc": share("tokens", "n_token")})
     names = ("mean_iou", "color_de", "text_cer", "text_recall", "radius_mae", "type_acc", "component_acc", "component_name_acc", "token_acc")
     return j.select("case_id", (F.col("k") / F.col("n_pred")).alias("precision"), (F.col("k") / F.col("n_gt")).alias("recall"), *names)
 
