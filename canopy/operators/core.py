@@ -44,10 +44,17 @@ def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     For loops of joins: a checkpoint keeps the size estimate of its plan, and a join multiplies those of its
     sides, so that the estimate's digits would grow threefold a round. A table's estimate is the size of its files, times
     ``PACKED`` (unless the session says otherwise): taken as it is, tables of millions of small numbers would be broadcast.
+    A VARIANT is kept as it is: to infer columns for its fields takes longer than to write it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    infer = "spark.sql.variant.inferShreddingSchema"
+    before = spark.conf.get(infer)
+    spark.conf.set(infer, "false")
+    try:
+        df.write.parquet(path, compression=codec)
+    finally:
+        spark.conf.set(infer, before)
     if float(spark.conf.get("spark.sql.sources.fileCompressionFactor", "1.0")) == 1.0:
         spark.conf.set("spark.sql.sources.fileCompressionFactor", PACKED)
     return spark.read.schema(df.schema).parquet(path)
