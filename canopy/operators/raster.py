@@ -6,11 +6,15 @@ task and no halo has to be copied: each step deals the pixels to rows or columns
 
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canopy.operators.core import components, written
+from canopy.operators.core import components, local_roots, runs, written
 
 
 def gray(p: str = "") -> Column:
@@ -107,18 +111,132 @@ def _sorted(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Pixels a side of what a task holds at once of an image, and how far beyond it a ridge is read.
+TILE, HALO = 128, 2
+
+
 def edges(pixels: DataFrame, value: Column | None = None, low: int = 40, high: int = 120) -> DataFrame:
     """(case_id, x, y) of edge pixels (P10): thin ridges above ``low`` that hang together with one above ``high``.
 
     Ridge pixels are linked to their eight neighbours; a connected part without a strong pixel is left out.
     """
-    ridge = written(thin_ridges(gradients(pixels, gray() if value is None else value), low).withColumn("v", F.xxhash64("case_id", "x", "y")))
+    return side_edges(pixels, {"": gray() if value is None else value}, low, high).drop("side")
+
+
+def side_edges(pixels: DataFrame, values: dict[str, Column], low: int = 40, high: int = 120, tile: int = TILE) -> DataFrame:
+    """(case_id, x, y, side): ``edges`` of each of several values of one image.
+
+    Pixels are dealt once, to square tiles with those up to ``HALO`` beyond, which is as far as a ridge sees; parts that lie in one tile
+    are settled there, and only those that go on in another one are linked across tiles. Pixels without a case hang together with none.
+    """
+    kind = dict(pixels.dtypes)["case_id"]
+    p = pixels.select("case_id", "x", "y", *[v.cast("double").alias(f"v{k}") for k, v in enumerate(values.values())]).where("x IS NOT NULL AND y IS NOT NULL")
+    near = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + o) / tile) for o in (-HALO, HALO)])))
+    t = p.withColumn("i", near("x")).withColumn("j", near("y")).withColumns({"_none": F.col("case_id").isNull().cast("int"), "_case": F.coalesce("case_id", F.lit(0).cast(kind))})
+    t = t.repartition("_none", "_case", "i", "j").sortWithinPartitions("_none", "_case", "i", "j")
+    own = ", ".join(f"{c} {k}" for c, k in pixels.select("case_id", "x", "y").dtypes)
+    parts = written(t.mapInArrow(_tile_ridges(list(values), low, high, tile), f"{own}, side string, open boolean, strong boolean, px long, py long"))
+    at = ["case_id", "side", "x", "y"]
+    across = parts.where("open")
+    settled = parts.where("NOT open").select("case_id", "x", "y", "side")
+    if across.isEmpty():
+        return settled
+    ridge = across.withColumn("v", F.xxhash64("case_id", "side", "px", "py"))
+    rim = ridge.where(f"pmod(x, {tile}) IN (0, {tile - 1}) OR pmod(y, {tile}) IN (0, {tile - 1})")
     forward = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])
-    to = ridge.select("case_id", "x", "y", F.col("v").alias("a"), F.explode(forward).alias("o")).select("case_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "a")
-    part = components(to.join(_sorted(ridge.select("case_id", "x", "y", F.col("v").alias("b"))), ["case_id", "x", "y"]).select("a", "b"))
+    to = rim.select("case_id", "side", "x", "y", F.col("v").alias("a"), F.explode(forward).alias("o")).select("case_id", "side", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "a")
+    part = components(to.join(_sorted(rim.select(*at, F.col("v").alias("b"))), at).where("a <> b").select("a", "b"))
     named = ridge.join(_sorted(part), "v", "left").withColumn("c", F.coalesce("component", "v"))
-    strong = named.where(F.col("m") > high).select("c").distinct()
-    return named.join(_sorted(strong), "c", "left_semi").select("case_id", "x", "y")
+    strong = named.where("strong").select("c").distinct()
+    return settled.unionByName(named.join(_sorted(strong), "c", "left_semi").select("case_id", "x", "y", "side"))
+
+
+def _tile_ridges(sides: list[str], low: int, high: int, tile: int):
+    """Maps tiles of pixels to their ridges' parts: (case_id, x, y, side, open, strong, px, py), p the part's first pixel.
+
+    ``open``: some pixel of the part has one beyond the tile beside it. Of other parts only strong ones are returned.
+    """
+
+    def ridges(x: np.ndarray, y: np.ndarray, v: np.ndarray):
+        """m of each pixel, nan where it is no ridge; a value that is not known is nan."""
+        wide = x.max() - x.min() + 3
+        at = (y - y.min() + 1) * wide + x - x.min() + 1
+        once = len(np.unique(at)) == len(at)
+
+        def spread(values: np.ndarray) -> np.ndarray:
+            grid = np.full(wide * (y.max() - y.min() + 3), np.nan)
+            if once:
+                grid[at] = values
+            else:  # of pixels of one place the largest
+                np.fmax.at(grid, at, values)
+            return grid
+
+        beside = lambda grid, dx, dy: grid[at + dy * wide + dx]
+        known = lambda a, b: np.where(np.isnan(a), b, a)
+        g = spread(v)
+        before, after = known(beside(g, -1, 0), v), known(beside(g, 1, 0), v)
+        d, s = after - before, before + 2 * v + after
+        gd, gs = spread(d), spread(s)
+        gx = known(beside(gd, 0, -1), d) + 2 * d + known(beside(gd, 0, 1), d)
+        gy = known(beside(gs, 0, 1), s) - known(beside(gs, 0, -1), s)
+        m = np.abs(gx) + np.abs(gy)
+        m[~(m > low)] = np.nan
+        gm = spread(m)
+        of = lambda dx, dy: known(beside(gm, dx, dy), 0.0)
+        ax, ay = np.abs(gx), np.abs(gy) * 32768
+        flat, steep, falling = ay < ax * _TAN, ay > ax * _TAN + ax * 65536, (gx < 0) != (gy < 0)
+        slant = np.where(falling, (m > of(1, -1)) & (m > of(-1, 1)), (m > of(-1, -1)) & (m > of(1, 1)))
+        keep = np.where(flat, (m > of(-1, 0)) & (m >= of(1, 0)), np.where(steep, (m > of(0, -1)) & (m >= of(0, 1)), slant))
+        return np.where(keep, m, np.nan)
+
+    def parts(x: np.ndarray, y: np.ndarray, inner: np.ndarray, m: np.ndarray, linked: bool):
+        """Rows of ridge pixels of the tile itself that are returned, and their open, strong and first row."""
+        rows = np.flatnonzero(inner & ~np.isnan(m))
+        wide = x.max() - x.min() + 3
+        at = (y - y.min() + 1) * wide + x - x.min() + 1
+        beyond = np.zeros(wide * (y.max() - y.min() + 3), bool)
+        beyond[at[~inner]] = True
+        here = at[rows]
+        root, edge = np.arange(len(rows)), np.zeros(len(rows), bool)
+        if linked:
+            place = np.full(len(beyond), -1)
+            place[here] = np.arange(len(rows))
+            # rows of one pixel, then its neighbours
+            links = [(np.arange(len(rows)), place[here])]
+            for step in (1, wide - 1, wide, wide + 1):
+                to = place[here + step]
+                links.append((np.flatnonzero(to >= 0), to[to >= 0]))
+                edge |= beyond[here + step] | beyond[here - step]
+            root = local_roots(len(rows), *(np.concatenate(z) for z in zip(*links, strict=True)))
+        is_open, is_strong = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+        np.logical_or.at(is_open, root, edge)
+        np.logical_or.at(is_strong, root, m[rows] > high)
+        is_open, is_strong = is_open[root], is_strong[root]
+        keep = is_open | is_strong
+        return rows[keep], is_open[keep], is_strong[keep], rows[root[keep]]
+
+    def run(batches):
+        for table, marks in runs(batches, ["_none", "_case", "i", "j"]):
+            xs, ys = (table[c].to_numpy().astype(np.int64) for c in "xy")
+            inner = (xs // tile == table["i"].to_numpy()) & (ys // tile == table["j"].to_numpy())
+            linked, found = table["_none"].to_numpy() == 0, []
+            for k in range(len(sides)):
+                v = table[f"v{k}"].to_numpy(zero_copy_only=False).astype(float)
+                for a, b in pairwise(marks):
+                    with np.errstate(invalid="ignore"):
+                        m = ridges(xs[a:b], ys[a:b], v[a:b])
+                    rows, is_open, is_strong, first = parts(xs[a:b], ys[a:b], inner[a:b], m, bool(linked[a]))
+                    if len(rows):
+                        found.append((rows + a, is_open, is_strong, first + a, np.full(len(rows), k)))
+            if found:
+                rows, is_open, is_strong, first, side = (np.concatenate(z) for z in zip(*found, strict=True))
+                own = table.select(["case_id", "x", "y"]).take(pa.array(rows))
+                names = pa.array(sides).take(pa.array(side))
+                for name, column in {"side": names, "open": pa.array(is_open), "strong": pa.array(is_strong), "px": pa.array(xs[first]), "py": pa.array(ys[first])}.items():
+                    own = own.append_column(name, column)
+                yield from own.combine_chunks().to_batches()
+
+    return run
 
 
 FEATURES = [
@@ -140,7 +258,8 @@ def region_features(pixels: DataFrame, boxes: DataFrame, contents: DataFrame, re
     cover = lambda kind: _cells(contents.where(F.col("kind") == kind)).withColumn(kind, F.lit(True))
     p = pixels.select("case_id", "x", "y", *[v.alias(f"t{n}") for n, v in zip("lab", lab("a"), strict=True)], *[v.alias(f"c{n}") for n, v in zip("lab", lab("b"), strict=True)])
     at = ["case_id", "x", "y"]
-    marks = [edges(pixels, gray(s), low, high).withColumn(c, F.lit(True)) for s, c in (("a", "et"), ("b", "ec"))] + [cover("text"), cover("icon")]
+    found = side_edges(pixels, {"et": gray("a"), "ec": gray("b")}, low, high)
+    marks = [found.where(F.col("side") == c).select(*at, F.lit(True).alias(c)) for c in ("et", "ec")] + [cover("text"), cover("icon")]
     for mark in marks:
         p = p.join(_sorted(mark), at, "left")
     p = written(p)

@@ -40,8 +40,7 @@ _BOTH = f"{_GRAY}, {_edge_sql('a', 40, 120)}, {_edge_sql('b', 40, 120)}"
 
 @query("p10_edges", f"WITH RECURSIVE {_BOTH} SELECT case_id, x, y, 'target' AS side FROM ea UNION ALL SELECT case_id, x, y, 'render' FROM eb")
 def p10_edges(spark, d):
-    r = view(spark, d, "raster")
-    return raster.edges(r, raster.gray("a")).withColumn("side", F.lit("target")).unionByName(raster.edges(r, raster.gray("b")).withColumn("side", F.lit("render")))
+    return raster.side_edges(view(spark, d, "raster"), {"target": raster.gray("a"), "render": raster.gray("b")})
 
 
 @query("p10_raster_agreement", f"""WITH RECURSIVE {_BOTH}, dt AS (SELECT t.case_id, t.x, t.y, 't' AS side, sqrt(min((t.x - r.x) * (t.x - r.x) + (t.y - r.y) * (t.y - r.y))) AS d FROM ea t LEFT JOIN eb r ON t.case_id = r.case_id GROUP BY 1, 2, 3),
@@ -49,8 +48,9 @@ def p10_edges(spark, d):
   v AS (SELECT case_id, (avg(d) FILTER (side = 't') + avg(d) FILTER (side = 'r')) / 2 AS chamfer, avg(coalesce(d <= 1, false)::INT) FILTER (side = 't') AS within1, avg(coalesce(d <= 1, false)::INT) FILTER (side = 't') AS rec, avg(coalesce(d <= 1, false)::INT) FILTER (side = 'r') AS prec FROM s GROUP BY 1)
   SELECT case_id, round(chamfer, 6) AS chamfer, round(coalesce(within1, 1), 6) AS within1, round(CASE WHEN rec + prec > 0 THEN 2 * rec * prec / (rec + prec) ELSE 0 END, 6) AS f1 FROM v""")
 def p10_raster(spark, d):
-    r = view(spark, d, "raster")
-    e = pixels.edge_agreement(raster.edges(r, raster.gray("a")), raster.edges(r, raster.gray("b")), tol=1.0, tile=8)
+    found = raster.side_edges(view(spark, d, "raster"), {"target": raster.gray("a"), "render": raster.gray("b")})
+    side = lambda name: found.where(F.col("side") == name).drop("side")
+    e = pixels.edge_agreement(side("target"), side("render"), tol=1.0, tile=8)
     return e.select("case_id", *[F.round(c, 6).alias(c) for c in ("chamfer", "within1", "f1")])
 
 

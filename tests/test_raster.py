@@ -88,3 +88,39 @@ def test_marks_of_pixels_are_not_broadcast(spark, monkeypatch):
     assert raster.region_features(pixels, boxes.drop("kind"), boxes.drop("node")).count() == 2
     marked = next(p for p in plans if "et#" in p)
     assert marked.count("Join LeftOuter") >= 4 and marked.count("rightHint=(strategy=merge)") >= 4
+
+
+def test_edges_go_on_across_tiles(spark):
+    rng = np.random.default_rng(5)
+    a = np.zeros((37, 45), int)
+    a[6:30, 5:40] = 90
+    a[12:22, 14:33] = 30
+    b = np.clip(a + rng.integers(0, 40, a.shape), 0, 255)
+    a = np.clip(a + rng.integers(0, 14, a.shape), 0, 255)
+    df = table(spark, a, b)
+    for low, high in ((40, 120), (20, 340)):
+        want = {(s, x, y) for s, v in (("t", a), ("r", b)) for x, y in array_edges(v, low, high)}
+        for tile in (8, 128):
+            got = [(r["side"], r["x"], r["y"]) for r in raster.side_edges(df, {"t": raster.gray("a"), "r": raster.gray("b")}, low, high, tile).collect()]
+            assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_edges_deal_their_pixels_once(spark, monkeypatch):
+    plans, real = [], raster.written
+    monkeypatch.setattr(raster, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    a = np.zeros((9, 9), int)
+    a[3:6, 2:7] = 200
+    found = raster.edges(table(spark, a, a), raster.gray("a"))
+    assert {(r["x"], r["y"]) for r in found.collect()} == array_edges(a, 40, 120)
+    assert "Window" not in plans[0] and plans[0].count("Exchange hashpartitioning") == 1
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_of_repeated_pixels_and_of_none(spark):
+    """Of pixels of one place the largest counts beside them, each gives its own row; without a case only strong ones stay."""
+    rows = [(1, x, y, 200 if x > 2 else 0) for x in range(6) for y in range(4)] + [(1, 2, 1, 90), (1, 3, 1, 200)] + [(None, x, y, 200 if x > 2 else 8 * y) for x in range(6) for y in range(4)]
+    got = raster.edges(spark.createDataFrame(rows, "case_id long, x int, y int, v int"), F.col("v"), 40, 700)
+    window = raster.thin_ridges(raster.gradients(spark.createDataFrame(rows, "case_id long, x int, y int, v int"), F.col("v")), 40)
+    key = lambda df: sorted((r["case_id"] or 0, r["x"], r["y"]) for r in df.collect())
+    assert key(got) == key(window.where("case_id IS NOT NULL OR m > 700"))
+    assert {c for c, _, _ in key(got)} == {0, 1} and len(key(got)) > len(set(key(got)))
