@@ -256,8 +256,10 @@ def region_features(pixels: DataFrame, boxes: DataFrame, contents: DataFrame, re
 
     lab = lambda s: C.lab(*[F.col(s + c) for c in "rgb"])
     cover = lambda kind: _cells(contents.where(F.col("kind") == kind)).withColumn(kind, F.lit(True))
-    p = pixels.select("case_id", "x", "y", *[v.alias(f"t{n}") for n, v in zip("lab", lab("a"), strict=True)], *[v.alias(f"c{n}") for n, v in zip("lab", lab("b"), strict=True)])
-    at = ["case_id", "x", "y"]
+    coloured = lambda df: df.select(*[c for c in df.columns if c not in colours], *[v.alias(f"{s}{n}") for s, t in (("t", lab("a")), ("c", lab("b"))) for n, v in zip("lab", t, strict=True)])
+    at, colours = ["case_id", "x", "y"], [s + c for s in "ab" for c in "rgb"]
+    # dealt as they are; a colour in Lab takes many times the bytes
+    p = pixels.select(*at, *colours)
     found = side_edges(pixels, {"et": gray("a"), "ec": gray("b")}, low, high)
     marks = [found.where(F.col("side") == c).select(*at, F.lit(True).alias(c)) for c in ("et", "ec")] + [cover("text"), cover("icon")]
     for mark in marks:
@@ -267,9 +269,10 @@ def region_features(pixels: DataFrame, boxes: DataFrame, contents: DataFrame, re
     b = boxes.join(_sorted(size), "case_id").select("case_id", "node", F.greatest("x", F.lit(0)).alias("x0"), F.greatest("y", F.lit(0)).alias("y0"), F.least(F.col("x") + F.col("w"), "pw").alias("x1"), F.least(F.col("y") + F.col("h"), "ph").alias("y1"), "pw", "ph")
     b = written(b.where("x1 - x0 >= 2 AND y1 - y0 >= 2"))
     rows = b.withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1)))
-    inside = written(p.join(_sorted(rows), ["case_id", "y"]).where("x >= x0 AND x < x1"))
-    gap = lambda one, two: F.sqrt(sum((F.col(one + n) - (F.col(two + n) if isinstance(two, str) else two[n])) ** 2 for n in "lab"))
     key = ["case_id", "node"]
+    # a box's pixels are dealt to it once, for all that is computed of them
+    inside = coloured(written(p.join(_sorted(rows), ["case_id", "y"]).where("x >= x0 AND x < x1")).repartition(*key))
+    gap = lambda one, two: F.sqrt(sum((F.col(one + n) - (F.col(two + n) if isinstance(two, str) else two[n])) ** 2 for n in "lab"))
     on_border = F.when((F.col("x") == F.col("x0")) | (F.col("x") == F.col("x1") - 1), 1).otherwise(0) + F.when((F.col("y") == F.col("y0")) | (F.col("y") == F.col("y1") - 1), 1).otherwise(0)
     medians = inside.withColumn("k", on_border).where("k > 0").groupBy(*key).agg(*[F.percentile(f"{s}{n}", 0.5, F.col("k")).alias(f"m{s}{n}") for s in "tc" for n in "lab"])
     fits = [f for n in "lab" for f in (F.regr_slope(f"t{n}", f"c{n}").alias(f"s{n}"), F.avg(f"t{n}").alias(f"at{n}"), F.avg(f"c{n}").alias(f"ac{n}"))]
@@ -282,11 +285,16 @@ def region_features(pixels: DataFrame, boxes: DataFrame, contents: DataFrame, re
         F.count("*").alias("n"), F.sum("de").alias("total"), F.avg("de").alias("de_mean"), F.percentile("de", 0.9).alias("de_p90"), F.avg(F.col("tl") - F.col("cl")).alias("dl"), F.avg(chroma("t") - chroma("c")).alias("d_chroma"),
         F.stddev_pop("tl").alias("tex_t"), F.stddev_pop("cl").alias("tex_c"), share(F.col("et")).alias("edge_t"), share(F.col("ec")).alias("edge_c"), share(gap("t", "mt") > ink).alias("it"), share(gap("c", "mc") > ink).alias("ic"),
         share(F.col("text")).alias("text_frac"), share(F.col("icon")).alias("icon_frac"), F.sum(gap("t", fitted)).alias("unfit"))
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    moved = inside.select(*key, "x0", "y0", "x1", "y1", "pw", "ph", "x", "y", "tl", "ta", "tb", F.explode(steps).alias("dx")).withColumn("dy", F.explode(steps))
-    moved = moved.where("x0 + dx >= 0 AND y0 + dy >= 0 AND x1 + dx <= pw AND y1 + dy <= ph").withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})
-    errors = moved.join(_sorted(p.select(*at, "cl", "ca", "cb")), at).groupBy(*key, "dx", "dy").agg(F.sum(gap("t", "c")).alias("e"), F.count("*").alias("k"))
-    best = errors.join(_sorted(g.select(*key, "n")), key).where("k = n").groupBy(*key).agg(F.min("e").alias("best"))
+    tiles = lambda low, high: F.explode(F.sequence(F.floor(low / TILE), F.floor(high / TILE)))
+    around = p.where("case_id IS NOT NULL").select(*at, *colours).withColumn("i", tiles(F.col("x") - reach, F.col("x") + reach)).withColumn("j", tiles(F.col("y") - reach, F.col("y") + reach))
+    # boxes of one name are counted together, so none of them is whole where it lies
+    met = b.withColumn("alone", F.count("*").over(W.partitionBy(*key)) == 1).withColumn("i", tiles(F.col("x0"), F.col("x1") - 1)).withColumn("j", tiles(F.col("y0"), F.col("y1") - 1))
+    deal = ["case_id", "i", "j"]
+    own = ", ".join(f"{c} {k}" for c, k in b.select(*key).dtypes)
+    errors = written(around.groupBy(*deal).cogroup(met.groupBy(*deal)).applyInArrow(_tile_shifts(reach, TILE), f"{own}, whole boolean, dx int, dy int, e double, k long"))
+    parts = errors.where("NOT whole").groupBy(*key, "dx", "dy").agg(F.sum("e").alias("e"), F.sum("k").alias("k"))
+    best = parts.join(_sorted(g.select(*key, "n")), key).where("k = n").groupBy(*key).agg(F.min("e").alias("best"))
+    best = best.unionByName(errors.where("whole").select(*key, F.col("e").alias("best")))
     f = g.join(_sorted(best), key, "left")
     gain = lambda left: F.greatest(F.lit(0.0), 1 - F.col(left) / (F.col("total") + 1e-6))
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
@@ -295,6 +303,70 @@ def region_features(pixels: DataFrame, boxes: DataFrame, contents: DataFrame, re
         "tex_t", "tex_c", "edge_t", "edge_c", ((F.col("it") - F.col("ic")) / (F.col("it") + F.col("ic") + 1e-6)).alias("ink_balance"), "text_frac", "icon_frac", gain("best").alias("shift_gain"), gain("unfit").alias("colour_gain"))
 
 
+def _tile_shifts(reach: int, tile: int):
+    """Maps one tile's pixels, with those up to ``reach`` beyond, and its boxes to the boxes' differences under every shift that keeps
+    them in the image: (case_id, node, whole, dx, dy, e, k), k pixels with a partner and e the sum over them.
+
+    Of a box that lies in the tile ``whole`` only the least sum over all its pixels is returned.
+    """
+    steps = np.arange(-reach, reach + 1)
+    dx, dy = (z.ravel() for z in np.meshgrid(steps, steps))
+
+    def lab(table: pa.Table, side: str) -> np.ndarray:
+        rgb = [table[side + c].to_numpy(zero_copy_only=False).astype(float) / 255 for c in "rgb"]
+        r, g, b = (np.where(u <= 0.04045, u / 12.92, ((u + 0.055) / 1.055) ** 2.4) for u in rgb)
+        curve = lambda t: np.where(t > 216 / 24389, np.cbrt(t), (t * (24389 / 27) + 16) / 116)
+        fx, fy, fz = curve((r * 0.4124564 + g * 0.3575761 + b * 0.1804375) / 0.95047), curve(r * 0.2126729 + g * 0.7151522 + b * 0.0721750), curve((r * 0.0193339 + g * 0.1191920 + b * 0.9503041) / 1.08883)
+        return np.stack([fy * 116 - 16, (fx - fy) * 500, (fy - fz) * 200])
+
+    def run(pixels: pa.Table, boxes: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in ("case_id", "node", "whole", "dx", "dy", "e", "k")}
+        if pixels.num_rows and boxes.num_rows:
+            x, y = (pixels[c].to_numpy().astype(np.int64) for c in "xy")
+            # a margin of ``reach`` all round, so that every shift stays in the grid
+            left, top = x.min() - reach, y.min() - reach
+            wide, high = x.max() - left + reach + 1, y.max() - top + reach + 1
+            place = (y - top) * wide + x - left
+            target, render = lab(pixels, "a"), lab(pixels, "b")
+            order = np.argsort(place, kind="stable")
+            first = np.append(True, place[order][1:] != place[order][:-1])
+            # the candidate's pixels of one place, one below the other
+            nth = np.empty(len(x), np.int64)
+            nth[order] = np.arange(len(x)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            layers = []
+            for n in range(nth.max() + 1):
+                there, grid = np.zeros(wide * high, bool), np.full((3, wide * high), np.nan)
+                there[place[nth == n]], grid[:, place[nth == n]] = True, render[:, nth == n]
+                layers.append((there, grid))
+            i, j = pixels["i"][0].as_py(), pixels["j"][0].as_py()
+            inner = (x // tile == i) & (y // tile == j)
+            off = dy * wide + dx
+            for box in boxes.to_pylist():
+                rows = np.flatnonzero(inner & (x >= box["x0"]) & (x < box["x1"]) & (y >= box["y0"]) & (y < box["y1"]))
+                stays = (box["x0"] + dx >= 0) & (box["y0"] + dy >= 0) & (box["x1"] + dx <= box["pw"]) & (box["y1"] + dy <= box["ph"])
+                if not len(rows):
+                    continue
+                to = place[rows][:, None] + off[stays]
+                e, k, known = (np.zeros(to.shape[1]) for _ in range(3))
+                for there, grid in layers:
+                    gap = np.sqrt(((target[:, rows][:, :, None] - grid[:, to]) ** 2).sum(axis=0))
+                    e, k, known = e + np.nansum(gap, axis=0), k + there[to].sum(axis=0), known + (~np.isnan(gap)).sum(axis=0)
+                e = np.where(known > 0, e, np.nan)
+                whole = box["alone"] and box["x0"] // tile == (box["x1"] - 1) // tile and box["y0"] // tile == (box["y1"] - 1) // tile
+                if whole:
+                    full = e[(k == len(rows)) & ~np.isnan(e)]
+                    found = [(None, None, full.min(), len(rows))] if len(full) else []
+                else:
+                    found = [(a, b, None if np.isnan(s) else s, n) for a, b, s, n in zip(dx[stays], dy[stays], e, k, strict=True) if n]
+                for row in found:
+                    for c, z in zip(out, (box["case_id"], box["node"], whole, *row), strict=True):
+                        out[c].append(z)
+        kinds = {"case_id": boxes.schema.field("case_id").type, "node": boxes.schema.field("node").type, "whole": pa.bool_(), "dx": pa.int32(), "dy": pa.int32(), "e": pa.float64(), "k": pa.int64()}
+        return pa.table({c: pa.array([int(n) for n in v] if c == "k" else v, kinds[c]) for c, v in out.items()})
+
+    return run
+
+
 def _cells(boxes: DataFrame) -> DataFrame:
     """(case_id, x, y): the pixels that boxes cover, once each."""
     b = boxes.where("w > 0 AND h > 0")

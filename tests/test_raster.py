@@ -124,3 +124,30 @@ def test_edges_of_repeated_pixels_and_of_none(spark):
     key = lambda df: sorted((r["case_id"] or 0, r["x"], r["y"]) for r in df.collect())
     assert key(got) == key(window.where("case_id IS NOT NULL OR m > 700"))
     assert {c for c, _, _ in key(got)} == {0, 1} and len(key(got)) > len(set(key(got)))
+
+
+def test_shifts_of_boxes_across_tiles(spark):
+    rng = np.random.default_rng(7)
+    h, w = 12, 140
+    a, b = rng.integers(0, 256, (h, w)), rng.integers(0, 256, (h, w))
+    b[1:9, 118:136] = a[2:10, 120:138]  # this part lies two to the left and one up
+    boxes = [(1, 1, 121, 4, 14, 5), (1, 2, 3, 2, 5, 4), (1, 3, -2, 0, 9, 4), (1, 4, 40, 3, 6, 6), (1, 4, 40, 3, 6, 6), (1, 5, 139, 0, 9, 9)]
+    df = table(spark, a, b)
+    items = spark.createDataFrame(boxes, "case_id int, node int, x int, y int, w int, h int")
+    features = raster.region_features(df, items, items.limit(0).withColumn("kind", F.lit("text")))
+    # a pixel is not listed under every shift
+    assert "[-3,-2,-1,0,1,2,3]" not in features._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["node"]: r["shift_gain"] for r in features.collect()}
+
+    def lightness(v):
+        u = v / 255
+        u = np.where(u <= 0.04045, u / 12.92, ((u + 0.055) / 1.055) ** 2.4)
+        return np.where(u > 216 / 24389, np.cbrt(u), (u * (24389 / 27) + 16) / 116) * 116 - 16
+
+    p, q = lightness(a), lightness(b)
+    for _, node, x, y, bw, bh in boxes[:5]:
+        x0, y0, x1, y1 = max(x, 0), max(y, 0), min(x + bw, w), min(y + bh, h)
+        gap = lambda dx, dy: np.abs(p[y0:y1, x0:x1] - q[y0 + dy : y1 + dy, x0 + dx : x1 + dx]).sum()  # noqa: B023, E731
+        best = min(gap(dx, dy) for dx in range(-3, 4) for dy in range(-3, 4) if x0 + dx >= 0 and y0 + dy >= 0 and x1 + dx <= w and y1 + dy <= h)
+        assert found[node] == pytest.approx(max(0, 1 - best / gap(0, 0)), abs=1e-3)
+    assert found[1] > 0.99 and set(found) == {1, 2, 3, 4}
