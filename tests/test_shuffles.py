@@ -1,5 +1,7 @@
 """Matching shuffles each side once; closures read their nodes once."""
 
+import pytest
+
 from canopy.operators import benchmark, core, differ, fusion, matcher, pixels, spatial
 from canopy.plans import design_queries
 from canopy.plans.views import view
@@ -119,3 +121,38 @@ def test_pairs_of_nodes_and_signatures_are_not_shuffled(spark):
     assert {(r["component"], r["variant"], r["score"], r["rank"]) for r in found.collect()} == {("c0", "v0", 1.0, 1), ("c1", "v1", 1.0, 2)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+
+
+def test_closure_deals_its_cases_once(spark, monkeypatch):
+    plans, real = [], differ.written if hasattr(differ, "written") else core.written
+    monkeypatch.setattr(differ, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df), raising=False)
+    rows = [(1, n, n - 1 if n else None) for n in range(6)] + [(2, 0, None), (2, 1, 0), (2, 1, 7), (2, 7, 0), (2, 7, 0), (None, 1, 0), (None, 0, 5), (3, 4, 9)]
+    got = sorted((r["case_id"] or 0, r["node"], r["ancestor"], r["distance"]) for r in differ.closure(spark.createDataFrame(rows, "case_id long, node int, parent int").repartition(3)).collect())
+    # rows of one node each go up, and nodes without a case hang together
+    assert got == sorted([(1, n, k, n - k) for n in range(6) for k in range(n)] + [(2, 1, 0, 1), (2, 1, 7, 1), (2, 1, 0, 2), (2, 1, 0, 2), (2, 7, 0, 1), (2, 7, 0, 1), (0, 1, 0, 1), (0, 1, 5, 2), (0, 0, 5, 1), (3, 4, 9, 1)])
+    assert len(plans) == 1 and "Join" not in plans[0] and plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_closure_refuses_cycles(spark):
+    rows = [(1, 1, 2), (1, 2, 1)]
+    with pytest.raises(Exception, match="tree deeper than 64"):
+        differ.closure(spark.createDataFrame(rows, "case_id int, node int, parent int")).collect()
+
+
+def test_opacity_groups_match_only_what_they_read(spark, monkeypatch):
+    sides, real = [], spatial.match_nodes
+    monkeypatch.setattr(spatial, "match_nodes", lambda a, b, *more: sides.extend([set(a.columns), set(b.columns)]) or real(a, b, *more))
+    assert __import__("__spark_entry__").queries()["d03_opacity_groups"](spark, SF).count() > 0
+    assert all(s <= {"case_id", "node", "parent", "x", "y", "w", "h", "type", "r", "g", "b"} for s in sides) and len(sides) == 2
+
+
+def test_differences_put_their_nodes_together_once(spark, monkeypatch):
+    plans, real = [], core.written
+    keep = lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *a)
+    for name in ("written", "checkpoint"):
+        monkeypatch.setattr(differ, name, keep, raising=False)
+        monkeypatch.setattr(spatial, name, keep, raising=False)
+    found = differ.tree_diff(view(spark, SF, "nodes_gt"), view(spark, SF, "nodes_pred"))
+    last = found._jdf.queryExecution().optimizedPlan().toString()
+    # the pairs' two sides, their crowded cases, and one table of each side
+    assert found.count() > 0 and sum(p.count("l_extendedprice") > 0 for p in [*plans, last]) <= 4
